@@ -93,6 +93,10 @@ def word_count(text) -> Column:
     return F.when(t.isNotNull(), F.size(F.filter(F.split(t, JAVA_SPACE), lambda w: w != "")))
 
 
-def analyzed_terms(text) -> Column:
-    """clean -> tokens -> stop words -> 1..3-grams: the vectoriser's term list per text."""
-    return ngram_terms(remove_stop_words(tokens(clean_text(text))))
+def analyzed_tokens(text) -> Column:
+    """clean -> tokens -> stop words: the vectoriser's token list per text.
+
+    Project this into a column before calling `ngram_terms` on it: an expression used
+    inside a lambda is re-evaluated for every element, so the n-gram lambdas must read a
+    column, not the cleaning expression."""
+    return remove_stop_words(tokens(clean_text(text)))
