@@ -100,3 +100,22 @@ def analyzed_tokens(text) -> Column:
     inside a lambda is re-evaluated for every element, so the n-gram lambdas must read a
     column, not the cleaning expression."""
     return remove_stop_words(tokens(clean_text(text)))
+
+
+def _raw(pattern: str) -> str:
+    """A Spark SQL raw literal for a regex (the apostrophe written as a regex escape)."""
+    return "r'" + pattern.replace("'", r"\x27") + "'"
+
+
+def clean_text_sql(col: str) -> str:
+    """`clean_text` as Spark SQL text, for SQLTransformer stages that are saved with a model."""
+    t = f"regexp_replace({col}, {_raw(URL_PATTERN)}, '')"
+    t = f"regexp_replace({t}, {_raw(HTTP_PATTERN)}, '')"
+    t = f"regexp_replace({t}, {_raw(HANDLE_PATTERN)}, '')"
+    t = f"regexp_replace({t}, {_raw(KEEP_CLASS)}, ' ')"
+    t = f"lower(replace({t}, '@', ' at '))"
+    return f"trim(regexp_replace({t}, {_raw(JAVA_SPACE)}, ' '))"
+
+
+def tokens_sql(col: str) -> str:
+    return f"regexp_extract_all({clean_text_sql(col)}, {_raw(TOKEN_PATTERN)}, 0)"
