@@ -119,3 +119,25 @@ def rank_cut(
     )
     helper = [_BUCKET, "__cnt", "__before", "__n"]
     return whole.unionByName(straddle).drop(*helper)
+
+
+def row_sequence(df: DataFrame, order_cols: list, out_col: str = "seq") -> DataFrame:
+    """Number rows 1..n in ``order_cols`` order (which must be unique per row) without a
+    global window.
+
+    The table is range-partitioned and sorted (balanced, because the keys are unique),
+    written to the checkpoint folder so the partition layout is fixed, and each row's
+    number is its partition's offset (prefix sum of per-partition counts, one row per
+    partition: bounded and broadcast) plus its position inside the partition.
+    """
+    sorted_df = df.orderBy(*order_cols).checkpoint(eager=True)
+    pid = F.spark_partition_id()
+    tagged = sorted_df.withColumn("__pid", pid).withColumn(
+        "__pos", F.monotonically_increasing_id() - F.shiftleft(pid.cast("long"), 33)
+    )
+    sizes = tagged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("__pid", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    return tagged.join(F.broadcast(offsets), "__pid").withColumn(
+        out_col, (F.col("__off") + F.col("__pos") + F.lit(1)).cast("long")
+    ).drop("__pid", "__pos", "__off")
