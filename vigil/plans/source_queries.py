@@ -1 +1,69 @@
-"""Queries (to be filled)."""
+"""Source/sink queries: CSV round trip and ingest, JSON records, fingerprint, append by name."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from vigil.plans.catalog import register
+from vigil.session import scratch_path
+from vigil.sources import io, tables
+
+
+@register("csv_roundtrip", "SELECT doc_id, text FROM documents")
+def q_csv_roundtrip(spark, sf_dir):
+    docs = tables.table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = scratch_path(spark, "csv-roundtrip")
+    io.write_csv(docs, path)
+    return io.read_csv(spark, path, "doc_id BIGINT, text STRING")
+
+
+@register("csv_ingest")
+def q_csv_ingest(spark, sf_dir):
+    """Training rows as `Review,Sentiment` CSV plus monitoring rows as
+    `Timestamp,Review,Sentiment` CSV, read back by header and appended by name."""
+    base = tables.reviews(spark, sf_dir).select(F.col("review").alias("Review"), F.col("sentiment").alias("Sentiment"))
+    ev = tables.new_reviews(spark, sf_dir).select(
+        F.date_format("ts", io.TS_FORMAT).alias("Timestamp"),
+        F.col("review").alias("Review"),
+        F.col("sentiment").alias("Sentiment"),
+    )
+    p1, p2 = scratch_path(spark, "csv-base"), scratch_path(spark, "csv-new")
+    io.write_csv(base, p1)
+    io.write_csv(ev, p2)
+    return io.append_by_name(io.read_reviews_csv(spark, p1), io.read_reviews_csv(spark, p2))
+
+
+@register(
+    "json_extract",
+    """SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events
+WHERE CAST(json_extract(props, '$.k') AS INTEGER) IS NOT NULL""",
+)
+def q_json_extract(spark, sf_dir):
+    ev = tables.table(spark, sf_dir, "events").select("event_id", "props")
+    return io.parse_json_records(ev, "props", "array<struct<k:int>>", ("k",))
+
+
+@register(
+    "dataset_fingerprint",
+    """SELECT count(*) AS n_rows, sum(length(text))::BIGINT AS total_chars,
+       CAST(sum(('0x' || substr(md5(concat_ws(chr(1), coalesce(CAST(doc_id AS VARCHAR), chr(0)),
+                                               coalesce(text, chr(0)))), 1, 8))::BIGINT) AS VARCHAR) AS digest_sum
+FROM documents""",
+)
+def q_dataset_fingerprint(spark, sf_dir):
+    docs = tables.table(spark, sf_dir, "documents").select("doc_id", "text")
+    fp = io.fingerprint(docs, ["doc_id", "text"], "text")
+    return fp.select("n_rows", "total_chars", F.col("digest_sum").cast("string").alias("digest_sum"))
+
+
+@register(
+    "append_by_name",
+    """SELECT d.doc_id AS review_id, d.text AS review, l.quality AS sentiment, NULL::TIMESTAMP AS ts
+FROM documents d JOIN labels l ON d.doc_id = l.doc_id
+UNION ALL
+SELECT event_id, props, CAST(event_type = 'purchase' AS INTEGER), ts FROM events""",
+)
+def q_append_by_name(spark, sf_dir):
+    base = tables.reviews(spark, sf_dir)
+    new = tables.new_reviews(spark, sf_dir).select("review_id", "review", "sentiment", "ts")
+    return io.append_by_name(base, new)
