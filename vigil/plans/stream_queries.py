@@ -1 +1,83 @@
-"""Queries (to be filled)."""
+"""Streaming queries: each runs a Structured Streaming job over the given tables (file
+source, ``availableNow`` trigger) into a sink below the checkpoint folder and returns
+the sink table; `windowed_metrics` is the batch twin with a SQL oracle."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from vigil.plans.catalog import register, rounded
+from vigil.session import scratch_path
+from vigil.sources import tables
+from vigil.streaming import jobs
+
+
+def _events_stream(spark, sf_dir):
+    schema = tables.table(spark, sf_dir, "events").schema
+    return jobs.ingest(spark, sf_dir, schema, glob="events.parquet")
+
+
+def _scored_events(df):
+    return df.select(
+        "event_id", "ts", "value",
+        (F.col("event_type") == "purchase").cast("int").alias("y"),
+        (F.col("value") >= F.lit(50.0)).cast("int").alias("yhat"),
+    )
+
+
+@register(
+    "windowed_metrics",
+    """SELECT date_trunc('hour', ts) AS window_start, count(*) AS n,
+       round(avg(CAST((event_type = 'purchase') = (value >= 50.0) AS DOUBLE)), 6) AS accuracy,
+       round(avg(value), 6) AS mean_value
+FROM events GROUP BY 1""",
+)
+def q_windowed_metrics(spark, sf_dir):
+    ev = _scored_events(tables.table(spark, sf_dir, "events"))
+    return rounded(jobs.windowed_metrics_batch(ev))
+
+
+@register("stream_windowed_metrics")
+def q_stream_windowed_metrics(spark, sf_dir):
+    stream = _scored_events(_events_stream(spark, sf_dir))
+    out = scratch_path(spark, "stream-windows")
+    return rounded(jobs.run_to_parquet(jobs.windowed_metrics(stream), out))
+
+
+@register("stream_score")
+def q_stream_score(spark, sf_dir):
+    from vigil.plans.model_queries import fitted
+
+    _, fm = fitted(spark, sf_dir)
+    schema = tables.table(spark, sf_dir, "documents").schema
+    docs = jobs.ingest(spark, sf_dir, schema, glob="documents.parquet").select(
+        F.col("doc_id").alias("review_id"), F.col("text").alias("review")
+    )
+    out = scratch_path(spark, "stream-score")
+    return rounded(jobs.run_to_parquet(jobs.score_stream(fm.model, docs), out).select("review_id", "prediction", "p1"))
+
+
+@register("stream_latest_window")
+def q_stream_latest_window(spark, sf_dir):
+    from vigil.plans.model_queries import fitted
+
+    _, fm = fitted(spark, sf_dir)
+    model_path = scratch_path(spark, "prod-model")
+    fm.model.write().overwrite().save(model_path)
+    cache = jobs.ModelCache(lambda: (1, model_path))
+    stream = _events_stream(spark, sf_dir).select(
+        F.col("event_id").alias("review_id"), "ts", F.col("props").alias("review"),
+        (F.col("event_type") == "purchase").cast("int").alias("sentiment"),
+    )
+    history = scratch_path(spark, "metric-history")
+    refresher = jobs.MetricsRefresher(spark, tables.lang_reviews(spark, sf_dir), history, 200, cache)
+    q = jobs.refresh_stream(stream, refresher, history + "._checkpoint", available_now=True)
+    q.awaitTermination()
+    return rounded(spark.read.parquet(history).select("batch_id", "metric", "value"))
+
+
+@register("retrain_cycle")
+def q_retrain_cycle(spark, sf_dir):
+    base = tables.lang_reviews(spark, sf_dir)
+    new_rows = tables.new_reviews(spark, sf_dir).select("review_id", "ts", "review", "sentiment")
+    return rounded(jobs.retrain_cycle(spark, base, new_rows))
