@@ -17,6 +17,7 @@ driver to build the fixed-vocabulary stage.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
@@ -42,6 +43,7 @@ from vigil.operators.terms import MAX_FEATURES
 MAX_ITER = 1000
 C = 1.0
 THRESHOLD = 0.8  # register a model only when test accuracy is strictly above this
+ROWS_PER_PARTITION = 50_000
 
 
 def text_stages(text_col: str = "review") -> list:
@@ -76,8 +78,6 @@ def fit(train: DataFrame, text_col: str = "review", label_col: str = "sentiment"
         raise ValueError("no training rows")
     top = stats.orderBy(F.col("tf").desc(), F.col("term").asc()).limit(max_features).collect()  # bounded
     vocab = [r["term"] for r in top]
-    import math
-
     idf = [math.log((1.0 + n) / (1.0 + r["df"])) + 1.0 for r in top]
     stages = text_stages(text_col) + [
         CountVectorizerModel.from_vocabulary(vocab or ["__empty__"], inputCol="__terms", outputCol="__tf"),
@@ -95,7 +95,14 @@ def fit(train: DataFrame, text_col: str = "review", label_col: str = "sentiment"
         fitIntercept=True,
     )
     feats = featurizer.transform(train.withColumn("__label", F.col(label_col).cast("double")))
-    lr_model = lr.fit(feats.select("features", "__label"))
+    feats = feats.select("features", "__label").persist()
+    # Every L-BFGS iteration is a job over the training rows: featurise in parallel, then
+    # give the optimiser partitions of at least ROWS_PER_PARTITION rows so that small
+    # training sets are not dominated by per-task and tree-aggregation overhead.
+    parts = max(1, min(feats.rdd.getNumPartitions(), math.ceil(n / ROWS_PER_PARTITION)))
+    feats.count()
+    lr_model = lr.fit(feats.coalesce(parts))
+    feats.unpersist()
     params = {
         "max_features": str(max_features), "max_iter": str(max_iter), "C": str(c),
         "regParam": str(1.0 / (c * n)), "ngram_range": "(1, 3)", "solver": "lbfgs",

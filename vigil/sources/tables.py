@@ -20,7 +20,22 @@ TABLES = (
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give the scan at least one partition per core.
+
+    A large table stored as one file with one row group is read by a single task, and
+    every narrow operator after it (text cleaning, tokenising, exploding) would run
+    there too. Only then is the scan redistributed round-robin; a table that already
+    yields enough splits (the normal case for large, multi-file data) is left untouched,
+    so no shuffle is added at scale.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
