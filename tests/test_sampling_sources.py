@@ -22,7 +22,7 @@ def test_exact_split_sizes(spark, n, test_rows):
 def test_exact_sample_paths_agree(spark, monkeypatch):
     df = spark.range(3000).withColumnRenamed("id", "rid")
     small = {r.rid for r in sampling.exact_sample(df, "rid", 700, 7).collect()}
-    monkeypatch.setattr(sampling, "TOP_N_LIMIT", 10)
+    monkeypatch.setattr(sampling, "TOP_N_LIMIT", 100)
     large = {r.rid for r in sampling.exact_sample(df, "rid", 700, 7).collect()}
     assert small == large and len(small) == 700
 

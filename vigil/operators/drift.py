@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigil.functions.vectors import cosine
-from vigil.operators.ks import ks_two_sample
+from vigil.operators.ks import ks_by_flag
 
 # Fixed values of the monitored system's combined drift score.
 KS_WEIGHT, CENTROID_WEIGHT, SPREAD_WEIGHT = 0.5, 0.3, 0.2
@@ -78,12 +78,7 @@ def embedding_drift(
     vectors = group_vectors(moments)
     dist = moment_distances(moments, ref, new)
     sims = similarity_to_centroid(emb, vectors.filter(F.col("grp") == ref))
-    ks = ks_two_sample(
-        sims.filter(F.col("grp") == ref).select(F.col("similarity").alias("v")),
-        sims.filter(F.col("grp") == new).select(F.col("similarity").alias("v")),
-        "v",
-        num_buckets=num_buckets,
-    )
+    ks = ks_by_flag(sims, "similarity", F.col("grp") == ref, num_buckets=num_buckets)
     counts = emb.agg(
         F.count_if(F.col("grp") == ref).alias("n_ref"), F.count_if(F.col("grp") == new).alias("n_new")
     )

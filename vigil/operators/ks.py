@@ -17,12 +17,22 @@ from vigil.operators.cumulative import running_totals
 def ks_two_sample(a: DataFrame, b: DataFrame, col: str = "v", num_buckets: int | None = None) -> DataFrame:
     """One row: ks_stat DOUBLE, n_a BIGINT, n_b BIGINT, status STRING ('ok' | 'no_data')."""
     v = F.col(col).cast("double")
-    stacked = a.select(v.alias("v"), F.lit(1).alias("ia")).unionByName(
-        b.select(v.alias("v"), F.lit(0).alias("ia"))
+    stacked = a.select(v.alias("v"), F.lit(True).alias("is_a")).unionByName(
+        b.select(v.alias("v"), F.lit(False).alias("is_a"))
     )
-    stacked = stacked.filter(F.col("v").isNotNull() & ~F.isnan("v"))
-    grouped = stacked.groupBy("v").agg(
-        F.sum("ia").cast("long").alias("ca"), F.sum(1 - F.col("ia")).cast("long").alias("cb")
+    return ks_by_flag(stacked, "v", "is_a", num_buckets)
+
+
+def ks_by_flag(df: DataFrame, value_col: str, flag_col, num_buckets: int | None = None) -> DataFrame:
+    """KS between the rows where ``flag_col`` is true and where it is false (one scan);
+    rows with a null flag belong to neither sample."""
+    v = F.col(value_col).cast("double")
+    flag = F.col(flag_col) if isinstance(flag_col, str) else flag_col
+    rows = df.select(v.alias("v"), flag.alias("f")).filter(
+        F.col("v").isNotNull() & ~F.isnan("v") & F.col("f").isNotNull()
+    )
+    grouped = rows.groupBy("v").agg(
+        F.count_if(F.col("f")).alias("ca"), F.count_if(~F.col("f")).alias("cb")
     )
     totals = grouped.agg(
         F.coalesce(F.sum("ca"), F.lit(0)).cast("long").alias("n_a"),
@@ -34,9 +44,10 @@ def ks_two_sample(a: DataFrame, b: DataFrame, col: str = "v", num_buckets: int |
         F.abs(F.col("cum_ca") / F.col("n_a") - F.col("cum_cb") / F.col("n_b")).alias("gap")
     )
     stat = gap.agg(F.max("gap").alias("gap"))
+    ok = (F.col("n_a") > 0) & (F.col("n_b") > 0)
     return totals.crossJoin(stat).select(
-        F.when((F.col("n_a") > 0) & (F.col("n_b") > 0), F.col("gap")).otherwise(F.lit(0.0)).alias("ks_stat"),
+        F.when(ok, F.col("gap")).otherwise(F.lit(0.0)).alias("ks_stat"),
         "n_a",
         "n_b",
-        F.when((F.col("n_a") > 0) & (F.col("n_b") > 0), F.lit("ok")).otherwise(F.lit("no_data")).alias("status"),
+        F.when(ok, F.lit("ok")).otherwise(F.lit("no_data")).alias("status"),
     )

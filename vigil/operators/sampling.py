@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from vigil.operators.cumulative import rank_cut
 
-# Above this many rows a sample is cut by hash-prefix ranking instead of a top-n merge.
-TOP_N_LIMIT = 100_000
+# A top-n sample merges (partitions x n) candidate rows in one task; above this many the
+# sample is cut by hash-prefix ranking instead.
+TOP_N_LIMIT = 5_000_000
 KEY = "__sample_key"
 
 
@@ -44,12 +45,16 @@ def exact_sample(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFram
     if n < 0:
         raise ValueError("n must be >= 0")
     keyed = df.withColumn(KEY, sample_key(id_col, seed))
-    if n <= TOP_N_LIMIT:
+    if _top_n_fits(df, n):
         return keyed.orderBy(F.col(KEY), F.col(id_col)).limit(n).drop(KEY)
     flagged = rank_cut(keyed, KEY, id_col, F.least(F.lit(n), F.col("__total")), "__in")
     return flagged.filter("__in").drop("__in", KEY)
 
 
+def _top_n_fits(df: DataFrame, n: int) -> bool:
+    return n * max(1, df.rdd.getNumPartitions()) <= TOP_N_LIMIT
+
+
 def anti_join_by_id(df: DataFrame, other: DataFrame, id_col: str, other_is_small: bool = False) -> DataFrame:
     """Rows of ``df`` whose identity is not in ``other`` (identity, not value, equality)."""
     right = other.select(id_col).distinct() if not other_is_small else F.broadcast(other.select(id_col))
@@ -59,7 +64,7 @@ def anti_join_by_id(df: DataFrame, other: DataFrame, id_col: str, other_is_small
 def sample_complement(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:
     """The table minus its exact sample of n rows."""
     sample = exact_sample(df.select(id_col), id_col, n, seed)
-    return anti_join_by_id(df, sample, id_col, other_is_small=n <= TOP_N_LIMIT)
+    return anti_join_by_id(df, sample, id_col, other_is_small=_top_n_fits(df, n))
 
 
 def latest(df: DataFrame, ts_col: str, id_col: str, n: int) -> DataFrame:
@@ -86,9 +91,11 @@ def holdback(
     else:
         raise ValueError("mode must be 'random' or 'latest'")
     marked = kept.withColumn("__keep", F.lit(True))
-    # `kept` has at most `window` rows: broadcast is bounded by the parameter.
+    # `kept` has at most `window` rows: broadcast while that bound is small.
+    if _top_n_fits(df, window):
+        marked = F.broadcast(marked)
     return (
-        df.join(F.broadcast(marked), id_col, "left")
+        df.join(marked, id_col, "left")
         .withColumn(out_col, F.when(F.col("__keep"), "keep").otherwise("append"))
         .drop("__keep")
     )

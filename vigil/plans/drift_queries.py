@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vigil.operators import drift
-from vigil.operators.ks import ks_two_sample
+from vigil.operators.ks import ks_by_flag, ks_two_sample
 from vigil.plans.catalog import register, rounded
 from vigil.sources import tables
 
@@ -120,12 +120,7 @@ def q_semantic_ks(spark, sf_dir):
     emb = tables.embeddings(spark, sf_dir)
     centroid = drift.group_vectors(drift.dimension_moments(emb)).filter(F.col("grp") == "ref")
     sims = drift.similarity_to_centroid(emb, centroid)
-    return rounded(
-        ks_two_sample(
-            sims.filter(F.col("grp") == "ref").select(F.col("similarity").alias("v")),
-            sims.filter(F.col("grp") == "new").select(F.col("similarity").alias("v")),
-        )
-    )
+    return rounded(ks_by_flag(sims, "similarity", F.col("grp") == "ref"))
 
 
 @register(
@@ -135,6 +130,4 @@ def q_semantic_ks(spark, sf_dir):
 )
 def q_ks_two_sample(spark, sf_dir):
     li = tables.table(spark, sf_dir, "lineitem").select("l_extendedprice", "l_returnflag")
-    a = li.filter(F.col("l_returnflag") == "R").select(F.col("l_extendedprice").alias("v"))
-    b = li.filter(~(F.col("l_returnflag") == "R")).select(F.col("l_extendedprice").alias("v"))
-    return rounded(ks_two_sample(a, b))
+    return rounded(ks_by_flag(li, "l_extendedprice", F.col("l_returnflag") == "R"))
