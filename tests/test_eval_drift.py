@@ -78,3 +78,35 @@ def test_drift_empty_side_and_zero_vector(spark):
     c = drift.group_vectors(drift.dimension_moments(e)).filter(F.col("grp") == "ref")
     sims = {r.grp: r.similarity for r in drift.similarity_to_centroid(e, c).collect() if r.grp == "new"}
     assert sims["new"] is None
+
+
+def test_pandas_encoder_hook_feeds_drift(spark):
+    from vigil.functions.encoders import pandas_encoder
+
+    def toy_encoder():  # defined inline so that it ships to the workers by value
+        import numpy as np
+
+        def encode(texts):
+            return np.array([[float(len(t)), float(t.count(" ")), 1.0] for t in texts])
+
+        return encode
+
+    enc = pandas_encoder(toy_encoder, batch_size=2)
+    df = spark.createDataFrame([("a b", "ref"), ("ccc", "ref"), ("dd ee ff", "new"), ("g", "new")], "t string, grp string")
+    out = df.withColumn("embedding", enc("t"))
+    vecs = {r.t: r.embedding for r in out.collect()}
+    assert vecs["a b"] == [3.0, 1.0, 1.0]
+    r = drift.embedding_drift(out).first()
+    assert r.status == "ok" and r.n_ref == 2 and r.n_new == 2
+
+
+def test_preprocess_plugin_is_saved_with_model(spark):
+    from vigil.plans import training
+
+    rows = [(i, ("great stay lovely staff " if i % 2 else "awful noisy dirty room ") * 2, i % 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "review_id long, review string, sentiment int")
+    fm = training.fit(df, preprocess_sql="upper({col})", max_features=50)
+    # upper-cased text still tokenises; the SQL text travels inside the fitted stage
+    assert "upper(review)" in fm.model.stages[0].getStatement()
+    acc = training.score(fm.model, df).select(F.avg((F.col("prediction") == F.col("sentiment")).cast("double"))).first()[0]
+    assert acc == 1.0

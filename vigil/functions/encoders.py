@@ -29,17 +29,18 @@ def hashed_embedding(df: DataFrame, text_col: str, out_col: str = "embedding", d
     return unit.withColumn(out_col, vector_to_array("__unit", "float32")).drop("__tok", "__tf", "__unit")
 
 
-_MODELS: dict[int, Callable] = {}
+_MODELS: dict[str, Callable] = {}
 
 
 def pandas_encoder(load: Callable[[], Callable[[list[str]], "object"]], batch_size: int = 16) -> Callable[[Column], Column]:
     """Wrap ``load() -> encode(list[str]) -> 2-D array`` as a column function.
 
-    ``load`` runs once per Python worker process (cached by identity), never per row."""
+    ``load`` runs once per Python worker process (cached by its qualified name), never per
+    row or per batch."""
+    key = f"{getattr(load, '__module__', '')}.{getattr(load, '__qualname__', repr(load))}"
 
     @F.pandas_udf("array<float>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        key = id(load)
         if key not in _MODELS:
             _MODELS[key] = load()
         model = _MODELS[key]

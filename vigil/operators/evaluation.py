@@ -153,3 +153,32 @@ def roc_auc(df: DataFrame, y: str = "y", p1: str = "p1", num_buckets: int | None
         F.coalesce(F.col("P"), F.lit(0)).cast("long").alias("n_pos"),
         F.coalesce(F.col("N"), F.lit(0)).cast("long").alias("n_neg"),
     )
+
+
+def report_lines(df: DataFrame, y: str = "y", yhat: str = "yhat", names: list[str] | None = None) -> DataFrame:
+    """(line_no, line): the plain-text evaluation report -- accuracy as a percentage with two
+    decimals, then one line per report row with two-decimal precision/recall/F1 and support."""
+    rep = classification_report(df, y, yhat, names)
+    acc = accuracy(df, y, yhat).select(
+        F.lit(0).cast("long").alias("line_no"),
+        F.format_string("Accuracy: %.2f%%", F.round(F.col("accuracy") * 100, 2)).alias("line"),
+    )
+    order = (
+        F.when(F.col("label") == "accuracy", 1000).when(F.col("label") == "macro avg", 1001)
+        .when(F.col("label") == "weighted avg", 1002).otherwise(F.lit(None))
+    )
+    two = lambda c: F.when(F.col(c).isNull(), F.lit("")).otherwise(
+        F.format_string("%.2f", F.round(F.col(c), 2))
+    )
+    body = rep.select(
+        order.alias("o"), "label",
+        F.concat_ws(" ", F.col("label"), two("precision"), two("recall"), two("f1_score"),
+                    F.col("support").cast("string")).alias("line"),
+    )
+    # class rows are numbered by label text (few rows: one per class, bounded)
+    from pyspark.sql import Window
+
+    numbered = body.select(
+        F.coalesce(F.col("o"), F.row_number().over(Window.orderBy("label"))).cast("long").alias("line_no"), "line"
+    )
+    return acc.unionByName(numbered)

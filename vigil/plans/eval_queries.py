@@ -144,3 +144,26 @@ def q_text_statistics(spark, sf_dir):
     return text_statistics(split)
 
 
+
+
+@register(
+    "report_text",
+    f"""WITH {_CM}, {_PC},
+acc AS (SELECT avg(CAST(quality = toxic AS DOUBLE)) AS a FROM labels),
+agg AS (SELECT avg(p) AS mp, avg(r) AS mr, avg(f) AS mf, sum(p * support) / sum(support) AS wp,
+               sum(r * support) / sum(support) AS wr, sum(f * support) / sum(support) AS wf,
+               sum(support)::BIGINT AS support FROM pc),
+rows AS (
+  SELECT coalesce(['Negative', 'Positive'][cls + 1], CAST(cls AS VARCHAR)) AS label, p, r, f, support, NULL::BIGINT AS o FROM pc
+  UNION ALL SELECT 'accuracy', NULL, NULL, a, support, 1000 FROM agg, acc
+  UNION ALL SELECT 'macro avg', mp, mr, mf, support, 1001 FROM agg
+  UNION ALL SELECT 'weighted avg', wp, wr, wf, support, 1002 FROM agg)
+SELECT 0::BIGINT AS line_no, printf('Accuracy: %.2f%%', round(a * 100, 2)) AS line FROM acc
+UNION ALL
+SELECT coalesce(o, row_number() OVER (ORDER BY label))::BIGINT,
+       concat_ws(' ', label, coalesce(printf('%.2f', round(p, 2)), ''), coalesce(printf('%.2f', round(r, 2)), ''),
+                 coalesce(printf('%.2f', round(f, 2)), ''), CAST(support AS VARCHAR))
+FROM rows""",
+)
+def q_report_text(spark, sf_dir):
+    return ev.report_lines(tables.predictions(spark, sf_dir))

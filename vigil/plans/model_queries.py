@@ -42,18 +42,33 @@ def _scored_test(spark, sf_dir):
 
 @register("train_eval")
 def q_train_eval(spark, sf_dir):
+    """Test metrics and, beside them, the same metrics on the training split."""
     test, fm = _scored_test(spark, sf_dir)
-    m = training.evaluate(test)
+    split, _ = fitted(spark, sf_dir)
+    train = training.score(fm.model, split.filter(F.col("split") == "train")).checkpoint(eager=True)
+    m = training.evaluate(test).crossJoin(training.evaluate(train, prefix="train_"))
     return rounded(
         m.withColumn("n_train", F.lit(fm.n_train).cast("long")).withColumn("vocab_size", F.lit(fm.vocab_size).cast("long"))
     )
 
 
+@register("run_log")
+def q_run_log(spark, sf_dir):
+    """The run row of the fitted model: name, tags, parameters, input schema and example."""
+    from vigil.plans import lineage
+
+    split, fm = fitted(spark, sf_dir)
+    train = split.filter(F.col("split") == "train")
+    return lineage.run_record(spark, f"run-{spark.sparkContext.applicationId}", 1, fm.params, train)
+
+
 @register("batch_score")
 def q_batch_score(spark, sf_dir):
     _, fm = fitted(spark, sf_dir)
     docs = tables.lang_reviews(spark, sf_dir)
-    return rounded(training.score(fm.model, docs).select("review_id", "sentiment", "prediction", "p1"))
+    return rounded(
+        training.score(fm.model, docs).select("review_id", "sentiment", "prediction", "prediction_label", "p1")
+    )
 
 
 @register("probability_map")

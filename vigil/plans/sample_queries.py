@@ -118,3 +118,20 @@ def q_approximate_split(spark, sf_dir):
     return sampling.approximate_split(docs, "doc_id", 0.2, SEED)
 
 
+
+
+@register(
+    "example_prompt",
+    f"""WITH ex AS (SELECT text FROM documents WHERE text IS NOT NULL ORDER BY {_DOC_KEY}, doc_id LIMIT 5)
+SELECT string_agg('- "' || text || '"', chr(10) ORDER BY text) AS examples_text, count(*) AS n_examples FROM ex""",
+)
+def q_example_prompt(spark, sf_dir):
+    """The bulleted example list handed to the review generator (5 seeded examples)."""
+    docs = tables.table(spark, sf_dir, "documents").select("doc_id", "text")
+    ex = sampling.example_pool(docs, "doc_id", "text", 5, SEED)
+    return ex.agg(
+        F.array_join(
+            F.transform(F.array_sort(F.collect_list("text")), lambda t: F.concat(F.lit('- "'), t, F.lit('"'))), "\n"
+        ).alias("examples_text"),
+        F.count(F.lit(1)).alias("n_examples"),
+    )

@@ -35,7 +35,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.functions.text import tokens_sql
+from vigil.functions.text import TOKEN_PATTERN, tokens_sql
 from vigil.operators import evaluation as ev
 from vigil.operators.terms import MAX_FEATURES
 
@@ -46,10 +46,18 @@ THRESHOLD = 0.8  # register a model only when test accuracy is strictly above th
 ROWS_PER_PARTITION = 50_000
 
 
-def text_stages(text_col: str = "review") -> list:
-    """The fit-free front of the pipeline: text -> terms (ARRAY<STRING>)."""
+def text_stages(text_col: str = "review", preprocess_sql: str | None = None) -> list:
+    """The fit-free front of the pipeline: text -> terms (ARRAY<STRING>).
+
+    ``preprocess_sql`` plugs a user text function in place of the default cleaner: a Spark
+    SQL expression over ``{col}`` (e.g. ``"lower({col})"``). Being SQL text, it is saved
+    with the model and needs no trusted code on load."""
+    if preprocess_sql is None:
+        toks = tokens_sql(text_col)
+    else:
+        toks = f"regexp_extract_all({preprocess_sql.format(col=text_col)}, r'{TOKEN_PATTERN}', 0)"
     return [
-        SQLTransformer(statement=f"SELECT *, {tokens_sql(text_col)} AS __tokens FROM __THIS__"),
+        SQLTransformer(statement=f"SELECT *, {toks} AS __tokens FROM __THIS__"),
         StopWordsRemover(inputCol="__tokens", outputCol="__words"),
         NGram(n=2, inputCol="__words", outputCol="__bigrams"),
         NGram(n=3, inputCol="__words", outputCol="__trigrams"),
@@ -66,9 +74,10 @@ class FittedModel:
 
 
 def fit(train: DataFrame, text_col: str = "review", label_col: str = "sentiment", id_col: str = "review_id",
-        max_features: int = MAX_FEATURES, max_iter: int = MAX_ITER, c: float = C) -> FittedModel:
+        max_features: int = MAX_FEATURES, max_iter: int = MAX_ITER, c: float = C,
+        preprocess_sql: str | None = None) -> FittedModel:
     """Fit the pipeline on ``train`` in two steps (vocabulary first, then the classifier)."""
-    front = PipelineModel(stages=text_stages(text_col))
+    front = PipelineModel(stages=text_stages(text_col, preprocess_sql))
     terms = front.transform(train.select(id_col, text_col)).select(F.col(id_col).alias("__doc"), "__terms")
     exploded = terms.select("__doc", F.explode("__terms").alias("term"))
     pairs = exploded.groupBy("__doc", "term").agg(F.count(F.lit(1)).alias("tf"))
@@ -79,7 +88,7 @@ def fit(train: DataFrame, text_col: str = "review", label_col: str = "sentiment"
     top = stats.orderBy(F.col("tf").desc(), F.col("term").asc()).limit(max_features).collect()  # bounded
     vocab = [r["term"] for r in top]
     idf = [math.log((1.0 + n) / (1.0 + r["df"])) + 1.0 for r in top]
-    stages = text_stages(text_col) + [
+    stages = text_stages(text_col, preprocess_sql) + [
         CountVectorizerModel.from_vocabulary(vocab or ["__empty__"], inputCol="__terms", outputCol="__tf"),
         ElementwiseProduct(scalingVec=Vectors.dense(idf or [1.0]), inputCol="__tf", outputCol="__tfidf"),
         Normalizer(p=2.0, inputCol="__tfidf", outputCol="features"),
@@ -111,13 +120,16 @@ def fit(train: DataFrame, text_col: str = "review", label_col: str = "sentiment"
     return FittedModel(PipelineModel(stages=stages + [lr_model]), n, len(vocab), params)
 
 
-def score(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """Input columns plus prediction (INT) and p1 (probability of class 1)."""
+def score(model: PipelineModel, df: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """Input columns plus prediction (INT), its class name and p1 (probability of class 1)."""
+    names = names or ev.CLASS_NAMES
     out = model.transform(df)
     keep = [c for c in df.columns]
+    pred = F.col("prediction").cast("int")
     return out.select(
         *keep,
-        F.col("prediction").cast("int").alias("prediction"),
+        pred.alias("prediction"),
+        F.element_at(F.array(*[F.lit(n) for n in names]), pred + 1).alias("prediction_label"),
         vector_to_array("probability")[1].alias("p1"),
     )
 
@@ -133,15 +145,15 @@ def probabilities(model: PipelineModel, df: DataFrame, names: list[str] | None =
     return out.select(*df.columns, F.create_map(*kv).alias("probabilities"))
 
 
-def evaluate(scored: DataFrame, label_col: str = "sentiment") -> DataFrame:
-    """One row: test_accuracy, test_precision, test_recall, test_f1_score, test_roc_auc, test_log_loss."""
+def evaluate(scored: DataFrame, label_col: str = "sentiment", prefix: str = "test_") -> DataFrame:
+    """One row: {prefix}accuracy, precision, recall, f1_score (macro), roc_auc, log_loss."""
     s = scored.select(F.col(label_col).alias("y"), F.col("prediction").alias("yhat"), "p1")
-    acc = ev.accuracy(s).select(F.col("accuracy").alias("test_accuracy"))
+    acc = ev.accuracy(s).select(F.col("accuracy").alias(f"{prefix}accuracy"))
     prf = ev.macro_prf(s).select(
-        F.col("precision_macro").alias("test_precision"),
-        F.col("recall_macro").alias("test_recall"),
-        F.col("f1_macro").alias("test_f1_score"),
+        F.col("precision_macro").alias(f"{prefix}precision"),
+        F.col("recall_macro").alias(f"{prefix}recall"),
+        F.col("f1_macro").alias(f"{prefix}f1_score"),
     )
-    auc = ev.roc_auc(s).select(F.col("roc_auc").alias("test_roc_auc"))
-    ll = ev.log_loss(s).select(F.col("log_loss").alias("test_log_loss"))
+    auc = ev.roc_auc(s).select(F.col("roc_auc").alias(f"{prefix}roc_auc"))
+    ll = ev.log_loss(s).select(F.col("log_loss").alias(f"{prefix}log_loss"))
     return acc.crossJoin(prf).crossJoin(auc).crossJoin(ll)

@@ -147,3 +147,8 @@ def fingerprint(df: DataFrame, cols: list[str], text_col: str | None = None) ->
         F.sum(F.conv(F.substring(F.md5(row), 1, 8), 16, 10).cast("decimal(20,0)")).alias("digest_sum"),
         F.bit_xor(F.xxhash64(*[F.col(c) for c in cols])).alias("digest_xor"),
     )
+
+
+def write_json_summary(df: DataFrame, path: str) -> None:
+    """Write a (one-row, nested) summary as JSON; one output file."""
+    df.coalesce(1).write.mode("overwrite").json(path)
