@@ -110,3 +110,22 @@ def test_preprocess_plugin_is_saved_with_model(spark):
     assert "upper(review)" in fm.model.stages[0].getStatement()
     acc = training.score(fm.model, df).select(F.avg((F.col("prediction") == F.col("sentiment")).cast("double"))).first()[0]
     assert acc == 1.0
+
+
+def test_roc_drop_intermediate_vs_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    y = [rng.randint(0, 1) for _ in range(400)]
+    p = [rng.randint(0, 60) / 60 for _ in range(400)]
+    df = frame(spark, y, p1=p)
+    got = sorted((r.fpr, r.tpr) for r in ev.roc_curve(df, num_buckets=6).collect() if r.threshold is not None)
+    scores = sorted(set(p), reverse=True)
+    pos = [sum(1 for a, b in zip(y, p) if b == s and a == 1) for s in scores]
+    neg = [sum(1 for a, b in zip(y, p) if b == s and a != 1) for s in scores]
+    P, N = sum(y), len(y) - sum(y)
+    keep = [i for i in range(len(scores))
+            if i == 0 or i == len(scores) - 1 or (pos[i + 1], neg[i + 1]) != (pos[i], neg[i])]
+    expect = sorted((sum(neg[: i + 1]) / N, sum(pos[: i + 1]) / P) for i in keep)
+    assert [tuple(round(v, 12) for v in t) for t in got] == [tuple(round(v, 12) for v in t) for t in expect]
+    assert len(ev.roc_curve(df, drop_intermediate=False).collect()) == len(scores) + 1

@@ -52,11 +52,15 @@ def running_totals(
     descending: bool = False,
     num_buckets: int | None = None,
     prefix: str = "cum_",
+    next_cols: list[str] | None = None,
 ) -> DataFrame:
     """Add ``prefix + c``: the inclusive running sum of ``c`` in ``order_col`` order.
 
     ``order_col`` must be numeric and distinct per row (group by it first). Null order
-    values are not ranked and get null running sums.
+    values are not ranked and get null running sums. With ``next_cols``, also add
+    ``next_<c>``: the value of ``c`` on the following row in that order (null on the last),
+    found inside the bucket or, for a bucket's last row, from the first row of the next
+    non-empty bucket (a bounded, broadcast table).
     """
     num_buckets = num_buckets or default_buckets(df)
     bucketed, n_splits = _bucketize(df, order_col, num_buckets)
@@ -77,6 +81,19 @@ def running_totals(
     out = joined
     for c in sum_cols:
         out = out.withColumn(f"{prefix}{c}", F.sum(c).over(within) + F.col(f"__off_{c}"))
+    if next_cols:
+        ordered = Window.partitionBy(_BUCKET).orderBy(order)
+        pick = F.max_by if descending else F.min_by
+        firsts = bucketed.groupBy(_BUCKET).agg(
+            pick(F.struct(*[F.col(c) for c in next_cols]), F.col(order_col)).alias("__first")
+        )
+        following = Window.orderBy(_BUCKET)
+        # at most num_buckets + 2 rows: bounded, broadcast
+        nxt = firsts.select(_BUCKET, F.lead("__first").over(following).alias("__next_first"))
+        out = out.join(F.broadcast(nxt), _BUCKET, "left")
+        for c in next_cols:
+            out = out.withColumn(f"next_{c}", F.coalesce(F.lead(c).over(ordered), F.col(f"__next_first.{c}")))
+        out = out.drop("__next_first")
     return out.drop(_BUCKET, *[f"__off_{c}" for c in sum_cols])
 
 

@@ -122,12 +122,21 @@ def _score_counts(df: DataFrame, y: str, p1: str) -> DataFrame:
     ).filter(F.col("score").isNotNull())
 
 
-def roc_curve(df: DataFrame, y: str = "y", p1: str = "p1", num_buckets: int | None = None) -> DataFrame:
+def roc_curve(df: DataFrame, y: str = "y", p1: str = "p1", num_buckets: int | None = None,
+              drop_intermediate: bool = True) -> DataFrame:
     """(threshold, fpr, tpr): one point per distinct score, descending, plus the (0, 0)
-    start point with a null threshold. Collinear points are kept."""
+    start point with a null threshold. With ``drop_intermediate`` (the evaluated library's
+    default) a point is dropped when the step into it equals the step out of it (no change
+    of direction); the first and last points are always kept."""
     counts = _score_counts(df, y, p1)
     totals = counts.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    cum = running_totals(counts, "score", ["pos", "neg"], descending=True, num_buckets=num_buckets)
+    cum = running_totals(counts, "score", ["pos", "neg"], descending=True, num_buckets=num_buckets,
+                         next_cols=["pos", "neg"] if drop_intermediate else None)
+    if drop_intermediate:
+        first = (F.col("cum_pos") == F.col("pos")) & (F.col("cum_neg") == F.col("neg"))
+        last = F.col("next_pos").isNull()
+        turn = (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg"))
+        cum = cum.filter(first | last | turn)
     pts = cum.crossJoin(F.broadcast(totals)).select(
         F.col("score").alias("threshold"),
         F.when(F.col("N") > 0, F.col("cum_neg") / F.col("N")).alias("fpr"),

@@ -83,8 +83,12 @@ t AS (SELECT sum(pos) AS P, sum(neg) AS N FROM g)"""
 @register(
     "roc_curve",
     f"""WITH {_SCORED}, {_COUNTS},
-c AS (SELECT score, sum(pos) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS cp,
-             sum(neg) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS cn FROM g)
+c0 AS (SELECT score, pos, neg,
+             sum(pos) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS cp,
+             sum(neg) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS cn,
+             lead(pos) OVER (ORDER BY score DESC) AS np, lead(neg) OVER (ORDER BY score DESC) AS nn,
+             row_number() OVER (ORDER BY score DESC) AS rn FROM g),
+c AS (SELECT * FROM c0 WHERE rn = 1 OR np IS NULL OR np <> pos OR nn <> neg)
 SELECT NULL::DOUBLE AS threshold, CASE WHEN N > 0 THEN 0.0 END AS fpr, CASE WHEN P > 0 THEN 0.0 END AS tpr FROM t
 UNION ALL
 SELECT round(score, 6), round(CASE WHEN N > 0 THEN cn / N END, 6), round(CASE WHEN P > 0 THEN cp / P END, 6) FROM c, t""",

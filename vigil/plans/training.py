@@ -76,24 +76,33 @@ class FittedModel:
 def fit(train: DataFrame, text_col: str = "review", label_col: str = "sentiment", id_col: str = "review_id",
         max_features: int = MAX_FEATURES, max_iter: int = MAX_ITER, c: float = C,
         preprocess_sql: str | None = None) -> FittedModel:
-    """Fit the pipeline on ``train`` in two steps (vocabulary first, then the classifier)."""
-    front = PipelineModel(stages=text_stages(text_col, preprocess_sql))
-    terms = front.transform(train.select(id_col, text_col)).select(F.col(id_col).alias("__doc"), "__terms")
-    exploded = terms.select("__doc", F.explode("__terms").alias("term"))
-    pairs = exploded.groupBy("__doc", "term").agg(F.count(F.lit(1)).alias("tf"))
-    stats = pairs.groupBy("term").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("df"))
-    n = train.count()
+    """Fit the pipeline on ``train`` in two steps (vocabulary first, then the classifier).
+
+    The text front runs once: its term arrays are persisted and feed both the vocabulary
+    aggregate and the feature stages."""
+    front_stages = text_stages(text_col, preprocess_sql)
+    prepared = (
+        PipelineModel(stages=front_stages)
+        .transform(train.select(id_col, text_col, F.col(label_col).cast("double").alias("__label")))
+        .select(F.col(id_col).alias("__doc"), "__label", "__terms")
+        .persist()
+    )
+    n = prepared.count()
     if n == 0:
+        prepared.unpersist()
         raise ValueError("no training rows")
+    exploded = prepared.select("__doc", F.explode("__terms").alias("term"))
+    pairs = exploded.groupBy("__doc", "term").agg(F.count(F.lit(1)).alias("tf"))
+    stats = pairs.groupBy("term").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("df"))
     top = stats.orderBy(F.col("tf").desc(), F.col("term").asc()).limit(max_features).collect()  # bounded
     vocab = [r["term"] for r in top]
     idf = [math.log((1.0 + n) / (1.0 + r["df"])) + 1.0 for r in top]
-    stages = text_stages(text_col, preprocess_sql) + [
+    back_stages = [
         CountVectorizerModel.from_vocabulary(vocab or ["__empty__"], inputCol="__terms", outputCol="__tf"),
         ElementwiseProduct(scalingVec=Vectors.dense(idf or [1.0]), inputCol="__tf", outputCol="__tfidf"),
         Normalizer(p=2.0, inputCol="__tfidf", outputCol="features"),
     ]
-    featurizer = PipelineModel(stages=stages)
+    stages = front_stages + back_stages
     lr = LogisticRegression(
         featuresCol="features",
         labelCol="__label",
@@ -103,13 +112,13 @@ def fit(train: DataFrame, text_col: str = "review", label_col: str = "sentiment"
         standardization=False,
         fitIntercept=True,
     )
-    feats = featurizer.transform(train.withColumn("__label", F.col(label_col).cast("double")))
-    feats = feats.select("features", "__label").persist()
+    feats = PipelineModel(stages=back_stages).transform(prepared).select("features", "__label").persist()
     # Every L-BFGS iteration is a job over the training rows: featurise in parallel, then
     # give the optimiser partitions of at least ROWS_PER_PARTITION rows so that small
     # training sets are not dominated by per-task and tree-aggregation overhead.
     parts = max(1, min(feats.rdd.getNumPartitions(), math.ceil(n / ROWS_PER_PARTITION)))
     feats.count()
+    prepared.unpersist()
     lr_model = lr.fit(feats.coalesce(parts))
     feats.unpersist()
     params = {

@@ -137,6 +137,17 @@ class MetricsRefresher:
         self.cols = (id_col, ts_col, text_col, label_col)
         self.run_id = run_id
         self.retained_path: str | None = None
+        self._ref_samples: dict[int, str] = {}
+
+    def _reference_sample(self, n: int) -> DataFrame:
+        """The seeded reference sample of size n: the same rows every trigger while the
+        reference table is unchanged, so it is drawn once per size and kept as a small
+        table (bounded by the window) instead of scanning the reference every interval."""
+        if n not in self._ref_samples:
+            path = scratch_path(self.spark, f"reference-sample-{n}")
+            sampling.exact_sample(self.reference, self.cols[0], n, self.seed).write.mode("overwrite").parquet(path)
+            self._ref_samples[n] = path
+        return self.spark.read.parquet(self._ref_samples[n])
 
     def _seen(self, batch_id: int) -> bool:
         try:
@@ -165,7 +176,7 @@ class MetricsRefresher:
         else:
             acc = self.spark.range(1).select(F.lit(0.0).alias("accuracy"))
 
-        ref = sampling.exact_sample(self.reference, id_col, n, self.seed)
+        ref = self._reference_sample(n)
         drift = window_drift(hashed_embedding(ref, text_col), hashed_embedding(window, text_col))
         from vigil.plans.monitoring import metrics_long
 
