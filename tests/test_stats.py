@@ -83,3 +83,18 @@ def test_rank_cut_and_row_sequence(spark):
     seq = row_sequence(df, ["k", "id"], "seq").collect()
     by_key = sorted(ids, key=lambda i: (hashlib.md5(str(i).encode()).hexdigest(), i))
     assert sorted((r.seq, r.id) for r in seq) == [(n + 1, i) for n, i in enumerate(by_key)]
+
+
+def test_exact_split_plan_ranks_one_bucket_only(spark):
+    from vigil.operators.sampling import exact_split
+
+    df = spark.range(5000).withColumnRenamed("id", "rid")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = exact_split(df, "rid", 0.2, 42)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    # the only data-sized window is partitioned by hash bucket, and sits behind the filter
+    # that keeps just the straddling bucket
+    assert "hashpartitioning(__bucket" in plan
+    assert "RangePartitioning" not in plan

@@ -147,6 +147,9 @@ def row_sequence(df: DataFrame, order_cols: list, out_col: str = "seq") -> DataF
     number is its partition's offset (prefix sum of per-partition counts, one row per
     partition: bounded and broadcast) plus its position inside the partition.
     """
+    from vigil.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
     sorted_df = df.orderBy(*order_cols).checkpoint(eager=True)
     pid = F.spark_partition_id()
     tagged = sorted_df.withColumn("__pid", pid).withColumn(

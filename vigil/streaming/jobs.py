@@ -199,6 +199,9 @@ def retrain_cycle(spark: SparkSession, base: DataFrame, new_rows: DataFrame, win
                   id_col: str = "review_id", ts_col: str = "ts") -> DataFrame:
     """One retraining run; returns one row: n_appended, n_kept, n_train, test metrics,
     registered (accuracy > gate), candidate_version."""
+    from vigil.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
     held = sampling.holdback(new_rows, id_col, ts_col, window, mode, seed).checkpoint(eager=True)
     appended = held.filter(F.col("action") == "append").drop("action")
     table = base.unionByName(appended.select(*base.columns), allowMissingColumns=True).checkpoint(eager=True)
