@@ -98,3 +98,34 @@ def test_append_by_name(spark):
     out = io.append_by_name(a, b).orderBy("review_id").collect()
     assert [(r.review_id, r.review, r.ts is None) for r in out] == [(1, "r", True), (2, "s", False)]
     assert F is not None
+
+
+def test_snapshot_partition_and_sorted_write(spark):
+    from vigil.session import scratch_path
+
+    root = scratch_path(spark, "snapshots")
+    a = spark.createDataFrame([(1, "x")], "id long, t string")
+    b = spark.createDataFrame([(2, "y"), (3, "z")], "id long, t string")
+    io.write_snapshot(a, root, "2024-01-01-00-00-00")
+    io.write_snapshot(b, root, "2024-01-02-00-00-00")
+    io.write_snapshot(b, root, "2024-01-02-00-00-00")  # rewrite of one tag leaves the other
+    snap = spark.read.parquet(root)
+    pruned = snap.filter(F.col("snapshot") == "2024-01-02-00-00-00")
+    assert sorted(r.id for r in pruned.collect()) == [2, 3]
+    assert snap.count() == 3
+    plan = pruned._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(snapshot" in plan  # pruned at listing time, not filtered after reading
+    out = scratch_path(spark, "sorted")
+    rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=(7 * i) % 50)) for i in range(50)]
+    io.overwrite_table(spark.createDataFrame(rows, "id long, ts timestamp").coalesce(1), out, sort_by=["ts"])
+    ts = [r.ts for r in spark.read.parquet(out).collect()]
+    assert ts == sorted(ts)
+
+
+def test_promote_moves_alias(spark):
+    from vigil.plans import lineage
+
+    e1 = lineage.promote(spark, 1, ts="2024-01-01 00:00:00")
+    e2 = lineage.promote(spark, 3, ts="2024-01-02 00:00:00")
+    cur = lineage.current_alias(e1.unionByName(e2)).first()
+    assert (cur.alias, cur.version) == ("prod", 3)

@@ -87,6 +87,19 @@ def current_alias(alias_events: DataFrame) -> DataFrame:
     )
 
 
+def promote(spark: SparkSession, version: int, name: str = MODEL_NAME, alias: str = PROD_ALIAS,
+            ts=None) -> DataFrame:
+    """One alias event moving ``alias`` to ``version`` (append it to ``model_aliases``; the
+    current alias is then recomputed by `current_alias`, and the candidate clears because
+    `champion_vs_candidate` compares versions)."""
+    return spark.range(1).select(
+        F.lit(name).alias("name"),
+        F.lit(alias).alias("alias"),
+        F.lit(version).cast("int").alias("version"),
+        (F.current_timestamp() if ts is None else F.lit(ts).cast("timestamp")).alias("ts"),
+    )
+
+
 def champion(alias_events: DataFrame, versions: DataFrame, run_metrics: DataFrame,
              alias: str = PROD_ALIAS, metric: str = "test_accuracy_score") -> DataFrame:
     """Per model name, the version the alias points to, its run and its accuracy

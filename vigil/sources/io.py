@@ -80,8 +80,11 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> Data
     return _csv_reader(spark).schema(schema).csv(path)
 
 
-def overwrite_table(df: DataFrame, path: str) -> None:
-    """Write a complete new version of a table (never the folder being read)."""
+def overwrite_table(df: DataFrame, path: str, sort_by: list[str] | None = None) -> None:
+    """Write a complete new version of a table (never the folder being read); with
+    ``sort_by`` each output file is sorted (a per-task sort, no global shuffle)."""
+    if sort_by:
+        df = df.sortWithinPartitions(*sort_by)
     df.write.mode("overwrite").parquet(path)
 
 

@@ -165,7 +165,7 @@ class MetricsRefresher:
             rows = rows.unionByName(self.spark.read.parquet(self.retained_path))
         latest = sampling.latest(rows, ts_col, id_col, self.window)
         new_path = scratch_path(self.spark, f"retained-{batch_id}")
-        latest.write.mode("overwrite").parquet(new_path)  # bounded: <= window rows
+        latest.sortWithinPartitions(ts_col).write.mode("overwrite").parquet(new_path)  # bounded: <= window rows
         self.retained_path = new_path
         window = self.spark.read.parquet(new_path)
         n = window.count()
