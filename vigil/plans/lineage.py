@@ -17,10 +17,12 @@ from pyspark.sql import functions as F
 
 from vigil.operators.cumulative import row_sequence
 
+# Fixed values of the monitored system's model registry: model name, production alias,
+# registration gate (strict: test accuracy must be above it), run tags, run-name format.
 MODEL_NAME = "sentiment-classifier"
 PROD_ALIAS = "prod"
-GATE = 0.8  # strict: accuracy must be above it
-
+GATE = 0.8
+RUN_NAME_FORMAT = "sentiment_model_v%d_%s"
 RUN_TAGS = {
     "model_type": "sentiment_classifier",
     "algorithm": "logistic_regression",
@@ -49,7 +51,7 @@ def local_stamp(df: DataFrame, ts_col: str, tz: str = "Asia/Jakarta", fmt: str =
 
 def run_name(version, stamp):
     """sentiment_model_v{n}_{yyyyMMdd_HHmmss}."""
-    return F.format_string("sentiment_model_v%d_%s", version, stamp)
+    return F.format_string(RUN_NAME_FORMAT, version, stamp)
 
 
 def next_version(runs: DataFrame) -> DataFrame:

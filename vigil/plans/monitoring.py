@@ -14,6 +14,7 @@ from vigil.operators import sampling
 from vigil.operators.drift import embedding_drift
 from vigil.operators.evaluation import accuracy
 
+# The five monitoring gauge names of the monitored system.
 METRIC_NAMES = ("model_accuracy", "drift_score", "semantic_drift_ks", "centroid_drift", "spread_drift")
 
 

@@ -21,7 +21,7 @@ REVIEWS = T.StructType([
     T.StructField("ts", T.TimestampType(), True),
 ])
 
-# The CSV header names of the monitored system's tables.
+# The CSV header names, JSON batch schema and time format of the monitored system.
 CSV_NAMES = {"Review": "review", "Sentiment": "sentiment", "Timestamp": "ts"}
 BATCH_SCHEMA = "array<struct<Review:string,Sentiment:int>>"
 TS_FORMAT = "yyyy-MM-dd HH:mm:ss"
