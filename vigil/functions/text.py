@@ -69,12 +69,17 @@ def remove_stop_words(toks, stop_words: tuple[str, ...] | None = None) -> Column
 
 
 def ngrams(toks, n: int) -> Column:
-    """Space-joined n-grams of a token array (empty when there are fewer than n tokens)."""
+    """Space-joined n-grams of a token array (empty when there are fewer than n tokens).
+
+    Built by zipping n shifted slices of the array: one pass, no per-position sub-array."""
     t = _c(toks)
-    k = F.size(t) - F.lit(n) + F.lit(1)
-    return F.when(
-        k > 0, F.transform(F.sequence(F.lit(1), k), lambda i: F.array_join(F.slice(t, i, n), " "))
-    ).otherwise(F.array().cast("array<string>"))
+    if n == 1:
+        return t
+    k = F.greatest(F.size(t) - F.lit(n - 1), F.lit(0))
+    out = F.slice(t, 1, k)
+    for j in range(2, n + 1):
+        out = F.zip_with(out, F.slice(t, j, k), lambda a, b: F.concat(a, F.lit(" "), b))
+    return out
 
 
 def ngram_terms(toks, lo: int = NGRAM_RANGE[0], hi: int = NGRAM_RANGE[1]) -> Column:
