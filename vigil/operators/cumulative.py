@@ -53,6 +53,7 @@ def running_totals(
     num_buckets: int | None = None,
     prefix: str = "cum_",
     next_cols: list[str] | None = None,
+    materialize: bool = True,
 ) -> DataFrame:
     """Add ``prefix + c``: the inclusive running sum of ``c`` in ``order_col`` order.
 
@@ -61,8 +62,16 @@ def running_totals(
     ``next_<c>``: the value of ``c`` on the following row in that order (null on the last),
     found inside the bucket or, for a bucket's last row, from the first row of the next
     non-empty bucket (a bounded, broadcast table).
+
+    With ``materialize`` the (already aggregated) input is checkpointed first, so the
+    quantile pass and the main pass read it instead of recomputing its upstream shuffle.
     """
     num_buckets = num_buckets or default_buckets(df)
+    if materialize:
+        from vigil.session import ensure_checkpoint_dir
+
+        ensure_checkpoint_dir(df.sparkSession)
+        df = df.checkpoint(eager=True)
     bucketed, n_splits = _bucketize(df, order_col, num_buckets)
     if descending:
         # NaN ('keep' bucket = n_splits - 1) sorts last ascending and first descending.
