@@ -71,6 +71,7 @@ def register_passing(runs_with_accuracy: DataFrame, existing_max: int = 0, gate:
         "run_id",
         F.format_string("runs:/%s/sentiment-model", F.col("run_id")).alias("path"),
         "accuracy",
+        "started",
     )
 
 

@@ -46,10 +46,10 @@ def versions(spark, sf_dir):
     return lineage.register_passing(runs(spark, sf_dir))
 
 
-def alias_events(v, r):
-    return v.join(r.select("run_id", F.col("started").alias("ts")), "run_id").select(
-        "name", F.lit(lineage.PROD_ALIAS).alias("alias"), "version", "ts"
-    )
+def alias_events(v):
+    """Every registered version promoted at its run's start time (no join: the version
+    rows carry the start time)."""
+    return v.select("name", F.lit(lineage.PROD_ALIAS).alias("alias"), "version", F.col("started").alias("ts"))
 
 
 def metric_history(spark, sf_dir):
@@ -84,13 +84,11 @@ SELECT name, version, run_id, 'runs:/' || run_id || '/sentiment-model' AS path,
        'sentiment_model_v' || version || '_' || {_STAMP} AS run_name FROM vers""",
 )
 def q_gate_register(spark, sf_dir):
-    r = runs(spark, sf_dir)
-    v = lineage.register_passing(r)
-    named = v.join(r.select("run_id", "started"), "run_id")
+    v = lineage.register_passing(runs(spark, sf_dir))
     return rounded(
-        named.select(
+        v.select(
             "name", "version", "run_id", "path", "accuracy",
-            lineage.run_name(F.col("version"), lineage.local_stamp(named, "started")).alias("run_name"),
+            lineage.run_name(F.col("version"), lineage.local_stamp(v, "started")).alias("run_name"),
         )
     )
 
@@ -116,8 +114,7 @@ def q_latest_candidate(spark, sf_dir):
 SELECT name, 'prod' AS alias, arg_max(version, (started, version)) AS version FROM vers GROUP BY name""",
 )
 def q_current_alias(spark, sf_dir):
-    r = runs(spark, sf_dir)
-    return lineage.current_alias(alias_events(lineage.register_passing(r), r))
+    return lineage.current_alias(alias_events(versions(spark, sf_dir)))
 
 
 @register(
@@ -129,9 +126,8 @@ FROM cur LEFT JOIN vers v ON v.name = cur.name AND v.version = cur.version
 LEFT JOIN runs r ON r.run_id = v.run_id""",
 )
 def q_champion_lookup(spark, sf_dir):
-    r = runs(spark, sf_dir)
-    v = lineage.register_passing(r)
-    return rounded(lineage.champion(alias_events(v, r), v, run_metrics(spark, sf_dir)))
+    v = versions(spark, sf_dir)
+    return rounded(lineage.champion(alias_events(v), v, run_metrics(spark, sf_dir)))
 
 
 @register(
@@ -146,9 +142,8 @@ SELECT coalesce(ch.name, ca.name) AS name, ch.version AS champion_version, round
 FROM ch FULL OUTER JOIN ca ON ch.name = ca.name""",
 )
 def q_champion_vs_candidate(spark, sf_dir):
-    r = runs(spark, sf_dir)
-    v = lineage.register_passing(r)
-    champ = lineage.champion(alias_events(v, r), v, run_metrics(spark, sf_dir))
+    v = versions(spark, sf_dir)
+    champ = lineage.champion(alias_events(v), v, run_metrics(spark, sf_dir))
     return rounded(lineage.champion_vs_candidate(champ, lineage.latest_versions(v)))
 
 
