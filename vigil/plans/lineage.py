@@ -108,11 +108,19 @@ def champion(alias_events: DataFrame, versions: DataFrame, run_metrics: DataFram
     """Per model name, the version the alias points to, its run and its accuracy
     (0.0 when the run or metric is missing); models without the alias get no row."""
     cur = current_alias(alias_events.filter(F.col("alias") == alias))
-    m = run_metrics.filter(F.col("metric") == metric).groupBy("run_id").agg(
-        F.max_by("value", "ts").alias("metric_value")
+    # `cur` has one row per model: the large version and metric tables are first cut to
+    # the rows it points at (semi joins against a broadcast of those few keys), so the
+    # outer joins below only ever see a handful of rows.
+    wanted = F.broadcast(cur.select("name", "version"))
+    v = versions.select("name", "version", "run_id").join(wanted, ["name", "version"], "left_semi")
+    m = (
+        run_metrics.filter(F.col("metric") == metric)
+        .join(F.broadcast(v.select("run_id")), "run_id", "left_semi")
+        .groupBy("run_id")
+        .agg(F.max_by("value", "ts").alias("metric_value"))
     )
     return (
-        cur.join(versions.select("name", "version", "run_id"), ["name", "version"], "left")
+        cur.join(v, ["name", "version"], "left")
         .join(m, "run_id", "left")
         .select(
             "name",
