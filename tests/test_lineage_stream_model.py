@@ -117,3 +117,17 @@ def test_training_beats_majority_and_is_at_optimum(spark, small_model):
     p = 1 / (1 + np.exp(-(x @ w + b)))
     grad = x.T @ (p - y) + w  # gradient of sum(loss) + 0.5 * |w|^2, C = 1
     assert np.abs(grad).max() / len(y) < 1e-3
+
+
+def test_lineage_resolver_follows_promotions(spark):
+    aliases, versions = scratch_path(spark, "aliases"), scratch_path(spark, "versions")
+    resolve = jobs.lineage_resolver(spark, aliases, versions)
+    assert resolve() is None  # nothing written yet
+    spark.createDataFrame(
+        [(lineage.MODEL_NAME, 1, "r1", "/m/1", 0.9), (lineage.MODEL_NAME, 2, "r2", "/m/2", 0.95)],
+        "name string, version int, run_id string, path string, accuracy double",
+    ).write.parquet(versions)
+    lineage.promote(spark, 1, ts="2024-01-01 00:00:00").write.mode("append").parquet(aliases)
+    assert resolve() == (1, "/m/1")
+    lineage.promote(spark, 2, ts="2024-01-02 00:00:00").write.mode("append").parquet(aliases)
+    assert resolve() == (2, "/m/2")

@@ -61,10 +61,19 @@ def q_stream_score(spark, sf_dir):
 def q_stream_latest_window(spark, sf_dir):
     from vigil.plans.model_queries import fitted
 
+    from vigil.plans import lineage
+
     _, fm = fitted(spark, sf_dir)
     model_path = scratch_path(spark, "prod-model")
     fm.model.write().overwrite().save(model_path)
-    cache = jobs.ModelCache(lambda: (1, model_path))
+    # register and promote the model in the lineage tables; the refresher resolves it there
+    versions, aliases = scratch_path(spark, "model-versions"), scratch_path(spark, "model-aliases")
+    spark.range(1).select(
+        F.lit(lineage.MODEL_NAME).alias("name"), F.lit(1).alias("version"), F.lit("fitted").alias("run_id"),
+        F.lit(model_path).alias("path"),
+    ).write.parquet(versions)
+    lineage.promote(spark, 1).write.parquet(aliases)
+    cache = jobs.ModelCache(jobs.lineage_resolver(spark, aliases, versions))
     stream = _events_stream(spark, sf_dir).select(
         F.col("event_id").alias("review_id"), "ts", F.col("props").alias("review"),
         (F.col("event_type") == "purchase").cast("int").alias("sentiment"),

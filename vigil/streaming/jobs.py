@@ -121,6 +121,24 @@ class ModelCache:
         return self.model
 
 
+def lineage_resolver(spark: SparkSession, aliases_path: str, versions_path: str,
+                     name: str = lineage.MODEL_NAME, alias: str = lineage.PROD_ALIAS):
+    """A `ModelCache` resolver reading the append-only lineage tables: the version the
+    alias currently points to and that version's model path (one row: bounded)."""
+
+    def resolve() -> tuple[int, str] | None:
+        try:
+            events = spark.read.parquet(aliases_path).filter((F.col("name") == name) & (F.col("alias") == alias))
+            versions = spark.read.parquet(versions_path).filter(F.col("name") == name)
+        except Exception:  # noqa: BLE001 - tables not written yet
+            return None
+        cur = lineage.current_alias(events)
+        row = cur.join(versions.select("name", "version", "path"), ["name", "version"]).select("version", "path").first()
+        return None if row is None else (int(row.version), row.path)
+
+    return resolve
+
+
 class MetricsRefresher:
     """foreachBatch body for the periodic refresh (see module doc)."""
 
