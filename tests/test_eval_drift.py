@@ -129,3 +129,18 @@ def test_roc_drop_intermediate_vs_brute_force(spark):
     expect = sorted((sum(neg[: i + 1]) / N, sum(pos[: i + 1]) / P) for i in keep)
     assert [tuple(round(v, 12) for v in t) for t in got] == [tuple(round(v, 12) for v in t) for t in expect]
     assert len(ev.roc_curve(df, drop_intermediate=False).collect()) == len(scores) + 1
+
+
+def test_summarizer_moments_equal_explode(spark):
+    from conftest import SF_SMALL
+    from vigil.sources import tables
+
+    e = tables.embeddings(spark, SF_SMALL)
+    a = {(r.grp, r.pos): (r.mean, r.std) for r in drift.dimension_moments(e).collect()}
+    b = {(r.grp, r.pos): (r.mean, r.std) for r in drift.dimension_moments(e, method="summarizer").collect()}
+    assert a.keys() == b.keys()
+    for k in a:
+        assert a[k][0] == pytest.approx(b[k][0], abs=1e-9) and a[k][1] == pytest.approx(b[k][1], abs=1e-9)
+    x = drift.embedding_drift(e).first()
+    y = drift.embedding_drift(e, moments_method="summarizer").first()
+    assert x.combined_drift_score == pytest.approx(y.combined_drift_score, abs=1e-9)

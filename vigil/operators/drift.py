@@ -23,8 +23,15 @@ KS_WEIGHT, CENTROID_WEIGHT, SPREAD_WEIGHT = 0.5, 0.3, 0.2
 CENTROID_SCALE, SPREAD_SCALE = 10.0, 5.0
 
 
-def dimension_moments(emb: DataFrame, vec_col: str = "embedding", grp_col: str = "grp") -> DataFrame:
-    """(grp, pos, mean, std, n): per-dimension mean and population std (ddof 0)."""
+def dimension_moments(emb: DataFrame, vec_col: str = "embedding", grp_col: str = "grp",
+                      method: str = "explode") -> DataFrame:
+    """(grp, pos, mean, std, n): per-dimension mean and population std (ddof 0).
+
+    ``method='explode'`` aggregates (grp, pos) rows with partial aggregation (best for
+    the usual widths); ``method='summarizer'`` folds whole vectors with MLlib's
+    Summarizer (one buffer per group and task, for very wide vectors)."""
+    if method == "summarizer":
+        return _summarizer_moments(emb, vec_col, grp_col)
     exploded = emb.select(F.col(grp_col).alias("grp"), F.posexplode(vec_col).alias("pos", "x"))
     return exploded.groupBy("grp", "pos").agg(
         F.avg(F.col("x").cast("double")).alias("mean"),
@@ -33,6 +40,28 @@ def dimension_moments(emb: DataFrame, vec_col: str = "embedding", grp_col: str =
     )
 
 
+def _summarizer_moments(emb: DataFrame, vec_col: str, grp_col: str) -> DataFrame:
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    vecs = emb.select(
+        F.col(grp_col).alias("grp"), array_to_vector(F.transform(vec_col, lambda x: x.cast("double"))).alias("v")
+    )
+    summ = vecs.groupBy("grp").agg(Summarizer.metrics("mean", "variance", "count").summary(F.col("v")).alias("s"))
+    n = F.col("s.count")
+    # Summarizer's variance is the sample variance; the population one scales by (n-1)/n.
+    pop_var = F.transform(
+        vector_to_array(F.col("s.variance")), lambda v: v * (n - F.lit(1)) / n
+    )
+    flat = summ.select(
+        "grp", n.alias("n"),
+        F.arrays_zip(vector_to_array(F.col("s.mean")).alias("mean"), pop_var.alias("var")).alias("z"),
+    )
+    return flat.select("grp", "n", F.posexplode("z").alias("pos", "m")).select(
+        "grp", "pos", F.col("m.mean").alias("mean"), F.sqrt(F.greatest(F.col("m.var"), F.lit(0.0))).alias("std"), "n"
+    )
+
+
 def group_vectors(moments: DataFrame) -> DataFrame:
     """(grp, centroid ARRAY<DOUBLE>, spread ARRAY<DOUBLE>): one row per group, width-bounded."""
     packed = moments.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("pos", "mean", "std"))).alias("m"))
@@ -68,13 +97,14 @@ def embedding_drift(
     ref: str = "ref",
     new: str = "new",
     num_buckets: int | None = None,
+    moments_method: str = "explode",
 ) -> DataFrame:
     """One row: semantic_ks, centroid_distance, spread_distance, combined_drift_score,
     n_ref, n_new, status ('ok' | 'no_data'; all metrics 0.0 when a side is empty)."""
     emb = emb.select(F.col(vec_col).alias("embedding"), F.col(grp_col).alias("grp")).filter(
         F.col("grp").isin(ref, new)
     )
-    moments = dimension_moments(emb)
+    moments = dimension_moments(emb, method=moments_method)
     vectors = group_vectors(moments)
     dist = moment_distances(moments, ref, new)
     sims = similarity_to_centroid(emb, vectors.filter(F.col("grp") == ref))
