@@ -107,7 +107,7 @@ def test_preprocess_plugin_is_saved_with_model(spark):
     df = spark.createDataFrame(rows, "review_id long, review string, sentiment int")
     fm = training.fit(df, preprocess_sql="upper({col})", max_features=50)
     # upper-cased text still tokenises; the SQL text travels inside the fitted stage
-    assert "upper(review)" in fm.model.stages[0].getStatement()
+    assert "upper(coalesce(review, ''))" in fm.model.stages[0].getStatement()
     acc = training.score(fm.model, df).select(F.avg((F.col("prediction") == F.col("sentiment")).cast("double"))).first()[0]
     assert acc == 1.0
 
@@ -144,3 +144,15 @@ def test_summarizer_moments_equal_explode(spark):
     x = drift.embedding_drift(e).first()
     y = drift.embedding_drift(e, moments_method="summarizer").first()
     assert x.combined_drift_score == pytest.approx(y.combined_drift_score, abs=1e-9)
+
+
+def test_fit_drops_blank_reviews_and_scores_null_text(spark):
+    from vigil.plans import training
+
+    rows = [(i, ("lovely clean quiet room " if i % 2 else "rude staff dirty noisy room ") * 2, i % 2) for i in range(30)]
+    rows += [(100, None, 1), (101, "   ", 0), (102, "", 1)]
+    df = spark.createDataFrame(rows, "review_id long, review string, sentiment int")
+    fm = training.fit(df, max_features=50)
+    assert fm.params["dropped_rows"] == "3" and fm.n_train == 30
+    scored = {r.review_id: r.prediction for r in training.score(fm.model, df).collect()}
+    assert set(scored) >= {100, 101, 102}  # null / blank text still scores

@@ -52,10 +52,11 @@ def text_stages(text_col: str = "review", preprocess_sql: str | None = None) ->
     ``preprocess_sql`` plugs a user text function in place of the default cleaner: a Spark
     SQL expression over ``{col}`` (e.g. ``"lower({col})"``). Being SQL text, it is saved
     with the model and needs no trusted code on load."""
+    col = f"coalesce({text_col}, '')"  # a null text scores as an empty one
     if preprocess_sql is None:
-        toks = tokens_sql(text_col)
+        toks = tokens_sql(col)
     else:
-        toks = f"regexp_extract_all({preprocess_sql.format(col=text_col)}, r'{TOKEN_PATTERN}', 0)"
+        toks = f"regexp_extract_all({preprocess_sql.format(col=col)}, r'{TOKEN_PATTERN}', 0)"
     return [
         SQLTransformer(statement=f"SELECT *, {toks} AS __tokens FROM __THIS__"),
         StopWordsRemover(inputCol="__tokens", outputCol="__words"),
@@ -79,8 +80,13 @@ def fit(train: DataFrame, text_col: str = "review", label_col: str = "sentiment"
     """Fit the pipeline on ``train`` in two steps (vocabulary first, then the classifier).
 
     The text front runs once: its term arrays are persisted and feed both the vocabulary
-    aggregate and the feature stages."""
+    aggregate and the feature stages. Rows with a null or blank text (or a null label)
+    are left out of the fit; their number is reported in ``params['dropped_rows']``."""
     front_stages = text_stages(text_col, preprocess_sql)
+    usable = F.col(text_col).isNotNull() & (F.trim(F.col(text_col)) != "") & F.col(label_col).isNotNull()
+    counted = train.agg(F.count(F.lit(1)).alias("all"), F.count_if(usable).alias("ok")).first()  # one row
+    dropped = int(counted["all"] - counted["ok"])
+    train = train.filter(usable)
     prepared = (
         PipelineModel(stages=front_stages)
         .transform(train.select(id_col, text_col, F.col(label_col).cast("double").alias("__label")))
@@ -125,6 +131,7 @@ def fit(train: DataFrame, text_col: str = "review", label_col: str = "sentiment"
         "max_features": str(max_features), "max_iter": str(max_iter), "C": str(c),
         "regParam": str(1.0 / (c * n)), "ngram_range": "(1, 3)", "solver": "lbfgs",
         "vocab_size": str(len(vocab)), "iterations": str(lr_model.summary.totalIterations),
+        "dropped_rows": str(dropped),
     }
     return FittedModel(PipelineModel(stages=stages + [lr_model]), n, len(vocab), params)
 
