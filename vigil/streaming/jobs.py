@@ -214,7 +214,8 @@ def refresh_stream(stream: DataFrame, refresher: MetricsRefresher, checkpoint: s
 
 def retrain_cycle(spark: SparkSession, base: DataFrame, new_rows: DataFrame, window: int = 200,
                   mode: str = "random", seed: int = 42, gate: float = lineage.GATE,
-                  id_col: str = "review_id", ts_col: str = "ts") -> DataFrame:
+                  id_col: str = "review_id", ts_col: str = "ts",
+                  versions: DataFrame | None = None) -> DataFrame:
     """One retraining run; returns one row: n_appended, n_kept, n_train, test metrics,
     registered (accuracy > gate), candidate_version."""
     from vigil.session import ensure_checkpoint_dir
@@ -231,10 +232,15 @@ def retrain_cycle(spark: SparkSession, base: DataFrame, new_rows: DataFrame, win
         F.count_if(F.col("action") == "append").alias("n_appended"),
         F.count_if(F.col("action") == "keep").alias("n_kept"),
     )
-    return counts.crossJoin(metrics).select(
+    if versions is None:
+        top = spark.range(1).select(F.lit(0).alias("__max_version"))
+    else:
+        top = versions.agg(F.coalesce(F.max("version"), F.lit(0)).alias("__max_version"))  # one row
+    passed = F.col("test_accuracy") > F.lit(gate)
+    return counts.crossJoin(metrics).crossJoin(top).select(
         "n_appended", "n_kept", F.lit(fm.n_train).cast("long").alias("n_train"), *metrics.columns,
-        (F.col("test_accuracy") > F.lit(gate)).alias("registered"),
-        F.when(F.col("test_accuracy") > F.lit(gate), F.lit(1)).cast("int").alias("candidate_version"),
+        passed.alias("registered"),
+        F.when(passed, F.col("__max_version") + F.lit(1)).cast("int").alias("candidate_version"),
     )
 
 
