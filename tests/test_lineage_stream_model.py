@@ -131,3 +131,15 @@ def test_lineage_resolver_follows_promotions(spark):
     assert resolve() == (1, "/m/1")
     lineage.promote(spark, 2, ts="2024-01-02 00:00:00").write.mode("append").parquet(aliases)
     assert resolve() == (2, "/m/2")
+
+
+def test_refresher_small_reference_gives_zero_drift(spark):
+    ref = spark.createDataFrame([(i, f"good text {i}", 1) for i in range(5)], "review_id long, review string, sentiment int")
+    batch = spark.createDataFrame(
+        [(1000 + i, T0 + dt.timedelta(seconds=i), f"bad text {i}", 0) for i in range(30)],
+        "review_id long, ts timestamp, review string, sentiment int",
+    )
+    hist = scratch_path(spark, "hist-small-ref")
+    jobs.MetricsRefresher(spark, ref, hist, window=20)(batch, 7)
+    vals = {r.metric: r.value for r in spark.read.parquet(hist).collect()}
+    assert vals["drift_score"] == 0.0 and vals["semantic_drift_ks"] == 0.0 and vals["model_accuracy"] == 0.0

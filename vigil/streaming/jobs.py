@@ -195,7 +195,12 @@ class MetricsRefresher:
             acc = self.spark.range(1).select(F.lit(0.0).alias("accuracy"))
 
         ref = self._reference_sample(n)
-        drift = window_drift(hashed_embedding(ref, text_col), hashed_embedding(window, text_col))
+        if n == 0 or ref.count() < n:  # no data, or a reference smaller than the window
+            drift = self.spark.range(1).select(
+                *[F.lit(0.0).alias(c) for c in ("combined_drift_score", "semantic_ks", "centroid_distance", "spread_distance")]
+            )
+        else:
+            drift = window_drift(hashed_embedding(ref, text_col), hashed_embedding(window, text_col))
         from vigil.plans.monitoring import metrics_long
 
         long = metrics_long(acc, drift)
