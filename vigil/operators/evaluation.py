@@ -81,7 +81,7 @@ def classification_report(df: DataFrame, y: str = "y", yhat: str = "yhat", names
     (f1_score column holds the accuracy), 'macro avg' and 'weighted avg'."""
     names = names or CLASS_NAMES
     pc = per_class(confusion_matrix(df, y, yhat))
-    name = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("cls").cast("int") + 1)
+    name = F.try_element_at(F.array(*[F.lit(n) for n in names]), F.col("cls").cast("int") + 1)
     rows = pc.select(
         F.coalesce(name, F.col("cls").cast("string")).alias("label"), "precision", "recall", "f1_score", "support"
     )
@@ -90,9 +90,9 @@ def classification_report(df: DataFrame, y: str = "y", yhat: str = "yhat", names
         F.avg("precision").alias("mp"),
         F.avg("recall").alias("mr"),
         F.avg("f1_score").alias("mf"),
-        (F.sum(F.col("precision") * F.col("support")) / total).alias("wp"),
-        (F.sum(F.col("recall") * F.col("support")) / total).alias("wr"),
-        (F.sum(F.col("f1_score") * F.col("support")) / total).alias("wf"),
+        _ratio(F.sum(F.col("precision") * F.col("support")), total).alias("wp"),
+        _ratio(F.sum(F.col("recall") * F.col("support")), total).alias("wr"),
+        _ratio(F.sum(F.col("f1_score") * F.col("support")), total).alias("wf"),
         total.cast("long").alias("support"),
     )
     acc = accuracy(df, y, yhat)

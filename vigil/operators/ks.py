@@ -40,8 +40,9 @@ def ks_by_flag(df: DataFrame, value_col: str, flag_col, num_buckets: int | None
     )
     cum = running_totals(grouped, "v", ["ca", "cb"], num_buckets=num_buckets)
     # totals is a single row (a global aggregate): broadcast is bounded.
+    both = (F.col("n_a") > 0) & (F.col("n_b") > 0)
     gap = cum.crossJoin(F.broadcast(totals)).select(
-        F.abs(F.col("cum_ca") / F.col("n_a") - F.col("cum_cb") / F.col("n_b")).alias("gap")
+        F.when(both, F.abs(F.col("cum_ca") / F.col("n_a") - F.col("cum_cb") / F.col("n_b"))).alias("gap")
     )
     stat = gap.agg(F.max("gap").alias("gap"))
     ok = (F.col("n_a") > 0) & (F.col("n_b") > 0)

@@ -145,7 +145,7 @@ def score(model: PipelineModel, df: DataFrame, names: list[str] | None = None) -
     return out.select(
         *keep,
         pred.alias("prediction"),
-        F.element_at(F.array(*[F.lit(n) for n in names]), pred + 1).alias("prediction_label"),
+        F.try_element_at(F.array(*[F.lit(n) for n in names]), pred + 1).alias("prediction_label"),
         vector_to_array("probability")[1].alias("p1"),
     )
 

@@ -53,8 +53,8 @@ def read_reviews_csv(spark: SparkSession, path: str, id_col: str = "review_id")
         if f.name in df.columns:
             c = F.col(f.name)
             if f.name == "ts":
-                c = F.to_timestamp(c, TS_FORMAT)
-            out.append(c.cast(f.dataType).alias(f.name))
+                c = F.try_to_timestamp(c, F.lit(TS_FORMAT))
+            out.append(c.try_cast(f.dataType).alias(f.name))
         elif f.name == id_col:
             out.append(F.xxhash64(*[F.col(c) for c in df.columns]).alias(id_col))
         else:
