@@ -98,3 +98,30 @@ def test_exact_split_plan_ranks_one_bucket_only(spark):
     # that keeps just the straddling bucket
     assert "hashpartitioning(__bucket" in plan
     assert "RangePartitioning" not in plan
+
+
+def test_hot_value_holding_a_third_of_rows(spark):
+    """One value holds a third of the rows: it collapses to one grouped row before any
+    ordering, and the distinct values spread evenly over the buckets."""
+    n = 30_000
+    df = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, F.lit(7.5)).otherwise(F.col("id").cast("double") / 10).alias("v"),
+        (F.col("id") % 2 == 0).alias("is_a"),
+    )
+    from vigil.operators.ks import ks_by_flag
+
+    r = ks_by_flag(df, "v", "is_a", num_buckets=16).first()
+    rows = df.collect()
+    a = [x.v for x in rows if x.is_a]
+    b = [x.v for x in rows if not x.is_a]
+    import bisect
+
+    sa, sb = sorted(a), sorted(b)
+    best = max(abs(bisect.bisect_right(sa, v) / len(sa) - bisect.bisect_right(sb, v) / len(sb)) for v in set(sa) | set(sb))
+    assert r.ks_stat == pytest.approx(best)
+    grouped = df.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+    from vigil.operators.cumulative import _bucketize
+
+    bucketed, _ = _bucketize(grouped, "v", 16)
+    sizes = [x["count"] for x in bucketed.groupBy("__bucket").count().collect()]
+    assert max(sizes) < 3 * (len(set(sa) | set(sb)) / 16)  # balanced on distinct values
