@@ -125,3 +125,12 @@ def test_hot_value_holding_a_third_of_rows(spark):
     bucketed, _ = _bucketize(grouped, "v", 16)
     sizes = [x["count"] for x in bucketed.groupBy("__bucket").count().collect()]
     assert max(sizes) < 3 * (len(set(sa) | set(sb)) / 16)  # balanced on distinct values
+
+
+def test_rank_cut_with_copies_of_one_key(spark):
+    """A third of the rows are copies of one id: the cut is still exact."""
+    from vigil.operators.sampling import exact_split
+
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.lit(1)).otherwise(F.col("id")).alias("rid"))
+    out = exact_split(df, "rid", 0.2, 42).collect()
+    assert len(out) == 3000 and sum(r.split == "test" for r in out) == 600

@@ -15,7 +15,8 @@ row would pass through one task. Instead:
 
 `rank_cut` marks the first ``n`` rows of a uniformly distributed string key (an md5 hex
 digest) without ranking every row: it counts rows per hex prefix, finds the prefix that
-holds the cut, and only that prefix's rows are ranked with a window.
+holds the cut, and only that prefix's rows are ranked (with the distributed row
+numbering, so even a prefix swollen by copies of one key is not sorted in one task).
 """
 
 from __future__ import annotations
@@ -139,9 +140,19 @@ def rank_cut(
     # Whole buckets are decided by their offsets alone (narrow, no shuffle); only the one
     # bucket that holds the cut is ranked.
     whole = j.filter(~straddles).withColumn(flag_col, F.col("__before") + F.col("__cnt") <= F.col("__n"))
-    w = Window.partitionBy(_BUCKET).orderBy(F.col(key_col), F.col(tie_col))
-    straddle = j.filter(straddles).withColumn(
-        flag_col, (F.col("__before") + F.row_number().over(w)) <= F.col("__n")
+    # The straddling bucket is normally ~1/16**prefix_digits of the rows, but copies of one
+    # key (duplicated ids) can make it large: rank it with the distributed row numbering,
+    # using the position in a checkpointed copy as the last tie-break so that even
+    # identical rows are split over tasks and numbered the same way on every recompute.
+    from vigil.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
+    fixed = j.filter(straddles).checkpoint(eager=True)
+    ranked = row_sequence(
+        fixed.withColumn("__pos", F.monotonically_increasing_id()), [key_col, tie_col, "__pos"], "__rank"
+    )
+    straddle = ranked.withColumn(flag_col, (F.col("__before") + F.col("__rank")) <= F.col("__n")).drop(
+        "__pos", "__rank"
     )
     helper = [_BUCKET, "__cnt", "__before", "__n"]
     return whole.unionByName(straddle).drop(*helper)
