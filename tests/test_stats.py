@@ -127,10 +127,14 @@ def test_hot_value_holding_a_third_of_rows(spark):
     assert max(sizes) < 3 * (len(set(sa) | set(sb)) / 16)  # balanced on distinct values
 
 
-def test_rank_cut_with_copies_of_one_key(spark):
-    """A third of the rows are copies of one id: the cut is still exact."""
+@pytest.mark.parametrize("window_rows", [1_000_000, 10])
+def test_rank_cut_with_copies_of_one_key(spark, monkeypatch, window_rows):
+    """A third of the rows are copies of one id: the cut is still exact (both the window
+    path and the distributed path for a large straddling bucket)."""
+    from vigil.operators import cumulative
     from vigil.operators.sampling import exact_split
 
+    monkeypatch.setattr(cumulative, "STRADDLE_WINDOW_ROWS", window_rows)
     df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.lit(1)).otherwise(F.col("id")).alias("rid"))
     out = exact_split(df, "rid", 0.2, 42).collect()
     assert len(out) == 3000 and sum(r.split == "test" for r in out) == 600
