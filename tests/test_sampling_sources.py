@@ -129,3 +129,11 @@ def test_promote_moves_alias(spark):
     e2 = lineage.promote(spark, 3, ts="2024-01-02 00:00:00")
     cur = lineage.current_alias(e1.unionByName(e2)).first()
     assert (cur.alias, cur.version) == ("prod", 3)
+
+
+def test_latest_paths_agree(spark, monkeypatch):
+    df = _events(spark, 900)
+    small = sorted(r.rid for r in sampling.latest(df, "ts", "rid", 300).collect())
+    monkeypatch.setattr(sampling, "TOP_N_LIMIT", 10)
+    large = sorted(r.rid for r in sampling.latest(df, "ts", "rid", 300).collect())
+    assert small == large == list(range(600, 900))

@@ -68,8 +68,14 @@ def sample_complement(df: DataFrame, id_col: str, n: int, seed: int = 42) -> Dat
 
 
 def latest(df: DataFrame, ts_col: str, id_col: str, n: int) -> DataFrame:
-    """The latest n rows by time; ties on time broken by the larger id."""
-    return df.orderBy(F.col(ts_col).desc_nulls_last(), F.col(id_col).desc()).limit(n)
+    """The latest n rows by time; ties on time broken by the larger id. A bounded top-n
+    merge while n x partitions is small, else distributed row numbering."""
+    order = [F.col(ts_col).desc_nulls_last(), F.col(id_col).desc()]
+    if _top_n_fits(df, n):
+        return df.orderBy(*order).limit(n)
+    from vigil.operators.cumulative import row_sequence
+
+    return row_sequence(df, order, "__seq").filter(F.col("__seq") <= n).drop("__seq")
 
 
 def holdback(
