@@ -97,7 +97,6 @@ def test_append_by_name(spark):
     b = spark.createDataFrame([(dt.datetime(2024, 1, 1), "s", 0, 2)], "ts timestamp, review string, sentiment int, review_id long")
     out = io.append_by_name(a, b).orderBy("review_id").collect()
     assert [(r.review_id, r.review, r.ts is None) for r in out] == [(1, "r", True), (2, "s", False)]
-    assert F is not None
 
 
 def test_snapshot_partition_and_sorted_write(spark):

@@ -3,7 +3,6 @@ text statistics over the split training table."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from vigil.operators import evaluation as ev
 from vigil.plans.catalog import register, rounded
