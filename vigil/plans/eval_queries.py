@@ -170,3 +170,22 @@ FROM rows""",
 )
 def q_report_text(spark, sf_dir):
     return ev.report_lines(tables.predictions(spark, sf_dir))
+
+
+@register(
+    "split_counts",
+    f"""WITH {_SPLIT_REVIEWS}
+SELECT count(*) AS total_samples, count(*) FILTER (WHERE split = 'train') AS train_samples,
+       count(*) FILTER (WHERE split = 'test') AS test_samples FROM s""",
+)
+def q_split_counts(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from vigil.operators.sampling import exact_split
+
+    split = exact_split(tables.reviews(spark, sf_dir), "review_id", 0.2, 42)
+    return split.agg(
+        F.count(F.lit(1)).alias("total_samples"),
+        F.count_if(F.col("split") == "train").alias("train_samples"),
+        F.count_if(F.col("split") == "test").alias("test_samples"),
+    )
