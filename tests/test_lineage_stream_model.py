@@ -143,3 +143,15 @@ def test_refresher_small_reference_gives_zero_drift(spark):
     jobs.MetricsRefresher(spark, ref, hist, window=20)(batch, 7)
     vals = {r.metric: r.value for r in spark.read.parquet(hist).collect()}
     assert vals["drift_score"] == 0.0 and vals["semantic_drift_ks"] == 0.0 and vals["model_accuracy"] == 0.0
+
+
+def test_stream_scoring_equals_batch(spark, small_model):
+    docs, fm = small_model
+    src = scratch_path(spark, "score-src")
+    docs.repartition(3).write.parquet(src)  # three files, one micro-batch each
+    stream = jobs.ingest(spark, src, spark.read.parquet(src).schema, max_files_per_trigger=1)
+    got = jobs.run_to_parquet(jobs.score_stream(fm.model, stream), scratch_path(spark, "score-out"))
+    batch = training.score(fm.model, docs)
+    g = {r.review_id: (r.prediction, round(r.p1, 12)) for r in got.collect()}
+    b = {r.review_id: (r.prediction, round(r.p1, 12)) for r in batch.collect()}
+    assert g == b
