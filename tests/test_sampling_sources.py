@@ -136,3 +136,28 @@ def test_latest_paths_agree(spark, monkeypatch):
     monkeypatch.setattr(sampling, "TOP_N_LIMIT", 10)
     large = sorted(r.rid for r in sampling.latest(df, "ts", "rid", 300).collect())
     assert small == large == list(range(600, 900))
+
+
+def test_data_summary_nested_and_json(spark):
+    import json
+
+    from vigil.plans.summary import data_summary
+    from vigil.session import scratch_path
+
+    split = spark.createDataFrame(
+        [(1, "good room", 1, "train"), (2, "bad  noisy room", 0, "train"), (3, "ok", 1, "test")],
+        "review_id long, review string, sentiment int, split string",
+    )
+    perf = spark.createDataFrame([(0.9, 0.8, 0.7, 0.75, 0.95, 0.3)],
+                                 "test_accuracy double, test_precision double, test_recall double, "
+                                 "test_f1_score double, test_roc_auc double, test_log_loss double")
+    row = data_summary(split, perf).first().asDict(recursive=True)
+    assert row["dataset_info"]["total_samples"] == 3 and row["dataset_info"]["test_samples"] == 1
+    assert row["class_distribution"]["train"] == {"negative (0)": 1, "positive (1)": 1}
+    assert row["text_statistics"]["max_review_length_chars"] == 15
+    assert row["text_statistics"]["avg_review_length_words"] == 2  # int(mean(2, 3, 1))
+    out = scratch_path(spark, "summary")
+    io.write_json_summary(data_summary(split, perf), out)
+    back = spark.read.json(out)
+    assert back.count() == 1
+    assert json.loads(back.toJSON().first())["model_performance"]["test_roc_auc"] == 0.95
