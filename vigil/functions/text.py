@@ -6,11 +6,6 @@ the JVM, in whole-stage code generation where Spark supports it, on whole texts.
 
 from __future__ import annotations
 
-import functools
-import glob
-import os
-import zipfile
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,9 +15,25 @@ PY_SPACE = r"\t\n\x{0B}\f\r\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{
 URL_PATTERN = rf"http[^{PY_SPACE}]+"  # step 1: http followed by non-space
 HTTP_PATTERN = "http"  # step 2: the bare word, case-sensitive
 HANDLE_PATTERN = rf"@[^{PY_SPACE}]+"  # step 3: @ followed by non-space
-KEEP_CLASS = r"[^A-Za-z0-9(),!?@'`" + '"' + r"_\n]"  # step 4: anything else becomes a space
+KEEP_CLASS = r'''[^A-Za-z0-9(),!?@'`"_\n]'''  # step 4: anything else becomes a space
 TOKEN_PATTERN = r"\b[A-Za-z][A-Za-z]+\b"  # tokens: two or more ASCII letters
 NGRAM_RANGE = (1, 3)
+# Spark MLlib's English stop words, in its order.
+ENGLISH_STOP_WORDS = tuple(
+    """
+    i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her
+    hers herself it its itself they them their theirs themselves what which who whom this that these
+    those am is are was were be been being have has had having do does did doing a an the and but if or
+    because as until while of at by for with about against between into through during before after
+    above below to from up down in out on off over under again further then once here there when where
+    why how all any both each few more most other some such no nor not only own same so than too very s
+    t can will just don should now i'll you'll he'll she'll we'll they'll i'd you'd he'd she'd we'd
+    they'd i'm you're he's she's it's we're they're i've we've you've they've isn't aren't wasn't
+    weren't haven't hasn't hadn't don't doesn't didn't won't wouldn't shan't shouldn't mustn't can't
+    couldn't cannot could here's how's let's ought that's there's what's when's where's who's why's
+    would
+    """.split()
+)
 # ---------------------------------------------------------------------------------------
 
 JAVA_SPACE = r"[ \t\n\x{0B}\f\r]+"
@@ -51,21 +62,15 @@ def tokens(cleaned) -> Column:
     return F.regexp_extract_all(_c(cleaned), F.lit(TOKEN_PATTERN), 0)
 
 
-@functools.lru_cache(maxsize=1)
 def default_stop_words() -> tuple[str, ...]:
-    """Spark MLlib's English stop-word list (a parameter; read from the MLlib jar)."""
-    import pyspark
-
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    with zipfile.ZipFile(jars[0]) as z:
-        words = z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode("utf-8").split()
-    return tuple(words)
+    """Spark MLlib's English stop-word list (``StopWordsRemover.loadDefaultStopWords``)."""
+    return ENGLISH_STOP_WORDS
 
 
 def remove_stop_words(toks, stop_words: tuple[str, ...] | None = None) -> Column:
     """Drop stop words, keeping order and duplicates (not ``array_except``, which dedupes)."""
-    stop = F.array(*[F.lit(w) for w in (stop_words or default_stop_words())])
-    return F.filter(_c(toks), lambda t: ~F.array_contains(stop, F.lower(t)))
+    words = list(stop_words or default_stop_words())  # isin over literals becomes a hash set
+    return F.filter(_c(toks), lambda t: ~F.lower(t).isin(words))
 
 
 def ngrams(toks, n: int) -> Column:

@@ -35,7 +35,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.functions.text import TOKEN_PATTERN, tokens_sql
+from vigil.functions.text import TOKEN_PATTERN, default_stop_words, tokens_sql
 from vigil.operators import evaluation as ev
 from vigil.operators.terms import MAX_FEATURES
 
@@ -59,7 +59,7 @@ def text_stages(text_col: str = "review", preprocess_sql: str | None = None) ->
         toks = f"regexp_extract_all({preprocess_sql.format(col=col)}, r'{TOKEN_PATTERN}', 0)"
     return [
         SQLTransformer(statement=f"SELECT *, {toks} AS __tokens FROM __THIS__"),
-        StopWordsRemover(inputCol="__tokens", outputCol="__words"),
+        StopWordsRemover(inputCol="__tokens", outputCol="__words", stopWords=list(default_stop_words())),
         NGram(n=2, inputCol="__words", outputCol="__bigrams"),
         NGram(n=3, inputCol="__words", outputCol="__trigrams"),
         SQLTransformer(statement="SELECT *, concat(__words, __bigrams, __trigrams) AS __terms FROM __THIS__"),
