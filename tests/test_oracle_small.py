@@ -8,8 +8,9 @@ import __spark_entry__ as entry
 from conftest import SF_SMALL
 from vigil.sources.tables import TABLES
 
-QUERIES = entry.queries()
-SQL = entry.oracle_sql()
+entry.catalog.load_all()  # without the training-data operators, which tests/llm covers
+QUERIES = dict(entry.catalog.QUERIES)
+SQL = dict(entry.catalog.ORACLE_SQL)
 HEAVY = {"retrain_cycle", "stream_latest_window", "train_eval", "model_roundtrip", "stream_score"}
 
 

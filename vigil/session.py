@@ -39,7 +39,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the checkpoint folder; set a private one only when the cluster named none."""
+    """Return the checkpoint folder. A private one is made only for a local master that names
+    none; a cluster without ``spark.checkpoint.dir`` is an error, since its machines share no
+    local folder."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -47,8 +49,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if configured:
         sc.setCheckpointDir(configured)
-    else:
+    elif sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="vigil-ckpt-"))
+    else:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     return sc.getCheckpointDir()
 
 
