@@ -28,6 +28,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vigil.llm.common import documents, written
 from vigil.llm.graph import components
@@ -63,7 +64,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > total, bitorder="little").view("<u8")[0])
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def fingerprint_udf(text: pd.Series) -> pd.Series:
     values = np.array([fingerprint(t) for t in text], dtype=np.uint64)
     return pd.Series(values.view(np.int64))
