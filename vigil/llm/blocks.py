@@ -18,6 +18,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vigil.session import scratch_path
 
@@ -38,45 +39,63 @@ def _to_chunks(octets: int):
 
         task, made = TaskContext.get().partitionId(), 0
 
-        def chunk(ids, texts):
+        def chunk(ids, texts, rest, kind):
             nonlocal made
             sizes = np.fromiter(map(len, texts), np.int64, len(texts))
             row = [
                 pa.array([task * SLOTS + made % SLOTS], pa.int32()), pa.array([(task << 32) + made], pa.int64()),
                 pa.array([ids], pa.list_(pa.int64())), pa.array([b"\n".join([*texts, b""])], pa.binary()),
-                pa.array([(np.cumsum(sizes + 1) - 1).tolist()], pa.list_(pa.int64())),
+                pa.array([(np.cumsum(sizes + 1) - 1).tolist()], pa.list_(pa.int64())), pa.array([rest], pa.list_(kind)),
             ]
             made += 1
-            return pa.RecordBatch.from_arrays(row, ["slot", "chunk", "ids", "data", "ends"])
+            return pa.RecordBatch.from_arrays(row, ["slot", "chunk", "ids", "data", "ends", "rest"])
 
-        ids, texts, held = [], [], 0
+        ids, texts, rest, held, kind = [], [], [], 0, None
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            kind = batch.schema.field(2).type
+            for doc_id, text, other in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 text = text.as_py() or b""
                 if texts and held + len(text) > octets:
-                    yield chunk(ids, texts)
-                    ids, texts, held = [], [], 0
+                    yield chunk(ids, texts, rest, kind)
+                    ids, texts, rest, held = [], [], [], 0
                 ids.append(doc_id)
                 texts.append(text)
+                rest.append(other.as_py())
                 held += len(text)
         if texts:
-            yield chunk(ids, texts)
+            yield chunk(ids, texts, rest, kind)
 
     return run
 
 
-def chunk_table(docs: DataFrame, octets: int = CHUNK_OCTETS) -> DataFrame:
+def carried(docs: DataFrame, carry: list[str]) -> T.StructType:
+    """The type of what a document carries along, beside id and text."""
+    return T.StructType([docs.schema[c] for c in carry] or [T.StructField("none", T.BooleanType())])
+
+
+def chunk_table(docs: DataFrame, carry: list[str] | None = None, octets: int = CHUNK_OCTETS) -> DataFrame:
     """docs (doc_id, text) as a bucketed table of chunks of about ``octets`` (a longer text is a
-    chunk of its own): whole UTF-8 texts, each followed by a newline, and where they end."""
+    chunk of its own): whole UTF-8 texts, each followed by a newline, and where they end.
+    Columns named in ``carry`` go along as the struct ``rest``."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    chunks = rows.mapInArrow(_to_chunks(octets), CHUNK)
+    rest = F.struct(*[docs[c] for c in carry]) if carry else F.struct(F.lit(None).cast("boolean").alias("none"))
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"),
+        rest.alias("rest"),
+    )
+    schema = T.StructType(T.StructType.fromDDL(CHUNK).fields + [T.StructField("rest", T.ArrayType(carried(docs, carry or [])))])
+    chunks = rows.mapInArrow(_to_chunks(octets), schema)
     name = f"llm_chunks_{uuid.uuid4().hex[:12]}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     chunks.write.bucketBy(buckets, "slot").option("path", scratch_path(spark, "chunks")).saveAsTable(name)
     return spark.table(name)
 
 
+def with_rest(rows: str, docs: DataFrame, carry: list[str] | None) -> T.StructType:
+    """A result schema with the struct ``rest`` behind it."""
+    return T.StructType(T.StructType.fromDDL(rows).fields + [T.StructField("rest", carried(docs, carry or []))])
+
+
 def bucket_bits(spark) -> int:
     """Four buckets per shuffle partition: what a bucket's task holds stays the same as both grow."""
     return max(2, (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
@@ -85,14 +104,20 @@ def bucket_bits(spark) -> int:
 class Chunk:
     """One chunk row in a worker: octets, document borders, ids with nulls last."""
 
-    def __init__(self, row: dict):
-        self.row = row
+    def __init__(self, row: dict, kind):
+        self.row, self.kind = row, kind
         self.slot, self.chunk, self.data = row["slot"], row["chunk"], row["data"]
         self.octets = np.frombuffer(row["data"], np.uint8)
         self.ends = np.array(row["ends"], np.int64)
         self.starts = np.r_[0, self.ends[:-1] + 1] if len(self.ends) else self.ends
         self.ids = np.array([LAST if i is None else i for i in row["ids"]], np.int64)
 
+    def rest(self):
+        """What the documents carry along, as an Arrow array."""
+        import pyarrow as pa
+
+        return pa.array(self.row["rest"], self.kind)
+
     def text(self, i: int) -> bytes:
         return self.data[self.starts[i]:self.ends[i]]
 
@@ -230,8 +255,9 @@ def exchange(blobs: DataFrame, judges: dict[int, Judge]) -> DataFrame:
 
 def rows_of(batches: Iterator) -> Iterator[Chunk]:
     for batch in batches:
+        kind = batch.schema.field("rest").type.value_type
         for i in range(batch.num_rows):
-            yield Chunk(batch.slice(i, 1).to_pylist()[0])
+            yield Chunk(batch.slice(i, 1).to_pylist()[0], kind)
 
 
 # ---- hashes of octets ------------------------------------------------------------------

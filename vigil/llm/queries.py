@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from vigil.llm import fingerprint, langid, mixing, packing, quality, simhash, tokenfile, urlfilter
+from vigil.llm import fingerprint, langid, mixing, packing, quality, simhash, substring, suffix, tokenfile, urlfilter
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
+    "op2_substring": substring.op2_substring,
     "op3_fingerprint": fingerprint.op3_fingerprint,
     "op4_simhash": simhash.op4_simhash,
+    "op5_suffix_array": suffix.op5_suffix_array,
     "op6_url_filter": urlfilter.op6_url_filter,
     "op7_language": langid.op7_language,
     "op8_quality_rules": quality.op8_quality_rules,

@@ -225,22 +225,23 @@ def _remove(bits: int):
                     pa.array(chunk.row["ids"], pa.int64()), pa.array(words.count), pa.array(n_removed, pa.int64()),
                     pa.array(kept, pa.binary()).cast(pa.string(), safe=False),
                     pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))),
+                    chunk.rest(),
                 ],
-                ["doc_id", "n_words", "n_removed", "kept", "spans"],
+                ["doc_id", "n_words", "n_removed", "kept", "spans", "rest"],
             )
 
     return run
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """docs (doc_id, text) -> one row each: doc_id, n_words, n_removed, kept (words joined by one
     space), spans (maximal removed runs, in words).
 
-    A null text has no words; a null id comes after all others; rows of one id do not remove
+    Columns named in ``carry`` come back as the struct ``rest``. A null text has no words; a null id comes after all others; rows of one id do not remove
     from each other; other columns are ignored; no rows give no rows."""
     spark = docs.sparkSession
     bits = blocks.bucket_bits(spark)
-    table = blocks.chunk_table(docs)
+    table = blocks.chunk_table(docs, carry)
     first = blocks.exchange(
         table.mapInArrow(_emit_anchors(bits), blocks.BLOB), {ANCHORS: _judge_anchors, TEXTS: blocks.judge_digests}
     )
@@ -248,7 +249,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     met = table.join(first, "slot", "left")
     second = blocks.exchange(met.mapInArrow(_emit_repeats(bits), blocks.BLOB), {REPEATS: _judge_repeats})
     second = written(second, "repeats").withColumnRenamed("answers", "second")
-    return met.join(second, "slot", "left").mapInArrow(_remove(bits), ROWS)
+    return met.join(second, "slot", "left").mapInArrow(_remove(bits), blocks.with_rest(ROWS, docs, carry))
 
 
 def op2_substring(spark, sf_dir: str) -> DataFrame:
