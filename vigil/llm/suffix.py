@@ -36,7 +36,7 @@ from vigil.llm.common import documents, written
 WINDOW = 50
 GRAM = 24
 LONGEST = 256  # windows per travelling string
-SHARD_OCTETS = 4_000_000
+SHARD_OCTETS = 1_000_000  # what the sort works on at once: small enough for a core's cache
 QUEUE_OCTETS = 256_000_000
 FEW_NAMES = 2048
 GRAMS, TEXTS = 0, 1
@@ -48,8 +48,8 @@ GRAMS, TEXTS = 0, 1
 class Queues:
     """First-in-first-out arrays of suffixes by first character, on disk beyond a limit."""
 
-    def __init__(self, limit: int = QUEUE_OCTETS):
-        self.limit, self.held, self.parts, self.files = limit, 0, {}, {}
+    def __init__(self, kind: np.dtype, limit: int = QUEUE_OCTETS):
+        self.kind, self.limit, self.held, self.parts, self.files = kind, limit, 0, {}, {}
 
     def push(self, suffixes: np.ndarray, chars: np.ndarray) -> None:
         if not len(suffixes):
@@ -57,8 +57,9 @@ class Queues:
         order = np.argsort(chars, kind="stable")
         ranked, chars = suffixes[order], chars[order]
         begin = np.flatnonzero(np.r_[True, chars[1:] != chars[:-1]])
-        for c, part in zip(chars[begin].tolist(), np.split(ranked, begin[1:])):
-            self.parts.setdefault(c, []).append(part)
+        border = [*begin.tolist(), len(ranked)]
+        for c, a, b in zip(chars[begin].tolist(), border, border[1:]):
+            self.parts.setdefault(c, []).append(ranked[a:b])
         self.held += suffixes.nbytes
         if self.held > self.limit:
             for c, parts in self.parts.items():
@@ -74,30 +75,27 @@ class Queues:
         if char in self.files:
             with self.files.pop(char) as file:
                 file.seek(0)
-                parts.insert(0, np.frombuffer(file.read(), np.int64))
-        return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+                parts.insert(0, np.frombuffer(file.read(), self.kind))
+        return np.concatenate(parts) if parts else np.zeros(0, self.kind)
 
 
 def _types(text: np.ndarray) -> np.ndarray:
     """True where a suffix is smaller than the one after it (the last one too)."""
-    n = len(text)
     differ = np.flatnonzero(text[1:] != text[:-1])
-    out = np.ones(n, bool)
-    if n > 1:
-        follows = np.searchsorted(differ, np.arange(n - 1))
-        inside = follows < len(differ)
-        at = differ[follows[inside]]
-        out[:-1][inside] = text[at] < text[at + 1]
+    out = np.ones(len(text), bool)
+    if len(differ):
+        out[:differ[-1] + 1] = np.repeat(text[differ] < text[differ + 1], np.diff(np.r_[-1, differ]))
     return out
 
 
 def _induce(text: np.ndarray, small: np.ndarray, stars: np.ndarray, limit: int) -> np.ndarray:
     """All suffixes in order, from the order of the LMS suffixes ``stars``."""
-    n, queues = len(text), Queues(limit)
+    n, kind = len(text), stars.dtype
+    queues = Queues(kind, limit)
     first = text[stars]
     begin = np.flatnonzero(np.r_[True, first[1:] != first[:-1]])
     star_of = dict(zip(first[begin].tolist(), np.split(stars, begin[1:])))
-    chars = np.unique(text).tolist()
+    chars = np.flatnonzero(np.bincount(text)).tolist()
     larger: dict[int, np.ndarray] = {}
     smaller: dict[int, np.ndarray] = {}
 
@@ -113,7 +111,7 @@ def _induce(text: np.ndarray, small: np.ndarray, stars: np.ndarray, limit: int)
             cur = before[head == c]
         return parts
 
-    nothing = [np.zeros(0, np.int64)]
+    nothing = [np.zeros(0, kind)]
     for c in chars:
         larger[c] = np.concatenate(closed(c, False) or nothing)
         star = star_of.get(c)
@@ -124,7 +122,7 @@ def _induce(text: np.ndarray, small: np.ndarray, stars: np.ndarray, limit: int)
     for c in reversed(chars):
         parts = closed(c, True)
         if c == chars[0]:
-            parts.append(np.array([n - 1]))
+            parts.append(np.array([n - 1], kind))
         smaller[c] = np.concatenate(parts or nothing)[::-1]
         cur = larger[c][::-1]
         before = cur[cur > 0] - 1
@@ -155,40 +153,52 @@ def _names(text: np.ndarray, ranked: np.ndarray, size: np.ndarray) -> np.ndarray
 
 
 def _double(names: np.ndarray, reach: int) -> np.ndarray:
-    """Order of the suffixes of ``names`` by their first ``reach`` names, by rank doubling."""
-    rank, k = names.astype(np.uint64), 1
-    while True:
-        after = np.zeros(len(rank), np.uint64)
-        after[:-k] = rank[k:] + np.uint64(1)
-        key = rank * np.uint64(len(rank) + 2) + after
-        order = np.argsort(key, kind="stable")
-        ranked = key[order]
-        new = np.cumsum(np.r_[False, ranked[1:] != ranked[:-1]]).astype(np.uint64)
+    """Order of the suffixes of ``names`` by their first ``reach`` names, by rank doubling. A rank is
+    the place where its group of equals starts; only suffixes with equals are sorted again."""
+    n = len(names)
+    order = np.argsort(names, kind="stable")
+    ranked = names[order]
+    new = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
+    count = np.diff(np.r_[new, n])
+    rank = np.zeros(n + 1, np.int64)
+    rank[order] = np.repeat(new, count) + 1  # 0 is the end
+    place = np.flatnonzero(np.repeat(count > 1, count))  # where the open groups lie in the order
+    k = 1
+    while len(place) and k < reach:
+        todo = order[place]
+        group, after = rank[todo], rank[np.minimum(todo + k, n)]
+        again = np.argsort(group * (n + 1) + after, kind="stable")
+        todo, group, after = todo[again], group[again], after[again]
+        order[place] = todo  # groups keep their places, sorted within
+        head = np.r_[True, (group[1:] != group[:-1]) | (after[1:] != after[:-1])]
+        new = np.flatnonzero(head)
+        count = np.diff(np.r_[new, len(todo)])
+        rank[todo] = np.repeat(place[new], count) + 1
+        place = place[np.repeat(count > 1, count)]
         k *= 2
-        if k >= reach or k >= len(rank) or new[-1] == len(rank) - 1:
-            return order
-        rank[order] = new
+    return order
 
 
 def suffix_order(text: np.ndarray, reach: int = WINDOW, limit: int = QUEUE_OCTETS) -> np.ndarray:
     """Suffixes of ``text`` (ends with its only least character, or a separator 0) in the order of at
     least their first ``reach`` characters."""
     n = len(text)
+    kind = np.int32 if n < 1 << 31 else np.int64
     small = _types(text)
-    star = np.flatnonzero(small & np.r_[False, ~small[:-1]])
+    star = np.flatnonzero(small & np.r_[False, ~small[:-1]]).astype(kind)
     if not len(star):  # nothing but one falling run
-        return np.arange(n - 1, -1, -1)
+        return np.arange(n - 1, -1, -1, dtype=kind)
     # by first character, the end of the text first
     by_char = np.r_[star[-1:], star[:-1]]
     by_char = by_char[np.argsort(text[by_char], kind="stable")]
     order = _induce(text, small, by_char, limit)
-    place = np.full(n, -1, np.int64)
-    place[star] = np.arange(len(star))
+    place = np.full(n, -1, kind)
+    place[star] = np.arange(len(star), dtype=kind)
     ranked = order[place[order] >= 0]
     size = np.diff(np.r_[star, n - 1]) + 1
     names_ranked = _names(text, ranked, size[place[ranked]])
     if names_ranked[-1] + 1 < len(star):
-        names = np.empty(len(star), np.int64)
+        names = np.empty(len(star), np.int64)  # bounded by the shard
         names[place[ranked]] = names_ranked
         few = names_ranked[-1] < FEW_NAMES
         ranked = star[suffix_order(names, reach, limit) if few else _double(names, reach)]
