@@ -49,17 +49,6 @@ def trigram_buckets(octets: np.ndarray) -> np.ndarray:
     return ((key * np.uint32(2654435761)) >> np.uint32(16)).astype(np.int64)
 
 
-def train(texts: list[str], labels: list[str]) -> tuple[list[str], np.ndarray]:
-    """(languages in order, (BUCKETS, languages) log-likelihoods); add-half smoothing."""
-    languages = sorted(set(labels))
-    counts = np.full((len(languages), BUCKETS), 0.5)
-    for text, label in zip(texts, labels):
-        octets = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-        if len(octets) > 2:
-            counts[languages.index(label)] += np.bincount(trigram_buckets(octets), minlength=BUCKETS)
-    return languages, np.log(counts / counts.sum(axis=1, keepdims=True)).T.astype(np.float32).copy()
-
-
 def text_scores(texts: list[str], table: np.ndarray) -> np.ndarray:
     """(n, languages) tempered log-likelihoods of whole texts; fewer than three octets give zeros."""
     out = np.zeros((len(texts), table.shape[1]))
@@ -93,7 +82,7 @@ def _score_partition(languages: list[str], table: np.ndarray):
                 texts.append(text or "")
                 declared.append(said.lower() if said and said.isalpha() and said.isascii() and len(said) <= 3 else "")
             scores = text_scores(texts, table)
-            best = scores.argmax(axis=1)
+            best = scores.argmax(axis=1)  # ties: the first language by name
             # without three octets of text there is no vote
             voted = [languages[b] if len(t) > 2 else None for b, t in zip(best, texts)]
             yield pa.RecordBatch.from_arrays(

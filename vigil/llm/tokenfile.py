@@ -18,7 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vigil.llm.common import by_id, documents
@@ -201,10 +201,12 @@ def _decode_partition(batches: Iterator) -> Iterator:
             )
 
 
-def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents of token files: doc_id, start (ids of all documents before), n_tokens, ids
-    (little-endian uint32). Offsets come from the page sizes alone: running sums within a
-    shard, then over the shards (one row each)."""
+def read_tokens(spark: SparkSession, folder: str, *values: Column | str) -> DataFrame:
+    """Documents of token files: doc_id, start (ids of all documents before), n_tokens and
+    ``values``: columns made of ids (little-endian uint32; 64-bit if a page has escapes), by
+    default ids themselves. They are computed where the page is decoded, so that only they
+    move when the offset is joined. Offsets come from the page sizes alone: running sums
+    within a shard, then over the shards (one row each)."""
     pages = spark.read.schema(PAGES).parquet(folder)
     sizes = pages.select("shard", "page", "n_ids")
     in_shard = Window.partitionBy("shard").orderBy("page")
@@ -218,9 +220,9 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     )
     docs = pages.mapInArrow(
         _decode_partition, "shard int, page int, doc_id long, start long, n_tokens long, ids binary"
-    ).select("shard", "page", "doc_id", "start", "n_tokens", "ids")
+    ).select("shard", "page", "doc_id", "start", "n_tokens", F.struct(*(values or ["ids"])).alias("values"))
     return docs.join(offsets, ["shard", "page"]).select(
-        "doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids"
+        "doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "values.*"
     )
 
 
@@ -229,4 +231,4 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     folder = scratch_path(spark, "token-files")
     write_tokens(documents(spark, sf_dir), folder, public_tokenizers.path("byte_bpe_50k.json"), "byte")
-    return read_tokens(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read_tokens(spark, folder, F.crc32("ids").alias("ids_crc32"))
