@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from vigil.session import scratch_path
 
-CHUNK_OCTETS = 4_000_000
+CHUNK_OCTETS = 2_500_000
 #: Slots a writing task deals its chunks to: its files, and what one answer row may gather.
 SLOTS = 8
 LAST = np.iinfo(np.int64).max  # stands for a null id: after all others

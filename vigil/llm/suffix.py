@@ -435,7 +435,7 @@ def _sort_shards(octets: int, limit: int):
     return run
 
 
-def _remove(bits: int):
+def _remove(bits: int, as_text: bool):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -472,12 +472,13 @@ def _remove(bits: int):
                 edge = np.flatnonzero(np.diff(np.r_[False, mine, False].astype(np.int8))) if lost else np.zeros(0, np.int64)
                 rows[0].append(b - a)
                 rows[1].append(lost)
-                rows[2].append(chunk.octets[a:b][~mine].tobytes() if lost else chunk.data[a:b])
+                kept = chunk.octets[a:b][~mine].tobytes() if lost else chunk.data[a:b]
+                rows[2].append(kept.decode("utf-8", "ignore") if as_text else kept)
                 rows[3].append([{"start": x, "stop": y} for x, y in edge.reshape(-1, 2).tolist()])
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(chunk.row["ids"], pa.int64()), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()),
-                    pa.array(rows[2], pa.binary()),
+                    pa.array(rows[2], pa.string() if as_text else pa.binary()),
                     pa.array(rows[3], pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))),
                     chunk.rest(),
                 ],
@@ -488,12 +489,17 @@ def _remove(bits: int):
 
 
 def remove_repeats(
-    docs: DataFrame, carry: list[str] | None = None, shard_octets: int = SHARD_OCTETS, queue_octets: int = QUEUE_OCTETS
+    docs: DataFrame,
+    carry: list[str] | None = None,
+    as_text: bool = False,
+    shard_octets: int = SHARD_OCTETS,
+    queue_octets: int = QUEUE_OCTETS,
 ) -> DataFrame:
     """docs (doc_id, text) -> one row each: doc_id, n_bytes, n_removed, kept (octets), spans
     (maximal removed runs, in octets).
 
-    Columns named in ``carry`` come back as the struct ``rest``. A null text is empty; a null id comes after all others; rows of one id do not remove from
+    Columns named in ``carry`` come back as the struct ``rest``. With ``as_text``, kept is a string,
+    without the rests of characters that a removal cut through. A null text is empty; a null id comes after all others; rows of one id do not remove from
     each other; texts shorter than a window stay; other columns are ignored; no rows give no
     rows."""
     spark = docs.sparkSession
@@ -510,7 +516,8 @@ def remove_repeats(
     second = written(
         replies.groupBy("slot").agg(F.collect_list(F.struct("chunk", "nths", "sizes", "bits")).alias("second")), "suffixes"
     )
-    return met.join(second, "slot", "left").mapInArrow(_remove(bits), blocks.with_rest(ROWS, docs, carry))
+    rows = ROWS.replace("kept binary", "kept string") if as_text else ROWS
+    return met.join(second, "slot", "left").mapInArrow(_remove(bits, as_text), blocks.with_rest(rows, docs, carry))
 
 
 def op5_suffix_array(spark, sf_dir: str) -> DataFrame:
