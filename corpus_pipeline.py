@@ -7,11 +7,9 @@ result as Parquet in the shared folder and reads it again as the next one's docu
 
 from __future__ import annotations
 
-import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from vigil.llm import mixing, packing, quality, simhash, suffix
 from vigil.llm.common import documents, written
@@ -28,18 +26,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return simhash.first_of_groups(docs).select(docs.columns)
 
 
-@F.pandas_udf(T.StringType())
-def _whole_characters(octets: pd.Series) -> pd.Series:
-    """Text of what is left; characters that a removal cut through go."""
-    return octets.map(lambda b: bytes(b).decode("utf-8", "ignore"))
-
-
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that an earlier document has; n_chars follows the text. A
     document of which nothing is left stays, empty."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    left = suffix.remove_repeats(docs, carry=others).withColumn("text", _whole_characters("kept"))
-    out = left.select("doc_id", "text", *[F.col("rest")[c].alias(c) for c in others])
+    left = suffix.remove_repeats(docs, carry=others, as_text=True)
+    out = left.select("doc_id", F.col("kept").alias("text"), *[F.col("rest")[c].alias(c) for c in others])
     if "n_chars" in others:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)
