@@ -138,3 +138,38 @@ def test_rank_cut_with_copies_of_one_key(spark, monkeypatch, window_rows):
     df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.lit(1)).otherwise(F.col("id")).alias("rid"))
     out = exact_split(df, "rid", 0.2, 42).collect()
     assert len(out) == 3000 and sum(r.split == "test" for r in out) == 600
+
+
+def test_ks_and_roc_without_rows_and_with_infinities(spark):
+    from vigil.operators import evaluation, ks
+
+    none = spark.createDataFrame([], "v double, f boolean")
+    row = ks.ks_by_flag(none, "v", "f").first()
+    assert (row.ks_stat, row.status) == (0.0, "no_data")
+    inf = float("inf")
+    rows = spark.createDataFrame([(-inf, True), (inf, True), (inf, False), (0.0, False)], "v double, f boolean")
+    assert ks.ks_by_flag(rows, "v", "f").first().ks_stat == 0.5
+    scored = spark.createDataFrame([(1, inf), (0, -inf), (1, inf), (0, 0.0)], "y int, p1 double")
+    assert evaluation.roc_auc(scored).first().roc_auc == 1.0
+
+
+def test_log_loss_leaves_out_rows_without_label_or_score(spark):
+    import math
+
+    from vigil.operators import evaluation
+
+    rows = spark.createDataFrame([(1, 0.5), (1, None), (None, 0.9)], "y int, p1 double")
+    assert abs(evaluation.log_loss(rows).first().log_loss - math.log(2)) < 1e-12
+
+
+def test_dot_of_unequal_widths_is_an_error(spark):
+    import pytest
+    from pyspark.sql import functions as F
+
+    from vigil.functions import vectors
+
+    rows = spark.createDataFrame([([1.0, 2.0], [1.0, 2.0, 3.0])], "a array<double>, b array<double>")
+    with pytest.raises(Exception, match="unequal width"):
+        rows.select(vectors.dot("a", "b").alias("d")).collect()
+    null = spark.createDataFrame([([1.0, None], [1.0, 2.0])], "a array<double>, b array<double>")
+    assert null.select(vectors.dot("a", "b").alias("d")).first().d is None

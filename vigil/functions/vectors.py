@@ -15,9 +15,12 @@ def as_double_array(v) -> Column:
 
 
 def dot(a, b) -> Column:
-    """Sum of element products, left to right; arrays of unequal width are cut to the shorter."""
+    """Sum of element products, left to right. Unequal widths are an error; a null element
+    gives null."""
     prods = F.zip_with(as_double_array(a), as_double_array(b), lambda x, y: x * y)
-    return F.aggregate(F.filter(prods, lambda p: p.isNotNull()), F.lit(0.0), lambda acc, p: acc + p)
+    total = F.aggregate(prods, F.lit(0.0), lambda acc, p: acc + p)
+    wrong = F.raise_error(F.lit("vectors of unequal width")).cast("double")
+    return F.when(F.size(_c(a)) != F.size(_c(b)), wrong).otherwise(total)
 
 
 def l2_norm(a) -> Column:

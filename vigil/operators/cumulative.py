@@ -21,6 +21,8 @@ numbering, so even a prefix swollen by copies of one key is not sorted in one ta
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,7 +43,9 @@ def default_buckets(df: DataFrame) -> int:
 def _bucketize(df: DataFrame, order_col: str, num_buckets: int) -> tuple[DataFrame, int]:
     probs = [i / num_buckets for i in range(1, num_buckets)]
     bounds = df.approxQuantile(order_col, probs, 0.25 / num_buckets) if probs else []
-    splits = [float("-inf")] + sorted({float(b) for b in bounds if b == b}) + [float("inf")]
+    # infinite values fall into the outer buckets; without finite bounds (no rows) any one will do
+    inner = sorted({float(b) for b in bounds if math.isfinite(b)}) or [0.0]
+    splits = [float("-inf"), *inner, float("inf")]
     src = df.withColumn("__order_d", F.col(order_col).cast("double"))
     bucketed = Bucketizer(
         splits=splits, inputCol="__order_d", outputCol=_BUCKET, handleInvalid="keep"

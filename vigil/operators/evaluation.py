@@ -110,10 +110,12 @@ def classification_report(df: DataFrame, y: str = "y", yhat: str = "yhat", names
 
 
 def log_loss(df: DataFrame, y: str = "y", p1: str = "p1") -> DataFrame:
-    """One row: log_loss = mean of -ln(p of the true class), p clipped to [eps, 1-eps]."""
+    """One row: log_loss = mean of -ln(p of the true class), p clipped to [eps, 1-eps], over the
+    rows that have both a label and a probability."""
+    scored = F.col(y).isNotNull() & F.col(p1).isNotNull()
     p = F.least(F.greatest(F.col(p1).cast("double"), F.lit(EPS)), F.lit(1.0 - EPS))
     p_true = F.when(F.col(y) == 1, p).otherwise(F.lit(1.0) - p)
-    return df.agg(F.avg(-F.log(p_true)).alias("log_loss"))
+    return df.agg(F.avg(F.when(scored, -F.log(p_true))).alias("log_loss"))
 
 
 def _score_counts(df: DataFrame, y: str, p1: str) -> DataFrame:

@@ -109,13 +109,13 @@ def champion(alias_events: DataFrame, versions: DataFrame, run_metrics: DataFram
     (0.0 when the run or metric is missing); models without the alias get no row."""
     cur = current_alias(alias_events.filter(F.col("alias") == alias))
     # `cur` has one row per model: the large version and metric tables are first cut to
-    # the rows it points at (semi joins against a broadcast of those few keys), so the
-    # outer joins below only ever see a handful of rows.
-    wanted = F.broadcast(cur.select("name", "version"))
+    # the rows it points at, so the outer joins below see one row per model. The number of
+    # models is unbounded: whether to broadcast is left to the sizes Spark measures.
+    wanted = cur.select("name", "version")
     v = versions.select("name", "version", "run_id").join(wanted, ["name", "version"], "left_semi")
     m = (
         run_metrics.filter(F.col("metric") == metric)
-        .join(F.broadcast(v.select("run_id")), "run_id", "left_semi")
+        .join(v.select("run_id"), "run_id", "left_semi")
         .groupBy("run_id")
         .agg(F.max_by("value", "ts").alias("metric_value"))
     )
