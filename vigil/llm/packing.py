@@ -121,7 +121,7 @@ def _pack_partition(path: str, style: str, length: int, group_tokens: int, end_i
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encode = encoder(path, style).ids
+        encode = encoder(path, style).many
         end = np.array([end_id], dtype="<u4").tobytes()
         base, made = TaskContext.get().partitionId() << 40, 0
 
@@ -143,8 +143,8 @@ def _pack_partition(path: str, style: str, length: int, group_tokens: int, end_i
 
         group, tokens = [], 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encode(text.as_py() or "") + end
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1))):
+                ids += end
                 group.append((doc_id, ids))
                 tokens += len(ids) // 4
                 if tokens >= group_tokens:

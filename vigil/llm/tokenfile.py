@@ -126,7 +126,7 @@ def _encode_partition(path: str, style: str, end_id: int, page_ids: int):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encode = encoder(path, style).ids
+        encode = encoder(path, style).many
         end = np.array([end_id], dtype="<u4").tobytes()
         shard, page = TaskContext.get().partitionId(), 0
 
@@ -147,8 +147,8 @@ def _encode_partition(path: str, style: str, end_id: int, page_ids: int):
 
         doc_ids, parts, held = [], [], 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encode(text.as_py() or "") + end
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1))):
+                ids += end
                 doc_ids.append(doc_id)
                 parts.append(ids)
                 held += len(ids) // 4

@@ -14,6 +14,7 @@ Styles (which cuts are safe):
 from __future__ import annotations
 
 import re
+import string
 
 import numpy as np
 
@@ -21,17 +22,11 @@ from vigil.llm.common import worker_state
 
 #: Cache entries a worker keeps (about 200 bytes each); a full cache is emptied.
 CACHE_ENTRIES = 900_000
-TRAILING = ".,;:!?"
-
-
-def _byte_alphabet() -> list[str]:
-    """The printable stand-in of each byte in byte-level BPE vocabularies."""
-    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    out, extra = [], 0
-    for b in range(256):
-        out.append(chr(b) if b in plain else chr(256 + extra))
-        extra += b not in plain
-    return out
+#: ASCII punctuation; the apostrophe can begin a contraction, which is a pre-token of its own.
+TRAILING = string.punctuation.replace("'", "")
+#: Bytes of text whose pieces are numbered together, and words given to the tokenizer at once.
+SLICE_BYTES = 4 << 20
+WORDS_PER_CALL = 200
 
 
 class PieceEncoder(dict):
@@ -48,41 +43,123 @@ class PieceEncoder(dict):
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.style, self.entries = style, entries
-        self.table = {i: c for i, c in enumerate(_byte_alphabet())}
         # anything but single blanks and single newlines between words: encode the whole text
         self.unusual = re.compile(r"\s\s|^\s|\s$|[^\S \n]|\x00").search
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _letters(self, piece: str) -> bytes:
-        """Ids of one pre-token of letters, by the model alone."""
-        mapped = piece.encode().decode("latin-1").translate(self.table)
-        return np.array([t.id for t in self.tokenizer.model.tokenize(mapped)], dtype="<u4").tobytes()
-
     def __missing__(self, piece: str) -> bytes:
         stem = piece.rstrip(TRAILING)
         if stem != piece and stem and stem[-1].isalpha():  # letters, then a run of punctuation
             out = self[stem] + self[piece[len(stem):]]
-        elif self.style == "byte" and piece[:1] == " " and piece[1:].isalpha():
-            out = self._letters(piece)
-        elif self.style == "word" and piece.isascii() and piece.isalpha():
-            out = self._letters(piece.lower())
         else:
             out = self.whole(piece)
-        if len(self) >= self.entries:
-            self.clear()
         self[piece] = out
         return out
 
+    def _word(self, piece: str) -> str | None:
+        """The letters that a piece begins with, if all before its trailing punctuation."""
+        stem = piece.rstrip(TRAILING)
+        if self.style == "byte":
+            return stem if stem[:1] == " " and stem[1:].isalpha() else None
+        return stem if stem.isalpha() else None
+
+    def learn(self, pieces: list[str]) -> None:
+        """Cache the words of ``pieces``, many of them in one call of the tokenizer. A call whose
+        pre-tokens are not its words one by one is left to the lookup of single pieces."""
+        missing = [p for p in pieces if p not in self]
+        if len(self) + len(missing) > self.entries:
+            self.clear()
+            missing = pieces
+        words = list({w: None for p in missing if (w := self._word(p)) is not None and w not in self})
+        joint = "" if self.style == "byte" else " "
+        for at in range(0, len(words), WORDS_PER_CALL):
+            some = words[at:at + WORDS_PER_CALL]
+            joined = self.tokenizer.encode(joint.join(some), add_special_tokens=False)
+            owner = np.array(joined.word_ids, dtype=np.int64)
+            stops = np.append(np.flatnonzero(np.diff(owner)) + 1, len(owner))
+            if len(stops) != len(some):
+                continue
+            data = np.array(joined.ids, dtype="<u4").tobytes()
+            ends = (4 * stops).tolist()
+            self.update((w, data[a:b]) for w, a, b in zip(some, [0, *ends], ends))
+
     def ids(self, text: str) -> bytes:
-        if self.style == "plain" or self.unusual(text):
-            return self.whole(text)
+        import pyarrow as pa
+
+        return self.many(pa.array([text], pa.string()))[0]
+
+    def many(self, texts) -> list[bytes]:
+        """Ids of every text of an Arrow string array; a null text is empty. Texts are taken
+        in slices of about SLICE_BYTES (or one longer text)."""
+        import pyarrow.compute as pc
+
+        if self.style == "plain":
+            return [self.whole(t or "") for t in texts.to_pylist()]
+        filled = pc.fill_null(texts, "").cast("large_string")
+        part = np.cumsum(pc.binary_length(filled).to_numpy(zero_copy_only=False)) // SLICE_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(filled)]
+        return [ids for a, b in zip(cuts, cuts[1:]) if b > a for ids in self._slice(filled.slice(a, b - a))]
+
+    def _slice(self, texts) -> list[bytes]:
+        """Cut a slice's texts before every blank and around every newline, number the distinct
+        pieces, look only those up, and gather the ids by number."""
+        import pyarrow as pa
+
+        n = len(texts)
+        bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + n + 1]
+        base, size = int(bounds[0]), int(bounds[-1] - bounds[0])
+        if not size:
+            return [b""] * n
+        data = np.frombuffer(texts.buffers()[2], np.uint8)[base:base + size]
+        bounds = bounds - base
+        newline = data == 10
+        blank = (data == 32) | newline
+
+        def owner(at: np.ndarray) -> np.ndarray:
+            return np.searchsorted(bounds, at, side="right") - 1
+
+        # unusual texts: two blanks in a row, one at an end, or by the pattern beyond ASCII text
+        unusual = np.zeros(n, bool)
+        twice = np.flatnonzero(blank[1:] & blank[:-1]) + 1
+        of = owner(twice)
+        unusual[of[bounds[of] != twice]] = True
+        filled = np.flatnonzero(np.diff(bounds))
+        unusual[filled] |= blank[bounds[filled]] | blank[bounds[filled + 1] - 1]
+        beyond = np.zeros(n, bool)
+        # lead bytes of all blanks beyond ASCII, and control characters
+        lead = (data == 0xC2) | ((data >= 0xE1) & (data <= 0xE3)) | ((data < 32) & ~newline)
+        beyond[owner(np.flatnonzero(lead))] = True
+        for at in np.flatnonzero(beyond & ~unusual).tolist():
+            unusual[at] = bool(self.unusual(texts[at].as_py()))
+
+        first = blank.copy()
+        first[1:] |= newline[:-1]
+        first[bounds[filled]] = True
+        starts = np.flatnonzero(first)
+        offsets = np.append(starts, size) + base
+        pieces = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), texts.buffers()[2])
+        if unusual.any():
+            usual = ~unusual[owner(starts)]
+            pieces, starts = pieces.filter(pa.array(usual)), starts[usual]
+        numbered = pieces.dictionary_encode()
+        code = numbered.indices.to_numpy()
+        distinct = numbered.dictionary.to_pylist()
         if self.style == "word":
-            pieces = text.replace("\n", " ").split(" ")
-        else:
-            pieces = text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
-        return b"".join(map(self.__getitem__, pieces))
+            distinct = [p.strip(" \n") for p in distinct]
+        self.learn(distinct)
+        found = [self[p] for p in distinct]
+        lengths = np.array([len(f) // 4 for f in found], np.int64)
+        flat = np.frombuffer(b"".join(found), "<u4")
+        taken = lengths[code]
+        stops = np.concatenate([np.zeros(1, np.int64), np.cumsum(taken)])
+        ids = flat[np.repeat((np.cumsum(lengths) - lengths)[code] - stops[:-1], taken) + np.arange(stops[-1])].tobytes()
+        at = (4 * stops[np.searchsorted(starts, bounds)]).tolist()
+        return [
+            self.whole(texts[k].as_py()) if odd else ids[a:b]
+            for k, (odd, a, b) in enumerate(zip(unusual.tolist(), at, at[1:]))
+        ]
 
 
 def encoder(path: str, style: str) -> PieceEncoder:
