@@ -19,12 +19,23 @@ def test_exact_split_sizes(spark, n, test_rows):
     assert again == {r.rid for r in out if r.split == "test"}  # seeded
 
 
-def test_exact_sample_paths_agree(spark, monkeypatch):
-    df = spark.range(3000).withColumnRenamed("id", "rid")
-    small = {r.rid for r in sampling.exact_sample(df, "rid", 700, 7).collect()}
-    monkeypatch.setattr(sampling, "TOP_N_LIMIT", 100)
-    large = {r.rid for r in sampling.exact_sample(df, "rid", 700, 7).collect()}
-    assert small == large and len(small) == 700
+def test_sample_and_complement_hold_every_row_once(spark):
+    """Null and repeated ids included; a third of the rows share one id."""
+    ids = [None] * 30 + [7] * 40 + list(range(100, 150))
+    df = spark.createDataFrame(list(enumerate(ids)), "row int, rid long")
+    split = sampling.exact_split(df, "rid", 0.2, 42).collect()
+    assert sorted(r.row for r in split) == list(range(120)) and sum(r.split == "test" for r in split) == 24
+    for n in (0, 50, 100, 200):
+        sample = [r.row for r in sampling.exact_sample(df, "rid", n, 7).collect()]
+        rest = [r.row for r in sampling.sample_complement(df, "rid", n, 7).collect()]
+        assert len(sample) == min(n, 120) and sorted(sample + rest) == list(range(120))
+
+
+@pytest.mark.parametrize("mode", ["random", "latest"])
+def test_holdback_keeps_rows_of_repeated_ids_apart(spark, mode):
+    df = _events(spark, 300).unionAll(_events(spark, 300))
+    out = sampling.holdback(df, "rid", "ts", 200, mode, 42).collect()
+    assert len(out) == 600 and sum(r.action == "keep" for r in out) == 200
 
 
 def _events(spark, n, same_ts=False):
@@ -130,12 +141,10 @@ def test_promote_moves_alias(spark):
     assert (cur.alias, cur.version) == ("prod", 3)
 
 
-def test_latest_paths_agree(spark, monkeypatch):
-    df = _events(spark, 900)
-    small = sorted(r.rid for r in sampling.latest(df, "ts", "rid", 300).collect())
-    monkeypatch.setattr(sampling, "TOP_N_LIMIT", 10)
-    large = sorted(r.rid for r in sampling.latest(df, "ts", "rid", 300).collect())
-    assert small == large == list(range(600, 900))
+def test_latest_takes_the_newest(spark):
+    got = sorted(r.rid for r in sampling.latest(_events(spark, 900), "ts", "rid", 300).collect())
+    assert got == list(range(600, 900))
+
 
 
 def test_data_summary_nested_and_json(spark):

@@ -29,9 +29,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 _BUCKET = "__bucket"
-# Largest straddling bucket ranked by a plain window in one task; larger ones (copies of
-# one key) are ranked with the distributed row numbering.
-STRADDLE_WINDOW_ROWS = 1_000_000
 
 
 def default_buckets(df: DataFrame) -> int:
@@ -124,14 +121,17 @@ def rank_cut(
 ) -> DataFrame:
     """Flag the first ``n`` rows in ``(key_col, tie_col)`` order; ``key_col`` is hex text.
 
-    ``n_expr`` may refer to ``__total`` (the row count), e.g. ``ceil(0.2 * __total)``.
+    ``n_expr`` may refer to ``__total`` (the row count), e.g. ``ceil(0.2 * __total)``. Every row
+    comes back once: rows without a key are last in the order, rows of one key and tie are
+    told apart by their place in a written copy.
     """
-    bucket = F.conv(F.substring(F.col(key_col), 1, prefix_digits), 16, 10).cast("int")
+    prefix = F.conv(F.substring(F.col(key_col), 1, prefix_digits), 16, 10).cast("int")
+    bucket = F.coalesce(prefix, F.lit(16**prefix_digits))
     keyed = df.withColumn(_BUCKET, bucket)
     counts = keyed.groupBy(_BUCKET).agg(F.count(F.lit(1)).alias("__cnt"))
     ordered = Window.orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy(F.lit(1))
-    # At most 16**prefix_digits rows: bounded, broadcast.
+    # At most 16**prefix_digits + 1 rows: bounded, broadcast.
     cuts = (
         counts.select(
             _BUCKET,
@@ -147,28 +147,20 @@ def rank_cut(
     # Whole buckets are decided by their offsets alone (narrow, no shuffle); only the one
     # bucket that holds the cut is ranked.
     whole = j.filter(~straddles).withColumn(flag_col, F.col("__before") + F.col("__cnt") <= F.col("__n"))
-    # The straddling bucket is normally ~1/16**prefix_digits of the rows and is ranked
-    # with a window in one task. Copies of one key (duplicated ids) can make it large;
-    # then it is ranked with the distributed row numbering instead, using the position
-    # in a checkpointed copy as the last tie-break so that even identical rows are split
-    # over tasks and numbered the same way on every recompute.
-    size = cuts.filter(straddles).agg(F.max("__cnt").alias("m")).first()["m"] or 0  # bounded table
-    if size <= STRADDLE_WINDOW_ROWS:
-        w = Window.partitionBy(_BUCKET).orderBy(F.col(key_col), F.col(tie_col))
-        straddle = j.filter(straddles).withColumn(
-            flag_col, (F.col("__before") + F.row_number().over(w)) <= F.col("__n")
-        )
-    else:
-        from vigil.session import ensure_checkpoint_dir
+    # The straddling bucket is normally 1/16**prefix_digits of the rows, but copies of one key
+    # can swell it, so it is ranked by the distributed row numbering. The place in a
+    # checkpointed copy is the last tie-break: identical rows are split over tasks and
+    # numbered the same way on every recompute.
+    from vigil.session import ensure_checkpoint_dir
 
-        ensure_checkpoint_dir(df.sparkSession)
-        fixed = j.filter(straddles).checkpoint(eager=True)
-        ranked = row_sequence(
-            fixed.withColumn("__pos", F.monotonically_increasing_id()), [key_col, tie_col, "__pos"], "__rank"
-        )
-        straddle = ranked.withColumn(flag_col, (F.col("__before") + F.col("__rank")) <= F.col("__n")).drop(
-            "__pos", "__rank"
-        )
+    ensure_checkpoint_dir(df.sparkSession)
+    fixed = j.filter(straddles).checkpoint(eager=True)
+    ranked = row_sequence(
+        fixed.withColumn("__pos", F.monotonically_increasing_id()), [key_col, tie_col, "__pos"], "__rank"
+    )
+    straddle = ranked.withColumn(flag_col, (F.col("__before") + F.col("__rank")) <= F.col("__n")).drop(
+        "__pos", "__rank"
+    )
     helper = [_BUCKET, "__cnt", "__before", "__n"]
     return whole.unionByName(straddle).drop(*helper)
 

@@ -2,10 +2,10 @@
 
 NumPy's permutation cannot be reproduced on a cluster, so the contract is kept instead:
 exact size, seeded, without replacement, disjoint and complete. The order is the md5 of
-``"<seed>:<id>"`` with the id as tie-break. Small samples use ``orderBy().limit(n)``
-(planned as ``TakeOrderedAndProject``: each task keeps its own top n, bounded by n).
-Large cuts use `rank_cut`, which ranks only the rows of the one hash prefix that holds the
-cut. Nothing here sorts the whole table or routes it through one task.
+``"<seed>:<id>"`` with the id as tie-break; rows without an id come last, rows that repeat an
+id count one by one. Split, sample, complement and hold-back are one rank cut over the
+rows (`rank_cut`), the same at every size: whole hash prefixes are decided by their counts, and only
+the prefix that holds the cut is ranked. Nothing here sorts the whole table or routes it through one task.
 """
 
 from __future__ import annotations
@@ -15,9 +15,6 @@ from pyspark.sql import functions as F
 
 from vigil.operators.cumulative import rank_cut
 
-# A top-n sample merges (partitions x n) candidate rows in one task; above this many the
-# sample is cut by hash-prefix ranking instead.
-TOP_N_LIMIT = 5_000_000
 KEY = "__sample_key"
 
 
@@ -40,42 +37,33 @@ def approximate_split(df: DataFrame, id_col: str, test_fraction: float = 0.2, se
     return df.withColumn(out_col, F.when(u < test_fraction, "test").otherwise("train"))
 
 
-def exact_sample(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:
-    """Exactly min(n, count) rows, seeded, without replacement."""
+def _sampled(df: DataFrame, id_col: str, n: int, seed: int, flag_col: str) -> DataFrame:
+    """``df`` with a flag on exactly min(n, count) rows, the first by the seeded order."""
     if n < 0:
         raise ValueError("n must be >= 0")
     keyed = df.withColumn(KEY, sample_key(id_col, seed))
-    if _top_n_fits(df, n):
-        return keyed.orderBy(F.col(KEY), F.col(id_col)).limit(n).drop(KEY)
-    flagged = rank_cut(keyed, KEY, id_col, F.least(F.lit(n), F.col("__total")), "__in")
-    return flagged.filter("__in").drop("__in", KEY)
+    return rank_cut(keyed, KEY, id_col, F.least(F.lit(n), F.col("__total")), flag_col).drop(KEY)
 
 
-def _top_n_fits(df: DataFrame, n: int) -> bool:
-    return n * max(1, df.rdd.getNumPartitions()) <= TOP_N_LIMIT
+def exact_sample(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:
+    """Exactly min(n, count) rows, seeded, without replacement."""
+    return _sampled(df, id_col, n, seed, "__in").filter("__in").drop("__in")
 
 
-def anti_join_by_id(df: DataFrame, other: DataFrame, id_col: str, other_is_small: bool = False) -> DataFrame:
+def anti_join_by_id(df: DataFrame, other: DataFrame, id_col: str) -> DataFrame:
     """Rows of ``df`` whose identity is not in ``other`` (identity, not value, equality)."""
-    right = other.select(id_col).distinct() if not other_is_small else F.broadcast(other.select(id_col))
-    return df.join(right, id_col, "left_anti")
+    return df.join(other.select(id_col).distinct(), id_col, "left_anti")
 
 
 def sample_complement(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:
-    """The table minus its exact sample of n rows."""
-    sample = exact_sample(df.select(id_col), id_col, n, seed)
-    return anti_join_by_id(df, sample, id_col, other_is_small=_top_n_fits(df, n))
+    """The table minus its exact sample of n rows: with the sample, every row once."""
+    return _sampled(df, id_col, n, seed, "__in").filter("NOT __in").drop("__in")
 
 
 def latest(df: DataFrame, ts_col: str, id_col: str, n: int) -> DataFrame:
-    """The latest n rows by time; ties on time broken by the larger id. A bounded top-n
-    merge while n x partitions is small, else distributed row numbering."""
-    order = [F.col(ts_col).desc_nulls_last(), F.col(id_col).desc()]
-    if _top_n_fits(df, n):
-        return df.orderBy(*order).limit(n)
-    from vigil.operators.cumulative import row_sequence
-
-    return row_sequence(df, order, "__seq").filter(F.col("__seq") <= n).drop("__seq")
+    """The latest n rows by time; ties on time broken by the larger id. ``n`` is a window: each
+    task keeps its own top n and one task merges them."""
+    return df.orderBy(F.col(ts_col).desc_nulls_last(), F.col(id_col).desc()).limit(n)
 
 
 def holdback(
@@ -89,22 +77,18 @@ def holdback(
 ) -> DataFrame:
     """Split the monitoring table: ``window`` rows stay ('keep'), the rest go to training
     ('append'); with at most ``window`` rows everything stays. ``mode='random'`` keeps a
-    seeded sample, ``mode='latest'`` keeps the newest rows."""
+    seeded sample, ``mode='latest'`` keeps the newest rows. Every row comes back once. In
+    'latest', rows that share time and id stay together, also where the window ends."""
     if mode == "random":
-        kept = exact_sample(df.select(id_col), id_col, window, seed)
+        marked = _sampled(df, id_col, window, seed, "__keep")
     elif mode == "latest":
-        kept = latest(df.select(id_col, ts_col), ts_col, id_col, window).select(id_col)
+        order = F.struct(F.col(ts_col).isNotNull().alias("dated"), F.col(ts_col).alias("ts"), F.col(id_col).alias("id"))
+        newest = latest(df.select(id_col, ts_col), ts_col, id_col, window)
+        oldest_kept = newest.agg(F.min(order).alias("__cut"))  # one row
+        marked = df.crossJoin(F.broadcast(oldest_kept)).withColumn("__keep", order >= F.col("__cut")).drop("__cut")
     else:
         raise ValueError("mode must be 'random' or 'latest'")
-    marked = kept.withColumn("__keep", F.lit(True))
-    # `kept` has at most `window` rows: broadcast while that bound is small.
-    if _top_n_fits(df, window):
-        marked = F.broadcast(marked)
-    return (
-        df.join(marked, id_col, "left")
-        .withColumn(out_col, F.when(F.col("__keep"), "keep").otherwise("append"))
-        .drop("__keep")
-    )
+    return marked.withColumn(out_col, F.when(F.col("__keep"), "keep").otherwise("append")).drop("__keep")
 
 
 def example_pool(df: DataFrame, id_col: str, text_col: str, k: int = 5, seed: int = 42) -> DataFrame:

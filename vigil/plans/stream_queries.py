@@ -25,23 +25,23 @@ def _scored_events(df):
     )
 
 
-@register(
-    "windowed_metrics",
-    """SELECT date_trunc('hour', ts) AS window_start, count(*) AS n,
+WINDOWED_METRICS = """SELECT date_trunc('hour', ts) AS window_start, count(*) AS n,
        round(avg(CAST((event_type = 'purchase') = (value >= 50.0) AS DOUBLE)), 6) AS accuracy,
        round(avg(value), 6) AS mean_value
-FROM events GROUP BY 1""",
-)
+FROM events GROUP BY 1"""
+
+
+@register("windowed_metrics", WINDOWED_METRICS)
 def q_windowed_metrics(spark, sf_dir):
     ev = _scored_events(tables.table(spark, sf_dir, "events"))
     return rounded(jobs.windowed_metrics_batch(ev))
 
 
-@register("stream_windowed_metrics")
+@register("stream_windowed_metrics", WINDOWED_METRICS)
 def q_stream_windowed_metrics(spark, sf_dir):
     stream = _scored_events(_events_stream(spark, sf_dir))
     out = scratch_path(spark, "stream-windows")
-    return rounded(jobs.run_to_parquet(jobs.windowed_metrics(stream), out))
+    return rounded(jobs.run_updates_to_parquet(jobs.windowed_metrics(stream), "window_start", out))
 
 
 @register("stream_score")
