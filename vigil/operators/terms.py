@@ -1,9 +1,8 @@
 """Corpus term statistics, vocabulary and TF-IDF weights as grouped aggregates.
 
-Terms are exploded per document inside the scan stage and counted per (doc, term) with a
-map-side partial aggregate, so a hot term or a long document is combined before the
-shuffle. Document frequency is a second aggregate over the (doc, term) pairs (the
-explicit form of a distinct count). The vocabulary is a top-k (bounded by
+A document is a row. Its terms are sorted and counted inside the row, so (document, term, tf)
+needs no shuffle; corpus and document frequency are then one aggregate by term, combined
+map-side. The vocabulary is a top-k (bounded by
 ``max_features``), which is why it may be broadcast to weight every (doc, term) pair.
 
 Weighting of the vectoriser being matched: raw term count x (ln((1 + n) / (1 + df)) + 1),
@@ -24,8 +23,24 @@ MAX_FEATURES = 10_000
 def doc_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, term, tf): how often each analysed term occurs in each document."""
     toks = docs.select(F.col(id_col).alias("doc_id"), analyzed_tokens(text_col).alias("__toks"))
-    exploded = toks.select("doc_id", F.explode(ngram_terms("__toks")).alias("term"))
-    return exploded.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return count_in_rows(toks.select("doc_id", ngram_terms("__toks").alias("__terms")), "__terms")
+
+
+def count_in_rows(df: DataFrame, terms_col: str) -> DataFrame:
+    """One row per row of ``df`` and distinct term of its array ``terms_col``, with columns term
+    and tf; null and empty arrays give none. Runs of the sorted array are counted; the arrays
+    read by the lambdas are projected first (a lambda re-evaluates what it uses)."""
+    keep = [c for c in df.columns if c != terms_col]
+    ordered = df.select(*keep, F.sort_array(terms_col).alias("__t"))
+    t, n = F.col("__t"), F.size("__t")
+    places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    starts = F.filter(places, lambda i: (i == 1) | (F.get(t, i - 1) != F.get(t, i - 2)))
+    runs = ordered.select(*keep, "__t", starts.alias("__s"))
+    ends = F.slice(F.concat(F.slice("__s", 2, F.size("__s")), F.array(n + 1)), 1, F.size("__s"))
+    counted = F.zip_with(
+        "__s", ends, lambda a, b: F.struct(F.get(t, a - 1).alias("term"), (b - a).cast("long").alias("tf"))
+    )
+    return runs.select(*keep, F.explode(counted).alias("__run")).select(*keep, "__run.term", "__run.tf")
 
 
 def term_stats(pairs: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from vigil.functions.text import TOKEN_PATTERN, default_stop_words, tokens_sql
 from vigil.operators import evaluation as ev
-from vigil.operators.terms import MAX_FEATURES
+from vigil.operators.terms import MAX_FEATURES, count_in_rows, term_stats, top_vocabulary
 
 # Fixed hyper-parameters of the classifier being matched.
 MAX_ITER = 1000
@@ -89,18 +89,16 @@ def fit(train: DataFrame, text_col: str = "review", label_col: str = "sentiment"
     train = train.filter(usable)
     prepared = (
         PipelineModel(stages=front_stages)
-        .transform(train.select(id_col, text_col, F.col(label_col).cast("double").alias("__label")))
-        .select(F.col(id_col).alias("__doc"), "__label", "__terms")
+        .transform(train.select(text_col, F.col(label_col).cast("double").alias("__label")))
+        .select("__label", "__terms")
         .persist()
     )
     n = prepared.count()
     if n == 0:
         prepared.unpersist()
         raise ValueError("no training rows")
-    exploded = prepared.select("__doc", F.explode("__terms").alias("term"))
-    pairs = exploded.groupBy("__doc", "term").agg(F.count(F.lit(1)).alias("tf"))
-    stats = pairs.groupBy("term").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("df"))
-    top = stats.orderBy(F.col("tf").desc(), F.col("term").asc()).limit(max_features).collect()  # bounded
+    stats = term_stats(count_in_rows(prepared.select("__terms"), "__terms"))
+    top = top_vocabulary(stats, max_features).collect()  # bounded
     vocab = [r["term"] for r in top]
     idf = [math.log((1.0 + n) / (1.0 + r["df"])) + 1.0 for r in top]
     back_stages = [
