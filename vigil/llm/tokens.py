@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import string
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -25,7 +26,7 @@ CACHE_ENTRIES = 900_000
 #: ASCII punctuation; the apostrophe can begin a contraction, which is a pre-token of its own.
 TRAILING = string.punctuation.replace("'", "")
 #: Bytes of text whose pieces are numbered together, and words given to the tokenizer at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 WORDS_PER_CALL = 200
 
 
@@ -88,19 +89,22 @@ class PieceEncoder(dict):
     def ids(self, text: str) -> bytes:
         import pyarrow as pa
 
-        return self.many(pa.array([text], pa.string()))[0]
+        return next(self.many(pa.array([text], pa.string())))
 
-    def many(self, texts) -> list[bytes]:
+    def many(self, texts) -> Iterator[bytes]:
         """Ids of every text of an Arrow string array; a null text is empty. Texts are taken
-        in slices of about SLICE_BYTES (or one longer text)."""
+        in slices of about SLICE_BYTES (or one longer text), one slice in memory at a time."""
         import pyarrow.compute as pc
 
         if self.style == "plain":
-            return [self.whole(t or "") for t in texts.to_pylist()]
+            yield from (self.whole(t.as_py() or "") for t in texts)
+            return
         filled = pc.fill_null(texts, "").cast("large_string")
         part = np.cumsum(pc.binary_length(filled).to_numpy(zero_copy_only=False)) // SLICE_BYTES
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(filled)]
-        return [ids for a, b in zip(cuts, cuts[1:]) if b > a for ids in self._slice(filled.slice(a, b - a))]
+        for a, b in zip(cuts, cuts[1:]):
+            if b > a:
+                yield from self._slice(filled.slice(a, b - a))
 
     def _slice(self, texts) -> list[bytes]:
         """Cut a slice's texts before every blank and around every newline, number the distinct
