@@ -40,29 +40,38 @@ PAGES = (
 )
 
 
+def _bit_lengths(ids: np.ndarray) -> np.ndarray:
+    high = (ids >> np.uint64(32)).astype(np.float64)  # halves are exact as doubles
+    low = np.frexp((ids & np.uint64(0xFFFFFFFF)).astype(np.float64))[1]
+    return np.where(high > 0, np.frexp(high)[1] + 32, low).astype(np.uint8)
+
+
 def encode_ids(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(words, block offsets, escapes) of unsigned ids."""
     ids = np.ascontiguousarray(ids, dtype=np.uint64)
     n = len(ids)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint64)
+    # greedy choice at every position: the selector with most values whose values all fit. Blocks are
+    # rows, with zeros behind their ends, which fit everywhere.
+    n_blocks = -(-n // block)
+    bits = np.zeros((n_blocks, block + max(COUNTS)), np.uint8)
+    padded = np.zeros(n_blocks * block, np.uint8)
+    padded[:n] = _bit_lengths(ids)
+    bits[:, :block] = padded.reshape(n_blocks, block)
+    chosen = np.full((n_blocks, block), ESCAPE, np.uint8)
+    widest, reach = bits, 1  # the bits that the next ``reach`` values need
+    for selector in range(len(COUNTS) - 1, -1, -1):  # counts ascend, so that the last that fits stays
+        count = COUNTS[selector]
+        while reach < count:
+            more = min(reach, count - reach)
+            widest = np.maximum(widest[:, :-more], widest[:, more:])
+            reach += more
+        chosen[widest[:, :block] <= WIDTHS[selector]] = selector
+    chosen = chosen.reshape(-1)[:n]
     at = np.arange(n, dtype=np.int64)
-    ends = np.minimum((at // block + 1) * block, n)
-    left = (ends - at).astype(np.int32)
-    # greedy choice at every position: the selector with most values whose values all fit
-    chosen = np.full(n, ESCAPE, np.uint8)
-    step = np.ones(n, np.int32)
-    undecided = np.ones(n, bool)
-    for selector, (count, width) in enumerate(zip(COUNTS, WIDTHS)):
-        wide = np.where(ids >> np.uint64(width) != 0, at, np.int64(n))
-        first_wide = np.minimum.accumulate(wide[::-1])[::-1]
-        want = np.minimum(left, count)
-        fits = undecided & (first_wide - at >= want)
-        chosen[fits] = selector
-        step[fits] = want[fits]
-        undecided &= ~fits
-        if not undecided.any():
-            break
+    left = np.minimum((at // block + 1) * block, n) - at
+    step = np.minimum(np.array([*COUNTS, 0, 1], np.int64)[chosen], left)
     # follow the choices, all blocks in step
     cur = np.arange(0, n, block, dtype=np.int64)
     stop = np.minimum(cur + block, n)

@@ -26,7 +26,7 @@ CACHE_ENTRIES = 900_000
 #: ASCII punctuation; the apostrophe can begin a contraction, which is a pre-token of its own.
 TRAILING = string.punctuation.replace("'", "")
 #: Bytes of text whose pieces are numbered together, and words given to the tokenizer at once.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 6 << 20
 WORDS_PER_CALL = 200
 
 
@@ -66,14 +66,15 @@ class PieceEncoder(dict):
             return stem if stem[:1] == " " and stem[1:].isalpha() else None
         return stem if stem.isalpha() else None
 
-    def learn(self, pieces: list[str]) -> None:
-        """Cache the words of ``pieces``, many of them in one call of the tokenizer. A call whose
+    def learn(self, pieces: list[str]) -> list[bytes]:
+        """Ids of ``pieces``. Words not in the cache go to the tokenizer many in one call; a call whose
         pre-tokens are not its words one by one is left to the lookup of single pieces."""
-        missing = [p for p in pieces if p not in self]
+        found = list(map(self.get, pieces))
+        missing = [k for k, f in enumerate(found) if f is None]
         if len(self) + len(missing) > self.entries:
             self.clear()
-            missing = pieces
-        words = list({w: None for p in missing if (w := self._word(p)) is not None and w not in self})
+        stems = [self._word(pieces[k]) for k in missing]
+        words = list({w: None for w in stems if w is not None and w not in self})
         joint = "" if self.style == "byte" else " "
         for at in range(0, len(words), WORDS_PER_CALL):
             some = words[at:at + WORDS_PER_CALL]
@@ -85,6 +86,9 @@ class PieceEncoder(dict):
             data = np.array(joined.ids, dtype="<u4").tobytes()
             ends = (4 * stops).tolist()
             self.update((w, data[a:b]) for w, a, b in zip(some, [0, *ends], ends))
+        for k in missing:
+            found[k] = self[pieces[k]]
+        return found
 
     def ids(self, text: str) -> bytes:
         import pyarrow as pa
@@ -152,9 +156,8 @@ class PieceEncoder(dict):
         distinct = numbered.dictionary.to_pylist()
         if self.style == "word":
             distinct = [p.strip(" \n") for p in distinct]
-        self.learn(distinct)
-        found = [self[p] for p in distinct]
-        lengths = np.array([len(f) // 4 for f in found], np.int64)
+        found = self.learn(distinct)
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
         flat = np.frombuffer(b"".join(found), "<u4")
         taken = lengths[code]
         stops = np.concatenate([np.zeros(1, np.int64), np.cumsum(taken)])
