@@ -36,6 +36,7 @@ from vigil.llm.common import documents, written
 WINDOW = 50
 GRAM = 24
 LONGEST = 256  # windows per travelling string
+HASHED_TOGETHER = 1 << 15  # windows hashed at once: their arrays fit a core's cache
 SHARD_OCTETS = 1_000_000  # what the sort works on at once: small enough for a core's cache
 QUEUE_OCTETS = 256_000_000
 FEW_NAMES = 2048
@@ -205,8 +206,11 @@ def suffix_order(text: np.ndarray, reach: int = WINDOW, limit: int = QUEUE_OCTET
     return _induce(text, small, ranked, limit)
 
 
-def least_of_windows(strings: list[bytes], ids: np.ndarray, window: int = WINDOW, limit: int = QUEUE_OCTETS) -> list[np.ndarray]:
-    """For each string, per window start: the least id of all strings that have this window."""
+def least_of_windows(
+    strings: list[bytes], ids: np.ndarray, window: int = WINDOW, limit: int = QUEUE_OCTETS
+) -> tuple[np.ndarray, np.ndarray]:
+    """For each string, per window start: the least id of all strings that have this window. All strings
+    in one array, and where each one's part begins (and the last one's ends)."""
     size = np.fromiter(map(len, strings), np.int64, len(strings))
     octets = np.frombuffer(b"\x00".join([*strings, b""]), np.uint8)
     stop = np.cumsum(size + 1) - 1
@@ -233,12 +237,29 @@ def least_of_windows(strings: list[bytes], ids: np.ndarray, window: int = WINDOW
         starts = np.flatnonzero(np.r_[True, ~equal])
         least = np.minimum.reduceat(owner[order], starts)
         out[order] = np.repeat(least, np.diff(np.r_[starts, len(order)]))
-    return np.split(out[at], np.cumsum(n_windows)[:-1])
+    return out[at], np.r_[0, np.cumsum(n_windows)]
 
 
 # ---- routing ---------------------------------------------------------------------------
 
 
+def _minimisers(octets: np.ndarray) -> np.ndarray:
+    """Of each window of ``octets``, the least hash of its GRAM octets."""
+    h1 = blocks.random_words(256, 5)[octets]
+    f = blocks.random_words(5, 6)
+    h2 = h1[:-1] * f[0] + h1[1:]
+    h4 = h2[:-2] * f[1] + h2[2:]
+    h8 = h4[:-4] * f[2] + h4[4:]
+    h = h8[:-8] * f[3] + h8[8:]
+    h = blocks.mixed(h[:-8] * f[4] + h8[16:])  # GRAM octets
+    width = WINDOW - GRAM + 1
+    reach = 1
+    while 2 * reach <= width:
+        h = np.minimum(h[:-reach], h[reach:])
+        reach *= 2
+    return np.minimum(h[:len(h) - (width - reach)], h[width - reach:])
+
+
 class Runs:
     """Runs of windows of a chunk that share a minimiser: route, first window, count, document."""
 
@@ -248,23 +269,9 @@ class Runs:
         self.route, self.start, self.count, self.doc = none.view(np.uint64), none, none, none
         if n < WINDOW:
             return
-        h1 = blocks.random_words(256, 5)[chunk.octets]
-        f = blocks.random_words(5, 6)
-        h2 = h1[:-1] * f[0] + h1[1:]
-        h4 = h2[:-2] * f[1] + h2[2:]
-        del h1, h2
-        h8 = h4[:-4] * f[2] + h4[4:]
-        del h4
-        h = h8[:-8] * f[3] + h8[8:]
-        h = blocks.mixed(h[:-8] * f[4] + h8[16:])  # GRAM octets
-        del h8
-        width = WINDOW - GRAM + 1
-        reach = 1
-        while 2 * reach <= width:
-            h = np.minimum(h[:-reach], h[reach:])
-            reach *= 2
-        least = np.minimum(h[:len(h) - (width - reach)], h[width - reach:])
-        del h
+        least = np.empty(n - WINDOW + 1, np.uint64)
+        for at in range(0, len(least), HASHED_TOGETHER):
+            least[at:at + HASHED_TOGETHER] = _minimisers(chunk.octets[at:at + HASHED_TOGETHER + WINDOW - 1])
         inside = np.zeros(len(least) + 1, np.int8)
         long = chunk.ends - chunk.starts >= WINDOW
         inside[chunk.starts[long]] += 1
@@ -375,15 +382,15 @@ def _sort_shards(octets: int, limit: int):
         def replies(slot, chunk, nth, least, number: dict[bytes, int], string):
             ids = np.full(len(number), blocks.LAST)
             np.minimum.at(ids, string, least)
-            found = least_of_windows(list(number), ids, limit=limit)
+            found, begin = least_of_windows(list(number), ids, limit=limit)
+            hit = np.minimum.reduceat(found, begin[:-1])[string] < least  # every string has a window
             rows: dict[tuple[int, int], tuple[list, list, list]] = {}
-            for s, c, k, own, i in zip(slot.tolist(), chunk.tolist(), nth.tolist(), least.tolist(), string.tolist()):
-                earlier = found[i] < own
-                if earlier.any():
-                    nths, sizes, bits = rows.setdefault((s, c), ([], [], []))
-                    nths.append(k)
-                    sizes.append(len(earlier))
-                    bits.append(np.packbits(earlier).tobytes())
+            hits = (slot[hit], chunk[hit], nth[hit], least[hit], begin[string[hit]], begin[string[hit] + 1])
+            for s, c, k, own, a, b in zip(*(values.tolist() for values in hits)):
+                nths, sizes, bits = rows.setdefault((s, c), ([], [], []))
+                nths.append(k)
+                sizes.append(b - a)
+                bits.append(np.packbits(found[a:b] < own).tobytes())
             keys = list(rows)
             return pa.RecordBatch.from_arrays(
                 [
@@ -413,17 +420,20 @@ def _sort_shards(octets: int, limit: int):
             route = batch.column(0).to_numpy()
             others = [batch.column(i).to_numpy() for i in range(1, 5)]
             strings = batch.column(5).to_pylist()
-            # shards end where a route ends
+            # shards end where a route ends; the first such place after every eighth of a shard will do
             border = np.flatnonzero(np.r_[len(route) > 0 and last is not None and route[0] != last, route[1:] != route[:-1]])
+            size = np.fromiter(map(len, strings), np.int64, len(strings))
+            eighth = (np.cumsum(size) - size)[border] // max(1, octets // 8)
+            border = border[np.r_[True, eighth[1:] != eighth[:-1]]] if len(border) else border
             begin = 0
             for stop in [*border.tolist(), len(route)]:
                 if stop > begin:
                     before = len(number)
-                    place = [number.setdefault(s, len(number)) for s in strings[begin:stop]]
-                    if len(number) > before:
-                        held += sum(len(s) for s in set(strings[begin:stop]))
-                    for c, values in zip(columns, [*others, None]):
-                        c.append(np.array(place, np.int64) if values is None else values[begin:stop])
+                    place = np.array([number.setdefault(s, len(number)) for s in strings[begin:stop]], np.int64)
+                    new = np.unique(place, return_index=True)[1]
+                    held += int(size[begin:stop][new[place[new] >= before]].sum())
+                    for c, values in zip(columns, [*(o[begin:stop] for o in others), place]):
+                        c.append(values)
                     begin = stop
                 if stop < len(route) and held >= octets:
                     yield flush()
