@@ -101,6 +101,8 @@ def test_model_roundtrip_and_cache(spark, small_model):
     version["v"] = 2
     cache.current()
     assert cache.loads == 2
+    cache.resolve = lambda: None  # the alias is withdrawn
+    assert cache.current() is None and cache.version is None
 
 
 def test_training_beats_majority_and_is_at_optimum(spark, small_model):

@@ -10,7 +10,8 @@ The monitored system polls a CSV every 60 s. Here the same work is a stream:
                       model and embedding drift against a matched reference sample, append
                       the five gauges to ``metric_history`` keyed by ``batch_id`` -- a replayed
                       batch id appends nothing (idempotent).
-* `ModelCache`        reloads the production model only when the alias points elsewhere.
+* `ModelCache`        reloads the production model only when the alias points elsewhere;
+                      a withdrawn alias leaves no model.
 * `windowed_metrics`  tumbling event-time windows with a watermark (late rows dropped
                       after the watermark passes); `windowed_metrics_batch` is its batch twin.
 * `retrain_cycle`     hold back the window, fold the rest into training, fit, evaluate,
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -137,7 +139,8 @@ class ModelCache:
     def current(self) -> PipelineModel | None:
         found = self.resolve()
         if found is None:
-            return self.model  # keep the old model when the alias cannot be read
+            self.version = self.model = None  # the alias was withdrawn
+            return None
         version, path = found
         if version != self.version:
             self.model = PipelineModel.load(path)
@@ -155,8 +158,10 @@ def lineage_resolver(spark: SparkSession, aliases_path: str, versions_path: str,
         try:
             events = spark.read.parquet(aliases_path).filter((F.col("name") == name) & (F.col("alias") == alias))
             versions = spark.read.parquet(versions_path).filter(F.col("name") == name)
-        except Exception:  # noqa: BLE001 - tables not written yet
-            return None
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None  # tables not written yet
         cur = lineage.current_alias(events)
         row = cur.join(versions.select("name", "version", "path"), ["name", "version"]).select("version", "path").first()
         return None if row is None else (int(row.version), row.path)
@@ -195,8 +200,10 @@ class MetricsRefresher:
     def _seen(self, batch_id: int) -> bool:
         try:
             h = self.spark.read.schema(METRIC_HISTORY).parquet(self.history_path)
-        except Exception:  # noqa: BLE001 - no history yet
-            return False
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return False  # no history yet
         return h.filter(F.col("batch_id") == batch_id).limit(1).count() > 0
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
