@@ -197,6 +197,27 @@ def test_suffix_array_against_brute_force(spark, edge, which):
     assert got == want
 
 
+def test_a_hot_minimiser_is_split(spark):
+    """A phrase in every document, each time in another context: no route holds more than a shard."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(6)
+    phrase = "subscribe to our newsletter for weekly news and offers"
+    own = [["".join(chr(97 + c) for c in rng.integers(0, 26, 150)) for _ in range(2)] for _ in range(400)]
+    rows = [(i, f"{a} {phrase} {b}") for i, (a, b) in enumerate(own)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    bits, shard = blocks.bucket_bits(spark), 4_000
+    _, strings = suffix.travelling(docs, bits, shard_octets=shard)
+    held = strings.select("route", "string").distinct().groupBy("route").agg(F.sum(F.length("string")))
+    assert 0 < held.agg(F.max("sum(length(string))")).first()[0] <= shard
+    _, whole = suffix.travelling(docs, bits)  # a shard that holds all
+    held = whole.select("route", "string").distinct().groupBy("route").agg(F.sum(F.length("string")))
+    assert held.agg(F.max("sum(length(string))")).first()[0] > 4 * shard
+    got = {r.doc_id: (r.n_removed, bytes(r.kept)) for r in suffix.remove_repeats(docs, shard_octets=shard).collect()}
+    for i, u, gone in brute_windows(rows, str.encode, suffix.WINDOW):
+        assert got[i] == (int(gone.sum()), np.frombuffer(u, np.uint8)[~gone].tobytes())
+
+
 def test_dedup_of_nothing(empty):
     assert substring.remove_repeats(empty).count() == 0
     assert suffix.remove_repeats(empty).count() == 0

@@ -142,13 +142,15 @@ def slices(sorted_hashes: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
         yield int(bucket[a]), slice(int(a), int(b))
 
 
-def read_bits(sorted_hashes: np.ndarray, answers: dict[int, bytes], bits: int) -> np.ndarray:
-    """The answers to ascending keys, as booleans; a bucket that did not answer said no."""
+def read_bits(sorted_hashes: np.ndarray, answers: dict[int, bytes], bits: int, nth: int = 0) -> np.ndarray:
+    """The answers to ascending keys, as booleans; a bucket that did not answer said no. Answers may
+    have a further bit for each key, behind the first ones of all: the ``nth`` is read."""
     out = np.zeros(len(sorted_hashes), bool)
     for bucket, part in slices(sorted_hashes, bits):
         if bucket in answers:
             size = part.stop - part.start
-            out[part] = np.unpackbits(np.frombuffer(answers[bucket], np.uint8), count=size).astype(bool)
+            said = np.unpackbits(np.frombuffer(answers[bucket], np.uint8), count=(nth + 1) * size)  # filled up with no
+            out[part] = said[nth * size:].astype(bool)
     return out
 
 

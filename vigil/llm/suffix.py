@@ -8,7 +8,13 @@ one minimiser travel as one string. First the minimisers themselves are exchange
 keys (see ``blocks``): a minimiser that only one document has cannot be that of a shared
 window, and its strings stay home. Equal strings of a chunk travel once, with their least id,
 and texts equal to an earlier one not at all: they repeat whole. A shard is any set of
-minimisers, so shards are cut to SHARD_OCTETS.
+routes, so shards are cut to SHARD_OCTETS.
+
+Hot minimisers. A frequent phrase longer than GRAM has windows that reach into each document's own
+context: one string per document, all under one minimiser. The exchange of minimisers adds up
+the octets of each one's strings; where they exceed a shard, the strings are broken into single
+windows, routed by the hash of the whole window. Equal windows have one minimiser, so they are
+broken everywhere or nowhere and still meet; a chunk sends each distinct one once.
 
 Sorting. A shard's distinct strings are suffix-sorted by induced sorting: LMS substrings are
 sorted by one induction, named, and their suffixes ordered by recursion on the names (again by
@@ -40,6 +46,7 @@ HASHED_TOGETHER = 1 << 15  # windows hashed at once: their arrays fit a core's c
 SHARD_OCTETS = 1_000_000  # what the sort works on at once: small enough for a core's cache
 QUEUE_OCTETS = 256_000_000
 FEW_NAMES = 2048
+STRING_OCTETS = LONGEST + WINDOW - 1  # a travelling string's at most
 GRAMS, TEXTS = 0, 1
 
 
@@ -264,7 +271,7 @@ class Runs:
     """Runs of windows of a chunk that share a minimiser: route, first window, count, document."""
 
     def __init__(self, chunk: Chunk):
-        n = len(chunk.octets)
+        n, self.data = len(chunk.octets), chunk.data
         none = np.zeros(0, np.int64)
         self.route, self.start, self.count, self.doc = none.view(np.uint64), none, none, none
         if n < WINDOW:
@@ -300,31 +307,66 @@ class Runs:
         several = np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts)
         return self.route[order[starts]], key_of, several
 
+    def large(self, key_of: np.ndarray, n_keys: int) -> tuple[np.ndarray, np.ndarray]:
+        """(keys, octets) of the keys whose distinct strings may have more than STRING_OCTETS."""
+        size = self.count + WINDOW - 1
+        octets = np.bincount(key_of, weights=size, minlength=n_keys).astype(np.int64)
+        runs = np.flatnonzero(octets[key_of] > STRING_OCTETS)
+        distinct: dict[int, set[bytes]] = {}
+        for k, a, n in zip(key_of[runs].tolist(), self.start[runs].tolist(), size[runs].tolist()):
+            distinct.setdefault(k, set()).add(self.data[a:a + n])
+        keys = np.array(sorted(distinct), np.int64)
+        return keys, np.array([sum(map(len, distinct[k])) for k in keys.tolist()], np.int64)
+
 
 def _emit_grams(bits: int):
     def run(batches: Iterator) -> Iterator:
         for chunk in blocks.rows_of(batches):
-            keys, _, several = Runs(chunk).keys()
+            runs = Runs(chunk)
+            keys, key_of, several = runs.keys()
+            large, octets = runs.large(key_of, len(keys))
             short = ((keys >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype("<u4")
-            out = [
-                (b, GRAMS, short[p].tobytes(), np.packbits(several[p]).tobytes()) for b, p in blocks.slices(keys, bits)
-            ]
+            out = []
+            for b, p in blocks.slices(keys, bits):
+                mine = slice(*np.searchsorted(large, [p.start, p.stop]))
+                sizes = np.stack([large[mine] - p.start, octets[mine]]).astype("<i8")
+                out.append((b, GRAMS, short[p].tobytes(), np.packbits(several[p]).tobytes() + sizes.tobytes()))
             yield blocks.blob_batch(out + blocks.digest_blobs(chunk, TEXTS, bits), chunk.slot, chunk.chunk)
 
     return run
 
 
-def _judge_grams(keys: list[bytes], extra: list[bytes]) -> list[np.ndarray]:
-    """Of each key: do several documents have it?"""
-    sizes = [len(k) // 4 for k in keys]
-    short = np.frombuffer(b"".join(keys), dtype="<u4")
-    several = np.concatenate([np.unpackbits(np.frombuffer(e, np.uint8), count=n) for e, n in zip(extra, sizes)])
-    order, starts = blocks.groups(short)
-    count = np.diff(np.r_[starts, len(short)])
-    hit = (count > 1) | np.logical_or.reduceat(several[order].astype(bool), starts)
-    out = np.empty(len(short), bool)
-    out[order] = np.repeat(hit, count)
-    return blocks.split(out, sizes)
+def _judge_grams(octets: int):
+    """Of each key: do several documents have it? Where a chunk's blob has keys with more than ``octets``
+    of strings in all chunks, a second bit for each key follows: is it hot?"""
+
+    def judge(keys: list[bytes], extra: list[bytes]) -> list[np.ndarray]:
+        sizes = [len(k) // 4 for k in keys]
+        short = np.frombuffer(b"".join(keys), dtype="<u4")
+        several = np.concatenate([np.unpackbits(np.frombuffer(e, np.uint8), count=n) for e, n in zip(extra, sizes)])
+        held = np.full(len(short), STRING_OCTETS)
+        for at, e, n in zip(np.cumsum([0, *sizes]).tolist(), extra, sizes):
+            large, size = np.frombuffer(e, "<i8", offset=-(-n // 8)).reshape(2, -1)
+            held[at + large] = size
+        order, starts = blocks.groups(short)
+        count = np.diff(np.r_[starts, len(short)])
+        hit = (count > 1) | np.logical_or.reduceat(several[order].astype(bool), starts)
+        hot = hit & (np.add.reduceat(held[order], starts) > octets)
+        out = np.empty((2, len(short)), bool)
+        out[:, order] = np.repeat([hit, hot], count, axis=1)
+        return [np.r_[a, b] if b.any() else a for a, b in zip(blocks.split(out[0], sizes), blocks.split(out[1], sizes))]
+
+    return judge
+
+
+def _window_hashes(octets: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Hashes of whole windows, by where they start."""
+    word = blocks.random_words(256, 7)
+    factor = blocks.random_words(1, 8)[0]
+    h = np.zeros(len(start), np.uint64)
+    for i in range(WINDOW):
+        h = h * factor + word[octets[start + i]]
+    return blocks.mixed(h)
 
 
 class Strings:
@@ -333,11 +375,15 @@ class Strings:
     def __init__(self, chunk: Chunk, bits: int):
         runs = Runs(chunk)
         keys, key_of, _ = runs.keys()
-        hit = blocks.read_bits(keys, chunk.answers("first", GRAMS), bits)
+        answers = chunk.answers("first", GRAMS)
+        hit = blocks.read_bits(keys, answers, bits)
+        hot = blocks.read_bits(keys, answers, bits, nth=1)
         self.copy = blocks.repeated_texts(chunk, "first", TEXTS, bits)
         goes = hit[key_of] & ~self.copy[runs.doc] if len(key_of) else np.zeros(0, bool)
         self.start, self.count, self.route = runs.start[goes], runs.count[goes], runs.route[goes]
         self.ids = chunk.ids[runs.doc[goes]]
+        if hot.any():
+            self._break(chunk, hot[key_of[goes]])
         number: dict[bytes, int] = {}
         data = chunk.data
         stops = self.start + self.count + WINDOW - 1
@@ -350,6 +396,16 @@ class Strings:
         self.routes = np.zeros(len(number), np.uint64)
         self.routes[self.string] = self.route
 
+    def _break(self, chunk: Chunk, hot: np.ndarray) -> None:
+        """Runs of hot minimisers become runs of one window each, routed by all of it."""
+        parts = np.where(hot, self.count, 1)
+        again = np.repeat(np.arange(len(parts)), parts)
+        nth = np.arange(len(again)) - np.repeat(np.cumsum(parts) - parts, parts)
+        self.start, self.count = self.start[again] + nth, np.where(hot, 1, self.count)[again]
+        self.route, self.ids = self.route[again], self.ids[again]
+        single = hot[again]
+        self.route[single] = _window_hashes(chunk.octets, self.start[single])
+
 
 STRING = "route long, slot int, chunk long, nth int, least long, string binary"
 REPLY = "slot int, chunk long, nths binary, sizes binary, bits binary"
@@ -498,6 +554,19 @@ def _remove(bits: int, as_text: bool):
     return run
 
 
+def travelling(
+    docs: DataFrame, bits: int, carry: list[str] | None = None, shard_octets: int = SHARD_OCTETS
+) -> tuple[DataFrame, DataFrame]:
+    """(chunks with the answers to their minimisers, STRING rows); the distinct strings of one route have
+    at most ``shard_octets`` octets, or are one window."""
+    table = blocks.chunk_table(docs, carry)
+    grams = table.mapInArrow(_emit_grams(bits), blocks.BLOB)
+    first = blocks.exchange(grams, {GRAMS: _judge_grams(shard_octets), TEXTS: blocks.judge_digests})
+    first = written(first, "grams").withColumnRenamed("answers", "first")
+    met = table.join(first, "slot", "left")
+    return met, met.mapInArrow(_emit_strings(bits), STRING)
+
+
 def remove_repeats(
     docs: DataFrame,
     carry: list[str] | None = None,
@@ -512,14 +581,8 @@ def remove_repeats(
     without the rests of characters that a removal cut through. A null text is empty; a null id comes after all others; rows of one id do not remove from
     each other; texts shorter than a window stay; other columns are ignored; no rows give no
     rows."""
-    spark = docs.sparkSession
-    bits = blocks.bucket_bits(spark)
-    table = blocks.chunk_table(docs, carry)
-    grams = table.mapInArrow(_emit_grams(bits), blocks.BLOB)
-    first = blocks.exchange(grams, {GRAMS: _judge_grams, TEXTS: blocks.judge_digests})
-    first = written(first, "grams").withColumnRenamed("answers", "first")
-    met = table.join(first, "slot", "left")
-    strings = met.mapInArrow(_emit_strings(bits), STRING)
+    bits = blocks.bucket_bits(docs.sparkSession)
+    met, strings = travelling(docs, bits, carry, shard_octets)
     replies = strings.repartition("route").sortWithinPartitions("route").mapInArrow(
         _sort_shards(shard_octets, queue_octets), REPLY
     )
