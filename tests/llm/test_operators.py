@@ -282,6 +282,16 @@ def test_likeness_and_single_documents(spark, empty):
     assert fingerprint.fingerprint_documents(one).first().near_next == 1.0
 
 
+@pytest.mark.parametrize("shared", [0, 100_000, 180_000])
+def test_likeness_of_long_texts(shared):
+    """Against the true overlap: 200,000 phrases each, so up to 400,000 differ."""
+    n = 200_000
+    a = ". ".join(f"phrase {i} of many" for i in range(n))
+    b = ". ".join(f"phrase {i} of many" for i in range(n - shared, 2 * n - shared))
+    f = fingerprint.fingerprints([a.encode(), b.encode()])
+    assert abs(fingerprint.likeness(f[:1], f[1:])[0] - shared / n) < 0.25
+
+
 # ---- SimHash ---------------------------------------------------------------------------
 
 

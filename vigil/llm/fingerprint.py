@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from vigil.llm.common import by_id, documents, written
 
 IDENTITY = 8
-LEVELS, LANES = 8, 32
+LEVELS, LANES = 28, 32  # the sparsest level takes one phrase of 2^27: no text fills it
 FULL = 0.75  # a level with a larger share of occupied lanes counts as full
 HEAD = 4 * (IDENTITY + 1)
 WIDTH = HEAD + LEVELS * LANES
@@ -65,8 +65,8 @@ def fingerprints(texts: list[bytes]) -> np.ndarray:
     h = np.array(hashes, dtype=np.uint64)
     low = (h & np.uint64((1 << LEVELS) - 1)) | np.uint64(1 << (LEVELS - 1))
     level = np.bitwise_count((low & (~low + np.uint64(1))) - np.uint64(1)).astype(np.int64)  # trailing zeros
-    lane = (h >> np.uint64(16)).astype(np.int64) & (LANES - 1)
-    value = ((h >> np.uint64(32)) & np.uint64(255)).astype(np.int64) | 1
+    lane = (h >> np.uint64(32)).astype(np.int64) & (LANES - 1)  # other bits than the level's
+    value = ((h >> np.uint64(40)) & np.uint64(255)).astype(np.int64) | 1
     at = np.repeat(np.arange(n), phrase_count) * (LEVELS * LANES) + level * LANES + lane
     strata = np.bincount(at, weights=value, minlength=n * LEVELS * LANES).astype(np.int64)
     out[:, HEAD:] = (strata & 255).astype(np.uint8).reshape(n, -1)
@@ -90,12 +90,12 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     equal = (a == b).all(axis=1)
     both = (_lanes(a)[0][:, IDENTITY].astype(np.float64) + _lanes(b)[0][:, IDENTITY])
     occupied = (combine(a, b, -1)[:, HEAD:] != 0).reshape(len(a), LEVELS, LANES).sum(axis=2)
-    counted = -LANES * np.log(1 - np.minimum(occupied, LANES - 0.5) / LANES)
-    differing = np.zeros(len(a))
+    counted = -LANES * np.log(1 - np.minimum(occupied, FULL * LANES) / LANES)  # a full level is never read
+    differing = both.copy()
     open_ = np.ones(len(a), bool)  # levels from the sparsest down, until one is full
     above = np.zeros(len(a))
     for level in range(LEVELS - 1, -1, -1):
-        open_ &= (occupied[:, level] <= FULL * LANES) | (level == LEVELS - 1)
+        open_ &= occupied[:, level] <= FULL * LANES
         above = np.where(open_, above + counted[:, level], above)
         differing = np.where(open_, above * 2.0**level, differing)
     share = np.clip(1 - differing / np.maximum(both, 1), 0, 1 - 1e-9)
@@ -150,6 +150,7 @@ def _batch(rows: dict, kind: str, shard: int, text: str | None = None):
 
 
 TEXT_AT_ONCE = 4_000_000
+ROWS_AT_ONCE = 2000  # the lanes of many short texts outweigh the texts
 
 
 def _sweep(batches: Iterator) -> Iterator:
@@ -167,7 +168,7 @@ def _sweep(batches: Iterator) -> Iterator:
             else:
                 held.append((*last, text))
                 size += len(text)
-                if size >= TEXT_AT_ONCE:
+                if size >= TEXT_AT_ONCE or len(held) >= ROWS_AT_ONCE:
                     yield _batch(_rows(held), "row", shard)
                     held, size = [], 0
             last = doc_id, text
