@@ -292,6 +292,19 @@ def test_likeness_of_long_texts(shared):
     assert abs(fingerprint.likeness(f[:1], f[1:])[0] - shared / n) < 0.25
 
 
+def test_likeness_without_phrase_ends():
+    """Texts that are one phrase by ASCII punctuation: half shared, and nothing shared."""
+    rng = np.random.default_rng(8)
+    words = [" ".join(f"word{i}" for i in rng.integers(0, 1 << 40, 3000)) for _ in range(3)]
+    japanese = ["".join(chr(c) for c in rng.integers(0x4E00, 0x9000, 6000)).replace(chr(0x5000), "。") for _ in range(3)]
+    for first, second, third in (words, japanese):
+        f = fingerprint.fingerprints([t.encode() for t in (first + second, first + third, second, third)])
+        assert abs(fingerprint.likeness(f[:1], f[1:2])[0] - 0.5) < 0.25
+        assert fingerprint.likeness(f[2:3], f[3:])[0] < 0.25
+    assert b"".join(fingerprint.units(b"a" * 100_000)) == b"a" * 100_000
+    assert max(map(len, fingerprint.units(b"a" * 100_000))) <= fingerprint.LONGEST_UNIT
+
+
 # ---- SimHash ---------------------------------------------------------------------------
 
 

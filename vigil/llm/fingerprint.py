@@ -8,7 +8,8 @@ paragraph is inserted or deleted by adding or subtracting its vector.
 The vector of a paragraph has
 
     identity   8 lanes modulo 2^32, from a keyed 256-bit hash of the paragraph
-    phrases    1 lane modulo 2^32: how many phrases it has (split at . , ; : ! ?)
+    phrases    1 lane modulo 2^32: how many phrases it has (split at . , ; : ! ?; a phrase
+               over LONG_PHRASE octets is cut further where its own octets say so)
     strata     LEVELS x LANES lanes modulo 2^8: each phrase adds an odd number to one lane
                of one level; level j takes a phrase with probability 2^-(j+1), the last
                level the rest
@@ -27,6 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigil.llm import blocks
 from vigil.llm.common import by_id, documents, written
 
 IDENTITY = 8
@@ -35,6 +37,32 @@ FULL = 0.75  # a level with a larger share of occupied lanes counts as full
 HEAD = 4 * (IDENTITY + 1)
 WIDTH = HEAD + LEVELS * LANES
 PHRASE_END = rb"[.,;:!?]"
+LONG_PHRASE = 192
+CUT_BY = 8  # octets whose hash decides on a cut behind them
+CUT_BITS = 5  # one place of 2^5
+LONGEST_UNIT = 1024  # where no place is chosen
+HASHED_TOGETHER = 1 << 15
+
+
+def units(phrase: bytes) -> list[bytes]:
+    """A long phrase (lists of words, scripts with other punctuation) in pieces cut by content: an edit
+    changes the pieces around it only."""
+    octets = np.frombuffer(phrase, np.uint8)
+    word, f = blocks.random_words(256, 9), blocks.random_words(3, 10)
+    cuts = []
+    for at in range(0, len(octets), HASHED_TOGETHER):
+        h = word[octets[at:at + HASHED_TOGETHER + CUT_BY - 1]]
+        if len(h) < CUT_BY:
+            break
+        h = h[:-1] * f[0] + h[1:]
+        h = h[:-2] * f[1] + h[2:]
+        h = blocks.mixed(h[:-4] * f[2] + h[4:])
+        cuts.append(np.flatnonzero(h >> np.uint64(64 - CUT_BITS) == 0) + at + CUT_BY)
+    out, begin = [], 0
+    for stop in [*np.concatenate(cuts).tolist(), len(phrase)]:
+        out += [phrase[a:min(a + LONGEST_UNIT, stop)] for a in range(begin, stop, LONGEST_UNIT)]
+        begin = stop
+    return out
 
 
 def fingerprints(texts: list[bytes]) -> np.ndarray:
@@ -53,7 +81,11 @@ def fingerprints(texts: list[bytes]) -> np.ndarray:
             digests.append(xxh3_128_digest(p, 1))
             digests.append(xxh3_128_digest(p, 2))
         para_count.append(len(paragraphs))
-        phrases = [s for p in paragraphs for f in split(p) if (s := f.strip())]
+        phrases = []
+        for p in paragraphs:
+            for f in split(p):
+                if s := f.strip():
+                    phrases += units(s) if len(s) > LONG_PHRASE else (s,)
         hashes += [xxh3_64_intdigest(s, 3) for s in phrases]
         phrase_count.append(len(phrases))
     para_count, phrase_count = np.array(para_count), np.array(phrase_count)
