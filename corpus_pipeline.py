@@ -44,7 +44,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the mix's token sequences."""
-    pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), "word")
+    pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), "word", special_tokens=True)
     return pieces.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )

@@ -150,6 +150,38 @@ def test_pieces_give_the_ids_of_the_whole(text):
         assert np.frombuffer(encoder(path, style).ids(text), "<u4").tolist() == encode(text)[:-1]
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(ODD, min_size=1, max_size=4))
+def test_special_tokens_as_the_library_has_them(some):
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+    from vigil.llm.tokens import encoder
+
+    some = [*some, "end <|endoftext|> of", "plain words"]
+    for name, style in (("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")):
+        path = public_tokenizers.path(name)
+        library = Tokenizer.from_file(path)
+        got = encoder(path, style, special_tokens=True).many(pa.array(some, pa.string()))
+        want = [library.encode(t, add_special_tokens=False).ids for t in some]
+        assert [np.frombuffer(g, "<u4").tolist() for g in got] == want
+
+
+def test_queries_keep_special_tokens(spark, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    text = "end <|endoftext|> of"
+    spark.createDataFrame([(1, text), (2, "next")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    ids = {n: Tokenizer.from_file(public_tokenizers.path(n)).encode(text, add_special_tokens=False).ids + [2]
+           for n in ("byte_bpe_50k.json", "word_bpe_49k.json")}
+    first = {r.doc_id: r for r in queries.QUERIES["op9_token_files"](spark, str(tmp_path)).collect()}
+    assert first[1].ids_crc32 == zlib.crc32(np.array(ids["byte_bpe_50k.json"], "<u4").tobytes())
+    assert first[2].start == len(ids["byte_bpe_50k.json"]) == 5
+    packed = {r.doc_id: r.doc_tokens for r in queries.QUERIES["op1_packing"](spark, str(tmp_path)).collect()}
+    assert packed[1] == len(ids["word_bpe_49k.json"])
+
+
 # ---- substring and suffix array --------------------------------------------------------
 
 

@@ -116,12 +116,12 @@ def _powers_of_two(pieces: list[tuple[int, int, int]], total: int) -> list[list[
     return out
 
 
-def _pack_partition(path: str, style: str, length: int, group_tokens: int, end_id: int):
+def _pack_partition(path: str, style: str, length: int, group_tokens: int, end_id: int, special_tokens: bool):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encode = encoder(path, style).many
+        encode = encoder(path, style, special_tokens).many
         end = np.array([end_id], dtype="<u4").tobytes()
         base, made = TaskContext.get().partitionId() << 40, 0
 
@@ -163,6 +163,7 @@ def pack(
     length: int = LENGTH,
     group_tokens: int = GROUP_TOKENS,
     end_id: int = END_ID,
+    special_tokens: bool = False,
 ) -> DataFrame:
     """Pack ``docs`` (doc_id, text) into sequences of at most ``length`` tokens.
 
@@ -170,18 +171,20 @@ def pack(
     (little-endian uint32), doc_tokens, sequence_id, offset in the sequence. A null text is
     empty (one piece: the end id); rows that repeat an id, or are equal, are packed each on
     their own; a null id stays null; other columns are ignored; no rows give no rows.
+    With ``special_tokens``, the string of a special token in a text is that token, as in the
+    tokenizers library by default; otherwise it is ordinary text.
     ``length`` must be a power of two for step 4 of the module text to save padding.
     """
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spread = F.xxhash64("doc_id", F.xxhash64("text"))
     ordered = dealt.repartition(spread).sortWithinPartitions(spread, "doc_id")
-    return ordered.mapInArrow(_pack_partition(tokenizer, style, length, group_tokens, end_id), PIECES)
+    return ordered.mapInArrow(_pack_partition(tokenizer, style, length, group_tokens, end_id, special_tokens), PIECES)
 
 
 def op1_packing(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    pieces = pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), "word")
+    pieces = pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), "word", special_tokens=True)
     return pieces.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )

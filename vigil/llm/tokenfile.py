@@ -130,12 +130,12 @@ def decode_ids(words: np.ndarray, offsets: np.ndarray, escapes: np.ndarray, n: i
     return out
 
 
-def _encode_partition(path: str, style: str, end_id: int, page_ids: int):
+def _encode_partition(path: str, style: str, end_id: int, page_ids: int, special_tokens: bool):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encode = encoder(path, style).many
+        encode = encoder(path, style, special_tokens).many
         end = np.array([end_id], dtype="<u4").tobytes()
         shard, page = TaskContext.get().partitionId(), 0
 
@@ -171,18 +171,21 @@ def _encode_partition(path: str, style: str, end_id: int, page_ids: int):
 
 
 def write_tokens(
-    docs: DataFrame, folder: str, tokenizer: str, style: str = "plain", end_id: int = END_ID, page_ids: int = PAGE_IDS
+    docs: DataFrame, folder: str, tokenizer: str, style: str = "plain", end_id: int = END_ID, page_ids: int = PAGE_IDS,
+    special_tokens: bool = False,
 ) -> None:
     """Encode ``docs`` (doc_id, text) and write token files to ``folder`` in ascending doc_id.
 
     A null text is empty (the end id alone); null ids come last; rows of one id are ordered by
-    text; other columns are ignored; no documents give files without pages."""
+    text; other columns are ignored; no documents give files without pages. With
+    ``special_tokens``, the string of a special token in a text is that token, as in the tokenizers
+    library by default; otherwise it is ordinary text."""
     ordered = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         .repartitionByRange(by_id())
         .sortWithinPartitions(by_id(), "text")
     )
-    pages = ordered.mapInArrow(_encode_partition(tokenizer, style, end_id, page_ids), PAGES)
+    pages = ordered.mapInArrow(_encode_partition(tokenizer, style, end_id, page_ids, special_tokens), PAGES)
     pages.write.option("compression", "none").parquet(folder)
 
 
@@ -239,5 +242,5 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     folder = scratch_path(spark, "token-files")
-    write_tokens(documents(spark, sf_dir), folder, public_tokenizers.path("byte_bpe_50k.json"), "byte")
+    write_tokens(documents(spark, sf_dir), folder, public_tokenizers.path("byte_bpe_50k.json"), "byte", special_tokens=True)
     return read_tokens(spark, folder, F.crc32("ids").alias("ids_crc32"))

@@ -3,7 +3,8 @@
 A text is cut only where the tokenizer's own pre-tokenizer always cuts, so the ids of the
 pieces, joined, are the ids of the text; pieces repeat a lot, texts do not. Texts with
 unusual white space are encoded whole. Strings of special tokens inside a text are
-ordinary text (``encode_special_tokens``).
+ordinary text (``encode_special_tokens``), or with ``special_tokens`` those tokens; texts that
+hold one are encoded whole then.
 
 Styles (which cuts are safe):
     byte   byte-level BPE whose pattern keeps one leading space with a word
@@ -33,14 +34,17 @@ WORDS_PER_CALL = 200
 class PieceEncoder(dict):
     """piece -> little-endian uint32 ids as bytes; ``ids(text)`` joins a text's pieces."""
 
-    def __init__(self, path: str, style: str = "plain", entries: int = CACHE_ENTRIES):
+    def __init__(self, path: str, style: str = "plain", entries: int = CACHE_ENTRIES, special_tokens: bool = False):
         from tokenizers import Tokenizer
 
         super().__init__()
         if style not in ("plain", "byte", "word"):
             raise ValueError(f"unknown style {style!r}")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special_tokens
+        # texts that hold a token's own string are encoded whole
+        added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.added = re.compile(b"|".join(map(re.escape, added)), re.IGNORECASE) if special_tokens and added else None
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.style, self.entries = style, entries
@@ -142,6 +146,10 @@ class PieceEncoder(dict):
         for at in np.flatnonzero(beyond & ~unusual).tolist():
             unusual[at] = bool(self.unusual(texts[at].as_py()))
 
+        if self.added is not None:
+            held = [m.start() for m in self.added.finditer(memoryview(data))]
+            unusual[owner(np.array(held, np.int64))] = True
+
         first = blank.copy()
         first[1:] |= newline[:-1]
         first[bounds[filled]] = True
@@ -169,9 +177,10 @@ class PieceEncoder(dict):
         ]
 
 
-def encoder(path: str, style: str) -> PieceEncoder:
+def encoder(path: str, style: str, special_tokens: bool = False) -> PieceEncoder:
     """The worker's encoder for a vocabulary file; kept between tasks."""
     kept = worker_state()
-    if (path, style) not in kept:
-        kept[path, style] = PieceEncoder(path, style)
-    return kept[path, style]
+    key = path, style, special_tokens
+    if key not in kept:
+        kept[key] = PieceEncoder(path, style, special_tokens=special_tokens)
+    return kept[key]
