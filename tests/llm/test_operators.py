@@ -561,6 +561,27 @@ def test_mix_on_edge_rows(spark, edge, empty):
     assert mixing.mix(empty).count() == 0 and mixing.mixed(empty).count() == 0
 
 
+def test_equal_rows_are_taken_one_by_one(spark, tmp_path):
+    """A source of 40 equal rows meets its target up to less than a row, as in the SQL twin."""
+    import duckdb
+
+    rows = [(1, "ten words " * 5, "a")] * 40 + [(None, "five words in this text", None)] * 30
+    rows += [(i, f"text {i} " * 5, "b") for i in range(2, 62)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    target = {r.source: r.target for r in mixing.mix(docs).collect()}
+    taken = Counter()
+    for r in mixing.mixed(docs).collect():
+        taken[r.source] += len(words_of(r.text))
+    assert mixing.mixed(docs).columns == docs.columns
+    assert all(target[s] - 10 < taken[s] <= target[s] for s in target), (target, taken)
+    df = queries.QUERIES["op10_mixing"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.execute(queries.ORACLE_SQL["op10_mixing"]).fetchall()
+    assert sorted(repr(tuple(r)) for r in df.collect()) == sorted(map(repr, want))
+
+
 # ---- registered queries ----------------------------------------------------------------
 
 

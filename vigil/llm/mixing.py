@@ -66,10 +66,10 @@ def uniform(doc_id: Column, text_hash: Column, seed: int = SEED) -> Column:
 
 
 def _one_pass(items: DataFrame, gaps: DataFrame) -> DataFrame:
-    """items (.., k, cell, rank, words, extra) -> the same, with ``extra`` set for what this
-    pass takes of each source's gap."""
-    open_items = items.join(gaps, "k")
-    fits = (F.col("extra") == 0) & (F.col("rank").isNotNull()) & (F.col("words") > 0) & (F.col("words") <= F.col("gap"))
+    """items (.., k, cell, rank, size, n, extra) -> the same, with ``extra`` (of an item's n equal
+    rows) raised by what this pass takes of each source's gap."""
+    open_items = items.join(gaps, "k").withColumn("words", F.col("size") * (F.col("n") - F.col("extra")))
+    fits = (F.col("rank").isNotNull()) & (F.col("words") > 0) & (F.col("size") <= F.col("gap"))
     flagged = open_items.withColumn("fits", F.coalesce(fits, F.lit(False)))
     cells = flagged.filter("fits").groupBy("k", "cell", "gap").agg(F.sum("words").alias("words"))
     running = F.sum("words").over(Window.partitionBy("k").orderBy("cell"))
@@ -86,18 +86,21 @@ def _one_pass(items: DataFrame, gaps: DataFrame) -> DataFrame:
     columns = items.columns
     order = Window.partitionBy("k").orderBy("rank", F.col("doc_id").asc_nulls_last(), "text_hash")
     at_edge = placed.filter(edge).withColumn("upto", F.col("before") + F.sum("words").over(order))
-    at_edge = at_edge.withColumn("extra", (F.col("upto") <= F.col("gap")).cast("int"))
-    others = placed.filter(~edge).withColumn("extra", F.when(whole, 1).otherwise(F.col("extra")))
+    # whole numbers of words: of the item at the cut, as many rows as there is room for
+    room = F.expr("greatest(0L, least(n - extra, (cast(floor(gap) AS long) - (upto - words)) div size))")
+    at_edge = at_edge.withColumn("extra", F.col("extra") + room)
+    others = placed.filter(~edge).withColumn("extra", F.when(whole, F.col("n")).otherwise(F.col("extra")))
     return others.select(columns).unionByName(at_edge.select(columns))
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = SEED) -> DataFrame:
     """Plan a mix of ``docs`` (doc_id, text, source): one row per distinct (doc_id, text, source)
-    with text_hash (MD5; empty text for null), size, source_size, target, copies (0 to ``most``).
+    with text_hash (MD5; empty text for null), size, source_size, target, copies (0 to ``most``) that
+    each of its rows gets, and more: how many of its equal rows get one copy beyond that.
 
     A text without words (null, empty) has size 0 and is never taken; a source without words has
-    target 0; rows that repeat id, text and source are one row here and are taken together; a
-    null id is an id of its own; no rows give no rows. Taken words never exceed the target."""
+    target 0; rows that repeat id, text and source are one row here, of one rank, and are taken
+    one by one; a null id is an id of its own; no rows give no rows. Taken words never exceed the target."""
     text = F.coalesce(F.col("text"), F.lit(""))
     sized = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
@@ -118,29 +121,47 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
         .withColumn("odds", F.when(F.col("p") > 0, (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))))
         .withColumn("rank", F.col("odds") / (1 + F.col("odds")))
         .withColumn("cell", F.floor(F.col("rank") * CELLS))
-        .withColumn("words", F.col("size") * F.col("n"))
-        .withColumn("extra", F.lit(0))
+        .withColumn("extra", F.lit(0).cast("long"))
         .drop("odds", "u")
     )
     full = F.col("target") - F.floor(F.col("target") / F.col("source_size")) * F.col("source_size")
     gaps = targets.select("k", F.when(F.col("source_size") > 0, full).otherwise(0.0).alias("gap"))
     for _ in range(PASSES):
         items = written(_one_pass(items, gaps), "mix-pass")
-        taken = items.groupBy("k").agg(F.sum(F.col("words") * F.col("extra")).alias("got"))
+        taken = items.groupBy("k").agg(F.sum(F.col("size") * F.col("extra")).alias("got"))
         gaps = targets.join(taken, "k").select(
             "k", F.when(F.col("source_size") > 0, full - F.col("got")).otherwise(0.0).alias("gap")
         )
     return items.select(
         "doc_id", "source", "text_hash", "size", "source_size", "target",
-        (F.col("certain") + F.col("extra")).cast("int").alias("copies"),
+        (F.col("certain") + (F.col("extra") == F.col("n")).cast("int")).cast("int").alias("copies"),
+        F.when(F.col("extra") < F.col("n"), F.col("extra")).otherwise(0).alias("more"),
     )
 
 
 def _rows_with_plan(docs: DataFrame, plan: DataFrame) -> DataFrame:
     """Every row of ``docs`` with the plan of its id, text and source, as ``__plan``."""
+    out = _joined(docs, plan.filter("more = 0"))
+    parted = plan.filter("more > 0")  # at most one item of a source in each pass
+    if parted.isEmpty():
+        return out
+    # equal rows by number: by partition first, then within each, so that no task holds them all
+    placed = docs.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
+    rows = written(_joined(placed, parted).withColumn("__unit", F.struct("__plan.doc_id", "__plan.source", "__plan.text_hash")), "mix-equal")
+    counts = rows.groupBy(F.col("__unit").alias("__u"), F.col("__part").alias("__p")).agg(F.count("*").alias("__n"))
+    earlier = F.sum("__n").over(Window.partitionBy("__u").orderBy("__p")) - F.col("__n")
+    numbered = rows.withColumn("__nth", F.row_number().over(Window.partitionBy("__unit", "__part").orderBy("__at"))).join(
+        counts.withColumn("__earlier", earlier), F.col("__unit").eqNullSafe(F.col("__u")) & (F.col("__part") == F.col("__p"))
+    )
+    one_more = (F.col("__earlier") + F.col("__nth") <= F.col("__plan.more")).cast("int")
+    plan_of_row = F.col("__plan").withField("copies", F.col("__plan.copies") + one_more)
+    return out.unionByName(numbered.withColumn("__plan", plan_of_row).select(*out.columns))
+
+
+def _joined(docs: DataFrame, plan: DataFrame) -> DataFrame:
     planned = plan.select(
         F.struct("doc_id", "source", "text_hash").alias("__key"),
-        F.struct("size", "source_size", "target", "copies").alias("__plan"),
+        F.struct("size", "source_size", "target", "copies", "more", "doc_id", "source", "text_hash").alias("__plan"),
     )
     key = F.struct(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
@@ -154,7 +175,8 @@ def _rows_with_plan(docs: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row of ``docs``, all columns, as often as its plan says."""
+    """The mix itself: each row of ``docs``, all columns, as often as its plan says. Which of the rows that
+    repeat id, text and source get one copy more follows their place in ``docs``."""
     rows = _rows_with_plan(docs, mix(docs, **options))
     return rows.filter("__plan.copies > 0").withColumn(
         "__copy", F.explode(F.sequence(F.lit(1), F.col("__plan.copies")))
