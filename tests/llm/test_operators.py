@@ -472,6 +472,22 @@ def test_language_evidence(spark, edge, empty):
     assert langid.identify(spark.createDataFrame(page, schema), *langid.fit(empty)).first().lang is None
 
 
+def test_declared_tags_by_primary_subtag(spark):
+    model = langid.fit(small(spark))
+    schema = "doc_id long, page_id long, text string, html string, declared string, suffix string, domain string, host string"
+    tags = ["fr", "fr-FR", "FR_ca", " fr "]
+    french = [(i, None, "la les des que pour dans une est " * 4, None, tags[i % 4], None, None, None) for i in range(30)]
+    named = [(100 + i, None, "der die das und nicht ist ein mit " * 4, None, "german", None, None, None) for i in range(30)]
+    doubt = [(98, None, "", None, "fr-BE", None, None, None), (99, None, "", None, "German", None, None, None)]
+    page = [(None, 5, None, '<html dir="ltr" lang="fr-CA"><p></p>', None, None, None, None)]
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(french + named + doubt + page, schema), *model).collect()}
+    assert (got[98].declared, got[98].lang) == ("fr", "fr")
+    assert (got[99].declared, got[99].lang) == ("german", "de")
+    assert (got[None].declared, got[None].lang) == ("fr", "fr")
+    assert {got[i].declared for i in range(30)} == {"fr"}
+    assert [langid.primary(t) for t in (None, " ", "zh-Hans", "x-own", "日本")] == ["", "", "zh", "x-own", "日本"]
+
+
 # ---- quality ---------------------------------------------------------------------------
 
 

@@ -31,10 +31,18 @@ BUCKETS = 1 << 16
 EVIDENCE = 60.0
 SMOOTH = 4.0  # pseudo-counts towards the level above
 _HIDDEN = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
-_DECLARED = re.compile(r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]+)")
+_DECLARED = re.compile(r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?\s*([^\s\"'>/]+)")
 _AT_ONCE = 1 << 22  # octets scored at once
 
 
+def primary(tag: str | None) -> str:
+    """The primary subtag of a declared tag, in lower case: what stands before '-' or '_'; private tags
+    (x-..., i-...) stay whole. Null and blank tags are empty."""
+    whole = (tag or "").strip().lower()
+    first = re.split("[-_]", whole)[0]
+    return whole if first in ("", "i", "x") else first
+
+
 def visible_text(html: str) -> str:
     import html as entities
 
@@ -80,7 +88,7 @@ def _score_partition(languages: list[str], table: np.ndarray):
                     said = found.group(1) if found else said
                     text = visible_text(html)
                 texts.append(text or "")
-                declared.append(said.lower() if said and said.isalpha() and said.isascii() and len(said) <= 3 else "")
+                declared.append(primary(said))
             scores = text_scores(texts, table)
             best = scores.argmax(axis=1)  # ties: the first language by name
             # without three octets of text there is no vote
@@ -111,7 +119,7 @@ def _array(values: list[Column]) -> Column:
 def identify(rows: DataFrame, languages: list[str], table: np.ndarray) -> DataFrame:
     """rows (doc_id, page_id, text, html, declared, suffix, domain, host) -> doc_id, page_id,
     lang, probability, text_lang, declared; one row per row. html takes precedence over text
-    and its <html lang> over declared. Null or empty text leaves the other evidence to decide;
+    and its <html lang> over declared; declared comes back as its primary subtag. Null or empty text leaves the other evidence to decide;
     a null or unseen declared tag, suffix, domain or host adds nothing; repeated rows are judged
     alike; no rows give no rows; no trained language gives a null lang."""
     if not languages:
