@@ -71,6 +71,14 @@ def test_drift_centroid_distance_is_clamped(spark):
     assert r.combined_drift_score == pytest.approx(0.5 * r.semantic_ks + 0.3 * 1.0 + 0.2 * min(r.spread_distance / 5, 1))
 
 
+def test_distances_of_unequal_widths_are_an_error(spark):
+    for ref, new in (([[1.0, 2.0]], [[1.0, 2.0, 9.0]]), ([[1.0, 2.0, 9.0]], [[1.0, 2.0]])):
+        moments = drift.dimension_moments(emb(spark, ref, new))
+        for column in ("centroid_distance", "spread_distance"):
+            with pytest.raises(Exception, match="unequal width"):
+                drift.moment_distances(moments).select(column).collect()
+
+
 def test_drift_empty_side_and_zero_vector(spark):
     r = drift.embedding_drift(emb(spark, [[1.0, 0.0]], [])).first()
     assert r.status == "no_data" and r.combined_drift_score == 0.0

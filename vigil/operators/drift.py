@@ -73,12 +73,26 @@ def group_vectors(moments: DataFrame) -> DataFrame:
 
 
 def moment_distances(moments: DataFrame, ref: str = "ref", new: str = "new") -> DataFrame:
-    """One row: centroid_distance, spread_distance (Euclidean, over dimensions present in both)."""
-    r = moments.filter(F.col("grp") == ref).select("pos", F.col("mean").alias("rm"), F.col("std").alias("rs"))
-    n = moments.filter(F.col("grp") == new).select("pos", F.col("mean").alias("nm"), F.col("std").alias("ns"))
-    return r.join(n, "pos").agg(
-        F.sqrt(F.coalesce(F.sum(F.pow(F.col("rm") - F.col("nm"), 2)), F.lit(0.0))).alias("centroid_distance"),
-        F.sqrt(F.coalesce(F.sum(F.pow(F.col("rs") - F.col("ns"), 2)), F.lit(0.0))).alias("spread_distance"),
+    """One row: centroid_distance, spread_distance (Euclidean). Groups of unequal width are an error;
+    a group without rows gives 0.0."""
+    r = moments.filter(F.col("grp") == ref).select(
+        F.col("pos").alias("rpos"), F.col("mean").alias("rm"), F.col("std").alias("rs")
+    )
+    n = moments.filter(F.col("grp") == new).select(
+        F.col("pos").alias("npos"), F.col("mean").alias("nm"), F.col("std").alias("ns")
+    )
+    sums = r.join(n, F.col("rpos") == F.col("npos"), "full").agg(
+        F.coalesce(F.sum(F.pow(F.col("rm") - F.col("nm"), 2)), F.lit(0.0)).alias("means"),
+        F.coalesce(F.sum(F.pow(F.col("rs") - F.col("ns"), 2)), F.lit(0.0)).alias("stds"),
+        F.count("rpos").alias("r"),
+        F.count("npos").alias("n"),
+        F.count_if(F.col("rpos").isNull() | F.col("npos").isNull()).alias("alone"),
+    )
+    wrong = F.raise_error(F.lit("groups of unequal width")).cast("double")
+    unequal = (F.col("r") > 0) & (F.col("n") > 0) & (F.col("alone") > 0)
+    return sums.select(
+        F.when(unequal, wrong).otherwise(F.sqrt("means")).alias("centroid_distance"),
+        F.when(unequal, wrong).otherwise(F.sqrt("stds")).alias("spread_distance"),
     )
 
 
