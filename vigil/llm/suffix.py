@@ -1,4 +1,4 @@
-"""Suffix-array deduplication of whole texts as octets, by external induced sorting.
+"""Suffix-array deduplication of whole texts as octets, by induced sorting of small shards in memory.
 
 A window of WINDOW octets is removed where it also starts in a document with a smaller id.
 
@@ -21,7 +21,7 @@ sorted by one induction, named, and their suffixes ordered by recursion on the n
 induction while the names are few; otherwise by rank doubling as far as a window reaches); a
 second induction orders all suffixes. The priority queue of the induction holds suffixes by
 first character, first in first out within one, which is the order of the suffixes that
-follow; its arrays go to disk beyond QUEUE_OCTETS. Suffixes that share a window are
+follow; its arrays go to disk beyond QUEUE_OCTETS, which a shard of SHARD_OCTETS never reaches. Suffixes that share a window are
 neighbours then; common prefixes are compared up to the window, eight octets at a time, and
 the least id of each group answers all of its windows.
 """
