@@ -140,7 +140,7 @@ def test_roc_drop_intermediate_vs_brute_force(spark):
 
 
 def test_summarizer_moments_equal_explode(spark):
-    from conftest import SF_SMALL
+    from datasets import SF_SMALL
     from vigil.sources import tables
 
     e = tables.embeddings(spark, SF_SMALL)

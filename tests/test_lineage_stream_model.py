@@ -7,7 +7,7 @@ import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from datasets import SF_SMALL
 from vigil.plans import lineage, training
 from vigil.session import scratch_path
 from vigil.sources import tables

@@ -5,7 +5,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from conftest import SF_SMALL
+from datasets import SF_SMALL
 from vigil.sources.tables import TABLES
 
 entry.catalog.load_all()  # without the training-data operators, which tests/llm covers
