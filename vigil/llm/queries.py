@@ -2,7 +2,20 @@
 
 from __future__ import annotations
 
-from vigil.llm import fingerprint, langid, mixing, packing, quality, simhash, substring, suffix, tokenfile, urlfilter
+from vigil.llm import (
+    factors,
+    fingerprint,
+    langid,
+    mixing,
+    negatives,
+    packing,
+    quality,
+    simhash,
+    substring,
+    suffix,
+    tokenfile,
+    urlfilter,
+)
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -15,9 +28,12 @@ QUERIES = {
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_token_files": tokenfile.op9_token_files,
     "op10_mixing": mixing.op10_mixing,
+    "op12_hard_negatives": negatives.op12_hard_negatives,
+    "op13_quality_classifier": factors.op13_quality_classifier,
 }
 
 ORACLE_SQL = {
     "op6_url_filter": urlfilter.ORACLE_SQL,
     "op10_mixing": mixing.ORACLE_SQL,
+    "op12_hard_negatives": negatives.ORACLE_SQL,
 }
