@@ -29,7 +29,7 @@ from vigil.llm.quality import COUNTS, EXTRA, FEATURES, feature_matrix, text_stat
 BUCKETS, RANK = 4096, 8
 #: Labelled documents that the fit sees, at most.
 MAX_FIT = 8_000
-EPOCHS, BATCH, RATE, DECAY, SEED = 12, 128, 0.01, 1e-4, 7
+EPOCHS, LEAST_STEPS, BATCH, RATE, DECAY, SEED = 12, 600, 128, 0.01, 1e-4, 7
 #: Standardised features are cut here, so that no outlier outweighs the rest.
 CLIP = 4.0
 THRESHOLD = 0.7
@@ -112,8 +112,8 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.margin(words, dense), -500, 500)))
 
 
-def fit(words: Sparse, dense: np.ndarray, y: np.ndarray, epochs: int = EPOCHS) -> Machine:
-    """Adam on the mean logistic loss; no rows or one class leave the share of that class as score."""
+def fit(words: Sparse, dense: np.ndarray, y: np.ndarray) -> Machine:
+    """Adam on the mean logistic loss, EPOCHS times over the rows and LEAST_STEPS steps at least; no rows or one class leave the share of that class as score."""
     share = (y.sum() + 0.5) / (len(y) + 1)
     seen = ~np.isnan(dense)
     count = np.maximum(seen.sum(0), 1)
@@ -130,6 +130,7 @@ def fit(words: Sparse, dense: np.ndarray, y: np.ndarray, epochs: int = EPOCHS) -
     table, bias = np.column_stack([model.weight, factor]), np.float32(model.bias)
     first, second, step = np.zeros_like(table), np.zeros_like(table), 0
     x = model.standard(dense).astype(np.float32)
+    epochs = max(EPOCHS, -(-LEAST_STEPS * BATCH // len(y)))
     for epoch in range(epochs):
         rate = RATE * (1 - epoch / epochs)
         order = rng.permutation(len(y))

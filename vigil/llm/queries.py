@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from vigil.llm import (
+    conversations,
     factors,
     fingerprint,
     langid,
@@ -28,6 +29,7 @@ QUERIES = {
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_token_files": tokenfile.op9_token_files,
     "op10_mixing": mixing.op10_mixing,
+    "op11_conversation_repair": conversations.op11_conversation_repair,
     "op12_hard_negatives": negatives.op12_hard_negatives,
     "op13_quality_classifier": factors.op13_quality_classifier,
 }
