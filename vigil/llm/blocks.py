@@ -20,8 +20,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vigil.session import scratch_path
-
 CHUNK_OCTETS = 2_500_000
 #: Slots a writing task deals its chunks to: its files, and what one answer row may gather.
 SLOTS = 8
@@ -77,6 +75,8 @@ def chunk_table(docs: DataFrame, carry: list[str] | None = None, octets: int = C
     """docs (doc_id, text) as a bucketed table of chunks of about ``octets`` (a longer text is a
     chunk of its own): whole UTF-8 texts, each followed by a newline, and where they end.
     Columns named in ``carry`` go along as the struct ``rest``."""
+    from vigil.session import scratch_path  # not a name of the module, which travels to workers by value
+
     spark = docs.sparkSession
     rest = F.struct(*[docs[c] for c in carry]) if carry else F.struct(F.lit(None).cast("boolean").alias("none"))
     rows = docs.select(
