@@ -35,7 +35,7 @@ LOW, HIGH = 30, 90
 MAX_FIT = 4096
 #: Octets of a packed block or chunk, counted at eight a component.
 PACK_OCTETS = 2_000_000
-STRIDE = 512
+STRIDE = 1024
 #: Octets of best scores that a task holds before it sends them on.
 HELD_OCTETS = 64_000_000
 NO_ID = np.iinfo(np.int64).max  # stands for a null id: after all others of the same score
@@ -84,12 +84,17 @@ def unpacked(row: dict) -> Pack:
     return Pack(*numbers[:3], numbers[3].reshape(n, -1) if n else np.zeros((0, 1), np.int64), vectors)
 
 
-def whole_numbers(vectors: list[list[float]]) -> np.ndarray:
-    """floor(SCALE * x) of each component; shorter vectors are filled up with zeros."""
-    out = np.zeros((len(vectors), max(map(len, vectors), default=0)))
+def filled(vectors: list[list], kind) -> np.ndarray:
+    """Vectors as rows of a table; shorter ones are filled up with zeros."""
+    out = np.zeros((len(vectors), max(map(len, vectors), default=0)), kind)
     for i, v in enumerate(vectors):
         out[i, :len(v)] = v
-    out = np.floor(SCALE * out)
+    return out
+
+
+def whole_numbers(vectors: list[list[float]]) -> np.ndarray:
+    """floor(SCALE * x) of each component."""
+    out = np.floor(SCALE * filled(vectors, np.float64))
     if np.abs(out).max(initial=0) >= 2.0**62:
         raise ValueError("a component is too large for 64-bit inner products")
     return out.astype(np.int64)
@@ -117,7 +122,7 @@ def _pack_rows(extra_width: int, by_task: bool):
                 np.array([NO_ID if r["vec_id"] is None else r["vec_id"] for r in held], np.int64),
                 np.array([r["label"] for r in held], np.int64),
                 np.array([r["extra"] for r in held], np.int64).reshape(len(held), extra_width),
-                whole_numbers(vectors) if by_task else np.array(vectors, np.int64).reshape(len(held), -1),
+                whole_numbers(vectors) if by_task else filled(vectors, np.int64),
             )
             made += 1
             return pa.RecordBatch.from_pylist([dict(zip(schema.names, pack.columns((task << 32) + made)))], schema)
@@ -159,13 +164,11 @@ class Cluster:
         cosine = np.clip(unit @ direction, -1, 1)[chunk.norm[members] > 0]
         return Cluster(members, int(chunk.label[members[0]]), direction, float(np.arccos(cosine.min(initial=1.0))))
 
-    def bounds(self, block: Pack, at: np.ndarray) -> np.ndarray:
-        """Upper bound of score / member's norm, for each candidate. The rounding of angles and
-        sums is far below the allowance of 1e-7 of the candidate's norm."""
-        width = min(len(self.direction), block.vectors.shape[1])
+    def bounds(self, block: Pack, at: np.ndarray, products: np.ndarray) -> np.ndarray:
+        """Upper bound of score / member's norm, for each candidate, from its product with the direction. The
+        rounding of angles and sums is far below the allowance of 1e-7 of the candidate's norm."""
         norm = block.norm[at]
-        cosine = block.vectors[at, :width] @ self.direction[:width] / np.maximum(norm, 1.0)
-        gap = np.maximum(0.0, np.arccos(np.clip(cosine, -1, 1)) - self.angle)
+        gap = np.maximum(0.0, np.arccos(np.clip(products[at] / np.maximum(norm, 1.0), -1, 1)) - self.angle)
         return norm * (np.cos(gap) + 1e-7)
 
 
@@ -176,16 +179,15 @@ def clusters_of(chunk: Pack) -> list[Cluster]:
     return [Cluster.of(chunk, m) for m in np.split(order, new[1:])] if len(order) else []
 
 
-def scores(a: Pack, at: np.ndarray, b: Pack, to: np.ndarray) -> np.ndarray:
-    """Exact inner products: in doubles where these hold them, else in 64-bit integers."""
+def comparable(a: Pack, b: Pack) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of both in the narrowest numbers whose inner products are exact (by the norms, which bound
+    every partial sum)."""
     width = min(a.vectors.shape[1], b.vectors.shape[1])
-    x, y = a.vectors[at, :width], b.vectors[to, :width]
-    limit = a.norm[at].max(initial=0) * b.norm[to].max(initial=0)
-    if limit < 2.0**52:
-        return (x.astype(np.float64) @ y.T.astype(np.float64)).astype(np.int64)
+    limit = a.norm.max(initial=0) * b.norm.max(initial=0)
     if limit >= 2.0**62:
-        raise ValueError("an inner product does not fit into 64 bits")
-    return x @ y.T
+        raise ValueError("an inner product may not fit into 64 bits")
+    kind = np.float32 if limit < 2.0**23 else np.float64 if limit < 2.0**52 else np.int64
+    return a.vectors[:, :width].astype(kind), b.vectors[:, :width].astype(kind)
 
 
 class Best:
@@ -196,10 +198,8 @@ class Best:
         self.found = np.zeros((0, 4), np.int64)  # slot, score, id, row
         self.last = np.full(slots, LEAST)  # the k-th best score, LEAST while there are fewer
 
-    def offer(self, slot: np.ndarray, score: np.ndarray, vec_id: np.ndarray, row: np.ndarray) -> None:
-        if not len(slot):
-            return
-        rows = np.concatenate([self.found, np.column_stack([slot, score, vec_id, row])])
+    def offer(self, rows: list[np.ndarray]) -> None:
+        rows = np.concatenate([self.found, *rows])
         rows = rows[np.lexsort((rows[:, 3], rows[:, 2], -rows[:, 1], rows[:, 0]))]
         start = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]])
         rank = np.arange(len(rows)) - np.repeat(start, np.diff(np.r_[start, len(rows)]))
@@ -208,43 +208,48 @@ class Best:
         self.last[full[:, 0]] = full[:, 1]
 
 
-def _kth(values: np.ndarray, k: int) -> np.ndarray:
-    """The k-th largest of each row, LEAST where there are fewer."""
-    if values.shape[1] < k:
-        return np.full(len(values), LEAST)
-    return np.partition(values, -k, axis=1)[:, -k]
+def _first(hit: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Of the hits in each row of ``score``, those that are not below its k-th best."""
+    if score.shape[1] <= k or np.count_nonzero(hit) <= 4 * k * len(score):
+        return hit
+    least = LEAST if score.dtype == np.int64 else -np.inf
+    return hit & (score >= np.partition(np.where(hit, score, least), -k, axis=1)[:, -k][:, None])
 
 
-def walk(best: Best, chunk: Pack, cluster: Cluster, block: Pack, at: np.ndarray, bands: list[tuple] | None) -> None:
-    """Walk a cluster's list of the candidates ``at`` of a block. Without bands slot = member;
-    with them, band j (low, high, by member) of a member has slot ``member * len(bands) + j``."""
-    bound = cluster.bounds(block, at)
+def walk(best: Best, chunk: Pack, cluster: Cluster, block: Pack, at: np.ndarray, products: np.ndarray, numbers: tuple, bands: list[tuple] | None) -> None:
+    """Walk a cluster's list of the candidates ``at`` of a block. Slots count the cluster's members:
+    without bands slot = member; with them, band j (low, high, by anchor) of a member has slot
+    ``member * len(bands) + j``."""
+    bound = cluster.bounds(block, at, products)
     order = np.argsort(-bound, kind="stable")
     at, bound = at[order], bound[order]
-    alive, width = cluster.members, len(bands) if bands else 1
+    alive, width = np.arange(len(cluster.members)), len(bands) if bands else 1
     for begin in range(0, len(at), STRIDE):
-        reach = chunk.norm[alive] * bound[begin]
+        anchor = cluster.members[alive]
+        reach = chunk.norm[anchor] * bound[begin]
         if bands is None:
-            needed = best.last[alive] <= reach
+            floors = [best.last[alive]]
+            needed = floors[0] <= reach
         else:
-            needed = np.zeros(len(alive), bool)
-            for j, (low, high) in enumerate(bands):
-                needed |= (low[alive] <= high[alive]) & (np.maximum(best.last[alive * width + j], low[alive]) <= reach)
-        alive = alive[needed]
-        if not len(alive):
+            floors = [np.maximum(best.last[alive * width + j], low[anchor]) for j, (low, _) in enumerate(bands)]
+            needed = np.logical_or.reduce([(f <= high[anchor]) & (f <= reach) for f, (_, high) in zip(floors, bands)])
+        if not needed.any():
             return  # certified: nothing that is left can enter
+        alive, anchor, floors = alive[needed], anchor[needed], [f[needed] for f in floors]
         to = at[begin:begin + STRIDE]
-        every = scores(chunk, alive, block, to)
-        own = block.row[to][None, :] == chunk.row[alive][:, None]
-        for j in range(width):
-            inside = ~own
-            if bands is not None:
-                low, high = bands[j]
-                inside &= (every >= low[alive][:, None]) & (every <= high[alive][:, None])
-            value = np.where(inside, every, LEAST)
-            enough = np.maximum(best.last[alive * width + j], _kth(value, best.k))
-            i, c = np.nonzero(inside & (value >= enough[:, None]))
-            best.offer(alive[i] * width + j, value[i, c], block.vec_id[to[c]], block.row[to[c]])
+        score = numbers[0][anchor] @ numbers[1][to].T
+        offered = []
+        for j, floor in enumerate(floors):
+            hit = score >= floor.astype(score.dtype)[:, None]
+            if bands is None:
+                hit &= block.row[to][None, :] != chunk.row[anchor][:, None]
+            else:
+                hit &= score <= bands[j][1][anchor].astype(score.dtype)[:, None]
+            i, c = np.nonzero(_first(hit, score, best.k))
+            if len(i):
+                offered.append(np.column_stack([alive[i] * width + j, score[i, c].astype(np.int64), block.vec_id[to[c]], block.row[to[c]]]))
+        if offered:
+            best.offer(offered)
 
 
 def bands_of(chunk: Pack) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -270,18 +275,19 @@ def _walks(negatives: bool):
             ("anchor", pa.int64()), ("slot", pa.int32()), ("vec_id", pa.int64()), ("row", pa.int64()), ("score", pa.int64()),
         ])
         held: dict[int, tuple] = {}
+        width, k = (POSITIVES, NEGATIVES) if negatives else (1, POSITIVES)
 
         def found():
-            for chunk, _, _, best in held.values():
-                width = POSITIVES if negatives else 1
-                slot, score, vec_id, row = best.found.T
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(chunk.row[slot // width]), pa.array((slot % width).astype(np.int32)),
-                        pa.array(vec_id, pa.int64(), mask=vec_id == NO_ID), pa.array(row), pa.array(score),
-                    ],
-                    schema=schema,
-                )
+            for chunk, clusters, _, bests in held.values():
+                for cluster, best in zip(clusters, bests):
+                    slot, score, vec_id, row = best.found.T
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(chunk.row[cluster.members[slot // width]]), pa.array((slot % width).astype(np.int32)),
+                            pa.array(vec_id, pa.int64(), mask=vec_id == NO_ID), pa.array(row), pa.array(score),
+                        ],
+                        schema=schema,
+                    )
 
         for batch in batches:
             for i in range(batch.num_rows):
@@ -289,19 +295,22 @@ def _walks(negatives: bool):
                 block = unpacked({c: r[c] for c in r if not c.startswith("c_")})
                 if r["c_pack"] not in held:
                     chunk = unpacked({c[2:]: r[c] for c in r if c.startswith("c_")})
-                    if sum(8 * c.vectors.size + 32 * len(b.last) for c, _, _, b in held.values()) > HELD_OCTETS:
+                    if sum(8 * c.vectors.size + 32 * len(c) * width * k for c, *_ in held.values()) > HELD_OCTETS:
                         yield from found()
                         held = {}
-                    slots = len(chunk) * (POSITIVES if negatives else 1)
-                    bands = bands_of(chunk) if negatives else None
-                    held[r["c_pack"]] = (chunk, clusters_of(chunk), bands, Best(slots, NEGATIVES if negatives else POSITIVES))
-                chunk, clusters, bands, best = held[r["c_pack"]]
+                    clusters = clusters_of(chunk)
+                    bests = [Best(len(c.members) * width, k) for c in clusters]
+                    held[r["c_pack"]] = (chunk, clusters, bands_of(chunk) if negatives else None, bests)
+                chunk, clusters, bands, bests = held[r["c_pack"]]
+                numbers = comparable(chunk, block)
+                narrow = numbers[1].shape[1]
+                products = np.array([c.direction[:narrow] for c in clusters]).reshape(len(clusters), narrow) @ block.vectors[:, :narrow].astype(np.float64).T
                 lists: dict[int, np.ndarray] = {}
-                for cluster in clusters:
+                for cluster, best, product in zip(clusters, bests, products):
                     if cluster.label not in lists:
                         same = block.label == cluster.label
                         lists[cluster.label] = np.flatnonzero(~same if negatives else same)
-                    walk(best, chunk, cluster, block, lists[cluster.label], bands)
+                    walk(best, chunk, cluster, block, lists[cluster.label], product, numbers, bands)
         yield from found()
 
     return run
