@@ -23,7 +23,8 @@ EDGE_TEXTS = [
     (10, "näïve ünïcode ßtraße 😀 日本語 " * 9 + "\n\nline\nline\n", ""),
     (4, "the same id with another text", "a"),
 ]
-CLASH = ("ids", "kept", "fp", "k", "n", "rank", "cell", "size", "target", "rest", "slot", "root", "u", "v", "quality")
+CLASH = ("ids", "kept", "fp", "k", "n", "rank", "cell", "size", "target", "rest", "slot", "root", "u", "v", "quality",
+         "id", "late", "th")
 
 
 @pytest.fixture(scope="session")

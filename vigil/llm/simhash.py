@@ -236,11 +236,13 @@ def first_of_groups(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     roots = components(near_links(codes, distance), "simhash-groups")
     rooted = rows.join(roots, rows["__fp"] == roots["node"], "left")
     first = rooted.groupBy(F.coalesce("root", "__fp").alias("root")).agg(F.min("rank").alias("rank"))
-    chosen = first.select("rank.late", F.coalesce("rank.id", F.lit(0)).alias("id"), "rank.th").distinct()
+    chosen = first.select(  # names that no column of docs has
+        F.col("rank.late").alias("__late1"), F.coalesce("rank.id", F.lit(0)).alias("__id1"), F.col("rank.th").alias("__th1")
+    ).distinct()
     keyed = signed.withColumn("__late", F.col("doc_id").isNull()).withColumn(
         "__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0))
     )
-    same = (F.col("__late") == F.col("late")) & (F.col("__id") == F.col("id")) & (F.col("__th") == F.col("th"))
+    same = (F.col("__late") == F.col("__late1")) & (F.col("__id") == F.col("__id1")) & (F.col("__th") == F.col("__th1"))
     kept = keyed.join(chosen, same, "left_semi").dropDuplicates(["__late", "__id", "__th"])
     return kept.drop("__fp", "__th", "__late", "__id")
 

@@ -10,13 +10,14 @@ window whose words also start in a document with a smaller id is removed; consec
 ones make up the maximal exact repeats. Texts that equal an earlier one take no part in
 round 2: they repeat whole.
 
-Keys travel as packed blobs (see ``blocks``). Round 1 only proposes; round 2 compares 64 + 32
-independent hash bits of the words, and the words' lengths enter the hash.
+Keys travel as packed blobs (see ``blocks``). Round 1 only proposes, by a fast hash that equal words share;
+round 2 compares 128-bit BLAKE2 digests of a window's own octets (words joined by one space).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 from itertools import compress
 
 import numpy as np
@@ -146,8 +147,7 @@ class Repeats:
         at = words.whole(WINDOW)
         near = hits_before[at + WINDOW - BLOCK + 1] > hits_before[at]
         self.at = at[near & ~self.copy[words.doc[at]]]
-        h, check = words.windows(WINDOW, 13, self.at), words.windows(WINDOW, 31, self.at)
-        check = (check >> np.uint64(32)).astype("<u4")
+        h, check = self._digests(chunk)
         order, starts = blocks.groups(h, check)
         self.keys, self.checks = h[order[starts]], check[order[starts]]
         self.key_of = np.empty(len(h), np.int64)
@@ -156,6 +156,16 @@ class Repeats:
         self.ids = ids
         self.least = np.minimum.reduceat(ids[order], starts) if len(ids) else ids
 
+    def _digests(self, chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
+        """Two halves of the digest of each window's octets."""
+        plain = b" ".join(chunk.data.split())
+        size = self.words.stop - self.words.start
+        begin = np.cumsum(size + 1) - (size + 1)
+        ends = begin[self.at + WINDOW - 1] + size[self.at + WINDOW - 1]
+        raw = b"".join(blake2b(plain[a:b], digest_size=16).digest() for a, b in zip(begin[self.at].tolist(), ends.tolist()))
+        halves = np.frombuffer(raw, "<u8").reshape(-1, 2)
+        return halves[:, 0].copy(), halves[:, 1].copy()
+
 
 def _emit_repeats(bits: int):
     def run(batches: Iterator) -> Iterator:
@@ -176,9 +186,9 @@ def _emit_repeats(bits: int):
 
 def _judge_repeats(keys: list[bytes], extra: list[bytes]) -> list[np.ndarray]:
     """Of each key: has a document elsewhere, smaller than the chunk's smallest, the window?"""
-    sizes = [len(k) // 12 for k in keys]
+    sizes = [len(k) // 16 for k in keys]
     h = np.concatenate([np.frombuffer(k, "<u8", n) for k, n in zip(keys, sizes)])
-    check = np.concatenate([np.frombuffer(k, "<u4", n, 8 * n) for k, n in zip(keys, sizes)])
+    check = np.concatenate([np.frombuffer(k, "<u8", n, 8 * n) for k, n in zip(keys, sizes)])
     ids = []
     for e in extra:
         base, width = np.frombuffer(e, "<i8", 2)
