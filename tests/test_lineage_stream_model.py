@@ -66,20 +66,6 @@ def test_stream_equals_batch_for_closed_windows(spark):
     assert g == b  # the windows still open under the watermark included
 
 
-def test_refresher_is_idempotent(spark):
-    ref = spark.createDataFrame([(i, f"good text {i}", 1) for i in range(50)], "review_id long, review string, sentiment int")
-    batch = spark.createDataFrame(
-        [(1000 + i, T0 + dt.timedelta(seconds=i), f"bad text {i}", 0) for i in range(30)],
-        "review_id long, ts timestamp, review string, sentiment int",
-    )
-    hist = scratch_path(spark, "hist")
-    r = jobs.MetricsRefresher(spark, ref, hist, window=20)
-    r(batch, 0)
-    r(batch, 0)  # replay
-    h = spark.read.parquet(hist)
-    assert h.count() == 5 and {x.metric for x in h.collect()} == set(jobs.METRIC_NAMES)
-
-
 @pytest.fixture(scope="module")
 def small_model(spark):
     docs = tables.lang_reviews(spark, SF_SMALL)
@@ -135,18 +121,6 @@ def test_lineage_resolver_follows_promotions(spark):
     assert resolve() == (2, "/m/2")
 
 
-def test_refresher_small_reference_gives_zero_drift(spark):
-    ref = spark.createDataFrame([(i, f"good text {i}", 1) for i in range(5)], "review_id long, review string, sentiment int")
-    batch = spark.createDataFrame(
-        [(1000 + i, T0 + dt.timedelta(seconds=i), f"bad text {i}", 0) for i in range(30)],
-        "review_id long, ts timestamp, review string, sentiment int",
-    )
-    hist = scratch_path(spark, "hist-small-ref")
-    jobs.MetricsRefresher(spark, ref, hist, window=20)(batch, 7)
-    vals = {r.metric: r.value for r in spark.read.parquet(hist).collect()}
-    assert vals["drift_score"] == 0.0 and vals["semantic_drift_ks"] == 0.0 and vals["model_accuracy"] == 0.0
-
-
 def test_stream_scoring_equals_batch(spark, small_model):
     docs, fm = small_model
     src = scratch_path(spark, "score-src")

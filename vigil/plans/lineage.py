@@ -150,6 +150,27 @@ def drift_alerts(history: DataFrame, threshold: float, metric: str = "drift_scor
     return history.filter((F.col("metric") == metric) & (F.col("value") > F.lit(threshold)))
 
 
+# The seven metrics logged with a run, behind the prefix of the split, and the
+# columns of `training.evaluate` they come from.
+RUN_METRICS = {
+    "accuracy_score": "accuracy",
+    "precision_score": "precision",
+    "recall_score": "recall",
+    "f1_score": "f1_score",
+    "roc_auc": "roc_auc",
+    "log_loss": "log_loss",
+    "score": "accuracy",
+}
+
+
+def run_metrics(evaluated: DataFrame, run_id: str, prefix: str = "test_", log_prefix: str | None = None, ts=None) -> DataFrame:
+    """One row of `training.evaluate` -> the run's seven rows of the metric history. A metric that is undefined
+    (AUC of one class) has a null value and status 'undefined'."""
+    log_prefix = prefix if log_prefix is None else log_prefix
+    wide = evaluated.select(*[F.col(f"{prefix}{c}").alias(f"{log_prefix}{m}") for m, c in RUN_METRICS.items()])
+    return wide_to_long(wide, run_id, ts=ts).withColumn("status", F.when(F.col("value").isNull(), "undefined").otherwise("ok"))
+
+
 def wide_to_long(metrics_row: DataFrame, run_id: str, batch_id: int | None = None, ts=None) -> DataFrame:
     """A one-row wide metrics frame -> metric_history rows."""
     cols = [c for c in metrics_row.columns]

@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vigil.plans import lineage, retrain
 from vigil.plans.catalog import register, rounded
 from vigil.session import scratch_path
 from vigil.sources import tables
@@ -57,36 +58,84 @@ def q_stream_score(spark, sf_dir):
     return rounded(jobs.run_to_parquet(jobs.score_stream(fm.model, docs), out).select("review_id", "prediction", "p1"))
 
 
+def _events_as_reviews(df):
+    return df.select(
+        F.col("event_id").alias("review_id"), "ts", F.col("props").alias("review"),
+        (F.col("event_type") == "purchase").cast("int").alias("sentiment"),
+    )
+
+
 @register("stream_latest_window")
 def q_stream_latest_window(spark, sf_dir):
     from vigil.plans.model_queries import fitted
 
-    from vigil.plans import lineage
-
     _, fm = fitted(spark, sf_dir)
-    model_path = scratch_path(spark, "prod-model")
+    log = retrain.lineage_log(spark, scratch_path(spark, "lineage"))
+    model_path = f"{log.root}/models/fitted"
     fm.model.write().overwrite().save(model_path)
     # register and promote the model in the lineage tables; the refresher resolves it there
-    versions, aliases = scratch_path(spark, "model-versions"), scratch_path(spark, "model-aliases")
-    spark.range(1).select(
+    version = spark.range(1).select(
         F.lit(lineage.MODEL_NAME).alias("name"), F.lit(1).alias("version"), F.lit("fitted").alias("run_id"),
         F.lit(model_path).alias("path"),
-    ).write.parquet(versions)
-    lineage.promote(spark, 1).write.parquet(aliases)
-    cache = jobs.ModelCache(jobs.lineage_resolver(spark, aliases, versions))
-    stream = _events_stream(spark, sf_dir).select(
-        F.col("event_id").alias("review_id"), "ts", F.col("props").alias("review"),
-        (F.col("event_type") == "purchase").cast("int").alias("sentiment"),
     )
-    history = scratch_path(spark, "metric-history")
-    refresher = jobs.MetricsRefresher(spark, tables.lang_reviews(spark, sf_dir), history, 200, cache)
-    q = jobs.refresh_stream(stream, refresher, history + "._checkpoint", available_now=True)
+    log.put("fitted", append={"model_versions": version})
+    retrain.promote(log, 1)
+    cache = jobs.ModelCache(retrain.production(log))
+    stream = _events_as_reviews(_events_stream(spark, sf_dir))
+    root = scratch_path(spark, "monitor")
+    refresher = jobs.MetricsRefresher(spark, tables.lang_reviews(spark, sf_dir), root, 200, cache)
+    q = jobs.refresh_stream(stream, refresher, root + "/checkpoint", available_now=True)
     q.awaitTermination()
-    return rounded(spark.read.parquet(history).select("batch_id", "metric", "value"))
+    return rounded(refresher.history().select("batch_id", "metric", "value", "status"))
+
+
+@register(
+    "stream_window_rows",
+    """SELECT event_id AS review_id, ts, props AS review, CAST(event_type = 'purchase' AS INTEGER) AS sentiment
+FROM events ORDER BY ts DESC, event_id DESC LIMIT 200""",
+)
+def q_stream_window_rows(spark, sf_dir):
+    """The committed window after a stream over several files, read once more from a fresh stream
+    checkpoint by a restarted refresher: rows that come again count once."""
+    events = tables.table(spark, sf_dir, "events")
+    feed = scratch_path(spark, "event-feed")
+    events.repartitionByRange(2, "event_id").write.parquet(feed)
+    root = scratch_path(spark, "monitor")
+    for attempt, files in enumerate((1, 2)):
+        refresher = jobs.MetricsRefresher(spark, tables.lang_reviews(spark, sf_dir), root)
+        stream = _events_as_reviews(jobs.ingest(spark, feed, events.schema, max_files_per_trigger=files))
+        q = jobs.refresh_stream(stream, refresher, f"{root}/checkpoint-{attempt}", available_now=True)
+        q.awaitTermination()
+    return refresher.window_rows().select("review_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "review", "sentiment")
+
+
+def _seeded_log(spark, sf_dir):
+    """A log that holds the reviews and, appended as one batch, the events as monitoring rows."""
+    log = retrain.lineage_log(spark, scratch_path(spark, "lineage"))
+    log.put("base", replace={"reviews": tables.lang_reviews(spark, sf_dir)})
+    retrain.append_monitoring_batch(log, tables.new_reviews(spark, sf_dir), "events")
+    return log
 
 
 @register("retrain_cycle")
 def q_retrain_cycle(spark, sf_dir):
-    base = tables.lang_reviews(spark, sf_dir)
-    new_rows = tables.new_reviews(spark, sf_dir).select("review_id", "ts", "review", "sentiment")
-    return rounded(jobs.retrain_cycle(spark, base, new_rows))
+    return rounded(retrain.retrain(_seeded_log(spark, sf_dir), "run-1").drop("run_id"))
+
+
+@register(
+    "retrain_fold",
+    """WITH ranked AS (
+  SELECT event_id, CAST(event_type = 'purchase' AS INTEGER) AS sentiment,
+         row_number() OVER (ORDER BY md5('42:' || event_id), event_id) AS rk FROM events),
+folded AS (SELECT * FROM ranked WHERE rk > 200)
+SELECT 'new_reviews' AS table_name, event_id AS review_id, sentiment FROM ranked WHERE rk <= 200
+UNION ALL SELECT 'reviews', doc_id, CAST(lang = 'en' AS INTEGER) FROM documents
+UNION ALL SELECT 'reviews', (SELECT max(doc_id) FROM documents) + 1 + event_id - (SELECT min(event_id) FROM folded), sentiment FROM folded""",
+)
+def q_retrain_fold(spark, sf_dir):
+    """Training and monitoring table after a committed fold, and after the same fold called again."""
+    log = _seeded_log(spark, sf_dir)
+    for _ in range(2):
+        retrain.fold(log, "run-1")
+    both = [log.read(t).select(F.lit(t).alias("table_name"), "review_id", "sentiment") for t in ("new_reviews", "reviews")]
+    return both[0].unionByName(both[1])

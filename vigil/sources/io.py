@@ -88,12 +88,16 @@ def overwrite_table(df: DataFrame, path: str, sort_by: list[str] | None = None)
     df.write.mode("overwrite").parquet(path)
 
 
+def conformed(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """``df`` with the columns of ``schema``, by name and cast; missing ones are null, others go."""
+    return df.select(
+        *[(F.col(f"`{f.name}`") if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields]
+    )
+
+
 def append_table(df: DataFrame, path: str, schema: T.StructType = REVIEWS) -> None:
     """Append rows by column name; missing columns become nulls."""
-    cols = [
-        (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields
-    ]
-    df.select(*cols).write.mode("append").parquet(path)
+    conformed(df, schema).write.mode("append").parquet(path)
 
 
 def append_by_name(base: DataFrame, new: DataFrame) -> DataFrame:

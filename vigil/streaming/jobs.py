@@ -5,17 +5,17 @@ The monitored system polls a CSV every 60 s. Here the same work is a stream:
 
 * `ingest`            file source with a fixed schema (parquet/csv/json folder).
 * `score_stream`      ``model.transform`` on the stream, append to a sink.
-* `MetricsRefresher`  ``foreachBatch``: fold the micro-batch into a retained latest-N table
-                      (bounded by N), compute window accuracy with the current production
-                      model and embedding drift against a matched reference sample, append
-                      the five gauges to ``metric_history`` keyed by ``batch_id`` -- a replayed
-                      batch id appends nothing (idempotent).
+* `MetricsRefresher`  ``foreachBatch``: fold the micro-batch into the latest-N window (bounded by
+                      N), compute window accuracy with the current production model and
+                      embedding drift against a matched reference sample; window and gauges are one
+                      commit (`CommitLog`), so a restart goes on where the last commit ended.
+* `ScoreSink`         ``foreachBatch``: score with the model in production at that moment, one commit a batch.
 * `ModelCache`        reloads the production model only when the alias points elsewhere;
                       a withdrawn alias leaves no model.
 * `windowed_metrics`  tumbling event-time windows with a watermark (late rows dropped
                       after the watermark passes); `windowed_metrics_batch` is its batch twin.
-* `retrain_cycle`     hold back the window, fold the rest into training, fit, evaluate,
-                      register when above the gate, report the candidate.
+
+The retraining cycle is `vigil.plans.retrain`.
 """
 
 from __future__ import annotations
@@ -31,17 +31,14 @@ from pyspark.sql import types as T
 from vigil.operators import sampling
 from vigil.operators.evaluation import accuracy
 from vigil.plans import lineage, training
-from vigil.plans.monitoring import METRIC_NAMES, window_drift
+from vigil.plans.monitoring import METRIC_NAMES, metrics_long, window_drift
+from vigil.plans.retrain import LINEAGE
 from vigil.functions.encoders import hashed_embedding
 from vigil.session import scratch_path
+from vigil.sources.commits import REPLACE, CommitLog
+from vigil.sources.io import REVIEWS, conformed
 
-METRIC_HISTORY = T.StructType([
-    T.StructField("ts", T.TimestampType()),
-    T.StructField("run_id", T.StringType()),
-    T.StructField("batch_id", T.LongType()),
-    T.StructField("metric", T.StringType()),
-    T.StructField("value", T.DoubleType()),
-])
+METRIC_HISTORY = LINEAGE["metric_history"]
 
 
 def ingest(spark: SparkSession, folder: str, schema: T.StructType, fmt: str = "parquet",
@@ -169,117 +166,133 @@ def lineage_resolver(spark: SparkSession, aliases_path: str, versions_path: str,
     return resolve
 
 
+def newest_rows(rows: DataFrame, ts_col: str, id_col: str, n: int) -> DataFrame:
+    """The latest ``n`` distinct rows (by time, then id, then content). Only times, ids and digests are
+    compared and exchanged; whole rows are fetched for the ``n`` that stay."""
+    others = [c for c in rows.columns if c not in (ts_col, id_col)]
+    said = F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in others])
+    keyed = rows.withColumn("__digest", F.sha2(said, 256))
+    keys = keyed.select(F.col(ts_col).alias("__ts"), F.col(id_col).alias("__id"), F.col("__digest").alias("__d")).distinct()
+    newest = keys.orderBy(F.col("__ts").desc_nulls_last(), F.col("__id").desc_nulls_last(), F.col("__d").desc()).limit(n)
+    same = F.col(ts_col).eqNullSafe(F.col("__ts")) & F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__d"))
+    kept = keyed.join(F.broadcast(newest), same, "left_semi")  # `newest` has at most n narrow rows
+    return kept.dropDuplicates([ts_col, id_col, "__digest"]).drop("__digest")
+
+
+def batch_key(run_id: str, batch_id: int, rows: DataFrame) -> str:
+    """A key of a micro-batch: its number and a digest of its rows. The same batch has the same key when it is
+    replayed; another one does not, even if a fresh stream checkpoint gives it the same number."""
+    digest = rows.select(F.xxhash64(*rows.columns).alias("h")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("h").cast("decimal(20,0)")).alias("s"), F.bit_xor("h").alias("x")
+    ).first()  # one row
+    return f"{run_id}:{batch_id}:{digest.n}:{digest.s}:{digest.x}"
+
+
 class MetricsRefresher:
-    """foreachBatch body for the periodic refresh (see module doc)."""
+    """foreachBatch body for the periodic refresh.
+
+    Its state is in the commit log: the window of the latest ``window`` distinct rows and the metric history. A
+    micro-batch stages the new window, measures it, stages the gauges and commits both under the batch's key. A crash
+    before the commit leaves no trace; a replayed batch finds its key; a restart, also with a fresh stream
+    checkpoint, goes on from the committed window, in which rows that come again count once.
+
+    Every gauge has a status: ``ok``, ``no_data`` (empty window), ``no_model``, or ``insufficient_reference``
+    (fewer reference rows than the window); values are 0.0 but for ``ok``. ``reference_version`` names the state of the
+    reference table: the matched sample is drawn again when it changes."""
 
-    def __init__(self, spark: SparkSession, reference: DataFrame, history_path: str, window: int = 200,
+    def __init__(self, spark: SparkSession, reference: DataFrame, root: str, window: int = 200,
                  models: ModelCache | None = None, seed: int = 42, id_col: str = "review_id",
                  ts_col: str = "ts", text_col: str = "review", label_col: str = "sentiment",
-                 run_id: str = "monitor"):
-        self.spark = spark
-        self.reference = reference
-        self.history_path = history_path
-        self.window = window
-        self.models = models
-        self.seed = seed
+                 run_id: str = "monitor", reference_version: Callable[[], object] = lambda: 0):
+        self.spark, self.reference, self.reference_version = spark, reference, reference_version
+        self.window, self.models, self.seed, self.run_id = window, models, seed, run_id
         self.cols = (id_col, ts_col, text_col, label_col)
-        self.run_id = run_id
-        self.retained_path: str | None = None
-        self._ref_samples: dict[int, str] = {}
+        self.log = CommitLog(spark, root, {"window": REVIEWS, "metric_history": METRIC_HISTORY})
+        self._sample: tuple | None = None
 
     def _reference_sample(self, n: int) -> DataFrame:
-        """The seeded reference sample of size n: the same rows every trigger while the
-        reference table is unchanged, so it is drawn once per size and kept as a small
-        table (bounded by the window) instead of scanning the reference every interval."""
-        if n not in self._ref_samples:
+        """The seeded reference sample of size n, drawn once per size and state of the reference and
+        kept as a small table (bounded by the window)."""
+        state = (self.reference_version(), n)
+        if self._sample is None or self._sample[0] != state:
             path = scratch_path(self.spark, f"reference-sample-{n}")
-            sampling.exact_sample(self.reference, self.cols[0], n, self.seed).write.mode("overwrite").parquet(path)
-            self._ref_samples[n] = path
-        return self.spark.read.parquet(self._ref_samples[n])
+            sampling.exact_sample(self.reference, self.cols[0], n, self.seed).write.parquet(path)
+            self._sample = (state, path)
+        return self.spark.read.parquet(self._sample[1])
 
-    def _seen(self, batch_id: int) -> bool:
-        try:
-            h = self.spark.read.schema(METRIC_HISTORY).parquet(self.history_path)
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return False  # no history yet
-        return h.filter(F.col("batch_id") == batch_id).limit(1).count() > 0
+    def history(self) -> DataFrame:
+        return self.log.read("metric_history")
+
+    def window_rows(self) -> DataFrame:
+        return self.log.read("window")
+
+    def _accuracy(self, window: DataFrame, n: int) -> tuple[DataFrame, str]:
+        model = self.models.current() if self.models else None
+        if n == 0 or model is None:
+            return self.spark.range(1).select(F.lit(0.0).alias("accuracy")), "no_data" if n == 0 else "no_model"
+        return accuracy(training.score(model, window), "sentiment", "prediction").select("accuracy"), "ok"
+
+    def _drift(self, window: DataFrame, n: int) -> tuple[DataFrame, str]:
+        text_col = self.cols[2]
+        status = "no_data"
+        if n > 0:
+            ref = self._reference_sample(n)
+            if ref.count() >= n:
+                return window_drift(hashed_embedding(ref, text_col), hashed_embedding(window, "review")), "ok"
+            status = "insufficient_reference"
+        names = ("combined_drift_score", "semantic_ks", "centroid_distance", "spread_distance")
+        return self.spark.range(1).select(*[F.lit(0.0).alias(c) for c in names]), status
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        if self._seen(batch_id):
+        renamed = [F.col(c).alias(n) for c, n in zip(self.cols, ("review_id", "ts", "review", "sentiment"))]
+        rows = conformed(batch.select(*renamed), REVIEWS)
+        key = batch_key(self.run_id, batch_id, rows)
+        if self.log.has(key):
             return
-        id_col, ts_col, text_col, label_col = self.cols
-        rows = batch.select(id_col, ts_col, text_col, label_col)
-        if self.retained_path is not None:
-            rows = rows.unionByName(self.spark.read.parquet(self.retained_path))
-        latest = sampling.latest(rows, ts_col, id_col, self.window)
-        new_path = scratch_path(self.spark, f"retained-{batch_id}")
-        latest.sortWithinPartitions(ts_col).write.mode("overwrite").parquet(new_path)  # bounded: <= window rows
-        self.retained_path = new_path
-        window = self.spark.read.parquet(new_path)
+        latest = newest_rows(rows.unionByName(self.log.read("window")), "ts", "review_id", self.window)
+        staged = self.log.stage("window", latest, REPLACE)
+        window = self.log.staged_rows(staged)
         n = window.count()
-
-        model = self.models.current() if self.models else None
-        if model is not None and n > 0:
-            acc = accuracy(training.score(model, window), label_col, "prediction").select("accuracy")
-        else:
-            acc = self.spark.range(1).select(F.lit(0.0).alias("accuracy"))
-
-        ref = self._reference_sample(n)
-        if n == 0 or ref.count() < n:  # no data, or a reference smaller than the window
-            drift = self.spark.range(1).select(
-                *[F.lit(0.0).alias(c) for c in ("combined_drift_score", "semantic_ks", "centroid_distance", "spread_distance")]
-            )
-        else:
-            drift = window_drift(hashed_embedding(ref, text_col), hashed_embedding(window, text_col))
-        from vigil.plans.monitoring import metrics_long
-
-        long = metrics_long(acc, drift)
-        long.select(
+        acc, acc_status = self._accuracy(window, n)
+        drift, drift_status = self._drift(window, n)
+        status = F.when(F.col("metric") == METRIC_NAMES[0], acc_status).otherwise(drift_status)
+        gauges = metrics_long(acc, drift).select(
             F.current_timestamp().alias("ts"), F.lit(self.run_id).alias("run_id"),
-            F.lit(batch_id).cast("long").alias("batch_id"), "metric", "value",
-        ).write.mode("append").parquet(self.history_path)
+            F.lit(batch_id).cast("long").alias("batch_id"), "metric", "value", status.alias("status"),
+        )
+        self.log.commit(key, [staged, self.log.stage("metric_history", gauges)])
+
+
+class ScoreSink:
+    """foreachBatch body that scores with the model in production when the batch runs. Each batch is one
+    commit under its key, so a replay adds no rows and keeps the scores first committed; a promotion
+    changes later batches only. Without a model a batch is an error, to be replayed."""
+
+    def __init__(self, spark: SparkSession, root: str, models: ModelCache, schema: T.StructType, run_id: str = "scores"):
+        fields = [("prediction", T.IntegerType()), ("prediction_label", T.StringType()), ("p1", T.DoubleType()), ("model_version", T.IntegerType())]
+        scored = T.StructType([*schema.fields, *[T.StructField(n, t) for n, t in fields]])
+        self.models, self.run_id, self.log = models, run_id, CommitLog(spark, root, {"scores": scored})
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        key = batch_key(self.run_id, batch_id, batch)
+        if self.log.has(key):
+            return
+        model = self.models.current()
+        if model is None:
+            raise RuntimeError("no model is in production")
+        scored = training.score(model, batch).withColumn("model_version", F.lit(self.models.version))
+        self.log.commit(key, [self.log.stage("scores", scored)])
 
+    def scores(self) -> DataFrame:
+        return self.log.read("scores")
 
-def refresh_stream(stream: DataFrame, refresher: MetricsRefresher, checkpoint: str,
+
+def refresh_stream(stream: DataFrame, refresher: Callable[[DataFrame, int], None], checkpoint: str,
                    interval: str | None = "60 seconds", available_now: bool = False):
     w = stream.writeStream.foreachBatch(refresher).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)
     return w.start()
 
 
-def retrain_cycle(spark: SparkSession, base: DataFrame, new_rows: DataFrame, window: int = 200,
-                  mode: str = "random", seed: int = 42, gate: float = lineage.GATE,
-                  id_col: str = "review_id", ts_col: str = "ts",
-                  versions: DataFrame | None = None) -> DataFrame:
-    """One retraining run; returns one row: n_appended, n_kept, n_train, test metrics,
-    registered (accuracy > gate), candidate_version."""
-    from vigil.session import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(spark)
-    held = sampling.holdback(new_rows, id_col, ts_col, window, mode, seed).checkpoint(eager=True)
-    appended = held.filter(F.col("action") == "append").drop("action")
-    table = base.unionByName(appended.select(*base.columns), allowMissingColumns=True).checkpoint(eager=True)
-    split = sampling.exact_split(table, id_col, 0.2, seed).checkpoint(eager=True)
-    fm = training.fit(split.filter(F.col("split") == "train"), id_col=id_col)
-    scored = training.score(fm.model, split.filter(F.col("split") == "test")).checkpoint(eager=True)
-    metrics = training.evaluate(scored)
-    counts = held.agg(
-        F.count_if(F.col("action") == "append").alias("n_appended"),
-        F.count_if(F.col("action") == "keep").alias("n_kept"),
-    )
-    if versions is None:
-        top = spark.range(1).select(F.lit(0).alias("__max_version"))
-    else:
-        top = versions.agg(F.coalesce(F.max("version"), F.lit(0)).alias("__max_version"))  # one row
-    passed = F.col("test_accuracy") > F.lit(gate)
-    return counts.crossJoin(metrics).crossJoin(top).select(
-        "n_appended", "n_kept", F.lit(fm.n_train).cast("long").alias("n_train"), *metrics.columns,
-        passed.alias("registered"),
-        F.when(passed, F.col("__max_version") + F.lit(1)).cast("int").alias("candidate_version"),
-    )
-
-
 __all__ = ["METRIC_NAMES", "ingest", "run_to_parquet", "score_stream", "windowed_metrics", "windowed_metrics_batch",
-           "ModelCache", "MetricsRefresher", "refresh_stream", "retrain_cycle"]
+           "ModelCache", "MetricsRefresher", "ScoreSink", "refresh_stream"]
