@@ -3,7 +3,8 @@
 A document is a row. Its terms are sorted and counted inside the row, so (document, term, tf)
 needs no shuffle; corpus and document frequency are then one aggregate by term, combined
 map-side. The vocabulary is a top-k (bounded by
-``max_features``), which is why it may be broadcast to weight every (doc, term) pair.
+``max_features``), which is why it may reach the driver and be broadcast; a document's weights and their norm
+are then computed inside its row.
 
 Weighting of the vectoriser being matched: raw term count x (ln((1 + n) / (1 + df)) + 1),
 then each document's vector scaled to unit L2 norm over the vocabulary terms it holds.
@@ -11,8 +12,11 @@ then each document's vector scaled to unit L2 norm over the vocabulary terms it
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vigil.functions.text import analyzed_tokens, ngram_terms
@@ -53,27 +57,39 @@ def top_vocabulary(stats: DataFrame, max_features: int = MAX_FEATURES) -> DataFr
     return stats.orderBy(F.col("tf").desc(), F.col("term").asc()).limit(max_features)
 
 
-def idf_table(vocab: DataFrame, n_docs) -> DataFrame:
-    """(term, idf) with the smoothed idf plus one; ``n_docs`` is a Column or a number."""
-    n = n_docs if not isinstance(n_docs, (int, float)) else F.lit(n_docs)
-    return vocab.select("term", (F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)).alias("idf"))
+def idf(n_docs: int, df: int) -> float:
+    """Smoothed inverse document frequency, plus one."""
+    return math.log((1.0 + n_docs) / (1.0 + df)) + 1.0
+
 
+def vector_stages(vocabulary: list, n_docs: int, terms_col: str, out_col: str, prefix: str = "__") -> list:
+    """MLlib stages from an array of terms to its unit tf-idf vector over ``vocabulary`` (rows with term and
+    df): a hash lookup, a product and a norm, all within the row. An empty vocabulary gives zero vectors."""
+    words = [r["term"] for r in vocabulary]
+    factors = [idf(n_docs, r["df"]) for r in vocabulary]
+    return [
+        CountVectorizerModel.from_vocabulary(words or ["__empty__"], inputCol=terms_col, outputCol=f"{prefix}tf"),
+        ElementwiseProduct(scalingVec=Vectors.dense(factors or [1.0]), inputCol=f"{prefix}tf", outputCol=f"{prefix}tfidf"),
+        Normalizer(p=2.0, inputCol=f"{prefix}tfidf", outputCol=out_col),
+    ]
 
-def tfidf_weights(pairs: DataFrame, idf: DataFrame) -> DataFrame:
-    """(doc_id, term, weight): L2-normalised tf-idf over the vocabulary terms of each doc."""
-    # `idf` is bounded by max_features rows: broadcast.
-    w = pairs.join(F.broadcast(idf), "term").withColumn("raw", F.col("tf") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("doc_id")))
-    return w.select("doc_id", "term", F.when(norm > 0, F.col("raw") / norm).alias("weight"))
+
+def tfidf_weights(docs: DataFrame, vocabulary: list, n_docs: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, term, weight): each row's unit vector over the vocabulary, term by term. A document is a
+    row: rows that share an id, or have none, are weighted on their own. Nothing is exchanged: the vocabulary
+    (bounded by its fit) is broadcast, lookup and norm stay inside the row."""
+    toks = docs.select(F.col(id_col).alias("doc_id"), analyzed_tokens(text_col).alias("__toks"))
+    rows = toks.select("doc_id", F.coalesce(ngram_terms("__toks"), F.array().cast("array<string>")).alias("__terms"))
+    for stage in vector_stages(vocabulary, n_docs, "__terms", "__unit"):
+        rows = stage.transform(rows)
+    sparse = F.unwrap_udt("__unit")
+    pairs = rows.select("doc_id", F.explode(F.arrays_zip(sparse["indices"].alias("place"), sparse["values"].alias("weight"))).alias("__p"))
+    names = docs.sparkSession.createDataFrame([(i, r["term"]) for i, r in enumerate(vocabulary)], "place int, term string")
+    return pairs.select("doc_id", "__p.place", "__p.weight").join(F.broadcast(names), "place").select("doc_id", "term", "weight")
 
 
 def fit_vocabulary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                   max_features: int = MAX_FEATURES) -> DataFrame:
-    """(term, tf, df, idf) of the fitted vocabulary for a training corpus."""
-    pairs = doc_terms(docs, id_col, text_col)
-    stats = term_stats(pairs)
-    vocab = top_vocabulary(stats, max_features)
-    n = docs.agg(F.count(F.lit(1)).alias("__n"))
-    return vocab.crossJoin(n).select(
-        "term", "tf", "df", (F.log((F.lit(1.0) + F.col("__n")) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)).alias("idf")
-    )
+                   max_features: int = MAX_FEATURES) -> tuple[list, int]:
+    """(rows of term, tf, df; number of documents) of a training corpus: at most ``max_features`` rows."""
+    stats = term_stats(doc_terms(docs, id_col, text_col))
+    return top_vocabulary(stats, max_features).collect(), docs.count()

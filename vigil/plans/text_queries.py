@@ -97,13 +97,8 @@ SELECT doc_id, term, round(CASE WHEN nrm > 0 THEN raw / nrm END, 6) AS weight FR
 )
 def q_tfidf_weights(spark, sf_dir):
     docs = tables.table(spark, sf_dir, "documents").select("doc_id", "text")
-    pairs = terms.doc_terms(docs)
-    vocab = terms.top_vocabulary(terms.term_stats(pairs))
-    n = docs.agg(F.count(F.lit(1)).alias("n_docs"))
-    idf = vocab.crossJoin(n).select(
-        "term", (F.log((F.lit(1.0) + F.col("n_docs")) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)).alias("idf")
-    )
-    return rounded(terms.tfidf_weights(pairs, idf))
+    vocabulary, n_docs = terms.fit_vocabulary(docs)
+    return rounded(terms.tfidf_weights(docs, vocabulary, n_docs))
 
 
 _WORDS = "len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> ''))"

@@ -22,28 +22,21 @@ from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import (
-    CountVectorizerModel,
-    ElementwiseProduct,
-    NGram,
-    Normalizer,
-    SQLTransformer,
-    StopWordsRemover,
-)
+from pyspark.ml.feature import NGram, SQLTransformer, StopWordsRemover
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigil.functions.text import TOKEN_PATTERN, default_stop_words, tokens_sql
 from vigil.operators import evaluation as ev
-from vigil.operators.terms import MAX_FEATURES, count_in_rows, term_stats, top_vocabulary
+from vigil.operators.terms import MAX_FEATURES, count_in_rows, term_stats, top_vocabulary, vector_stages
 
 # Fixed hyper-parameters of the classifier being matched.
 MAX_ITER = 1000
 C = 1.0
-THRESHOLD = 0.8  # register a model only when test accuracy is strictly above this
-ROWS_PER_PARTITION = 50_000
+# What one task of an optimiser step reads, and the fan-in of its tree aggregation.
+PARTITION_BYTES = 32 << 20
+FAN_IN = 32
 
 
 def text_stages(text_col: str = "review", preprocess_sql: str | None = None) -> list:
@@ -74,7 +67,17 @@ class FittedModel:
     params: dict
 
 
-def fit(train: DataFrame, text_col: str = "review", label_col: str = "sentiment", id_col: str = "review_id",
+def partitions_for(feature_bytes: int) -> int:
+    """Tasks of one optimiser step, by the bytes of the features."""
+    return max(1, math.ceil(feature_bytes / PARTITION_BYTES))
+
+
+def aggregation_depth(partitions: int) -> int:
+    """Levels of the tree that sums the tasks' gradients: no node takes more than FAN_IN of them."""
+    return max(2, math.ceil(math.log(partitions, FAN_IN)))
+
+
+def fit(train: DataFrame, text_col: str = "review", label_col: str = "sentiment",
         max_features: int = MAX_FEATURES, max_iter: int = MAX_ITER, c: float = C,
         preprocess_sql: str | None = None) -> FittedModel:
     """Fit the pipeline on ``train`` in two steps (vocabulary first, then the classifier).
@@ -93,20 +96,19 @@ def fit(train: DataFrame, text_col: str = "review", label_col: str = "sentiment"
         .select("__label", "__terms")
         .persist()
     )
-    n = prepared.count()
+    # a term takes at most an index and a value of the sparse vector: 12 bytes
+    size = prepared.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("__terms").cast("long") * 12 + 24).alias("bytes")).first()
+    n = size["n"]
     if n == 0:
         prepared.unpersist()
         raise ValueError("no training rows")
     stats = term_stats(count_in_rows(prepared.select("__terms"), "__terms"))
-    top = top_vocabulary(stats, max_features).collect()  # bounded
-    vocab = [r["term"] for r in top]
-    idf = [math.log((1.0 + n) / (1.0 + r["df"])) + 1.0 for r in top]
-    back_stages = [
-        CountVectorizerModel.from_vocabulary(vocab or ["__empty__"], inputCol="__terms", outputCol="__tf"),
-        ElementwiseProduct(scalingVec=Vectors.dense(idf or [1.0]), inputCol="__tf", outputCol="__tfidf"),
-        Normalizer(p=2.0, inputCol="__tfidf", outputCol="features"),
-    ]
+    vocab = top_vocabulary(stats, max_features).collect()  # bounded
+    back_stages = vector_stages(vocab, n, "__terms", "features")
     stages = front_stages + back_stages
+    # Every L-BFGS iteration is a job over the features: they are dealt evenly, by their bytes, over all
+    # cores; MLlib packs a task's rows into blocks, and gradients are summed in a tree.
+    parts = partitions_for(size["bytes"])
     lr = LogisticRegression(
         featuresCol="features",
         labelCol="__label",
@@ -115,20 +117,18 @@ def fit(train: DataFrame, text_col: str = "review", label_col: str = "sentiment"
         elasticNetParam=0.0,
         standardization=False,
         fitIntercept=True,
+        aggregationDepth=aggregation_depth(parts),
+        maxBlockSizeInMB=1.0,
     )
-    feats = PipelineModel(stages=back_stages).transform(prepared).select("features", "__label").persist()
-    # Every L-BFGS iteration is a job over the training rows: featurise in parallel, then
-    # give the optimiser partitions of at least ROWS_PER_PARTITION rows so that small
-    # training sets are not dominated by per-task and tree-aggregation overhead.
-    parts = max(1, min(feats.rdd.getNumPartitions(), math.ceil(n / ROWS_PER_PARTITION)))
+    feats = PipelineModel(stages=back_stages).transform(prepared).select("features", "__label").repartition(parts).persist()
     feats.count()
     prepared.unpersist()
-    lr_model = lr.fit(feats.coalesce(parts))
+    lr_model = lr.fit(feats)
     feats.unpersist()
     params = {
         "max_features": str(max_features), "max_iter": str(max_iter), "C": str(c),
         "regParam": str(1.0 / (c * n)), "ngram_range": "(1, 3)", "solver": "lbfgs",
-        "vocab_size": str(len(vocab)), "iterations": str(lr_model.summary.totalIterations),
+        "vocab_size": str(len(vocab)), "partitions": str(parts), "iterations": str(lr_model.summary.totalIterations),
         "dropped_rows": str(dropped),
     }
     return FittedModel(PipelineModel(stages=stages + [lr_model]), n, len(vocab), params)
