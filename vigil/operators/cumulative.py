@@ -37,6 +37,14 @@ def default_buckets(df: DataFrame) -> int:
     return max(64, 4 * parts)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed in the shared folder: what is read several times is computed once."""
+    from vigil.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def _bucketize(df: DataFrame, order_col: str, num_buckets: int) -> tuple[DataFrame, int]:
     probs = [i / num_buckets for i in range(1, num_buckets)]
     bounds = df.approxQuantile(order_col, probs, 0.25 / num_buckets) if probs else []
@@ -73,10 +81,7 @@ def running_totals(
     """
     num_buckets = num_buckets or default_buckets(df)
     if materialize:
-        from vigil.session import ensure_checkpoint_dir
-
-        ensure_checkpoint_dir(df.sparkSession)
-        df = df.checkpoint(eager=True)
+        df = settled(df)
     bucketed, n_splits = _bucketize(df, order_col, num_buckets)
     if descending:
         # NaN ('keep' bucket = n_splits - 1) sorts last ascending and first descending.

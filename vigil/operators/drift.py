@@ -14,8 +14,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vigil.functions.vectors import cosine
+from vigil.operators.cumulative import settled
 from vigil.operators.ks import ks_by_flag
 
 # Fixed values of the monitored system's combined drift score.
@@ -32,14 +34,48 @@ def dimension_moments(emb: DataFrame, vec_col: str = "embedding", grp_col: str =
     Summarizer (one buffer per group and task, for very wide vectors)."""
     if method == "summarizer":
         return _summarizer_moments(emb, vec_col, grp_col)
-    exploded = emb.select(F.col(grp_col).alias("grp"), F.posexplode(vec_col).alias("pos", "x"))
-    return exploded.groupBy("grp", "pos").agg(
-        F.avg(F.col("x").cast("double")).alias("mean"),
-        F.stddev_pop(F.col("x").cast("double")).alias("std"),
-        F.count("x").alias("n"),
+    named = emb.select(F.col(grp_col).alias("grp"), F.col(vec_col).alias("embedding"))
+    return finished_moments(moment_parts(named, ["grp"]), ["grp"])
+
+
+PART_FIELDS = [
+    T.StructField("pos", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("mean", T.DoubleType()),
+    T.StructField("m2", T.DoubleType()), T.StructField("n_rows", T.LongType()),
+]
+
+
+def moment_parts(emb: DataFrame, by: list[str]) -> DataFrame:
+    """(by.., pos, n, mean, m2, n_rows) of the vectors in ``embedding``: count, mean and sum of squared deviations
+    of each dimension, to be merged later. ``n_rows`` counts vectors, at their first dimension; vectors
+    that are null or empty are one row at a null ``pos``."""
+    x = F.col("x").cast("double")
+    exploded = emb.select(*by, F.posexplode_outer("embedding").alias("pos", "x"))
+    return exploded.groupBy(*by, "pos").agg(
+        F.count("x").alias("n"), F.avg(x).alias("mean"), (F.var_pop(x) * F.count("x")).alias("m2"),
+        F.count_if(F.coalesce(F.col("pos"), F.lit(0)) == 0).alias("n_rows"),
     )
 
 
+def finished_moments(parts: DataFrame, by: list[str]) -> DataFrame:
+    """(by.., pos, mean, std, n) of complete parts: population standard deviation."""
+    return parts.filter(F.col("pos").isNotNull()).select(
+        *by, "pos", "mean", F.sqrt(F.greatest(F.col("m2"), F.lit(0.0)) / F.col("n")).alias("std"), "n"
+    )
+
+
+def merged_moments(parts: DataFrame, by: tuple[str, ...] = ("grp",)) -> DataFrame:
+    """Moments of all rows from the parts of disjoint sets of them: the deviations within the parts, plus those of their
+    means from the common mean. Parts are few (sets x width), so merging costs no pass over vectors."""
+    keys = [*by, "pos"]
+    parts = parts.filter(F.col("pos").isNotNull())
+    common = parts.groupBy(*keys).agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("__mean"))
+    apart = F.col("n") * F.pow(F.col("mean") - F.col("__mean"), 2)
+    whole = parts.join(common, keys).groupBy(*keys).agg(
+        F.sum("n").alias("n"), F.first("__mean").alias("mean"), F.sum(F.col("m2") + F.coalesce(apart, F.lit(0.0))).alias("m2")
+    )
+    return finished_moments(whole, list(by))
+
+
 def _summarizer_moments(emb: DataFrame, vec_col: str, grp_col: str) -> DataFrame:
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
@@ -118,14 +154,20 @@ def embedding_drift(
     emb = emb.select(F.col(vec_col).alias("embedding"), F.col(grp_col).alias("grp")).filter(
         F.col("grp").isin(ref, new)
     )
-    moments = dimension_moments(emb, method=moments_method)
+    # One pass for moments and counts (groups x width rows, written once), one for the similarities.
+    if moments_method == "summarizer":
+        moments = dimension_moments(emb, method=moments_method)
+        rows = emb.groupBy("grp").agg(F.count(F.lit(1)).alias("n_rows"))
+    else:
+        parts = settled(moment_parts(emb, ["grp"]))
+        moments, rows = finished_moments(parts, ["grp"]), parts
     vectors = group_vectors(moments)
     dist = moment_distances(moments, ref, new)
     sims = similarity_to_centroid(emb, vectors.filter(F.col("grp") == ref))
     ks = ks_by_flag(sims, "similarity", F.col("grp") == ref, num_buckets=num_buckets)
-    counts = emb.agg(
-        F.count_if(F.col("grp") == ref).alias("n_ref"), F.count_if(F.col("grp") == new).alias("n_new")
-    )
+    counts = rows.agg(*[
+        F.coalesce(F.sum(F.when(F.col("grp") == g, F.col("n_rows"))), F.lit(0)).alias(c) for g, c in ((ref, "n_ref"), (new, "n_new"))
+    ])
     ok = (F.col("n_ref") > 0) & (F.col("n_new") > 0)
     zero = F.lit(0.0)
     cd = F.coalesce(F.col("centroid_distance"), zero)

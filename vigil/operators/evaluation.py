@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.operators.cumulative import running_totals
+from vigil.operators.cumulative import running_totals, settled
 
 # Class names of the binary sentiment labels, in class order 0, 1.
 CLASS_NAMES = ["Negative", "Positive"]
@@ -119,9 +119,10 @@ def log_loss(df: DataFrame, y: str = "y", p1: str = "p1") -> DataFrame:
 
 
 def _score_counts(df: DataFrame, y: str, p1: str) -> DataFrame:
-    return df.groupBy(F.col(p1).cast("double").alias("score")).agg(
+    """Classes by distinct score, written once: totals, bounds and running sums read them, not the source."""
+    return settled(df.groupBy(F.col(p1).cast("double").alias("score")).agg(
         F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) != 1).alias("neg")
-    ).filter(F.col("score").isNotNull())
+    ).filter(F.col("score").isNotNull()))
 
 
 def roc_curve(df: DataFrame, y: str = "y", p1: str = "p1", num_buckets: int | None = None,
@@ -132,7 +133,7 @@ def roc_curve(df: DataFrame, y: str = "y", p1: str = "p1", num_buckets: int | No
     of direction); the first and last points are always kept."""
     counts = _score_counts(df, y, p1)
     totals = counts.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    cum = running_totals(counts, "score", ["pos", "neg"], descending=True, num_buckets=num_buckets,
+    cum = running_totals(counts, "score", ["pos", "neg"], descending=True, num_buckets=num_buckets, materialize=False,
                          next_cols=["pos", "neg"] if drop_intermediate else None)
     if drop_intermediate:
         first = (F.col("cum_pos") == F.col("pos")) & (F.col("cum_neg") == F.col("neg"))
@@ -156,7 +157,7 @@ def roc_auc(df: DataFrame, y: str = "y", p1: str = "p1", num_buckets: int | None
     """One row: roc_auc (ties count one half; null when a class is missing), n_pos, n_neg."""
     counts = _score_counts(df, y, p1)
     totals = counts.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    cum = running_totals(counts, "score", ["neg"], num_buckets=num_buckets)
+    cum = running_totals(counts, "score", ["neg"], num_buckets=num_buckets, materialize=False)
     # pos at s times (negatives strictly below s + half the negatives tied at s)
     pairs = cum.agg(F.sum(F.col("pos") * (F.col("cum_neg") - F.col("neg") / 2.0)).alias("w"))
     return totals.crossJoin(pairs).select(

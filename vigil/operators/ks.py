@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.operators.cumulative import running_totals
+from vigil.operators.cumulative import running_totals, settled
 
 
 def ks_two_sample(a: DataFrame, b: DataFrame, col: str = "v", num_buckets: int | None = None) -> DataFrame:
@@ -31,14 +31,15 @@ def ks_by_flag(df: DataFrame, value_col: str, flag_col, num_buckets: int | None
     rows = df.select(v.alias("v"), flag.alias("f")).filter(
         F.col("v").isNotNull() & ~F.isnan("v") & F.col("f").isNotNull()
     )
-    grouped = rows.groupBy("v").agg(
+    # counts by distinct value, written once: totals, bounds and running sums read them, not the source
+    grouped = settled(rows.groupBy("v").agg(
         F.count_if(F.col("f")).alias("ca"), F.count_if(~F.col("f")).alias("cb")
-    )
+    ))
     totals = grouped.agg(
         F.coalesce(F.sum("ca"), F.lit(0)).cast("long").alias("n_a"),
         F.coalesce(F.sum("cb"), F.lit(0)).cast("long").alias("n_b"),
     )
-    cum = running_totals(grouped, "v", ["ca", "cb"], num_buckets=num_buckets)
+    cum = running_totals(grouped, "v", ["ca", "cb"], num_buckets=num_buckets, materialize=False)
     # totals is a single row (a global aggregate): broadcast is bounded.
     both = (F.col("n_a") > 0) & (F.col("n_b") > 0)
     gap = cum.crossJoin(F.broadcast(totals)).select(

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from vigil.operators import drift
 from vigil.operators.ks import ks_by_flag
 from vigil.plans.catalog import register, rounded
+from vigil.session import scratch_path
 from vigil.sources import tables
+from vigil.sources.commits import CommitLog
+from vigil.sources.per_file import Moments
 
 # DuckDB fragments shared by the SQL twins.
 _E = """e AS (SELECT vec_id, embedding, CASE WHEN label < 4 THEN 'ref' ELSE 'new' END AS grp FROM embeddings)"""
@@ -83,6 +86,23 @@ def q_embedding_spread(spark, sf_dir):
     return rounded(m.select("grp", F.col("pos").cast("bigint").alias("pos"), F.col("std").alias("spread_value")))
 
 
+@register(
+    "stored_moments",
+    f"""WITH {_E}, {_X}, {_M}
+SELECT grp, pos, round(mean, 6) AS mean, round(std, 6) AS std,
+       (SELECT count(*) FROM x WHERE x.grp = m.grp AND x.pos = m.pos) AS n FROM m""",
+)
+def q_stored_moments(spark, sf_dir):
+    """Moments merged from those of files that arrived one after the other, each read once."""
+    emb = tables.embeddings(spark, sf_dir)
+    folder = scratch_path(spark, "embedding-files")
+    store = Moments(CommitLog(spark, scratch_path(spark, "moments"), {}), lambda rows: rows.select("path", "grp", "embedding"))
+    for k in range(2):
+        emb.filter(F.col("vec_id") % 2 == k).coalesce(1).write.mode("append").parquet(folder)
+        store.update(folder)
+    return rounded(store.merged(folder).withColumn("pos", F.col("pos").cast("bigint")))
+
+
 @register(
     "centroid_distance",
     f"""WITH {_E}, {_X}, {_M}, {_D} SELECT round(centroid_distance, 6) AS centroid_distance FROM d""",

@@ -126,10 +126,11 @@ def q_hash_embed(spark, sf_dir):
 def q_text_drift(spark, sf_dir):
     """Drift between English documents (reference) and the rest, on built-in embeddings."""
     from vigil.functions.encoders import hashed_embedding
+    from vigil.operators.cumulative import settled
     from vigil.operators.drift import embedding_drift
 
     docs = tables.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     emb = hashed_embedding(docs, "text", "embedding").withColumn(
         "grp", F.when(F.col("lang") == "en", "ref").otherwise("new")
     )
-    return rounded(embedding_drift(emb))
+    return rounded(embedding_drift(settled(emb.select("embedding", "grp"))))  # texts are cleaned and hashed once

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigil.operators import sampling
+from vigil.operators.cumulative import settled
 from vigil.operators.drift import embedding_drift
 from vigil.operators.evaluation import accuracy
 
@@ -42,7 +43,7 @@ def window_drift(ref_emb: DataFrame, new_emb: DataFrame, vec_col: str = "embeddi
     both = ref_emb.select(F.col(vec_col).alias("embedding"), F.lit("ref").alias("grp")).unionByName(
         new_emb.select(F.col(vec_col).alias("embedding"), F.lit("new").alias("grp"))
     )
-    return embedding_drift(both)
+    return embedding_drift(settled(both))  # at most two windows of vectors: embedded once
 
 
 def metrics_long(acc: DataFrame, drift: DataFrame) -> DataFrame:

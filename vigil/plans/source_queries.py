@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from vigil.plans.catalog import register
 from vigil.session import scratch_path
 from vigil.sources import io, tables
+from vigil.sources.commits import CommitLog
+from vigil.sources.per_file import Manifest
 
 
 @register("csv_roundtrip", "SELECT doc_id, text FROM documents")
@@ -56,6 +58,33 @@ def q_dataset_fingerprint(spark, sf_dir):
     return fp.select("n_rows", "total_chars", F.col("digest_sum").cast("string").alias("digest_sum"))
 
 
+_DIGEST = """sum(('0x' || substr(md5(concat_ws(chr(1), coalesce(CAST(doc_id AS VARCHAR), chr(0)), coalesce(text, chr(0)))), 1, 8))::BIGINT)"""
+
+
+@register(
+    "dataset_manifest",
+    f"""SELECT 'reviews' AS name, 'sentiment' AS target, CAST(2 AS BIGINT) AS n_files, count(*) AS n_rows,
+       CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS total_chars, CAST({_DIGEST} AS VARCHAR) AS digest_sum
+FROM documents WHERE doc_id % 3 <> 1""",
+)
+def q_dataset_manifest(spark, sf_dir):
+    """The manifest row of a folder in which one of two files was replaced by another: the one that stayed is
+    not read again."""
+    docs = tables.table(spark, sf_dir, "documents").select("doc_id", "text")
+    folder = scratch_path(spark, "dataset")
+    manifest = Manifest(CommitLog(spark, scratch_path(spark, "manifest"), {}), ["doc_id", "text"], "text")
+
+    def part(k: int, name: str) -> None:
+        docs.filter(F.col("doc_id") % 3 == k).coalesce(1).write.mode("overwrite").parquet(f"{folder}/{name}")
+
+    part(0, "day=1")
+    part(1, "day=2")
+    manifest.update(folder)
+    part(2, "day=2")
+    row = manifest.row(folder, "reviews", "sentiment")
+    return row.select("name", "target", "n_files", "n_rows", "total_chars", F.col("digest_sum").cast("string").alias("digest_sum"))
+
+
 @register(
     "append_by_name",
     """SELECT d.doc_id AS review_id, d.text AS review, l.quality AS sentiment, NULL::TIMESTAMP AS ts

@@ -142,16 +142,21 @@ def write_snapshot(df: DataFrame, root: str, tag: str) -> str:
     return f"{root}/snapshot={tag}"
 
 
+def row_digest(cols: list[str]):
+    """The first 32 bits of the md5 of a row's columns, as a decimal to be summed."""
+    row = F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in cols])
+    return F.conv(F.substring(F.md5(row), 1, 8), 16, 10).cast("decimal(20,0)")
+
+
 def fingerprint(df: DataFrame, cols: list[str], text_col: str | None = None) -> DataFrame:
     """Order-insensitive content digest, one row: n_rows, total_chars, digest_sum, digest_xor.
 
     digest_sum adds the first 32 bits of each row's md5 (duplicates count twice);
     digest_xor folds the 64-bit xxhash of each row (a cheap second check)."""
-    row = F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in cols])
     return df.agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.sum(F.length(F.col(text_col or cols[0]))).cast("long").alias("total_chars"),
-        F.sum(F.conv(F.substring(F.md5(row), 1, 8), 16, 10).cast("decimal(20,0)")).alias("digest_sum"),
+        F.sum(row_digest(cols)).alias("digest_sum"),
         F.bit_xor(F.xxhash64(*[F.col(c) for c in cols])).alias("digest_xor"),
     )
 
