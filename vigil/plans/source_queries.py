@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vigil.plans.catalog import register
 from vigil.session import scratch_path
-from vigil.sources import io, tables
+from vigil.sources import io, quarantine, tables
 from vigil.sources.commits import CommitLog
 from vigil.sources.per_file import Manifest
 
@@ -19,7 +19,12 @@ def q_csv_roundtrip(spark, sf_dir):
     return io.read_csv(spark, path, "doc_id BIGINT, text STRING")
 
 
-@register("csv_ingest")
+@register(
+    "csv_ingest",
+    """SELECT d.text AS review, l.quality AS sentiment, NULL::TIMESTAMP AS ts FROM documents d JOIN labels l ON d.doc_id = l.doc_id
+UNION ALL
+SELECT props, CAST(event_type = 'purchase' AS INTEGER), date_trunc('second', ts) FROM events""",
+)
 def q_csv_ingest(spark, sf_dir):
     """Training rows as `Review,Sentiment` CSV plus monitoring rows as
     `Timestamp,Review,Sentiment` CSV, read back by header and appended by name."""
@@ -32,7 +37,31 @@ def q_csv_ingest(spark, sf_dir):
     p1, p2 = scratch_path(spark, "csv-base"), scratch_path(spark, "csv-new")
     io.write_csv(base, p1)
     io.write_csv(ev, p2)
-    return io.append_by_name(io.read_reviews_csv(spark, p1), io.read_reviews_csv(spark, p2))
+    both = io.append_by_name(io.read_reviews_csv(spark, p1), io.read_reviews_csv(spark, p2))
+    return both.select("review", "sentiment", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+@register(
+    "csv_quarantine",
+    """SELECT event_id AS review_id,
+  CASE WHEN event_id % 5 = 0 THEN '' WHEN event_id % 5 = 1 THEN NULL ELSE props END AS review,
+  CASE WHEN event_id % 7 = 0 THEN NULL ELSE CAST(event_type = 'purchase' AS INTEGER) END AS sentiment,
+  CASE WHEN event_id % 7 = 0 THEN 'Sentiment does not parse' WHEN event_id % 11 = 0 THEN 'Timestamp does not parse' END AS reason
+FROM events""",
+)
+def q_csv_quarantine(spark, sf_dir):
+    """Monitoring rows with empty, missing and damaged fields through CSV: good rows and rejects, every row once."""
+    ev = tables.new_reviews(spark, sf_dir)
+    i = F.col("review_id")
+    path = scratch_path(spark, "csv-damaged")
+    io.write_csv(ev.select(
+        F.when(i % 11 == 0, "yesterday").otherwise(F.date_format("ts", io.TS_FORMAT)).alias("Timestamp"),
+        F.when(i % 5 == 0, "").when(i % 5 == 1, F.lit(None)).otherwise(F.col("review")).alias("Review"),
+        F.when(i % 7 == 0, "many").otherwise(F.col("sentiment").cast("string")).alias("Sentiment"), i,
+    ), path)
+    both = quarantine.divided(io.judged_reviews_csv(spark, path), scratch_path(spark, "csv-divided"))
+    good = both.good.withColumn("reason", F.lit(None).cast("string"))
+    return good.unionByName(both.rejects.drop("raw")).select("review_id", "review", "sentiment", "reason")
 
 
 @register(

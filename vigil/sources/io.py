@@ -10,10 +10,13 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vigil.sources import quarantine
+
 REVIEWS = T.StructType([
     T.StructField("review_id", T.LongType(), True),
     T.StructField("review", T.StringType(), True),
@@ -27,47 +30,36 @@ BATCH_SCHEMA = "array<struct<Review:string,Sentiment:int>>"
 TS_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
 
-def _csv_reader(spark: SparkSession):
-    return (
-        spark.read.option("header", True)
-        .option("multiLine", True)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("encoding", "UTF-8")
-        .option("mode", "PERMISSIVE")
-    )
+def judged_reviews_csv(spark: SparkSession, path: str, id_col: str = "review_id") -> DataFrame:
+    """Reviews from CSV (either column order), each row with the reason why it cannot be taken, if any. Without
+    an id column the id is a hash of the fields. A missing file and one with a header only have no rows."""
+    try:
+        names = quarantine.csv_options(spark.read).csv(path).columns
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], T.StructType([*REVIEWS.fields, *[T.StructField(c, T.StringType()) for c in ("reason", "raw")]]))
+    headers = {CSV_NAMES.get(c, c): c for c in names}
+    columns = {}
+    for f in REVIEWS.fields:
+        header = headers.get(f.name, f.name)
+        parsed = F.try_to_timestamp(F.col(f"`{header}`"), F.lit(TS_FORMAT)) if f.name == "ts" else None
+        columns[f.name] = (header, f.dataType, parsed)
+    rows = quarantine.judged_csv(spark, path, columns)
+    return rows if id_col in headers else rows.withColumn(id_col, F.xxhash64("raw"))
 
 
 def read_reviews_csv(spark: SparkSession, path: str, id_col: str = "review_id") -> DataFrame:
-    """Reviews from CSV (either column order). Missing or header-only input -> empty table."""
-    try:
-        raw = _csv_reader(spark).csv(path)
-    except Exception as e:  # noqa: BLE001 - only a missing path is tolerated
-        if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e):
-            return spark.createDataFrame([], REVIEWS)
-        raise
-    cols = {c: CSV_NAMES.get(c, c) for c in raw.columns}
-    df = raw.select(*[F.col(f"`{c}`").alias(n) for c, n in cols.items()])
-    out = []
-    for f in REVIEWS.fields:
-        if f.name in df.columns:
-            c = F.col(f.name)
-            if f.name == "ts":
-                c = F.try_to_timestamp(c, F.lit(TS_FORMAT))
-            out.append(c.try_cast(f.dataType).alias(f.name))
-        elif f.name == id_col:
-            out.append(F.xxhash64(*[F.col(c) for c in df.columns]).alias(id_col))
-        else:
-            out.append(F.lit(None).cast(f.dataType).alias(f.name))
-    return df.select(*out)
+    """Reviews from CSV, if every row can be taken: a bad row is an error (see `judged_reviews_csv` and
+    `quarantine.divided` for a table of rejects instead)."""
+    return quarantine.strict(judged_reviews_csv(spark, path, id_col))
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """CSV with a header, every field quoted, whitespace kept."""
+    """CSV with a header, whitespace kept; an empty text is quoted, a missing one is not."""
     (
         df.write.mode(mode)
         .option("header", True)
-        .option("quoteAll", True)
         .option("escape", '"')
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
@@ -77,7 +69,7 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """CSV with an explicit schema (no inference)."""
-    return _csv_reader(spark).schema(schema).csv(path)
+    return quarantine.csv_options(spark.read).schema(schema).csv(path)
 
 
 def overwrite_table(df: DataFrame, path: str, sort_by: list[str] | None = None) -> None:
