@@ -194,3 +194,31 @@ def report_lines(df: DataFrame, y: str = "y", yhat: str = "yhat", names: list[st
         F.coalesce(F.col("o"), F.row_number().over(Window.orderBy("label"))).cast("long").alias("line_no"), "line"
     )
     return acc.unionByName(numbered)
+
+
+# Title and metric lines of the monitored system's text report.
+REPORT_TITLE = ("Classification Report", "====================")
+SCORE_LINES = (
+    ("ROC AUC Score", "roc_auc"), ("Test Accuracy", "accuracy"), ("Test Precision (Macro)", "precision_macro"),
+    ("Test Recall (Macro)", "recall_macro"), ("Test F1 Score (Macro)", "f1_macro"), ("Test Log Loss", "log_loss"),
+)
+
+
+def score_lines(df: DataFrame, y: str = "y", yhat: str = "yhat", p1: str = "p1") -> DataFrame:
+    """(line_no, line): the report's metrics with four decimals; an undefined one (AUC of one class) is ``nan``."""
+    values = (  # one-row aggregates
+        accuracy(df, y, yhat).select("accuracy").crossJoin(macro_prf(df, y, yhat).select("precision_macro", "recall_macro", "f1_macro"))
+        .crossJoin(roc_auc(df, y, p1).select("roc_auc")).crossJoin(log_loss(df, y, p1))
+    )
+    four = lambda c: F.when(F.col(c).isNull(), "nan").otherwise(F.format_string("%.4f", F.round(F.col(c), 4)))
+    lines = [F.struct(F.lit(i).cast("long").alias("line_no"), F.concat(F.lit(f"{name}: "), four(c)).alias("line")) for i, (name, c) in enumerate(SCORE_LINES)]
+    return values.select(F.inline(F.array(*lines)))
+
+
+def full_report(df: DataFrame, y: str = "y", yhat: str = "yhat", p1: str = "p1", names: list[str] | None = None) -> DataFrame:
+    """(line_no, line): the whole text report: title, a line per report row, then the metrics with four decimals."""
+    title = df.sparkSession.createDataFrame([(i - 10, t) for i, t in enumerate((*REPORT_TITLE, ""))], "line_no long, line string")
+    body = report_lines(df, y, yhat, names).filter("line_no > 0")
+    scores = score_lines(df, y, yhat, p1).select((F.col("line_no") + F.lit(2000)).alias("line_no"), "line")
+    gap = df.sparkSession.createDataFrame([(1500, "")], "line_no long, line string")
+    return title.unionByName(body).unionByName(gap).unionByName(scores)

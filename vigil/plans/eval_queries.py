@@ -172,6 +172,32 @@ def q_report_text(spark, sf_dir):
     return ev.report_lines(tables.predictions(spark, sf_dir))
 
 
+@register(
+    "report_scores",
+    f"""WITH {_SCORED}, {_COUNTS},
+c AS (SELECT pos, neg, sum(neg) OVER (ORDER BY score ROWS UNBOUNDED PRECEDING) AS cn FROM g),
+sp AS (SELECT y, p1, CAST(p1 >= 0.5 AS INTEGER) AS yhat FROM sc),
+cm AS (SELECT k, count(*) FILTER (WHERE y = k AND yhat = k) AS tp, count(*) FILTER (WHERE yhat = k) AS said,
+              count(*) FILTER (WHERE y = k) AS is_k FROM sp, (VALUES (0), (1)) v(k) GROUP BY k),
+pr AS (SELECT CASE WHEN said > 0 THEN tp / said ELSE 0 END AS p, CASE WHEN is_k > 0 THEN tp / is_k ELSE 0 END AS r FROM cm),
+m AS (SELECT avg(p) AS p, avg(r) AS r, avg(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END) AS f FROM pr),
+v AS (SELECT (SELECT sum(pos * (cn - neg / 2.0)) FROM c) / (t.P * t.N) AS auc, m.p, m.r, m.f,
+             (SELECT avg(CAST(y = yhat AS DOUBLE)) FROM sp) AS acc,
+             (SELECT avg(-ln(CASE WHEN y = 1 THEN least(greatest(p1, 2.220446049250313e-16), 1 - 2.220446049250313e-16)
+                                  ELSE 1 - least(greatest(p1, 2.220446049250313e-16), 1 - 2.220446049250313e-16) END)) FROM sc) AS ll
+      FROM t, m)
+SELECT CAST(i AS BIGINT) AS line_no, concat(name, ': ', printf('%.4f', round(x, 4))) AS line FROM (
+  SELECT 0 AS i, 'ROC AUC Score' AS name, auc AS x FROM v UNION ALL SELECT 1, 'Test Accuracy', acc FROM v
+  UNION ALL SELECT 2, 'Test Precision (Macro)', p FROM v UNION ALL SELECT 3, 'Test Recall (Macro)', r FROM v
+  UNION ALL SELECT 4, 'Test F1 Score (Macro)', f FROM v UNION ALL SELECT 5, 'Test Log Loss', ll FROM v)""",
+)
+def q_report_scores(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    scored = tables.scored_events(spark, sf_dir).withColumn("yhat", (F.col("p1") >= 0.5).cast("int"))
+    return ev.score_lines(scored)
+
+
 @register(
     "split_counts",
     f"""WITH {_SPLIT_REVIEWS}
