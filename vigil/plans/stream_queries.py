@@ -11,6 +11,7 @@ from vigil.plans.catalog import register, rounded
 from vigil.session import scratch_path
 from vigil.sources import tables
 from vigil.streaming import jobs
+from vigil.streaming.late import LateAwareWindows
 
 
 def _events_stream(spark, sf_dir):
@@ -45,6 +46,44 @@ def q_stream_windowed_metrics(spark, sf_dir):
     return rounded(jobs.run_updates_to_parquet(jobs.windowed_metrics(stream), "window_start", out))
 
 
+# Arrival: four equal spans of event time one after the other; every tenth event comes with the next span.
+ARRIVALS = 5
+
+
+@register(
+    "stream_late_rows",
+    """WITH span AS (SELECT min(ts) AS lo, max(ts) AS hi FROM events),
+e AS (SELECT date_trunc('hour', ts) AS w, ts, value, (event_type = 'purchase') = (value >= 50.0) AS correct,
+        4 * (epoch_us(ts) - epoch_us(lo)) // (epoch_us(hi) - epoch_us(lo) + 1) + CAST(event_id % 10 = 0 AS INTEGER) AS arrival
+      FROM events, span),
+marks AS (SELECT a.arrival, max(b.ts) - INTERVAL 2 HOUR AS mark
+          FROM (SELECT DISTINCT arrival FROM e) a JOIN (SELECT arrival, max(ts) AS ts FROM e GROUP BY 1) b ON b.arrival < a.arrival GROUP BY 1),
+judged AS (SELECT e.*, coalesce(w + INTERVAL 1 HOUR <= mark, false) AS late FROM e LEFT JOIN marks USING (arrival))
+SELECT w AS window_start, count(*) FILTER (NOT late) AS n, count(*) FILTER (late) AS n_late,
+       round(avg(CAST(correct AS DOUBLE)) FILTER (NOT late), 6) AS accuracy, round(avg(value) FILTER (NOT late), 6) AS mean_value
+FROM judged GROUP BY 1""",
+)
+def q_stream_late_rows(spark, sf_dir):
+    """Windows of what came on time and, beside them, how many rows of each window came behind the watermark."""
+    events = tables.table(spark, sf_dir, "events")
+    span = events.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))  # one row
+    us = "unix_micros(CAST({} AS TIMESTAMP))".format
+    quarter = F.expr(f"4 * ({us('ts')} - {us('lo')}) div ({us('hi')} - {us('lo')} + 1)")
+    arrival = quarter + (F.col("event_id") % 10 == 0).cast("int")
+    arriving = events.crossJoin(F.broadcast(span)).withColumn("arrival", arrival).drop("lo", "hi")
+    feed, root = scratch_path(spark, "event-feed"), scratch_path(spark, "late-windows")
+    sink = LateAwareWindows(spark, root, _scored_events(events).schema)
+    for k in range(ARRIVALS):  # each run of the stream takes what has arrived since the last one
+        arriving.filter(F.col("arrival") == k).drop("arrival").write.mode("append").parquet(feed)
+        stream = _scored_events(jobs.ingest(spark, feed, events.schema))
+        jobs.refresh_stream(stream, sink, root + "/checkpoint", available_now=True).awaitTermination()
+    late = sink.late_rows().groupBy(F.col("late_window").alias("window_start")).agg(F.count(F.lit(1)).alias("n_late"))
+    none = F.lit(0).cast("long")
+    return rounded(sink.windows().join(late, "window_start", "full").select(
+        "window_start", F.coalesce("n", none).alias("n"), F.coalesce("n_late", none).alias("n_late"), "accuracy", "mean_value"
+    ))
+
+
 @register("stream_score")
 def q_stream_score(spark, sf_dir):
     from vigil.plans.model_queries import fitted
