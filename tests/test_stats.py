@@ -85,19 +85,36 @@ def test_rank_cut_and_row_sequence(spark):
     assert sorted((r.seq, r.id) for r in seq) == [(n + 1, i) for n, i in enumerate(by_key)]
 
 
-def test_exact_split_plan_ranks_one_bucket_only(spark):
+def test_exact_split_is_one_narrow_pass(spark):
     from vigil.operators.sampling import exact_split
 
     df = spark.range(5000).withColumnRenamed("id", "rid")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        plan = exact_split(df, "rid", 0.2, 42)._jdf.queryExecution().executedPlan().toString()
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
-    # the only data-sized window is partitioned by hash bucket, and sits behind the filter
-    # that keeps just the straddling bucket
-    assert "hashpartitioning(__bucket" in plan
-    assert "RangePartitioning" not in plan
+    plan = exact_split(df, "rid", 0.2, 42)._jdf.queryExecution().executedPlan().toString()
+    # the cut is known before the rows are read: no shuffle, no window, no join, one scan
+    assert "Exchange" not in plan and "Window" not in plan and "Join" not in plan and plan.count("Range (") == 1
+
+
+def test_the_cut_reads_ids_only(spark, tmp_path):
+    from vigil.operators.cumulative import cut_point
+
+    path = str(tmp_path / "wide")
+    spark.range(100).select(F.md5(F.col("id").cast("string")).alias("k"), "id", F.lit("text").alias("wide")).write.parquet(path)
+    plan = cut_point(spark.read.parquet(path), "k", "id", F.lit(7))._jdf.queryExecution().executedPlan().toString()
+    assert "wide" not in plan.replace(path, "")
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 57, 199, 200, 201, 260, 300, 301, 900])
+def test_rank_cut_over_nulls_and_copies(spark, n):
+    """Of 200 distinct ids, 100 rows without one, and copies: every cut is exact and keeps to the order."""
+    import hashlib
+
+    ids = list(range(100)) + [7] * 100 + [None] * 100
+    df = spark.createDataFrame([(i,) for i in ids], "id long").withColumn("k", F.md5(F.col("id").cast("string")))
+    order = sorted(ids, key=lambda i: (i is None, "" if i is None else hashlib.md5(str(i).encode()).hexdigest()))
+    rows = rank_cut(df, "k", "id", F.lit(n), prefix_digits=1).collect()
+    key = lambda v: (v is None, v or 0)
+    assert sorted((r.id for r in rows if r.in_cut), key=key) == sorted(order[:n], key=key)
+    assert sorted((r.id for r in rows), key=key) == sorted(ids, key=key)
 
 
 def test_hot_value_holding_a_third_of_rows(spark):

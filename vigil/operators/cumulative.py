@@ -14,9 +14,8 @@ row would pass through one task. Instead:
 4. a window partitioned by bucket gives the running sum inside the bucket, plus the offset.
 
 `rank_cut` marks the first ``n`` rows of a uniformly distributed string key (an md5 hex
-digest) without ranking every row: it counts rows per hex prefix, finds the prefix that
-holds the cut, and only that prefix's rows are ranked (with the distributed row
-numbering, so even a prefix swollen by copies of one key is not sorted in one task).
+digest) without ranking any row: histograms over hex prefixes of the key column alone close in on the
+key that ends the cut (`cut_point`), and one narrow pass compares the rows with it.
 """
 
 from __future__ import annotations
@@ -116,6 +115,46 @@ def running_totals(
     return out.drop(_BUCKET, *[f"__off_{c}" for c in sum_cols])
 
 
+_KEY, _TIE, _CNT = "__k", "__t", "__cnt"
+
+
+def _holding(groups: DataFrame, order: list, n: F.Column) -> DataFrame:
+    """Of ``groups`` (with counts) in ``order`` the one that holds place ``n``: one row at most, with the
+    rows ``__before`` it."""
+    place = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    upto = groups.withColumn("__upto", F.sum(_CNT).over(place))
+    return upto.filter((F.col("__upto") - F.col(_CNT) < n) & (n <= F.col("__upto"))).withColumn(
+        "__before", F.col("__upto") - F.col(_CNT)
+    )
+
+
+def cut_point(df: DataFrame, key_col: str, tie_col: str, n_expr: F.Column, prefix_digits: int = 4) -> DataFrame:
+    """Where the first ``n`` rows in ``(key_col, tie_col)`` order end: ``__k``, ``__t`` of the last one, ``__cnt`` rows that
+    share both, ``__take`` of them within the cut. One row, or none when ``n`` is 0 or there are no rows.
+
+    A histogram over hex prefixes finds the prefix that holds the cut, one over the prefixes twice as long within
+    it narrows it down to about 1 / 16**(2 * prefix_digits) of the keys, and only those are compared whole, as groups of equal rows with counts.
+    Just the two columns are read; a hot key is a count in every step."""
+    keys = df.select(F.col(key_col).alias(_KEY), F.col(tie_col).alias(_TIE))
+    digits = lambda at: F.substring(_KEY, at, prefix_digits)
+    coarse = keys.groupBy(digits(1).alias("__p1")).agg(F.count(F.lit(1)).alias(_CNT))
+    # one row; keys that are null come last, as they do in every step below
+    wanted = coarse.agg(F.sum(_CNT).alias("__total")).select(F.least(n_expr.cast("long"), F.col("__total")).alias("__n"))
+    # at most 16**prefix_digits + 1 groups each
+    first = _holding(coarse.crossJoin(F.broadcast(wanted)), [F.col("__p1").asc_nulls_last()], F.col("__n")).select(
+        "__p1", (F.col("__n") - F.col("__before")).alias("__left")
+    )
+    narrowed = keys.join(F.broadcast(first), digits(1).eqNullSafe(F.col("__p1")))
+    second = _holding(
+        narrowed.groupBy("__p1", digits(prefix_digits + 1).alias("__p2"), "__left").agg(F.count(F.lit(1)).alias(_CNT)),
+        [F.col("__p2").asc_nulls_last()], F.col("__left"),
+    ).select(F.col("__p1").alias("__q1"), F.col("__p2").alias("__q2"), (F.col("__left") - F.col("__before")).alias("__left"))
+    here = digits(1).eqNullSafe(F.col("__q1")) & digits(prefix_digits + 1).eqNullSafe(F.col("__q2"))
+    same = keys.join(F.broadcast(second), here).groupBy(_KEY, _TIE, "__left").agg(F.count(F.lit(1)).alias(_CNT))
+    last = _holding(same, [F.col(_KEY).asc_nulls_last(), F.col(_TIE).asc_nulls_first()], F.col("__left"))
+    return last.select(_KEY, _TIE, _CNT, (F.col("__left") - F.col("__before")).alias("__take"))
+
+
 def rank_cut(
     df: DataFrame,
     key_col: str,
@@ -129,45 +168,34 @@ def rank_cut(
     ``n_expr`` may refer to ``__total`` (the row count), e.g. ``ceil(0.2 * __total)``. Every row
     comes back once: rows without a key are last in the order, rows of one key and tie are
     told apart by their place in a written copy.
+
+    The cut is found over the two columns alone (`cut_point`, one row to the driver); the rows themselves are
+    then compared with it in one narrow pass. Only if the cut falls between rows that share key and tie are these
+    written and numbered.
     """
-    prefix = F.conv(F.substring(F.col(key_col), 1, prefix_digits), 16, 10).cast("int")
-    bucket = F.coalesce(prefix, F.lit(16**prefix_digits))
-    keyed = df.withColumn(_BUCKET, bucket)
-    counts = keyed.groupBy(_BUCKET).agg(F.count(F.lit(1)).alias("__cnt"))
-    ordered = Window.orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy(F.lit(1))
-    # At most 16**prefix_digits + 1 rows: bounded, broadcast.
-    cuts = (
-        counts.select(
-            _BUCKET,
-            "__cnt",
-            F.coalesce(F.sum("__cnt").over(ordered), F.lit(0)).alias("__before"),
-            F.sum("__cnt").over(everything).alias("__total"),
-        )
-        .withColumn("__n", n_expr.cast("long"))
-        .drop("__total")
-    )
-    j = keyed.join(F.broadcast(cuts), _BUCKET)
-    straddles = (F.col("__before") < F.col("__n")) & (F.col("__before") + F.col("__cnt") > F.col("__n"))
-    # Whole buckets are decided by their offsets alone (narrow, no shuffle); only the one
-    # bucket that holds the cut is ranked.
-    whole = j.filter(~straddles).withColumn(flag_col, F.col("__before") + F.col("__cnt") <= F.col("__n"))
-    # The straddling bucket is normally 1/16**prefix_digits of the rows, but copies of one key
-    # can swell it, so it is ranked by the distributed row numbering. The place in a
-    # checkpointed copy is the last tie-break: identical rows are split over tasks and
-    # numbered the same way on every recompute.
+    cut = cut_point(df, key_col, tie_col, n_expr, prefix_digits).first()
+    if cut is None:
+        return df.withColumn(flag_col, F.lit(False))
+    key, tie = F.col(key_col), F.col(tie_col)
+    last_key = F.lit(cut[_KEY]).cast(df.schema[key_col].dataType)
+    last_tie = F.lit(cut[_TIE]).cast(df.schema[tie_col].dataType)
+    same_key = key.eqNullSafe(last_key)
+    equal = same_key & tie.eqNullSafe(last_tie)
+    # nulls: keys last, ties first
+    before_key = F.coalesce(key < last_key, key.isNotNull() & last_key.isNull())
+    before_tie = F.coalesce(tie < last_tie, tie.isNull() & last_tie.isNotNull())
+    before = before_key | (same_key & before_tie)
+    if cut["__take"] == cut[_CNT]:
+        return df.withColumn(flag_col, before | equal)
+    # Copies of one row may be any share of the table: the distributed row numbering tells them apart. Their place in a
+    # checkpointed copy is the order, so that they are numbered the same way on every recompute.
     from vigil.session import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(df.sparkSession)
-    fixed = j.filter(straddles).checkpoint(eager=True)
-    ranked = row_sequence(
-        fixed.withColumn("__pos", F.monotonically_increasing_id()), [key_col, tie_col, "__pos"], "__rank"
-    )
-    straddle = ranked.withColumn(flag_col, (F.col("__before") + F.col("__rank")) <= F.col("__n")).drop(
-        "__pos", "__rank"
-    )
-    helper = [_BUCKET, "__cnt", "__before", "__n"]
-    return whole.unionByName(straddle).drop(*helper)
+    copies = df.filter(equal).checkpoint(eager=True).withColumn("__pos", F.monotonically_increasing_id())
+    numbered = row_sequence(copies, ["__pos"], "__rank")
+    some = numbered.withColumn(flag_col, F.col("__rank") <= F.lit(cut["__take"])).drop("__pos", "__rank")
+    return df.filter(~equal).withColumn(flag_col, before).unionByName(some)
 
 
 def row_sequence(df: DataFrame, order_cols: list, out_col: str = "seq") -> DataFrame:

@@ -4,8 +4,8 @@ NumPy's permutation cannot be reproduced on a cluster, so the contract is kept i
 exact size, seeded, without replacement, disjoint and complete. The order is the md5 of
 ``"<seed>:<id>"`` with the id as tie-break; rows without an id come last, rows that repeat an
 id count one by one. Split, sample, complement and hold-back are one rank cut over the
-rows (`rank_cut`), the same at every size: whole hash prefixes are decided by their counts, and only
-the prefix that holds the cut is ranked. Nothing here sorts the whole table or routes it through one task.
+rows (`rank_cut`), the same at every size: the key that ends the cut is found over the ids alone,
+then one narrow pass compares rows with it. Nothing here sorts the whole table or routes it through one task.
 """
 
 from __future__ import annotations
