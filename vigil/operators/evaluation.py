@@ -35,9 +35,14 @@ def accuracy(df: DataFrame, y: str = "y", yhat: str = "yhat") -> DataFrame:
     )
 
 
+def _cells(df: DataFrame, y: str, yhat: str) -> DataFrame:
+    """(y_true, y_pred, n) of the pairs that occur, nulls included: the one pass over the rows."""
+    return df.groupBy(F.col(y).alias("y_true"), F.col(yhat).alias("y_pred")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def confusion_matrix(df: DataFrame, y: str = "y", yhat: str = "yhat") -> DataFrame:
     """(y_true, y_pred, n): every pair of observed classes, zero cells included."""
-    cells = df.groupBy(F.col(y).alias("y_true"), F.col(yhat).alias("y_pred")).agg(F.count(F.lit(1)).alias("n"))
+    cells = _cells(df, y, yhat)
     classes = (
         cells.select(F.col("y_true").alias("c")).union(cells.select(F.col("y_pred").alias("c")))
         .filter(F.col("c").isNotNull()).distinct()
@@ -48,27 +53,38 @@ def confusion_matrix(df: DataFrame, y: str = "y", yhat: str = "yhat") -> DataFra
     )
 
 
-def per_class(cm: DataFrame) -> DataFrame:
-    """(cls, precision, recall, f1_score, support) from a confusion matrix."""
-    by_true = cm.groupBy(F.col("y_true").alias("cls")).agg(
-        F.sum("n").alias("support"), F.sum(F.when(F.col("y_true") == F.col("y_pred"), F.col("n"))).alias("tp")
+def _class_counts(df: DataFrame, y: str, yhat: str) -> DataFrame:
+    """(cls, support, predicted, tp) of every observed class. A cell counts once for its true and once for
+    its predicted class, so neither the grid nor a join is needed; rows without label or prediction count for nothing."""
+    both = F.col("y_true").isNotNull() & F.col("y_pred").isNotNull()
+    n = F.when(both, F.col("n")).otherwise(F.lit(0))
+    hit = F.when(F.col("y_true") == F.col("y_pred"), n).otherwise(F.lit(0))
+    zero = F.lit(0).cast("long")
+    role = lambda c, support, predicted, tp: F.struct(
+        F.col(c).alias("cls"), support.alias("support"), predicted.alias("predicted"), tp.alias("tp")
     )
-    by_pred = cm.groupBy(F.col("y_pred").alias("cls")).agg(F.sum("n").alias("predicted"))
-    j = by_true.join(by_pred, "cls")
+    roles = F.array(role("y_true", n, zero, hit), role("y_pred", zero, n, zero))
+    sides = _cells(df, y, yhat).select(F.inline(roles)).filter(F.col("cls").isNotNull())
+    return sides.groupBy("cls").agg(*[F.sum(c).cast("long").alias(c) for c in ("support", "predicted", "tp")])
+
+
+def _rates(counts: DataFrame) -> DataFrame:
+    """(cls, precision, recall, f1_score, support, tp) from `_class_counts`."""
     p = _ratio(F.col("tp"), F.col("predicted"))
     r = _ratio(F.col("tp"), F.col("support"))
-    return j.select(
-        "cls",
-        p.alias("precision"),
-        r.alias("recall"),
-        _ratio(2 * p * r, p + r).alias("f1_score"),
-        F.col("support").cast("long").alias("support"),
+    return counts.select(
+        "cls", p.alias("precision"), r.alias("recall"), _ratio(2 * p * r, p + r).alias("f1_score"), "support", "tp"
     )
 
 
+def per_class(df: DataFrame, y: str = "y", yhat: str = "yhat") -> DataFrame:
+    """(cls, precision, recall, f1_score, support): one row per observed class."""
+    return _rates(_class_counts(df, y, yhat)).drop("tp")
+
+
 def macro_prf(df: DataFrame, y: str = "y", yhat: str = "yhat") -> DataFrame:
     """One row: precision_macro, recall_macro, f1_macro (unweighted means over classes)."""
-    pc = per_class(confusion_matrix(df, y, yhat))
+    pc = per_class(df, y, yhat)
     return pc.agg(
         F.avg("precision").alias("precision_macro"),
         F.avg("recall").alias("recall_macro"),
@@ -80,33 +96,30 @@ def classification_report(df: DataFrame, y: str = "y", yhat: str = "yhat", names
     """(label, precision, recall, f1_score, support): one row per class, then 'accuracy'
     (f1_score column holds the accuracy), 'macro avg' and 'weighted avg'."""
     names = names or CLASS_NAMES
-    pc = per_class(confusion_matrix(df, y, yhat))
-    name = F.try_element_at(F.array(*[F.lit(n) for n in names]), F.col("cls").cast("int") + 1)
-    rows = pc.select(
-        F.coalesce(name, F.col("cls").cast("string")).alias("label"), "precision", "recall", "f1_score", "support"
-    )
+    rates = _rates(_class_counts(df, y, yhat))
+    # a row without class keeps the total there when no row has a label
+    nobody = df.sparkSession.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in rates.schema.fields])
     total = F.sum("support")
-    summary = pc.agg(
-        F.avg("precision").alias("mp"),
-        F.avg("recall").alias("mr"),
-        F.avg("f1_score").alias("mf"),
-        _ratio(F.sum(F.col("precision") * F.col("support")), total).alias("wp"),
-        _ratio(F.sum(F.col("recall") * F.col("support")), total).alias("wr"),
-        _ratio(F.sum(F.col("f1_score") * F.col("support")), total).alias("wf"),
-        total.cast("long").alias("support"),
-    )
-    acc = accuracy(df, y, yhat)
-    base = summary.crossJoin(acc.select("accuracy"))
+    mean = {c: F.avg(c) for c in ("precision", "recall", "f1_score")}
+    weighted = {c: _ratio(F.sum(F.col(c) * F.col("support")), total) for c in mean}
+    rolled = rates.unionByName(nobody).rollup("cls").agg(
+        F.grouping("cls").alias("is_total"), total.alias("support"), _ratio(F.sum("tp"), total).alias("accuracy"),
+        *[m.alias(c) for c, m in mean.items()], *[w.alias(f"w_{c}") for c, w in weighted.items()],
+    ).filter("cls IS NOT NULL OR is_total = 1")
+    name = F.try_element_at(F.array(*[F.lit(n) for n in names]), F.col("cls").cast("int") + 1)
     null = F.lit(None).cast("double")
-    tail = (
-        base.select(F.lit("accuracy").alias("label"), null.alias("precision"), null.alias("recall"),
-                    F.col("accuracy").alias("f1_score"), "support")
-        .unionByName(base.select(F.lit("macro avg").alias("label"), F.col("mp").alias("precision"),
-                                 F.col("mr").alias("recall"), F.col("mf").alias("f1_score"), "support"))
-        .unionByName(base.select(F.lit("weighted avg").alias("label"), F.col("wp").alias("precision"),
-                                 F.col("wr").alias("recall"), F.col("wf").alias("f1_score"), "support"))
-    )
-    return rows.unionByName(tail)
+
+    def line(label, precision, recall, f1_score):
+        return F.struct(label.alias("label"), precision.alias("precision"), recall.alias("recall"),
+                        f1_score.alias("f1_score"), F.col("support").alias("support"))
+
+    of_class = line(F.coalesce(name, F.col("cls").cast("string")), *[F.col(c) for c in mean])
+    of_all = [
+        line(F.lit("accuracy"), null, null, F.col("accuracy")),
+        line(F.lit("macro avg"), *[F.col(c) for c in mean]),
+        line(F.lit("weighted avg"), *[F.col(f"w_{c}") for c in mean]),
+    ]
+    return rolled.select(F.inline(F.when(F.col("is_total") == 1, F.array(*of_all)).otherwise(F.array(of_class))))
 
 
 def log_loss(df: DataFrame, y: str = "y", p1: str = "p1") -> DataFrame:
