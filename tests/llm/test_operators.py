@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -454,9 +455,44 @@ def test_url_filter_intervals_and_precedence(spark):
     assert not any(r.blocked for r in urlfilter.judge(captures, entries.limit(0)).collect())
 
 
+def test_url_hosts_and_domains(spark):
+    cases = [
+        ("http://192.168.0.1/a", "192.168.0.1", None), ("http://10.9.0.1:8080/", "10.9.0.1", None),
+        ("http://[::1]:80/x", "[::1]", None), ("http://[2001:DB8::a.b]/", "[2001:db8::a.b]", None),
+        ("https://evil.com./x", "evil.com", "evil.com"), ("https://www.Evil.com", "www.evil.com", "evil.com"),
+        ("http://bbc.co.uk/", "bbc.co.uk", "bbc.co.uk"), ("http://news.bbc.co.uk/", "news.bbc.co.uk", "bbc.co.uk"),
+        ("http://co.uk/", "co.uk", None), ("http://localhost/", "localhost", None), ("http://a.b.co.com/", "a.b.co.com", "co.com"),
+        ("http://u:p@x.org.au/", "x.org.au", "x.org.au"), ("nonsense", "", None), (None, None, None),
+    ]
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "id long, url string")
+    keys = urlfilter.rule_keys(F.col("url"))
+    rows = df.select("id", urlfilter.host_of(F.col("url")).alias("host"), keys["domain"].alias("domain")).orderBy("id").collect()
+    assert [(r.host, r.domain) for r in rows] == [c[1:] for c in cases]
+
+
+def test_url_rules_do_not_reach_strangers(spark):
+    entries = spark.createDataFrame(
+        [("host", "192.168.0.1"), ("domain", "bbc.co.uk"), ("domain", "evil.com"), ("domain", "0.1"), ("domain", "co.uk")], "grain string, rule string"
+    ).selectExpr("grain", "rule", "DATE'2024-01-01' AS day", "'block' AS state")
+    urls = ["http://192.168.0.1/", "http://10.9.0.1/", "http://news.bbc.co.uk/", "http://itv.co.uk/", "http://evil.com./", "http://[::1]/"]
+    captures = spark.createDataFrame(list(enumerate(urls)), "id long, url string").selectExpr("id", "url", "DATE'2024-02-01' AS fetched")
+    got = {r.id: r.blocked for r in urlfilter.judge(captures, entries).collect()}
+    assert [got[i] for i in range(len(urls))] == [True, False, True, False, True, False]
+
+
 # ---- language --------------------------------------------------------------------------
 
 
+def test_spellings_of_a_language_are_one_class(spark):
+    tags = ["fr", "FR", "fr-CA", "fr_BE", " fr "]
+    rows = [(i, "la les des que pour dans une est " * 4, tags[i % 5]) for i in range(20)]
+    rows += [(100 + i, "der die das und nicht ist ein mit " * 4, "de") for i in range(20)] + [(200, "blank tag", "  "), (201, "no tag", None)]
+    languages, table = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert languages == ["de", "fr"] and table.shape[1] == 2
+    plain, same = langid.fit(spark.createDataFrame([(i, t, l and l.strip()[:2].lower()) for i, t, l in rows], "doc_id long, text string, lang string"))
+    assert plain == languages and np.array_equal(table, same)  # spelling changes nothing
+
+
 def test_language_held_out(spark):
     import duckdb
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigil.llm.common import documents, written
-from vigil.llm.urlfilter import host_of
+from vigil.llm.urlfilter import domain_of, host_of, is_address
 
 MAX_TRAIN = 4000
 BUCKETS = 1 << 16
@@ -168,8 +168,8 @@ def identify(rows: DataFrame, languages: list[str], table: np.ndarray) -> DataFr
 
 
 def fit(docs: DataFrame, limit: int = MAX_TRAIN) -> tuple[list[str], np.ndarray]:
-    """The trigram model of at most ``limit`` documents that name a language (doc_id, text, lang).
-    Only ids are ordered; the texts of the chosen ones are fetched by a semi-join."""
+    """The trigram model of at most ``limit`` documents that name a language (doc_id, text, lang). A language is
+    the primary subtag: ``en``, ``EN`` and ``en-US`` are one, named ``en``. Only ids are ordered; the texts of the chosen ones are fetched by a semi-join."""
     chosen = (
         docs.filter("lang IS NOT NULL AND lang <> '' AND text IS NOT NULL AND doc_id IS NOT NULL")
         .select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
@@ -182,7 +182,10 @@ def fit(docs: DataFrame, limit: int = MAX_TRAIN) -> tuple[list[str], np.ndarray]
 
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for tag, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                lang = primary(tag)
+                if not lang:  # a blank tag
+                    continue
                 octets = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
                 if lang not in sums:
                     sums[lang] = np.zeros(BUCKETS, np.int64)
@@ -221,8 +224,8 @@ def op7_language(spark, sf_dir: str) -> DataFrame:
     ).unionByName(
         pages.select(
             none("long").alias("doc_id"), "page_id", none().alias("text"), F.coalesce("html", F.lit("")).alias("html"),
-            none().alias("declared"), F.regexp_extract(host, r"([^.]+)$", 1).alias("suffix"),
-            F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1).alias("domain"), host.alias("host"),
+            none().alias("declared"), F.when(is_address(host), "").otherwise(F.regexp_extract(host, r"([^.]+)$", 1)).alias("suffix"),
+            domain_of(host).alias("domain"), host.alias("host"),
         )
     )
     return identify(rows, *fit(docs))

@@ -5,7 +5,8 @@ or ``lift``: no longer listed). Per rule the log becomes validity intervals [sin
 A capture is judged by the rules on its address (domain, host, host and first path part)
 that are active on the day it was fetched: an as-of join on the rule key, in which the
 intervals of a key are disjoint, so a capture meets one interval a key at most. The most
-specific active rule decides.
+specific active rule decides. IP addresses have no domain, and names below a shared suffix (co.uk) have one
+label more, so that strangers share no rule; a final dot does not hide a host from its rules.
 
 Keys may be hot (one host with a third of all captures): captures are salted by their id and
 the intervals, far fewer, repeated per salt.
@@ -19,20 +20,40 @@ from pyspark.sql import functions as F
 SALTS = 8
 GRAINS = {"domain": 1, "host": 2, "path": 3}
 NEVER = "9999-12-31"
-_HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
+_HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:\[]*)"
 _PART = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^/?#]*)"
+_ROOT_DOT = r"\.$"
+_ADDRESS = r"^\[|(^|\.)[0-9]+$"  # [v6], or a last label that is a number
+# Labels under which country registries sell names: one more label belongs to the domain.
+SECOND_LEVELS = ("ac", "co", "com", "edu", "go", "gob", "gov", "mil", "ne", "net", "nom", "or", "org")
+_SHARED = rf"(?:{'|'.join(SECOND_LEVELS)})\.[a-z]{{2}}"
+_UNDER_SHARED = rf"(^|\.){_SHARED}$"
+_LONG_DOMAIN = rf"([^.]+\.{_SHARED})$"
 _DOMAIN = r"([^.]+\.[^.]+)$"
 
 
 def host_of(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, _HOST, 1))
+    """The host in lower case, without the root's final dot; IPv6 addresses keep their brackets; empty where there is none."""
+    return F.regexp_replace(F.lower(F.regexp_extract(url, _HOST, 1)), _ROOT_DOT, "")
+
+
+def is_address(host: Column) -> Column:
+    """Whether a host is an IP address and not a name."""
+    return host.rlike(_ADDRESS)
+
+
+def domain_of(host: Column) -> Column:
+    """The registered domain of a host name: its last two labels, three below a shared suffix such as co.uk.
+    Empty for addresses, single labels and shared suffixes themselves."""
+    long_form = F.regexp_extract(host, _LONG_DOMAIN, 1)
+    return F.when(is_address(host), "").when(host.rlike(_UNDER_SHARED), long_form).otherwise(F.regexp_extract(host, _DOMAIN, 1))
 
 
 def rule_keys(url: Column) -> dict[str, Column]:
     """The key of each grain; null where the address has none."""
     host = host_of(url)
     some = lambda key, if_: F.when(if_ != "", key)
-    domain = F.regexp_extract(host, _DOMAIN, 1)
+    domain = domain_of(host)
     part = F.regexp_extract(url, _PART, 1)
     return {"domain": some(domain, domain), "host": some(host, host), "path": F.when(host != "", some(F.concat(host, part), part))}
 
@@ -110,7 +131,9 @@ def op6_url_filter(spark, sf_dir: str) -> DataFrame:
 
 
 def _rule_sql(alias: str) -> str:
-    return f"""SELECT page_id, url, host, fetched, 'domain' AS grain, 1 AS depth, nullif(regexp_extract(host, '{_DOMAIN}', 1), '') AS rule FROM {alias}
+    return f"""SELECT page_id, url, host, fetched, 'domain' AS grain, 1 AS depth,
+        nullif(CASE WHEN regexp_matches(host, '{_ADDRESS}') THEN '' WHEN regexp_matches(host, '{_UNDER_SHARED}')
+                 THEN regexp_extract(host, '{_LONG_DOMAIN}', 1) ELSE regexp_extract(host, '{_DOMAIN}', 1) END, '') AS rule FROM {alias}
       UNION ALL SELECT page_id, url, host, fetched, 'host', 2, nullif(host, '') FROM {alias}
       UNION ALL SELECT page_id, url, host, fetched, 'path', 3, CASE WHEN host <> '' AND regexp_extract(url, '{_PART}', 1) <> ''
                 THEN host || regexp_extract(url, '{_PART}', 1) END FROM {alias}"""
@@ -121,7 +144,7 @@ def _number_sql(at: int) -> str:
 
 
 ORACLE_SQL = f"""
-WITH c AS (SELECT DISTINCT page_id, url, lower(regexp_extract(url, '{_HOST}', 1)) AS host,
+WITH c AS (SELECT DISTINCT page_id, url, regexp_replace(lower(regexp_extract(url, '{_HOST}', 1)), '{_ROOT_DOT}', '') AS host,
              CAST(DATE '{START}' + CAST((page_id * 37) % 365 AS INTEGER) AS DATE) AS fetched FROM pages),
     k AS ({_rule_sql("c")}),
     r AS (SELECT DISTINCT grain, rule FROM k WHERE rule IS NOT NULL),
