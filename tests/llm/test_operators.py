@@ -644,6 +644,19 @@ def test_equal_rows_are_taken_one_by_one(spark, tmp_path):
     assert sorted(repr(tuple(r)) for r in df.collect()) == sorted(map(repr, want))
 
 
+def test_many_sources_and_few_give_one_mix(spark, edge, monkeypatch):
+    """Beyond the size that is broadcast, salted joins give the same plan; below it, no row moves by source."""
+    few = sorted(map(repr, mixing.mix(edge).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", -1)
+    monkeypatch.setattr(mixing, "SALTS", 3)
+    assert sorted(map(repr, mixing.mix(edge).collect())) == few
+    hot = spark.range(300).selectExpr("id AS doc_id", "CAST(id AS STRING) AS text_hash", "CAST(id % 2 AS STRING) AS source")
+    one = spark.createDataFrame([("0", 1)], "source string, k int")
+    plan = mixing._attached(hot, one, True, "source")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    assert mixing._attached(hot, one, False, "source").columns == mixing._attached(hot, one, True, "source").columns
+
+
 # ---- registered queries ----------------------------------------------------------------
 
 

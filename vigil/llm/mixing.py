@@ -14,6 +14,10 @@ a small document.
 The cut is found without sorting a source: words per cell of the rank (CELLS cells), running
 sums over cells, and only the rows of the one cell in which the sum is reached are ranked
 one by one.
+
+Rows are never moved by source, of which one may hold a third of them all: tables with a row per source are
+broadcast if their number of rows is checked to be within ``BROADCAST_SOURCES``; beyond it, rows are salted by their id
+and text and the sources, far fewer, repeated per salt. Both give the same result.
 """
 
 from __future__ import annotations
@@ -29,6 +33,8 @@ MOST = 3
 PASSES = 3
 CELLS = 4096
 SEED = 17
+BROADCAST_SOURCES = 100_000  # rows of some 50 octets
+SALTS = 64
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -65,10 +71,21 @@ def uniform(doc_id: Column, text_hash: Column, seed: int = SEED) -> Column:
     return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(1 << 48))
 
 
-def _one_pass(items: DataFrame, gaps: DataFrame) -> DataFrame:
+def _attached(items: DataFrame, by_source: DataFrame, few: bool, key: str = "k", how: str = "inner") -> DataFrame:
+    """``items`` with the columns of a table that has one row per source; ``few``: its size was checked."""
+    right = by_source.withColumnRenamed(key, "__of")
+    same = F.col(key).eqNullSafe(F.col("__of"))
+    if few:
+        return items.join(F.broadcast(right), same, how).drop("__of")
+    right = right.withColumn("__slot", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = items.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(SALTS)).cast("int"))
+    return salted.join(right, same & (F.col("__salt") == F.col("__slot")), how).drop("__of", "__salt", "__slot")
+
+
+def _one_pass(items: DataFrame, gaps: DataFrame, few: bool) -> DataFrame:
     """items (.., k, cell, rank, size, n, extra) -> the same, with ``extra`` (of an item's n equal
     rows) raised by what this pass takes of each source's gap."""
-    open_items = items.join(gaps, "k").withColumn("words", F.col("size") * (F.col("n") - F.col("extra")))
+    open_items = _attached(items, gaps, few).withColumn("words", F.col("size") * (F.col("n") - F.col("extra")))
     fits = (F.col("rank").isNotNull()) & (F.col("words") > 0) & (F.col("size") <= F.col("gap"))
     flagged = open_items.withColumn("fits", F.coalesce(fits, F.lit(False)))
     cells = flagged.filter("fits").groupBy("k", "cell", "gap").agg(F.sum("words").alias("words"))
@@ -80,7 +97,7 @@ def _one_pass(items: DataFrame, gaps: DataFrame) -> DataFrame:
         .agg(F.min(F.struct("cell", (F.col("upto") - F.col("words")).alias("before"))).alias("at"))
         .select("k", F.col("at.cell").alias("cut_cell"), F.col("at.before").alias("before"))
     )
-    placed = flagged.join(cut, "k", "left")
+    placed = _attached(flagged, cut, few, how="left")
     whole = F.col("fits") & (F.col("cut_cell").isNull() | (F.col("cell") < F.col("cut_cell")))
     edge = F.coalesce(F.col("fits") & (F.col("cell") == F.col("cut_cell")), F.lit(False))
     columns = items.columns
@@ -112,11 +129,12 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
     )
     totals = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     targets = written(source_targets(totals, weights, share, most), "mix-sources")
+    few = targets.count() <= BROADCAST_SOURCES
     u = uniform(F.col("doc_id"), F.col("text_hash"), seed)
     due = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     items = (
-        rows.join(targets, rows["source"].eqNullSafe(targets["source"]))
-        .select(rows["doc_id"], rows["source"], "text_hash", "size", "n", "k", "source_size", "target",
+        _attached(rows, targets, few, "source")
+        .select("doc_id", "source", "text_hash", "size", "n", "k", "source_size", "target",
                 F.floor(due).alias("certain"), (due - F.floor(due)).alias("p"), u.alias("u"))
         .withColumn("odds", F.when(F.col("p") > 0, (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))))
         .withColumn("rank", F.col("odds") / (1 + F.col("odds")))
@@ -127,7 +145,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
     full = F.col("target") - F.floor(F.col("target") / F.col("source_size")) * F.col("source_size")
     gaps = targets.select("k", F.when(F.col("source_size") > 0, full).otherwise(0.0).alias("gap"))
     for _ in range(PASSES):
-        items = written(_one_pass(items, gaps), "mix-pass")
+        items = written(_one_pass(items, gaps, few), "mix-pass")
         taken = items.groupBy("k").agg(F.sum(F.col("size") * F.col("extra")).alias("got"))
         gaps = targets.join(taken, "k").select(
             "k", F.when(F.col("source_size") > 0, full - F.col("got")).otherwise(0.0).alias("gap")
