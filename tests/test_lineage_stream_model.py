@@ -1,4 +1,6 @@
 import datetime as dt
+import os
+import shutil
 import tempfile
 import time
 
@@ -131,3 +133,21 @@ def test_stream_scoring_equals_batch(spark, small_model):
     g = {r.review_id: (r.prediction, round(r.p1, 12)) for r in got.collect()}
     b = {r.review_id: (r.prediction, round(r.p1, 12)) for r in batch.collect()}
     assert g == b
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_a_table_streams_as_a_file_or_a_folder(spark, files):
+    folder = scratch_path(spark, "tables").removeprefix("file:")
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(9)], "doc_id long, text string")
+    if files == 1:
+        made = scratch_path(spark, "one").removeprefix("file:")
+        docs.coalesce(1).write.parquet(made)
+        os.makedirs(folder)
+        [part] = [f for f in os.listdir(made) if f.endswith(".parquet")]
+        shutil.copy(f"{made}/{part}", f"{folder}/documents.parquet")
+    else:
+        docs.repartition(files).write.parquet(f"{folder}/documents.parquet")
+        docs.write.parquet(f"{folder}/events.parquet")  # a table beside it is not read
+    stream = jobs.ingest_table(spark, folder, "documents", docs.schema)
+    got = jobs.run_to_parquet(stream, scratch_path(spark, "streamed"))
+    assert sorted(got.collect()) == sorted(docs.collect())

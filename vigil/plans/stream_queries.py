@@ -16,7 +16,7 @@ from vigil.streaming.late import LateAwareWindows
 
 def _events_stream(spark, sf_dir):
     schema = tables.table(spark, sf_dir, "events").schema
-    return jobs.ingest(spark, sf_dir, schema, glob="events.parquet")
+    return jobs.ingest_table(spark, sf_dir, "events", schema)
 
 
 def _scored_events(df):
@@ -90,7 +90,7 @@ def q_stream_score(spark, sf_dir):
 
     _, fm = fitted(spark, sf_dir)
     schema = tables.table(spark, sf_dir, "documents").schema
-    docs = jobs.ingest(spark, sf_dir, schema, glob="documents.parquet").select(
+    docs = jobs.ingest_table(spark, sf_dir, "documents", schema).select(
         F.col("doc_id").alias("review_id"), F.col("text").alias("review")
     )
     out = scratch_path(spark, "stream-score")

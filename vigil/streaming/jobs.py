@@ -53,6 +53,12 @@ def ingest(spark: SparkSession, folder: str, schema: T.StructType, fmt: str = "p
     return reader.load(folder)
 
 
+def ingest_table(spark: SparkSession, folder: str, name: str, schema: T.StructType) -> DataFrame:
+    """The Parquet table ``name`` of ``folder`` as a stream, be it one file or a folder of files. (A pattern: the
+    file source takes a plain path for a folder, and a filter of file names sees only files.)"""
+    return ingest(spark, f"{folder.rstrip('/')}/[{name[0]}]{name[1:]}.parquet", schema)
+
+
 def run_to_parquet(stream: DataFrame, out: str, trigger_once: bool = True, output_mode: str = "append") -> DataFrame:
     """Run a stream over everything available into a Parquet sink; return the sink table."""
     q = (
