@@ -83,3 +83,26 @@ def test_the_source_is_read_once(spark, name, build):
     source = spark.read.parquet(path).mapInArrow(counted, "y long, p1 double")
     build(source).collect()
     assert reads.value == 500
+
+
+def test_a_file_in_parts_counts_once_and_is_read_part_by_part(spark):
+    folder = scratch_path(spark, "data.parquet")
+    cols = ["vec_id", "grp"]
+    manifest = Manifest(CommitLog(spark, scratch_path(spark, "log"), {}), cols, "grp")
+    vectors(spark, range(90)).repartition(3).write.parquet(f"{folder}/part=0/rows.parquet")
+    vectors(spark, range(90, 95)).coalesce(1).write.parquet(f"{folder}/part=1")
+    vectors(spark, range(95, 99)).coalesce(1).write.mode("append").parquet(folder)
+    assert manifest.update(folder) == 5
+    row = manifest.row(folder, "vectors", "grp").first()
+    assert (row.n_files, row.n_rows) == (3, 99)
+
+
+def test_dataset_manifest_is_written_by_more_tasks_than_files(spark, monkeypatch):
+    from datasets import SF_SMALL
+    from vigil.plans import source_queries
+
+    made = []
+    row = Manifest.row
+    monkeypatch.setattr(Manifest, "row", lambda self, folder, *a: made.append(folder) or row(self, folder, *a))
+    assert source_queries.q_dataset_manifest(spark, SF_SMALL).first().n_files == 2
+    assert len(spark.read.parquet(made[0]).inputFiles()) > 2

@@ -98,13 +98,13 @@ FROM documents WHERE doc_id % 3 <> 1""",
 )
 def q_dataset_manifest(spark, sf_dir):
     """The manifest row of a folder in which one of two files was replaced by another: the one that stayed is
-    not read again."""
+    not read again. Each file is written in parts, by all tasks."""
     docs = tables.table(spark, sf_dir, "documents").select("doc_id", "text")
     folder = scratch_path(spark, "dataset")
     manifest = Manifest(CommitLog(spark, scratch_path(spark, "manifest"), {}), ["doc_id", "text"], "text")
 
     def part(k: int, name: str) -> None:
-        docs.filter(F.col("doc_id") % 3 == k).coalesce(1).write.mode("overwrite").parquet(f"{folder}/{name}")
+        docs.filter(F.col("doc_id") % 3 == k).write.mode("overwrite").parquet(f"{folder}/{name}/reviews.parquet")
 
     part(0, "day=1")
     part(1, "day=2")

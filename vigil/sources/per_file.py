@@ -33,6 +33,14 @@ def _plain(path):
     return F.regexp_replace(path, "^file:/+", "file:/")
 
 
+def file_of(path, folder: str):
+    """The file that a path listed below ``folder`` belongs to: itself, or the folder ``*.parquet`` whose part
+    file it is. (A table that many tasks write is a folder of part files; known, and read, part by part.)"""
+    root = "/" + folder.split(":", 1)[-1].strip("/")
+    above = F.regexp_replace(path, "/[^/]*$", "")
+    return F.when(above.endswith(".parquet") & ~above.endswith(root), above).otherwise(F.col(path))
+
+
 class FileParts:
     """Partial aggregates of the files of folders: ``compute`` takes rows with a column ``path`` and returns
     partial rows that keep it, in the columns of ``fields``."""
@@ -86,7 +94,7 @@ class Manifest(FileParts):
     def row(self, folder: str, name: str, target: str) -> DataFrame:
         """source, name, target, n_files, bytes, n_rows, total_chars, digest_sum, digest_xor."""
         self.update(folder)
-        size = listed(self.log.spark, folder).agg(F.count(F.lit(1)).alias("n_files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
+        size = listed(self.log.spark, folder).agg(F.count_distinct(file_of("path", folder)).alias("n_files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
         sums = self.current(folder).agg(
             *[F.coalesce(F.sum(c), F.lit(0)).cast(t).alias(c) for c, t in (("n_rows", "long"), ("total_chars", "long"), ("digest_sum", "decimal(38,0)"))],
             F.coalesce(F.bit_xor("digest_xor"), F.lit(0)).alias("digest_xor"),
