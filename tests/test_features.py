@@ -63,3 +63,35 @@ def test_coefficients_do_not_depend_on_the_partitions(spark, monkeypatch):
     assert abs(a.intercept - b.intercept) < 1e-3
     p = [training.score(m.model, docs).agg(F.sum("p1")).first()[0] for m in (few, many)]
     assert abs(p[0] - p[1]) < 1e-2
+
+
+def test_vocabulary_leaves_out_only_what_cannot_be_in_it(spark):
+    texts = ["red fox runs red fox runs far", "red fox sleeps", "blue cat sleeps far", "blue cat", "red fox runs", "", None, "lone"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    stats = terms.term_stats(terms.doc_terms(docs))
+    for k in (1, 2, 3, 5, 6, 8, 9, 13, 1000):
+        vocabulary, n = terms.fit_vocabulary(docs, max_features=k)
+        assert n == len(texts) and [tuple(r) for r in vocabulary] == [tuple(r) for r in terms.top_vocabulary(stats, k).collect()]
+
+
+def test_rare_words_are_in_no_counted_ngram(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"big house word{chr(97 + i)} big house") for i in range(20)], "doc_id long, text string")
+    counted, stats = [], terms.term_stats
+    monkeypatch.setattr(terms, "term_stats", lambda pairs: counted.append(pairs.count()) or stats(pairs))
+    vocabulary, _ = terms.fit_vocabulary(docs, max_features=2)
+    assert [(r["term"], r["tf"], r["df"]) for r in vocabulary] == [("big", 40, 20), ("big house", 40, 20)]
+    assert counted == [60, 20, 0]
+
+
+def test_texts_are_dealt_into_parts_of_bounded_size(spark, monkeypatch):
+    docs = tables.table(spark, SF_SMALL, "documents").select("doc_id", "text")
+    whole = sorted(terms.doc_terms(docs).collect())
+    monkeypatch.setattr(terms, "PART_OCTETS", 10_000)
+    pairs = terms.doc_terms(docs)
+    assert pairs.rdd.getNumPartitions() > 20 and sorted(pairs.collect()) == whole
+
+
+def test_a_fit_caches_no_table(spark, monkeypatch):
+    monkeypatch.setattr(type(spark.range(1)), "persist", lambda *a, **k: pytest.fail("a cached table"))
+    fitted = training.fit(tables.lang_reviews(spark, SF_SMALL), max_features=40, max_iter=3)
+    assert fitted.vocab_size == 40

@@ -36,6 +36,9 @@ ENGLISH_STOP_WORDS = tuple(
 )
 # ---------------------------------------------------------------------------------------
 
+# TOKEN_PATTERN in lower-case text of any characters: its word boundaries are those of cleaned (ASCII) text.
+LOWER_TOKEN = r"(?<![a-z0-9_])[a-z]{2,}+(?![a-z0-9_])"
+LOWERED_TO_ASCII = ("\u0130", "\u212a")  # the only other characters whose lower case has an ASCII letter
 JAVA_SPACE = r"[ \t\n\x{0B}\f\r]+"
 
 
@@ -103,13 +106,26 @@ def word_count(text) -> Column:
     return F.when(t.isNotNull(), F.size(F.filter(F.split(t, JAVA_SPACE), lambda w: w != "")))
 
 
+def clean_tokens(text) -> Column:
+    """``tokens(clean_text(text))`` without the cleaned text in between. URLs and handles are looked for
+    only where a text has their first characters. What the cleaner maps to a space ends a token all the same,
+    but for the two letters beyond ASCII whose lower case is ASCII; runs of spaces and the ends hold none."""
+    t = _c(text)
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, URL_PATTERN, ""), HTTP_PATTERN, ""), HANDLE_PATTERN, "")
+    marked = F.contains(t, F.lit(HTTP_PATTERN)) | F.contains(t, F.lit("@"))
+    t = F.when(marked, F.replace(bare, F.lit("@"), F.lit(" at "))).otherwise(t)
+    for letter in LOWERED_TO_ASCII:
+        t = F.replace(t, F.lit(letter), F.lit(" "))
+    return F.regexp_extract_all(F.lower(t), F.lit(LOWER_TOKEN), 0)
+
+
 def analyzed_tokens(text) -> Column:
     """clean -> tokens -> stop words: the vectoriser's token list per text.
 
     Project this into a column before calling `ngram_terms` on it: an expression used
     inside a lambda is re-evaluated for every element, so the n-gram lambdas must read a
     column, not the cleaning expression."""
-    return remove_stop_words(tokens(clean_text(text)))
+    return remove_stop_words(clean_tokens(text))
 
 
 def _raw(pattern: str) -> str:
@@ -128,4 +144,11 @@ def clean_text_sql(col: str) -> str:
 
 
 def tokens_sql(col: str) -> str:
-    return f"regexp_extract_all({clean_text_sql(col)}, {_raw(TOKEN_PATTERN)}, 0)"
+    """`clean_tokens` as Spark SQL text."""
+    bare = col
+    for pattern in (URL_PATTERN, HTTP_PATTERN, HANDLE_PATTERN):
+        bare = f"regexp_replace({bare}, {_raw(pattern)}, '')"
+    t = f"if(contains({col}, '{HTTP_PATTERN}') OR contains({col}, '@'), replace({bare}, '@', ' at '), {col})"
+    for letter in LOWERED_TO_ASCII:
+        t = f"replace({t}, '{letter}', ' ')"
+    return f"regexp_extract_all(lower({t}), {_raw(LOWER_TOKEN)}, 0)"

@@ -2,9 +2,13 @@
 
 A document is a row. Its terms are sorted and counted inside the row, so (document, term, tf)
 needs no shuffle; corpus and document frequency are then one aggregate by term, combined
-map-side. The vocabulary is a top-k (bounded by
-``max_features``), which is why it may reach the driver and be broadcast; a document's weights and their norm
-are then computed inside its row.
+map-side over parts of PART_OCTETS of text, whose distinct terms fit a task's memory. The vocabulary is a
+top-k (bounded by ``max_features``), which is why it may reach the driver and be broadcast; a document's
+weights and their norm are then computed inside its row.
+
+The vocabulary needs few of the n-grams counted: one occurs no more often than either of the two shorter
+ones in it, so once ``max_features`` terms are known to occur t times, n-grams with a rarer part are out.
+Lengths are counted in turn, over token arrays stored once.
 
 Weighting of the vectoriser being matched: raw term count x (ln((1 + n) / (1 + df)) + 1),
 then each document's vector scaled to unit L2 norm over the vocabulary terms it holds.
@@ -19,14 +23,24 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.functions.text import analyzed_tokens, ngram_terms
+from vigil.functions.text import NGRAM_RANGE, analyzed_tokens, ngram_terms
+from vigil.session import scratch_path
 
 MAX_FEATURES = 10_000
+PART_OCTETS = 8 << 20
+
+
+def in_parts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` dealt into parts of about PART_OCTETS of text, if it has fewer."""
+    octets = docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0  # one row
+    parts = math.ceil(octets / PART_OCTETS)
+    return docs.repartition(parts) if parts > docs.rdd.getNumPartitions() else docs
 
 
 def doc_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, term, tf): how often each analysed term occurs in each document."""
-    toks = docs.select(F.col(id_col).alias("doc_id"), analyzed_tokens(text_col).alias("__toks"))
+    docs = in_parts(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text")), "__text")
+    toks = docs.select("doc_id", analyzed_tokens("__text").alias("__toks"))
     return count_in_rows(toks.select("doc_id", ngram_terms("__toks").alias("__terms")), "__terms")
 
 
@@ -57,6 +71,46 @@ def top_vocabulary(stats: DataFrame, max_features: int = MAX_FEATURES) -> DataFr
     return stats.orderBy(F.col("tf").desc(), F.col("term").asc()).limit(max_features)
 
 
+def _marked(array, frequent: list | None):
+    """``array`` with nulls in place of terms that are not ``frequent`` (None: all are)."""
+    if frequent is None:
+        return F.col(array)
+    quoted = ", ".join("'" + t.replace("\\", "\\\\").replace("'", "\\'") + "'" for t in frequent)
+    return F.expr(f"transform({array}, x -> if(x IN ({quoted}), x, NULL))")
+
+
+def _longer(n: int):
+    """n-grams from ``__grams``, the marked (n - 1)-grams of the tokens ``__toks``; null where one of its two
+    is null."""
+    k = F.greatest(F.size("__toks") - F.lit(n - 1), F.lit(0))
+    ends = F.zip_with(F.slice("__grams", 2, k), F.slice("__toks", n, k), lambda g, t: F.when(g.isNotNull(), t))
+    return F.zip_with(F.slice("__grams", 1, k), ends, lambda g, t: F.concat(g, F.lit(" "), t))
+
+
+def vocabulary_of(toks: DataFrame, max_features: int = MAX_FEATURES) -> list:
+    """Rows of term, tf, df: the `top_vocabulary` of all n-grams of token arrays (column ``__toks``), one length
+    after the other. Among more than ``max_features`` terms that tie at the bound nothing is left out."""
+    best: list = []
+    grams = toks.select("__toks", F.col("__toks").alias("__grams"))
+    for n in range(1, NGRAM_RANGE[1] + 1):
+        if n > 1:
+            grams = grams.select("__toks", _marked("__grams", frequent).alias("__grams")).select("__toks", _longer(n).alias("__grams"))
+        known = grams.select(F.filter("__grams", lambda g: g.isNotNull()).alias("__terms"))
+        found = top_vocabulary(term_stats(count_in_rows(known, "__terms")), 2 * max_features).collect()  # bounded
+        best = sorted([*best, *found[:max_features]], key=lambda r: (-r["tf"], r["term"]))[:max_features]
+        least = best[-1]["tf"] if len(best) == max_features else 0
+        open_ended = len(found) == 2 * max_features and found[-1]["tf"] >= least
+        frequent = None if open_ended or least < 2 else [r["term"] for r in found if r["tf"] >= least]
+    return best
+
+
+def stored_tokens(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Token arrays (column ``__toks``) of all texts as a table in the shared folder."""
+    path = scratch_path(docs.sparkSession, "tokens")
+    in_parts(docs.select(F.col(text_col).alias("__text")), "__text").select(analyzed_tokens("__text").alias("__toks")).write.parquet(path)
+    return docs.sparkSession.read.schema("__toks array<string>").parquet(path)
+
+
 def idf(n_docs: int, df: int) -> float:
     """Smoothed inverse document frequency, plus one."""
     return math.log((1.0 + n_docs) / (1.0 + df)) + 1.0
@@ -91,5 +145,10 @@ def tfidf_weights(docs: DataFrame, vocabulary: list, n_docs: int, id_col: str =
 def fit_vocabulary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    max_features: int = MAX_FEATURES) -> tuple[list, int]:
     """(rows of term, tf, df; number of documents) of a training corpus: at most ``max_features`` rows."""
-    stats = term_stats(doc_terms(docs, id_col, text_col))
-    return top_vocabulary(stats, max_features).collect(), docs.count()
+    return vocabulary_of(stored_tokens(docs, text_col), max_features), docs.count()
+
+
+def vocabulary_table(docs: DataFrame, text_col: str = "text", max_features: int = MAX_FEATURES) -> DataFrame:
+    """The rows of `fit_vocabulary` as a table."""
+    rows = vocabulary_of(stored_tokens(docs, text_col), max_features)
+    return docs.sparkSession.createDataFrame([(r["term"], r["tf"], r["df"]) for r in rows], "term string, tf long, df long")

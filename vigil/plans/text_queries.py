@@ -83,7 +83,7 @@ def q_term_stats(spark, sf_dir):
 )
 def q_top_vocabulary(spark, sf_dir):
     docs = tables.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return terms.top_vocabulary(terms.term_stats(terms.doc_terms(docs)))
+    return terms.vocabulary_table(docs)
 
 
 @register(
