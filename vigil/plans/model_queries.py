@@ -35,17 +35,17 @@ def fitted(spark: SparkSession, sf_dir: str):
     return _FITTED[key]
 
 
-def _scored_test(spark, sf_dir):
+def _scored(spark, sf_dir, part: str):
+    """Label and scores of one side of the split; the texts are not kept again."""
     split, fm = fitted(spark, sf_dir)
-    return training.score(fm.model, split.filter(F.col("split") == "test")).checkpoint(eager=True), fm
+    return training.score(fm.model, split.filter(F.col("split") == part)).select("sentiment", "prediction", "p1").checkpoint(eager=True)
 
 
 @register("train_eval")
 def q_train_eval(spark, sf_dir):
     """Test metrics and, beside them, the same metrics on the training split."""
-    test, fm = _scored_test(spark, sf_dir)
-    split, _ = fitted(spark, sf_dir)
-    train = training.score(fm.model, split.filter(F.col("split") == "train")).checkpoint(eager=True)
+    _, fm = fitted(spark, sf_dir)
+    test, train = _scored(spark, sf_dir, "test"), _scored(spark, sf_dir, "train")
     m = training.evaluate(test).crossJoin(training.evaluate(train, prefix="train_"))
     return rounded(
         m.withColumn("n_train", F.lit(fm.n_train).cast("long")).withColumn("vocab_size", F.lit(fm.vocab_size).cast("long"))
@@ -106,7 +106,7 @@ def q_window_accuracy(spark, sf_dir):
 
 @register("data_summary")
 def q_data_summary(spark, sf_dir):
-    test, _ = _scored_test(spark, sf_dir)
+    test = _scored(spark, sf_dir, "test")
     split, _ = fitted(spark, sf_dir)
     perf = training.evaluate(test).select(
         "test_accuracy", "test_precision", "test_recall", "test_f1_score", "test_roc_auc", "test_log_loss"

@@ -29,13 +29,15 @@ from pyspark.sql import functions as F
 
 from vigil.functions.text import TOKEN_PATTERN, default_stop_words, tokens_sql
 from vigil.operators import evaluation as ev
-from vigil.operators.terms import MAX_FEATURES, count_in_rows, term_stats, top_vocabulary, vector_stages
+from vigil.operators.terms import MAX_FEATURES, in_parts, vector_stages, vocabulary_of
+from vigil.session import scratch_path
 
 # Fixed hyper-parameters of the classifier being matched.
 MAX_ITER = 1000
 C = 1.0
 # What one task of an optimiser step reads, and the fan-in of its tree aggregation.
 PARTITION_BYTES = 32 << 20
+WORD_STAGES = 2  # the stages of the text front up to the words
 FAN_IN = 32
 
 
@@ -82,33 +84,29 @@ def fit(train: DataFrame, text_col: str = "review", label_col: str = "sentiment"
         preprocess_sql: str | None = None) -> FittedModel:
     """Fit the pipeline on ``train`` in two steps (vocabulary first, then the classifier).
 
-    The text front runs once: its term arrays are persisted and feed both the vocabulary
-    aggregate and the feature stages. Rows with a null or blank text (or a null label)
+    Cleaning runs once: the words left by it are stored as a table in the shared folder, and both the
+    vocabulary and the features come from there; n-grams, six times the text, are only made within a row.
+    Rows with a null or blank text (or a null label)
     are left out of the fit; their number is reported in ``params['dropped_rows']``."""
     front_stages = text_stages(text_col, preprocess_sql)
     usable = F.col(text_col).isNotNull() & (F.trim(F.col(text_col)) != "") & F.col(label_col).isNotNull()
     counted = train.agg(F.count(F.lit(1)).alias("all"), F.count_if(usable).alias("ok")).first()  # one row
-    dropped = int(counted["all"] - counted["ok"])
-    train = train.filter(usable)
-    prepared = (
-        PipelineModel(stages=front_stages)
-        .transform(train.select(text_col, F.col(label_col).cast("double").alias("__label")))
-        .select("__label", "__terms")
-        .persist()
-    )
-    # a term takes at most an index and a value of the sparse vector: 12 bytes
-    size = prepared.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("__terms").cast("long") * 12 + 24).alias("bytes")).first()
-    n = size["n"]
+    dropped, n = int(counted["all"] - counted["ok"]), counted["ok"]
     if n == 0:
-        prepared.unpersist()
         raise ValueError("no training rows")
-    stats = term_stats(count_in_rows(prepared.select("__terms"), "__terms"))
-    vocab = top_vocabulary(stats, max_features).collect()  # bounded
+    rows = in_parts(train.filter(usable).select(text_col, F.col(label_col).cast("double").alias("__label")), text_col)
+    path = scratch_path(train.sparkSession, "train-words")
+    PipelineModel(stages=front_stages[:WORD_STAGES]).transform(rows).select("__label", "__words").write.parquet(path)
+    words = train.sparkSession.read.schema("__label double, __words array<string>").parquet(path)
+    vocab = vocabulary_of(words.select(F.col("__words").alias("__toks")), max_features)
     back_stages = vector_stages(vocab, n, "__terms", "features")
     stages = front_stages + back_stages
+    # a term takes at most an index and a value of the sparse vector: 12 bytes
+    length = F.size("__words").cast("long")
+    held = F.greatest(length, F.lit(0)) + F.greatest(length - 1, F.lit(0)) + F.greatest(length - 2, F.lit(0))
     # Every L-BFGS iteration is a job over the features: they are dealt evenly, by their bytes, over all
     # cores; MLlib packs a task's rows into blocks, and gradients are summed in a tree.
-    parts = partitions_for(size["bytes"])
+    parts = partitions_for(words.agg(F.sum(held * 12 + 24)).first()[0])  # one row
     lr = LogisticRegression(
         featuresCol="features",
         labelCol="__label",
@@ -120,11 +118,10 @@ def fit(train: DataFrame, text_col: str = "review", label_col: str = "sentiment"
         aggregationDepth=aggregation_depth(parts),
         maxBlockSizeInMB=1.0,
     )
-    feats = PipelineModel(stages=back_stages).transform(prepared).select("features", "__label").repartition(parts).persist()
-    feats.count()
-    prepared.unpersist()
+    # MLlib keeps the vectors itself, row by row and on disk where memory ends; a cached table would be
+    # built in memory in batches of 10,000 rows a task.
+    feats = PipelineModel(stages=front_stages[WORD_STAGES:] + back_stages).transform(words.repartition(parts)).select("features", "__label")
     lr_model = lr.fit(feats)
-    feats.unpersist()
     params = {
         "max_features": str(max_features), "max_iter": str(max_iter), "C": str(c),
         "regParam": str(1.0 / (c * n)), "ngram_range": "(1, 3)", "solver": "lbfgs",
