@@ -84,9 +84,9 @@ def fit(train: DataFrame, text_col: str = "review", label_col: str = "sentiment"
         preprocess_sql: str | None = None) -> FittedModel:
     """Fit the pipeline on ``train`` in two steps (vocabulary first, then the classifier).
 
-    Cleaning runs once: the words left by it are stored as a table in the shared folder, and both the
-    vocabulary and the features come from there; n-grams, six times the text, are only made within a row.
-    Rows with a null or blank text (or a null label)
+    The vocabulary is counted over the words of the texts, stored as a table in the shared folder; n-grams,
+    six times the text, are only made within a row. The features are made from the rows as they lie, so that
+    a fit over the same partitions sums in the same order. Rows with a null or blank text (or a null label)
     are left out of the fit; their number is reported in ``params['dropped_rows']``."""
     front_stages = text_stages(text_col, preprocess_sql)
     usable = F.col(text_col).isNotNull() & (F.trim(F.col(text_col)) != "") & F.col(label_col).isNotNull()
@@ -94,10 +94,10 @@ def fit(train: DataFrame, text_col: str = "review", label_col: str = "sentiment"
     dropped, n = int(counted["all"] - counted["ok"]), counted["ok"]
     if n == 0:
         raise ValueError("no training rows")
-    rows = in_parts(train.filter(usable).select(text_col, F.col(label_col).cast("double").alias("__label")), text_col)
+    rows = train.filter(usable).select(text_col, F.col(label_col).cast("double").alias("__label"))
     path = scratch_path(train.sparkSession, "train-words")
-    PipelineModel(stages=front_stages[:WORD_STAGES]).transform(rows).select("__label", "__words").write.parquet(path)
-    words = train.sparkSession.read.schema("__label double, __words array<string>").parquet(path)
+    PipelineModel(stages=front_stages[:WORD_STAGES]).transform(in_parts(rows, text_col)).select("__words").write.parquet(path)
+    words = train.sparkSession.read.schema("__words array<string>").parquet(path)
     vocab = vocabulary_of(words.select(F.col("__words").alias("__toks")), max_features)
     back_stages = vector_stages(vocab, n, "__terms", "features")
     stages = front_stages + back_stages
@@ -120,7 +120,7 @@ def fit(train: DataFrame, text_col: str = "review", label_col: str = "sentiment"
     )
     # MLlib keeps the vectors itself, row by row and on disk where memory ends; a cached table would be
     # built in memory in batches of 10,000 rows a task.
-    feats = PipelineModel(stages=front_stages[WORD_STAGES:] + back_stages).transform(words.repartition(parts)).select("features", "__label")
+    feats = PipelineModel(stages=stages).transform(rows).select("features", "__label").repartition(parts)
     lr_model = lr.fit(feats)
     params = {
         "max_features": str(max_features), "max_iter": str(max_iter), "C": str(c),
