@@ -95,3 +95,14 @@ def test_a_fit_caches_no_table(spark, monkeypatch):
     monkeypatch.setattr(type(spark.range(1)), "persist", lambda *a, **k: pytest.fail("a cached table"))
     fitted = training.fit(tables.lang_reviews(spark, SF_SMALL), max_features=40, max_iter=3)
     assert fitted.vocab_size == 40
+
+
+def test_a_fitted_model_scores_in_a_session_that_observed(spark):
+    from pyspark.sql import Observation
+
+    docs = tables.lang_reviews(spark, SF_SMALL)
+    fitted = training.fit(docs, max_features=40, max_iter=3)
+    seen = Observation("seen")
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get == {"n": 3} and not fitted.model.stages[-1].hasSummary
+    assert training.score(fitted.model, docs).count() == len(training.score(fitted.model, docs).select("p1").collect()) == docs.count()

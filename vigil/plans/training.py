@@ -21,7 +21,7 @@ import math
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import NGram, SQLTransformer, StopWordsRemover
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -122,13 +122,22 @@ def fit(train: DataFrame, text_col: str = "review", label_col: str = "sentiment"
     # built in memory in batches of 10,000 rows a task.
     feats = PipelineModel(stages=stages).transform(rows).select("features", "__label").repartition(parts)
     lr_model = lr.fit(feats)
+    iterations = lr_model.summary.totalIterations
     params = {
         "max_features": str(max_features), "max_iter": str(max_iter), "C": str(c),
         "regParam": str(1.0 / (c * n)), "ngram_range": "(1, 3)", "solver": "lbfgs",
-        "vocab_size": str(len(vocab)), "partitions": str(parts), "iterations": str(lr_model.summary.totalIterations),
+        "vocab_size": str(len(vocab)), "partitions": str(parts), "iterations": str(iterations),
         "dropped_rows": str(dropped),
     }
-    return FittedModel(PipelineModel(stages=stages + [lr_model]), n, len(vocab), params)
+    return FittedModel(PipelineModel(stages=stages + [_without_summary(lr_model, train.sparkSession)]), n, len(vocab), params)
+
+
+def _without_summary(model: LogisticRegressionModel, spark) -> LogisticRegressionModel:
+    """The model saved and loaded. As fitted it carries a training summary, which holds the session; a task takes
+    the model along, and a session in which a stream or an observation ran cannot be sent."""
+    path = scratch_path(spark, "classifier")
+    model.write().save(path)
+    return LogisticRegressionModel.load(path)
 
 
 def score(model: PipelineModel, df: DataFrame, names: list[str] | None = None) -> DataFrame:
