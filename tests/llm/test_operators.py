@@ -665,7 +665,7 @@ def test_sql_twin(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SF}/{table}.parquet')")
     df = queries.QUERIES[name](spark, SF)
     result = con.execute(queries.ORACLE_SQL[name])
