@@ -91,10 +91,12 @@ def test_texts_are_dealt_into_parts_of_bounded_size(spark, monkeypatch):
     assert pairs.rdd.getNumPartitions() > 20 and sorted(pairs.collect()) == whole
 
 
-def test_a_fit_caches_no_table(spark, monkeypatch):
-    monkeypatch.setattr(type(spark.range(1)), "persist", lambda *a, **k: pytest.fail("a cached table"))
+def test_a_fit_caches_vectors_but_no_terms(spark, monkeypatch):
+    frame, cached = type(spark.range(1)), []
+    persist = frame.persist
+    monkeypatch.setattr(frame, "persist", lambda self, *a, **k: cached.append(self.columns) or persist(self, *a, **k))
     fitted = training.fit(tables.lang_reviews(spark, SF_SMALL), max_features=40, max_iter=3)
-    assert fitted.vocab_size == 40
+    assert cached == [["features", "__label"]] and fitted.vocab_size == 40
 
 
 def test_a_fitted_model_scores_in_a_session_that_observed(spark):

@@ -118,11 +118,13 @@ def fit(train: DataFrame, text_col: str = "review", label_col: str = "sentiment"
         aggregationDepth=aggregation_depth(parts),
         maxBlockSizeInMB=1.0,
     )
-    # MLlib keeps the vectors itself, row by row and on disk where memory ends; a cached table would be
-    # built in memory in batches of 10,000 rows a task.
-    feats = PipelineModel(stages=stages).transform(rows).select("features", "__label").repartition(parts)
+    # MLlib reads the vectors several times. They are cached, in parts that PARTITION_BYTES bounds; a cached table
+    # of terms would be built in memory in batches of 10,000 rows a task.
+    feats = PipelineModel(stages=stages).transform(rows).select("features", "__label").repartition(parts).persist()
+    feats.count()
     lr_model = lr.fit(feats)
     iterations = lr_model.summary.totalIterations
+    feats.unpersist()
     params = {
         "max_features": str(max_features), "max_iter": str(max_iter), "C": str(c),
         "regParam": str(1.0 / (c * n)), "ngram_range": "(1, 3)", "solver": "lbfgs",
