@@ -168,6 +168,45 @@ def test_special_tokens_as_the_library_has_them(some):
         assert [np.frombuffer(g, "<u4").tolist() for g in got] == want
 
 
+def test_new_ascii_words_go_straight_to_the_model():
+    from types import SimpleNamespace
+
+    import public_tokenizers
+    from vigil.llm.tokens import PieceEncoder
+
+    pieces = PieceEncoder(public_tokenizers.path("byte_bpe_50k.json"), "byte")
+    library, calls = pieces.tokenizer, []
+    encode = lambda t, **k: calls.append(t) or library.encode(t, **k)
+    pieces.tokenizer = SimpleNamespace(model=library.model, encode=encode)
+    text = "one unheardofword, another; \u00e9t\u00e9 doneish unheardofword."
+    assert np.frombuffer(pieces.ids(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert sorted(calls) == sorted(["one", ",", ";", ".", " \u00e9t\u00e9"])
+    assert " unheardofword" in pieces and " unheardofword," not in pieces
+
+
+def test_words_pass_the_pretokenizer_unless_it_keeps_them(tmp_path):
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    from vigil.llm.tokens import PieceEncoder
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert PieceEncoder(path, "byte").direct and not PieceEncoder(path).direct
+    spec = json.loads(open(path).read())
+    for name, change in (
+        ("lower", {"normalizer": {"type": "Lowercase"}}),
+        ("added", {"added_tokens": [*spec["added_tokens"], {**spec["added_tokens"][0], "id": spec["added_tokens"][0]["id"] + 1, "content": "Word", "special": False}]}),
+    ):
+        changed = str(tmp_path / f"{name}.json")
+        with open(changed, "w") as f:
+            json.dump({**spec, **change}, f)
+        text = "Some Wording here, Words"
+        pieces = PieceEncoder(changed, "byte")
+        assert not pieces.direct
+        assert np.frombuffer(pieces.whole(text), "<u4").tolist() == Tokenizer.from_file(changed).encode(text, add_special_tokens=False).ids
+
+
 def test_queries_keep_special_tokens(spark, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import string
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,8 @@ TRAILING = string.punctuation.replace("'", "")
 #: Bytes of text whose pieces are numbered together, and words given to the tokenizer at once.
 SLICE_BYTES = 6 << 20
 WORDS_PER_CALL = 200
+#: A blank in the alphabet of byte-level BPE.
+BLANK = "\u0120"
 
 
 class PieceEncoder(dict):
@@ -48,9 +51,22 @@ class PieceEncoder(dict):
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.style, self.entries = style, entries
+        self.direct = style == "byte" and self._keeps_words()
         # anything but single blanks and single newlines between words: encode the whole text
         self.unusual = re.compile(r"\s\s|^\s|\s$|[^\S \n]|\x00").search
 
+    def _keeps_words(self) -> bool:
+        """Whether a blank and letters always go to the model as they are, as one pre-token: byte-level BPE with
+        its own pattern, no normaliser, and no added token that is taken inside ordinary text."""
+        from tokenizers import models, pre_tokenizers
+
+        cut, model = self.tokenizer.pre_tokenizer, self.tokenizer.model
+        return (
+            type(cut) is pre_tokenizers.ByteLevel and cut.use_regex and self.tokenizer.normalizer is None
+            and type(model) is models.BPE and not model.dropout
+            and all(t.special for t in self.tokenizer.get_added_tokens_decoder().values())
+        )
+
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
@@ -63,22 +79,28 @@ class PieceEncoder(dict):
         self[piece] = out
         return out
 
-    def _word(self, piece: str) -> str | None:
-        """The letters that a piece begins with, if all before its trailing punctuation."""
-        stem = piece.rstrip(TRAILING)
+    def _words(self, pieces: list[str]) -> list[str | None]:
+        """The letters that each piece begins with, if all before its trailing punctuation."""
+        stems = [piece.rstrip(TRAILING) for piece in pieces]
         if self.style == "byte":
-            return stem if stem[:1] == " " and stem[1:].isalpha() else None
-        return stem if stem.isalpha() else None
+            return [stem if stem[:1] == " " and stem[1:].isalpha() else None for stem in stems]
+        return [stem if stem.isalpha() else None for stem in stems]
 
     def learn(self, pieces: list[str]) -> list[bytes]:
-        """Ids of ``pieces``. Words not in the cache go to the tokenizer many in one call; a call whose
-        pre-tokens are not its words one by one is left to the lookup of single pieces."""
+        """Ids of ``pieces``. ASCII words not in the cache go straight to the model where it sees them as they are,
+        other words to the tokenizer many in one call; a call whose pre-tokens are not its words one by one is left
+        to the lookup of single pieces."""
         found = list(map(self.get, pieces))
         missing = [k for k, f in enumerate(found) if f is None]
         if len(self) + len(missing) > self.entries:
             self.clear()
-        stems = [self._word(pieces[k]) for k in missing]
+        stems = self._words([pieces[k] for k in missing])
         words = list({w: None for w in stems if w is not None and w not in self})
+        if self.direct:  # the byte-level alphabet writes the blank as BLANK and ASCII letters as themselves
+            tokenize = self.tokenizer.model.tokenize
+            for w in filter(str.isascii, words):
+                self[w] = array("I", [t.id for t in tokenize(BLANK + w[1:])]).tobytes()
+            words = [w for w in words if not w.isascii()]
         joint = "" if self.style == "byte" else " "
         for at in range(0, len(words), WORDS_PER_CALL):
             some = words[at:at + WORDS_PER_CALL]
@@ -90,8 +112,12 @@ class PieceEncoder(dict):
             data = np.array(joined.ids, dtype="<u4").tobytes()
             ends = (4 * stops).tolist()
             self.update((w, data[a:b]) for w, a, b in zip(some, [0, *ends], ends))
-        for k in missing:
-            found[k] = self[pieces[k]]
+        for k, stem in zip(missing, stems):
+            piece = pieces[k]
+            if stem is None or len(stem) == len(piece):
+                found[k] = self[piece]
+            else:
+                found[k] = self[stem] + self[piece[len(stem):]]  # not kept: the word and the rest are
         return found
 
     def ids(self, text: str) -> bytes:
@@ -161,7 +187,7 @@ class PieceEncoder(dict):
             pieces, starts = pieces.filter(pa.array(usual)), starts[usual]
         numbered = pieces.dictionary_encode()
         code = numbered.indices.to_numpy()
-        distinct = numbered.dictionary.to_pylist()
+        distinct = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()  # to_pylist makes a scalar of each
         if self.style == "word":
             distinct = [p.strip(" \n") for p in distinct]
         found = self.learn(distinct)
