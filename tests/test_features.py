@@ -99,6 +99,15 @@ def test_a_fit_caches_vectors_but_no_terms(spark, monkeypatch):
     assert cached == [["features", "__label"]] and fitted.vocab_size == 40
 
 
+def test_a_fit_holds_its_vectors_on_disk(spark, monkeypatch):
+    frame, levels = type(spark.range(1)), []
+    count = frame.count
+    monkeypatch.setattr(frame, "count", lambda self: levels.append(self.storageLevel) or count(self))
+    training.fit(tables.lang_reviews(spark, SF_SMALL), max_features=40, max_iter=3)
+    held = [x for x in levels if x.useDisk]
+    assert len(held) == 1 and not held[0].useMemory and not held[0].useOffHeap
+
+
 def test_a_fitted_model_scores_in_a_session_that_observed(spark):
     from pyspark.sql import Observation
 

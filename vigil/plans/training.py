@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import NGram, SQLTransformer, StopWordsRemover
@@ -118,9 +119,10 @@ def fit(train: DataFrame, text_col: str = "review", label_col: str = "sentiment"
         aggregationDepth=aggregation_depth(parts),
         maxBlockSizeInMB=1.0,
     )
-    # MLlib reads the vectors several times. They are cached, in parts that PARTITION_BYTES bounds; a cached table
-    # of terms would be built in memory in batches of 10,000 rows a task.
-    feats = PipelineModel(stages=stages).transform(rows).select("features", "__label").repartition(parts).persist()
+    # MLlib reads the vectors a few times, to cache them as blocks of its own, which its iterations read. Here they
+    # are cached on disk, in parts that PARTITION_BYTES bounds: in memory they would lie there twice.
+    vectors = PipelineModel(stages=stages).transform(rows).select("features", "__label")
+    feats = vectors.repartition(parts).persist(StorageLevel.DISK_ONLY)
     feats.count()
     lr_model = lr.fit(feats)
     iterations = lr_model.summary.totalIterations
