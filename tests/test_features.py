@@ -91,6 +91,24 @@ def test_texts_are_dealt_into_parts_of_bounded_size(spark, monkeypatch):
     assert pairs.rdd.getNumPartitions() > 20 and sorted(pairs.collect()) == whole
 
 
+def test_stored_words_keep_their_rows(spark):
+    rows = [(1, ["red", "fox"]), (2, []), (3, None), (4, ["fox"]), (5, ["a" * 70_000, "fox", "fox"])]
+    words = terms.stored_words(spark.createDataFrame(rows, "id int, words array<string>").repartition(3), "words")
+    assert words.rdd.getNumPartitions() == 3
+    assert sorted((r["__toks"] for r in words.collect()), key=repr) == sorted((w for _, w in rows), key=repr)
+
+
+def test_a_part_of_the_texts_stays_one_task(spark, monkeypatch):
+    monkeypatch.setattr(terms, "PART_OCTETS", 10_000)
+    docs = tables.lang_reviews(spark, SF_SMALL)
+    parts, counted = terms.in_parts(docs, "review").rdd.getNumPartitions(), []
+    assert parts > 20 and terms.stored_tokens(docs, "review").rdd.getNumPartitions() == parts
+    count = training.vocabulary_of
+    monkeypatch.setattr(training, "vocabulary_of", lambda toks, k: counted.append(toks.rdd.getNumPartitions()) or count(toks, k))
+    training.fit(docs, max_features=40, max_iter=3)
+    assert counted == [parts]
+
+
 def test_a_fit_caches_vectors_but_no_terms(spark, monkeypatch):
     frame, cached = type(spark.range(1)), []
     persist = frame.persist

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigil.functions.text import NGRAM_RANGE, analyzed_tokens, ngram_terms
-from vigil.session import scratch_path
+from vigil.session import ensure_checkpoint_dir
 
 MAX_FEATURES = 10_000
 PART_OCTETS = 8 << 20
@@ -104,11 +104,20 @@ def vocabulary_of(toks: DataFrame, max_features: int = MAX_FEATURES) -> list:
     return best
 
 
+def stored_words(rows: DataFrame, words_col: str) -> DataFrame:
+    """The word arrays of ``rows`` (column ``__toks``), checkpointed in the partitions they have. A part stays one
+    task, which reads it row by row: a scan of files would pack many parts into a task, the more the larger the
+    table, and hold thousands of arrays at a time. Words hold no space, so a row is kept as one line of them."""
+    ensure_checkpoint_dir(rows.sparkSession)
+    lines = rows.select(F.array_join(words_col, " ").alias("__line")).checkpoint(eager=True)
+    none = F.array().cast("array<string>")
+    return lines.select(F.when(F.col("__line") == "", none).otherwise(F.split("__line", " ")).alias("__toks"))
+
+
 def stored_tokens(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Token arrays (column ``__toks``) of all texts as a table in the shared folder."""
-    path = scratch_path(docs.sparkSession, "tokens")
-    in_parts(docs.select(F.col(text_col).alias("__text")), "__text").select(analyzed_tokens("__text").alias("__toks")).write.parquet(path)
-    return docs.sparkSession.read.schema("__toks array<string>").parquet(path)
+    """Token arrays (column ``__toks``) of all texts, kept in the shared folder."""
+    parts = in_parts(docs.select(F.col(text_col).alias("__text")), "__text")
+    return stored_words(parts.select(analyzed_tokens("__text").alias("__words")), "__words")
 
 
 def idf(n_docs: int, df: int) -> float:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from vigil.functions.text import TOKEN_PATTERN, default_stop_words, tokens_sql
 from vigil.operators import evaluation as ev
-from vigil.operators.terms import MAX_FEATURES, in_parts, vector_stages, vocabulary_of
+from vigil.operators.terms import MAX_FEATURES, in_parts, stored_words, vector_stages, vocabulary_of
 from vigil.session import scratch_path
 
 # Fixed hyper-parameters of the classifier being matched.
@@ -85,7 +85,7 @@ def fit(train: DataFrame, text_col: str = "review", label_col: str = "sentiment"
         preprocess_sql: str | None = None) -> FittedModel:
     """Fit the pipeline on ``train`` in two steps (vocabulary first, then the classifier).
 
-    The vocabulary is counted over the words of the texts, stored as a table in the shared folder; n-grams,
+    The vocabulary is counted over the words of the texts, stored in the shared folder; n-grams,
     six times the text, are only made within a row. The features are made from the rows as they lie, so that
     a fit over the same partitions sums in the same order. Rows with a null or blank text (or a null label)
     are left out of the fit; their number is reported in ``params['dropped_rows']``."""
@@ -96,14 +96,12 @@ def fit(train: DataFrame, text_col: str = "review", label_col: str = "sentiment"
     if n == 0:
         raise ValueError("no training rows")
     rows = train.filter(usable).select(text_col, F.col(label_col).cast("double").alias("__label"))
-    path = scratch_path(train.sparkSession, "train-words")
-    PipelineModel(stages=front_stages[:WORD_STAGES]).transform(in_parts(rows, text_col)).select("__words").write.parquet(path)
-    words = train.sparkSession.read.schema("__words array<string>").parquet(path)
-    vocab = vocabulary_of(words.select(F.col("__words").alias("__toks")), max_features)
+    words = stored_words(PipelineModel(stages=front_stages[:WORD_STAGES]).transform(in_parts(rows, text_col)), "__words")
+    vocab = vocabulary_of(words, max_features)
     back_stages = vector_stages(vocab, n, "__terms", "features")
     stages = front_stages + back_stages
     # a term takes at most an index and a value of the sparse vector: 12 bytes
-    length = F.size("__words").cast("long")
+    length = F.size("__toks").cast("long")
     held = F.greatest(length, F.lit(0)) + F.greatest(length - 1, F.lit(0)) + F.greatest(length - 2, F.lit(0))
     # Every L-BFGS iteration is a job over the features: they are dealt evenly, by their bytes, over all
     # cores; MLlib packs a task's rows into blocks, and gradients are summed in a tree.
