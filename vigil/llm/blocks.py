@@ -102,10 +102,11 @@ def bucket_bits(spark) -> int:
 
 
 class Chunk:
-    """One chunk row in a worker: octets, document borders, ids with nulls last."""
+    """One chunk row in a worker: octets, document borders, ids with nulls last. What other columns hold,
+    answers and what documents carry along, stays in Arrow."""
 
-    def __init__(self, row: dict, kind):
-        self.row, self.kind = row, kind
+    def __init__(self, row: dict, joined: dict):
+        self.row, self.joined = row, joined
         self.slot, self.chunk, self.data = row["slot"], row["chunk"], row["data"]
         self.octets = np.frombuffer(row["data"], np.uint8)
         self.ends = np.array(row["ends"], np.int64)
@@ -114,9 +115,7 @@ class Chunk:
 
     def rest(self):
         """What the documents carry along, as an Arrow array."""
-        import pyarrow as pa
-
-        return pa.array(self.row["rest"], self.kind)
+        return self.joined["rest"]
 
     def text(self, i: int) -> bytes:
         return self.data[self.starts[i]:self.ends[i]]
@@ -129,9 +128,22 @@ class Chunk:
         digest = np.frombuffer(raw, dtype="<u8").reshape(-1, 2)
         return digest, np.lexsort((digest[:, 1], digest[:, 0]))
 
-    def answers(self, column: str, kind: int) -> dict[int, bytes]:
-        """bucket -> bits, of this chunk's answers in a joined column."""
-        return {a["bucket"]: a["bits"] for a in self.row[column] or [] if a["chunk"] == self.chunk and a["kind"] == kind}
+    def given(self, column: str, kind: int | None = None):
+        """This chunk's structs in a joined column, which holds those of its whole slot (of one kind); None if there are none."""
+        import pyarrow as pa
+
+        found = self.joined[column]
+        if found is None or not len(found):
+            return None
+        mine = found.field("chunk").to_numpy() == self.chunk
+        if kind is not None:
+            mine &= found.field("kind").to_numpy() == kind
+        return found.take(pa.array(np.flatnonzero(mine))) if mine.any() else None
+
+    def answers(self, column: str, kind: int) -> Answers | None:
+        """Of this chunk's answers in a joined column: buckets, their bits, where each one's begin and the last one's end."""
+        found = self.given(column, kind)
+        return found and (found.field("bucket").to_numpy().astype(np.int64), *octets_of(found.field("bits")))
 
 
 def slices(sorted_hashes: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
@@ -142,15 +154,53 @@ def slices(sorted_hashes: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
         yield int(bucket[a]), slice(int(a), int(b))
 
 
-def read_bits(sorted_hashes: np.ndarray, answers: dict[int, bytes], bits: int, nth: int = 0) -> np.ndarray:
+def ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... (size[0] numbers), begin[1], ..."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+def octets_of(values) -> tuple[np.ndarray, np.ndarray]:
+    """An Arrow array of binaries as one array of octets, and where each one begins (and the last one ends)."""
+    import pyarrow as pa
+
+    values = values.cast(pa.large_binary())
+    if not len(values):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    _, borders, octets = values.buffers()
+    borders = np.frombuffer(borders, np.int64)[values.offset:values.offset + len(values) + 1]
+    return np.frombuffer(octets or b"", np.uint8)[borders[0]:borders[-1]], borders - borders[0]
+
+
+def packed(flags: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The flags of one after another, ``sizes`` each, as bits that begin with an octet of their own: octets, and
+    where each one's begin (and the last one's end)."""
+    borders = np.r_[0, np.cumsum(-(-sizes // 8))]
+    wide = np.zeros(8 * borders[-1], bool)
+    wide[ranges(8 * borders[:-1], sizes)] = flags
+    return np.packbits(wide), borders
+
+
+def bit_at(octets: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return (octets[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1
+
+
+#: buckets, the octets of their bits, where each one's begin and the last one's end
+Answers = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def read_bits(sorted_hashes: np.ndarray, answers: Answers | None, bits: int, nth: int = 0) -> np.ndarray:
     """The answers to ascending keys, as booleans; a bucket that did not answer said no. Answers may
     have a further bit for each key, behind the first ones of all: the ``nth`` is read."""
     out = np.zeros(len(sorted_hashes), bool)
-    for bucket, part in slices(sorted_hashes, bits):
-        if bucket in answers:
-            size = part.stop - part.start
-            said = np.unpackbits(np.frombuffer(answers[bucket], np.uint8), count=(nth + 1) * size)  # filled up with no
-            out[part] = said[nth * size:].astype(bool)
+    if answers is None:
+        return out
+    asked, octets, borders = answers
+    bucket = (sorted_hashes >> np.uint64(64 - bits)).astype(np.int64)
+    first = np.searchsorted(bucket, asked)
+    size = np.searchsorted(bucket, asked, side="right") - first
+    bit = ranges(nth * size, size)
+    said = bit < np.repeat(8 * np.diff(borders), size)  # beyond, no
+    out[ranges(first, size)[said]] = bit_at(octets, (np.repeat(8 * borders[:-1], size) + bit)[said])
     return out
 
 
@@ -180,7 +230,8 @@ def blob_batch(blobs: list[tuple], slot: int, chunk: int):
     )
 
 
-Judge = Callable[[list[bytes], list[bytes]], list[np.ndarray]]
+#: (keys, extra) of each blob -> what it is answered: a flag for each key, or octets
+Judge = Callable[[list[bytes], list[bytes]], list[np.ndarray] | list[bytes]]
 
 
 def digest_blobs(chunk: Chunk, kind: int, bits: int) -> list[tuple]:
@@ -226,7 +277,8 @@ def _bucket_tasks(judges: dict[int, Judge]):
                 mine = [r for r in rows if r[1] == kind]
                 if mine:
                     bits = judge([r[4] for r in mine], [r[5] for r in mine])
-                    out += [(r[2], r[3], r[0], kind, np.packbits(b).tobytes()) for r, b in zip(mine, bits) if b.any()]
+                    said = [b if isinstance(b, bytes) else np.packbits(b).tobytes() if b.any() else b"" for b in bits]
+                    out += [(r[2], r[3], r[0], kind, b) for r, b in zip(mine, said) if b]
             columns = list(zip(*out)) if out else [()] * 5
             kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
             return pa.RecordBatch.from_arrays(
@@ -257,9 +309,10 @@ def exchange(blobs: DataFrame, judges: dict[int, Judge]) -> DataFrame:
 
 def rows_of(batches: Iterator) -> Iterator[Chunk]:
     for batch in batches:
-        kind = batch.schema.field("rest").type.value_type
+        own = batch.select(["slot", "chunk", "ids", "data", "ends"])
+        joined = {name: batch.column(name) for name in batch.schema.names if name not in own.schema.names}
         for i in range(batch.num_rows):
-            yield Chunk(batch.slice(i, 1).to_pylist()[0], kind)
+            yield Chunk(own.slice(i, 1).to_pylist()[0], {name: column[i].values for name, column in joined.items()})
 
 
 # ---- hashes of octets ------------------------------------------------------------------

@@ -42,9 +42,10 @@ from vigil.llm.common import documents, written
 WINDOW = 50
 GRAM = 24
 LONGEST = 256  # windows per travelling string
-HASHED_TOGETHER = 1 << 15  # windows hashed at once: their arrays fit a core's cache
+HASHED_TOGETHER = 1 << 14  # windows hashed at once: their arrays fit a core's cache
 SHARD_OCTETS = 1_000_000  # what the sort works on at once: small enough for a core's cache
 QUEUE_OCTETS = 256_000_000
+ANSWERED_TOGETHER = 1 << 19  # strings whose answers a task gathers, so that a chunk gets few rows
 FEW_NAMES = 2048
 STRING_OCTETS = LONGEST + WINDOW - 1  # a travelling string's at most
 GRAMS, TEXTS = 0, 1
@@ -250,15 +251,19 @@ def least_of_windows(
 # ---- routing ---------------------------------------------------------------------------
 
 
-def _minimisers(octets: np.ndarray) -> np.ndarray:
+def _minimisers(octets: np.ndarray, word: np.ndarray, f: np.ndarray) -> np.ndarray:
     """Of each window of ``octets``, the least hash of its GRAM octets."""
-    h1 = blocks.random_words(256, 5)[octets]
-    f = blocks.random_words(5, 6)
-    h2 = h1[:-1] * f[0] + h1[1:]
-    h4 = h2[:-2] * f[1] + h2[2:]
-    h8 = h4[:-4] * f[2] + h4[4:]
-    h = h8[:-8] * f[3] + h8[8:]
-    h = blocks.mixed(h[:-8] * f[4] + h8[16:])  # GRAM octets
+    h = h1 = word[octets]
+    for k, step in enumerate([1, 2, 4, 8]):
+        if step == 8:
+            h8 = h
+        part = h[:-step] * f[k]
+        part += h[step:]
+        h = part
+    h = h[:-8] * f[4]
+    h += h8[16:]  # GRAM octets
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
     width = WINDOW - GRAM + 1
     reach = 1
     while 2 * reach <= width:
@@ -268,44 +273,53 @@ def _minimisers(octets: np.ndarray) -> np.ndarray:
 
 
 class Runs:
-    """Runs of windows of a chunk that share a minimiser: route, first window, count, document."""
+    """Runs of windows of a chunk that share a minimiser: route, first window, count, document. Texts
+    that are ``copy`` have none."""
 
-    def __init__(self, chunk: Chunk):
-        n, self.data = len(chunk.octets), chunk.data
+    def __init__(self, chunk: Chunk, copy: np.ndarray):
+        self.data = chunk.data
         none = np.zeros(0, np.int64)
         self.route, self.start, self.count, self.doc = none.view(np.uint64), none, none, none
-        if n < WINDOW:
+        keep = np.flatnonzero(~copy & (chunk.ends - chunk.starts >= WINDOW))
+        if not len(keep):
             return
-        least = np.empty(n - WINDOW + 1, np.uint64)
+        octets, begin, end = chunk.octets, chunk.starts, chunk.ends
+        if len(keep) < len(copy):  # only those that have runs, one behind the other
+            octets = np.concatenate([octets[a:b] for a, b in zip(begin[keep].tolist(), end[keep].tolist())])
+            end = np.cumsum((chunk.ends - chunk.starts)[keep])
+            begin = np.r_[0, end[:-1]]
+        least = np.empty(len(octets) - WINDOW + 1, np.uint64)
+        words = blocks.random_words(256, 5), blocks.random_words(5, 6)
         for at in range(0, len(least), HASHED_TOGETHER):
-            least[at:at + HASHED_TOGETHER] = _minimisers(chunk.octets[at:at + HASHED_TOGETHER + WINDOW - 1])
-        inside = np.zeros(len(least) + 1, np.int8)
-        long = chunk.ends - chunk.starts >= WINDOW
-        inside[chunk.starts[long]] += 1
-        inside[chunk.ends[long] - WINDOW + 1] -= 1
-        inside = np.cumsum(inside[:-1], dtype=np.int8).astype(bool)
-        new = inside & np.r_[True, (least[1:] != least[:-1]) | ~inside[:-1]]
-        last = inside & np.r_[new[1:] | ~inside[1:], True]
-        start, stop = np.flatnonzero(new), np.flatnonzero(last) + 1
+            least[at:at + HASHED_TOGETHER] = _minimisers(octets[at:at + HASHED_TOGETHER + WINDOW - 1], *words)
+        start = np.sort(np.r_[np.flatnonzero(least[1:] != least[:-1]) + 1, begin])
+        start = start[np.r_[True, start[1:] != start[:-1]]]
+        doc = np.searchsorted(end, start, side="right")
+        beyond = (end - WINDOW + 1)[doc]  # the text's last window and one more
+        inside = (begin[doc] <= start) & (start < beyond)  # not at what stands between texts
+        start, stop = start[inside], np.minimum(np.r_[start[1:], len(least)], beyond)[inside]
         parts = -(-(stop - start) // LONGEST)
         if (parts > 1).any():
             again = np.repeat(np.arange(len(start)), parts)
             nth = np.arange(len(again)) - np.repeat(np.cumsum(parts) - parts, parts)
             start = start[again] + nth * LONGEST
             stop = np.minimum(stop[again], start + LONGEST)
-        self.route, self.start, self.count = least[start], start, stop - start
-        self.doc = np.searchsorted(chunk.ends, start, side="right")
+        doc = np.searchsorted(end, start, side="right")
+        self.route, self.count = blocks.mixed(least[start]), stop - start  # least hashes are small: mixed, they spread over the buckets
+        self.doc = keep[doc]
+        self.start = start - begin[doc] + chunk.starts[self.doc]
 
     def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ascending distinct routes, key of each run, which keys several documents have)."""
-        order, starts = blocks.groups(self.route)
-        key_of = np.empty(len(order), np.int64)
-        key_of[order] = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(order)]))
+        order = np.argsort(self.route)
+        ranked, key_of = self.route[order], np.empty(len(order), np.int64)
         if not len(order):
             return self.route, key_of, np.zeros(0, bool)
-        doc = self.doc[order]
+        new = np.r_[True, ranked[1:] != ranked[:-1]]
+        key_of[order] = np.cumsum(new) - 1
+        starts, doc = np.flatnonzero(new), self.doc[order]
         several = np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts)
-        return self.route[order[starts]], key_of, several
+        return ranked[starts], key_of, several
 
     def large(self, key_of: np.ndarray, n_keys: int) -> tuple[np.ndarray, np.ndarray]:
         """(keys, octets) of the keys whose distinct strings may have more than STRING_OCTETS."""
@@ -319,19 +333,52 @@ class Runs:
         return keys, np.array([sum(map(len, distinct[k])) for k in keys.tolist()], np.int64)
 
 
+def _emit_texts(bits: int):
+    def run(batches: Iterator) -> Iterator:
+        for chunk in blocks.rows_of(batches):
+            digest, order = chunk.digests()
+            blobs = [
+                (b, TEXTS, digest[order[p]].tobytes(), np.stack([chunk.ids[order[p]], order[p]]).tobytes())
+                for b, p in blocks.slices(digest[order, 0], bits)
+            ]
+            yield blocks.blob_batch(blobs, chunk.slot, chunk.chunk)
+
+    return run
+
+
+def _judge_texts(keys: list[bytes], extra: list[bytes]) -> list[bytes]:
+    """Which texts (by place in their chunk) have an equal one with a smaller id?"""
+    both = [np.frombuffer(e, "<i8").reshape(2, -1) for e in extra]
+    repeated = blocks.judge_digests(keys, [ids.tobytes() for ids, _ in both])
+    return [place[r].astype("<u4").tobytes() for (_, place), r in zip(both, repeated)]
+
+
+def _copies(chunk: Chunk) -> np.ndarray:
+    """For each document of a chunk: did :func:`_judge_texts` find an equal text before it?"""
+    out, answers = np.zeros(len(chunk.ends), bool), chunk.answers("copies", TEXTS)
+    if answers:
+        out[answers[1].view("<u4")] = True
+    return out
+
+
 def _emit_grams(bits: int):
     def run(batches: Iterator) -> Iterator:
         for chunk in blocks.rows_of(batches):
-            runs = Runs(chunk)
+            runs = Runs(chunk, _copies(chunk))
             keys, key_of, several = runs.keys()
             large, octets = runs.large(key_of, len(keys))
-            short = ((keys >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype("<u4")
-            out = []
+            # the last bit says whether several documents of the chunk have the key
+            short = (keys >> np.uint64(32 - bits)).astype("<u4") & np.uint32(0xFFFFFFFE) | several
+            packed, out = short.astype("<u4").tobytes(), []
             for b, p in blocks.slices(keys, bits):
-                mine = slice(*np.searchsorted(large, [p.start, p.stop]))
-                sizes = np.stack([large[mine] - p.start, octets[mine]]).astype("<i8")
-                out.append((b, GRAMS, short[p].tobytes(), np.packbits(several[p]).tobytes() + sizes.tobytes()))
-            yield blocks.blob_batch(out + blocks.digest_blobs(chunk, TEXTS, bits), chunk.slot, chunk.chunk)
+                out.append((b, GRAMS, packed[4 * p.start:4 * p.stop], p))
+            begin = np.searchsorted(large, [p.start for *_, p in out])
+            stop = np.searchsorted(large, [p.stop for *_, p in out])
+            extra = [b""] * len(out)
+            for i in np.flatnonzero(stop > begin).tolist():
+                mine = slice(begin[i], stop[i])
+                extra[i] = np.stack([large[mine] - out[i][3].start, octets[mine]]).astype("<i8").tobytes()
+            yield blocks.blob_batch([(*blob[:3], e) for blob, e in zip(out, extra)], chunk.slot, chunk.chunk)
 
     return run
 
@@ -340,21 +387,34 @@ def _judge_grams(octets: int):
     """Of each key: do several documents have it? Where a chunk's blob has keys with more than ``octets``
     of strings in all chunks, a second bit for each key follows: is it hot?"""
 
-    def judge(keys: list[bytes], extra: list[bytes]) -> list[np.ndarray]:
-        sizes = [len(k) // 4 for k in keys]
+    def judge(keys: list[bytes], extra: list[bytes]) -> list[bytes]:
+        sizes = np.fromiter(map(len, keys), np.int64, len(keys)) // 4
+        begin = np.cumsum(sizes) - sizes
         short = np.frombuffer(b"".join(keys), dtype="<u4")
-        several = np.concatenate([np.unpackbits(np.frombuffer(e, np.uint8), count=n) for e, n in zip(extra, sizes)])
         held = np.full(len(short), STRING_OCTETS)
-        for at, e, n in zip(np.cumsum([0, *sizes]).tolist(), extra, sizes):
-            large, size = np.frombuffer(e, "<i8", offset=-(-n // 8)).reshape(2, -1)
-            held[at + large] = size
-        order, starts = blocks.groups(short)
+        for i, e in enumerate(extra):
+            if e:
+                large, size = np.frombuffer(e, "<i8").reshape(2, -1)
+                held[begin[i] + large] = size
+        order = np.argsort(short >> 1)
+        ranked = short[order]
+        starts = np.flatnonzero(np.r_[True, ranked[1:] >> 1 != ranked[:-1] >> 1])
         count = np.diff(np.r_[starts, len(short)])
-        hit = (count > 1) | np.logical_or.reduceat(several[order].astype(bool), starts)
+        hit = (count > 1) | np.logical_or.reduceat(ranked & 1 == 1, starts)
         hot = hit & (np.add.reduceat(held[order], starts) > octets)
-        out = np.empty((2, len(short)), bool)
-        out[:, order] = np.repeat([hit, hot], count, axis=1)
-        return [np.r_[a, b] if b.any() else a for a, b in zip(blocks.split(out[0], sizes), blocks.split(out[1], sizes))]
+        flags = np.empty(len(short), bool)
+        flags[order] = np.repeat(hit, count)
+        bits, borders = blocks.packed(flags, sizes)
+        bits = bits.tobytes()
+        out = [bits[a:b] for a, b in zip(borders[:-1].tolist(), borders[1:].tolist())]
+        out = [b if any(b) else b"" for b in out]
+        if hot.any():
+            again = np.zeros(len(short), bool)
+            again[order] = np.repeat(hot, count)
+            for i in np.flatnonzero(np.logical_or.reduceat(again, begin)).tolist():
+                part = slice(begin[i], begin[i] + sizes[i])
+                out[i] = np.packbits(np.r_[flags[part], again[part]]).tobytes()
+        return out
 
     return judge
 
@@ -373,13 +433,13 @@ class Strings:
     """The travelling strings of a chunk: each distinct one once, with its least id."""
 
     def __init__(self, chunk: Chunk, bits: int):
-        runs = Runs(chunk)
+        self.copy = _copies(chunk)
+        runs = Runs(chunk, self.copy)
         keys, key_of, _ = runs.keys()
         answers = chunk.answers("first", GRAMS)
         hit = blocks.read_bits(keys, answers, bits)
         hot = blocks.read_bits(keys, answers, bits, nth=1)
-        self.copy = blocks.repeated_texts(chunk, "first", TEXTS, bits)
-        goes = hit[key_of] & ~self.copy[runs.doc] if len(key_of) else np.zeros(0, bool)
+        goes = hit[key_of]
         self.start, self.count, self.route = runs.start[goes], runs.count[goes], runs.route[goes]
         self.ids = chunk.ids[runs.doc[goes]]
         if hot.any():
@@ -435,29 +495,38 @@ def _sort_shards(octets: int, limit: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        def replies(slot, chunk, nth, least, number: dict[bytes, int], string):
+        def answered(slot, chunk, nth, least, number: dict[bytes, int], string) -> list[np.ndarray]:
+            """Of each string with an earlier window: chunk, slot, number, windows, octets of its bits; then all of these."""
             ids = np.full(len(number), blocks.LAST)
             np.minimum.at(ids, string, least)
             found, begin = least_of_windows(list(number), ids, limit=limit)
-            hit = np.minimum.reduceat(found, begin[:-1])[string] < least  # every string has a window
-            rows: dict[tuple[int, int], tuple[list, list, list]] = {}
-            hits = (slot[hit], chunk[hit], nth[hit], least[hit], begin[string[hit]], begin[string[hit] + 1])
-            for s, c, k, own, a, b in zip(*(values.tolist() for values in hits)):
-                nths, sizes, bits = rows.setdefault((s, c), ([], [], []))
-                nths.append(k)
-                sizes.append(b - a)
-                bits.append(np.packbits(found[a:b] < own).tobytes())
-            keys = list(rows)
+            hit = np.flatnonzero(np.minimum.reduceat(found, begin[:-1])[string] < least)  # every string has a window
+            size = np.diff(begin)[string[hit]]
+            flags = found[blocks.ranges(begin[string[hit]], size)] < np.repeat(least[hit], size)
+            bits, borders = blocks.packed(flags, size)
+            return [chunk[hit], slot[hit], nth[hit], size, np.diff(borders), bits]
+
+        def replies(answers: list[list[np.ndarray]]):
+            """One row for each chunk."""
+            chunk, slot, nth, size, octets, bits = (np.concatenate(a) for a in zip(*answers))
+            order = np.argsort(chunk, kind="stable")
+            chunk, slot = chunk[order], slot[order]
+            bits = bits[blocks.ranges((np.cumsum(octets) - octets)[order], octets[order])]
+            begin = np.flatnonzero(np.r_[len(chunk) > 0, chunk[1:] != chunk[:-1]])
+            border = [*begin.tolist(), len(chunk)]
+            place = np.r_[0, np.cumsum(octets[order])][border].tolist()
+            nth, size, bits = nth[order].astype("<i4").tobytes(), size[order].astype("<i4").tobytes(), bits.tobytes()
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int64()),
-                    pa.array([np.array(rows[k][0], "<i4").tobytes() for k in keys], pa.binary()),
-                    pa.array([np.array(rows[k][1], "<i4").tobytes() for k in keys], pa.binary()),
-                    pa.array([b"".join(rows[k][2]) for k in keys], pa.binary()),
+                    pa.array(slot[begin], pa.int32()), pa.array(chunk[begin], pa.int64()),
+                    pa.array([nth[4 * a:4 * b] for a, b in zip(border, border[1:])], pa.binary()),
+                    pa.array([size[4 * a:4 * b] for a, b in zip(border, border[1:])], pa.binary()),
+                    pa.array([bits[a:b] for a, b in zip(place, place[1:])], pa.binary()),
                 ],
                 ["slot", "chunk", "nths", "sizes", "bits"],
             )
 
+        answers: list[list[np.ndarray]] = []
         number: dict[bytes, int] = {}
         columns: list[list[np.ndarray]] = [[] for _ in range(5)]
         held, last = 0, None
@@ -465,12 +534,11 @@ def _sort_shards(octets: int, limit: int):
         def flush():
             nonlocal held
             slot, chunk, nth, least, string = (np.concatenate(c) for c in columns)
-            out = replies(slot, chunk, nth, least, number, string)
+            answers.append(answered(slot, chunk, nth, least, number, string))
             number.clear()
             for c in columns:
                 c.clear()
             held = 0
-            return out
 
         for batch in batches:
             route = batch.column(0).to_numpy()
@@ -492,62 +560,71 @@ def _sort_shards(octets: int, limit: int):
                         c.append(values)
                     begin = stop
                 if stop < len(route) and held >= octets:
-                    yield flush()
+                    flush()
             if len(route):
                 last = route[-1]
+            if sum(len(a[0]) for a in answers) >= ANSWERED_TOGETHER:
+                yield replies(answers)
+                answers.clear()
         if columns[0]:
-            yield flush()
+            flush()
+        if answers:
+            yield replies(answers)
 
     return run
 
 
+def _windows(found, s: Strings, first: np.ndarray) -> np.ndarray:
+    """Where the windows start that answers call earlier, in the runs ``first`` of their strings."""
+    nth, size = (blocks.octets_of(found.field(name))[0].view("<i4").astype(np.int64) for name in ("nths", "sizes"))
+    octets = blocks.octets_of(found.field("bits"))[0]
+    place = 8 * (np.cumsum(-(-size // 8)) - (-(-size // 8)))
+    string = s.string[first]
+    ranked, count = first[np.argsort(string, kind="stable")], np.bincount(string, minlength=len(s.distinct))
+    runs = ranked[blocks.ranges((np.cumsum(count) - count)[nth], count[nth])]
+    size, place = np.repeat(size, count[nth]), np.repeat(place, count[nth])
+    return blocks.ranges(s.start[runs], size)[blocks.bit_at(octets, blocks.ranges(place, size))]
+
+
 def _remove(bits: int, as_text: bool):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for chunk in blocks.rows_of(batches):
             s = Strings(chunk, bits)
-            cover = np.zeros(len(chunk.octets) + 1, np.int64)
+            gone = np.zeros(len(chunk.octets) + 1, bool)  # windows, by where they start
             later = s.ids > s.least[s.string]  # the chunk itself has the string earlier
-            np.add.at(cover, s.start[later], 1)
-            np.add.at(cover, s.start[later] + s.count[later] + WINDOW - 1, -1)
-            order, starts = blocks.groups(s.string[~later])
-            first = np.flatnonzero(~later)[order]
-            runs_of = dict(zip(s.string[first[starts]].tolist(), np.split(first, starts[1:]))) if len(first) else {}
-            gone = []
-            for a in chunk.row["second"] or []:
-                if a["chunk"] != chunk.chunk:
-                    continue
-                at = 0
-                for k, size in zip(np.frombuffer(a["nths"], "<i4").tolist(), np.frombuffer(a["sizes"], "<i4").tolist()):
-                    octets = -(-size // 8)
-                    window = np.flatnonzero(np.unpackbits(np.frombuffer(a["bits"], np.uint8, octets, at), count=size))
-                    at += octets
-                    gone += [s.start[r] + window for r in runs_of.get(k, [])]
-            if gone:
-                gone = np.concatenate(gone)
-                np.add.at(cover, gone, 1)
-                np.add.at(cover, gone + WINDOW, -1)
-            removed = np.cumsum(cover) > 0
-            rows: list[list] = [[], [], [], []]
-            for i, (a, b) in enumerate(zip(chunk.starts.tolist(), chunk.ends.tolist())):
-                mine = removed[a:b]
-                if s.copy[i] and b - a >= WINDOW:
-                    mine = np.ones(b - a, bool)
-                lost = int(mine.sum())
-                edge = np.flatnonzero(np.diff(np.r_[False, mine, False].astype(np.int8))) if lost else np.zeros(0, np.int64)
-                rows[0].append(b - a)
-                rows[1].append(lost)
-                kept = chunk.octets[a:b][~mine].tobytes() if lost else chunk.data[a:b]
-                rows[2].append(kept.decode("utf-8", "ignore") if as_text else kept)
-                rows[3].append([{"start": x, "stop": y} for x, y in edge.reshape(-1, 2).tolist()])
+            gone[blocks.ranges(s.start[later], s.count[later])] = True
+            found = chunk.given("second")
+            if found:
+                gone[_windows(found, s, np.flatnonzero(~later))] = True
+            # what follows a text is in no window, so that each span lies in one
+            edge = np.flatnonzero(np.r_[gone[0], gone[1:] != gone[:-1]])
+            begin, end = edge[::2], edge[1::2] + WINDOW - 1
+            copy = s.copy & (chunk.ends - chunk.starts >= WINDOW)
+            begin, end = np.sort(np.r_[begin, chunk.starts[copy]]), np.sort(np.r_[end, chunk.ends[copy]])
+            apart = np.r_[True, begin[1:] > end[:-1], True]
+            begin, end = begin[apart[:len(begin)]], end[apart[1:len(end) + 1]]
+            doc, size = np.searchsorted(chunk.ends, begin, side="right"), chunk.ends - chunk.starts
+            lost = np.bincount(doc, weights=end - begin, minlength=len(size)).astype(np.int64)
+            stays = np.zeros(len(chunk.octets) + 1, np.int8)
+            stays[0] = 1
+            stays[begin] -= 1
+            stays[end] += 1
+            stays = np.cumsum(stays[:-1], dtype=np.int8).view(bool)
+            stays[chunk.ends] = False
+            kept = chunk.octets[stays].tobytes()
+            border = np.r_[0, np.cumsum(size - lost)]
+            if as_text:
+                texts = pa.array([kept[a:b].decode("utf-8", "ignore") for a, b in zip(border[:-1].tolist(), border[1:].tolist())], pa.string())
+            else:
+                texts = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(border.astype(np.int32)), pa.py_buffer(kept)])
+            spans = pa.ListArray.from_arrays(
+                pa.array(np.searchsorted(doc, np.arange(len(size) + 1)), pa.int32()),
+                pa.StructArray.from_arrays([pa.array(at - chunk.starts[doc]) for at in (begin, end)], ["start", "stop"]),
+            )
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(chunk.row["ids"], pa.int64()), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()),
-                    pa.array(rows[2], pa.string() if as_text else pa.binary()),
-                    pa.array(rows[3], pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))),
-                    chunk.rest(),
-                ],
+                [pa.array(chunk.row["ids"], pa.int64()), pa.array(size), pa.array(lost), texts, spans, chunk.rest()],
                 ["doc_id", "n_bytes", "n_removed", "kept", "spans", "rest"],
             )
 
@@ -560,10 +637,11 @@ def travelling(
     """(chunks with the answers to their minimisers, STRING rows); the distinct strings of one route have
     at most ``shard_octets`` octets, or are one window."""
     table = blocks.chunk_table(docs, carry)
-    grams = table.mapInArrow(_emit_grams(bits), blocks.BLOB)
-    first = blocks.exchange(grams, {GRAMS: _judge_grams(shard_octets), TEXTS: blocks.judge_digests})
-    first = written(first, "grams").withColumnRenamed("answers", "first")
-    met = table.join(first, "slot", "left")
+    texts = table.mapInArrow(_emit_texts(max(1, bits - 3)), blocks.BLOB)
+    copies = written(blocks.exchange(texts, {TEXTS: _judge_texts}), "copies").withColumnRenamed("answers", "copies")
+    met = table.join(copies, "slot", "left")
+    first = blocks.exchange(met.mapInArrow(_emit_grams(bits), blocks.BLOB), {GRAMS: _judge_grams(shard_octets)})
+    met = met.join(written(first, "grams").withColumnRenamed("answers", "first"), "slot", "left")
     return met, met.mapInArrow(_emit_strings(bits), STRING)
 
 
