@@ -4,11 +4,11 @@ A window of WINDOW octets is removed where it also starts in a document with a s
 
 Shards. Equal windows must meet in one shard. A window's minimiser, its least hash of GRAM
 octets, depends on its content alone, so windows are routed by it: consecutive windows with
-one minimiser travel as one string. First the minimisers themselves are exchanged as packed
+one minimiser travel as one string. First digests of whole texts are exchanged: a text equal to
+an earlier one repeats whole and takes no further part. Then the minimisers themselves are exchanged as packed
 keys (see ``blocks``): a minimiser that only one document has cannot be that of a shared
-window, and its strings stay home. Equal strings of a chunk travel once, with their least id,
-and texts equal to an earlier one not at all: they repeat whole. A shard is any set of
-routes, so shards are cut to SHARD_OCTETS.
+window, and its strings stay home. Equal strings of a chunk travel once, with their least id.
+A shard is any set of routes, so shards are cut to SHARD_OCTETS.
 
 Hot minimisers. A frequent phrase longer than GRAM has windows that reach into each document's own
 context: one string per document, all under one minimiser. The exchange of minimisers adds up
